@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def in_parts(batches: Iterator[pa.RecordBatch], chars: int = 16_000_000) -> Iter
     """Slices of the batches whose ``text`` is decoded a bounded amount at a time."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
         low = 0
         while low < batch.num_rows:
             base = int(ends[low - 1]) if low else 0

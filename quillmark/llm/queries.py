@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+from quillmark.llm import line_dedup
 from quillmark.llm.packing import op2_best_fit_packing
+from quillmark.llm.secret_scan import op1_secret_scan
 from quillmark.llm.token_counts import op10_token_counts
+from quillmark.llm.token_store import op3_token_store
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op10_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_best_fit_packing,
+        op3_token_store,
+        line_dedup.op7_line_dedup,
+        op10_token_counts,
+    )
+}
+SQL: dict[str, str] = {**line_dedup.SQL}

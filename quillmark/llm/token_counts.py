@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm.bpe_automaton import automaton
@@ -27,7 +27,7 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).cast(pa.int64()),
-                    pa.compute.cast(pa.compute.binary_length(part.column(1)), pa.int64()),
+                    pc.cast(pc.binary_length(part.column(1)), pa.int64()),
                     pa.array(n),
                     pa.array(n > limit),
                 ],
