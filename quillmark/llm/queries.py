@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import line_dedup
+from quillmark.llm import line_dedup, warc
 from quillmark.llm.packing import op2_best_fit_packing
 from quillmark.llm.secret_scan import op1_secret_scan
 from quillmark.llm.token_counts import op10_token_counts
@@ -15,7 +15,8 @@ QUERIES = {
         op2_best_fit_packing,
         op3_token_store,
         line_dedup.op7_line_dedup,
+        warc.op9_warc,
         op10_token_counts,
     )
 }
-SQL: dict[str, str] = {**line_dedup.SQL}
+SQL: dict[str, str] = {**line_dedup.SQL, **warc.SQL}
