@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillmark.llm import line_dedup, warc
 from quillmark.llm.packing import op2_best_fit_packing
+from quillmark.llm.quality import op6_quality_classifier
 from quillmark.llm.secret_scan import op1_secret_scan
 from quillmark.llm.token_counts import op10_token_counts
 from quillmark.llm.token_store import op3_token_store
@@ -14,6 +15,7 @@ QUERIES = {
         op1_secret_scan,
         op2_best_fit_packing,
         op3_token_store,
+        op6_quality_classifier,
         line_dedup.op7_line_dedup,
         warc.op9_warc,
         op10_token_counts,
