@@ -8,6 +8,7 @@ from quillmark.llm.quality import op6_quality_classifier
 from quillmark.llm.secret_scan import op1_secret_scan
 from quillmark.llm.token_counts import op10_token_counts
 from quillmark.llm.token_store import op3_token_store
+from quillmark.llm.vector_search import op8_vector_search
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +18,7 @@ QUERIES = {
         op3_token_store,
         op6_quality_classifier,
         line_dedup.op7_line_dedup,
+        op8_vector_search,
         warc.op9_warc,
         op10_token_counts,
     )
