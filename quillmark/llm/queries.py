@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import line_dedup, warc
+from quillmark.llm import jaccard_join, line_dedup, warc
 from quillmark.llm.packing import op2_best_fit_packing
 from quillmark.llm.quality import op6_quality_classifier
 from quillmark.llm.secret_scan import op1_secret_scan
@@ -16,6 +16,7 @@ QUERIES = {
         op1_secret_scan,
         op2_best_fit_packing,
         op3_token_store,
+        jaccard_join.op4_jaccard_join,
         op6_quality_classifier,
         line_dedup.op7_line_dedup,
         op8_vector_search,
@@ -23,4 +24,4 @@ QUERIES = {
         op10_token_counts,
     )
 }
-SQL: dict[str, str] = {**line_dedup.SQL, **warc.SQL}
+SQL: dict[str, str] = {**jaccard_join.SQL, **line_dedup.SQL, **warc.SQL}
