@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillmark.llm import jaccard_join, line_dedup, warc
+from quillmark.llm.decontaminate import op5_benchmark_decontamination
 from quillmark.llm.packing import op2_best_fit_packing
 from quillmark.llm.quality import op6_quality_classifier
 from quillmark.llm.secret_scan import op1_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
         op2_best_fit_packing,
         op3_token_store,
         jaccard_join.op4_jaccard_join,
+        op5_benchmark_decontamination,
         op6_quality_classifier,
         line_dedup.op7_line_dedup,
         op8_vector_search,
