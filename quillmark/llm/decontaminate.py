@@ -121,9 +121,9 @@ def build_index(rows: list[tuple], rate: float) -> ItemIndex | None:
     bits = max(16, min(26, math.ceil(math.log2(len(keys) * 128))))
     marks = np.zeros(1 << bits, bool)
     marks[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-    # an occurrence spans n + k places; of its windows of the shortest item's length one has this many hits
+    # an occurrence spans n + k places; a window of the shortest span has this many hits
     window = int((n + budget).min())
-    least = int(min(math.ceil(b / math.ceil((m + k) / window)) for b, m, k in zip(bound.tolist(), n.tolist(), budget.tolist())))
+    least = int(min(max(math.ceil(b / math.ceil((m + k) / window)), b - (m + k - window)) for b, m, k in zip(bound.tolist(), n.tolist(), budget.tolist())))
     return ItemIndex(ids, items, budget, bound, keys, np.append(begin, len(h)), post_item, post_at, marks, 64 - bits, window, max(1, least))
 
 
@@ -145,6 +145,15 @@ def banded_edits(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.
     return best[np.arange(len(regions)), end], end + n
 
 
+def _place_of(item: np.ndarray, region: np.ndarray) -> int:
+    """Where the item stands in the region unedited; -1 if nowhere."""
+    data, sought = region.astype(np.uint32).tobytes(), item.astype(np.uint32).tobytes()
+    at = data.find(sought)
+    while at % 4 and at >= 0:
+        at = data.find(sought, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 def _cut(code: np.ndarray, low: np.ndarray, size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Rows of ``size`` places from ``low`` on; 0 where that is outside first..last."""
     at = low[:, None] + np.arange(size)
@@ -165,11 +174,10 @@ def find(texts: list[str], index: ItemIndex) -> Iterator[tuple[int, int, int, in
     dense = total[w:] - total[:-w] >= index.least
     if not dense.any():
         return
-    starts = np.flatnonzero(dense)
-    cover = np.zeros(len(hit) + 1, np.int32)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + w, -1)
-    at = np.flatnonzero(hit & (np.cumsum(cover)[:-1] > 0))
+    # places that some dense window covers: dense ones among the last w window starts
+    upto_dense = np.concatenate([np.zeros(w, np.int32), np.cumsum(dense, dtype=np.int32), np.zeros(w - 1, np.int32)])
+    upto_dense[w + len(dense) :] = upto_dense[w + len(dense) - 1]
+    at = np.flatnonzero(hit & (upto_dense[w:] > upto_dense[:-w]))
     k = np.searchsorted(index.keys, h[at])
     k[k == len(index.keys)] = 0
     true = index.keys[k] == h[at]
@@ -185,15 +193,16 @@ def find(texts: list[str], index: ItemIndex) -> Iterator[tuple[int, int, int, in
     half = index.budget[item] + 1
     band = diagonal // half
     # each hit is in the band that begins with its half and in the one before
-    key_item = np.concatenate([item, item])
-    key_band = np.concatenate([band, band - 1])
-    key_text = np.concatenate([text, text])
-    order = np.lexsort((key_band, key_item, key_text))
-    a, b, c = key_text[order], key_item[order], key_band[order]
-    edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
-    size = np.diff(np.append(edge, len(a)))
-    good = size >= index.bound[b[edge]]
-    a, b, c = a[edge][good], b[edge][good], c[edge][good]
+    lowest, span = int(band.min()) - 1, int(band.max() - band.min()) + 2
+    one = (text * len(index.items) + item) * span + (band - lowest)
+    both = np.concatenate([one, one - 1])
+    both.sort()
+    edge = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    size = np.diff(np.append(edge, len(both)))
+    owner, c = np.divmod(both[edge], span)
+    a, b = np.divmod(owner, len(index.items))
+    good = size >= index.bound[b]
+    a, b, c = a[good], b[good], c[good] + lowest
     found = []
     for i in np.unique(b).tolist():
         mine = np.flatnonzero(b == i)
@@ -202,7 +211,15 @@ def find(texts: list[str], index: ItemIndex) -> Iterator[tuple[int, int, int, in
         width = 2 * (edits + 1) + 2 * edits
         for part in range(0, len(mine), 512):
             lo, t = low[part : part + 512], a[mine][part : part + 512]
-            cost, end = banded_edits(index.items[i], _cut(code, lo, n + width, first[t], upto[t] - 1))
+            regions = _cut(code, lo, n + width, first[t], upto[t] - 1)
+            whole = [_place_of(index.items[i], r) for r in regions]
+            for x in [x for x, at in enumerate(whole) if at >= 0]:
+                found.append((int(t[x]), i, int(lo[x]) + whole[x], int(lo[x]) + whole[x] + n, 0))
+            other = np.array([x for x, at in enumerate(whole) if at < 0], np.int64)
+            if not len(other):
+                continue
+            lo, t = lo[other], t[other]
+            cost, end = banded_edits(index.items[i], regions[other])
             for x in np.flatnonzero(cost <= edits).tolist():
                 stop = int(lo[x] + end[x])
                 back = _cut(code, np.array([stop - n - edits]), n + edits, first[t[x : x + 1]], upto[t[x : x + 1]] - 1)[:, ::-1]
@@ -218,7 +235,7 @@ def find(texts: list[str], index: ItemIndex) -> Iterator[tuple[int, int, int, in
             yield t, i, int(place[lo]), int(place[hi - 1]) + 1, cost
 
 
-def find_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_chars: int = 8_000_000, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, rate: float = 0.05, block_chars: int = 8_000_000, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, edits): occurrences of benchmark items in whole texts.
 
     An item occurs where a substring of the normalised text is within ``rate`` edits per
@@ -258,7 +275,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_char
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, rate: float = 0.08, key: str = "doc_id", text: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, rate: float = 0.05, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose key is not that of a text with a benchmark item (``find_items``).
 
     The keys found are written first, so Spark sends them to the documents where the table's
