@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quillmark.plans import facet_queries
+
+_MODULES = (facet_queries,)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL: dict[str, str] = {name: text for m in _MODULES for name, text in m.SQL.items()}
