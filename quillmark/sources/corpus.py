@@ -80,5 +80,5 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS_SQL = """
-ev AS (SELECT event_id, user_id, event_type, value, props, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at, ts FROM events)
+ev AS (SELECT event_id, user_id, event_type, value, props, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at_, ts FROM events)
 """
