@@ -294,6 +294,73 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def connected(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Smallest place that each set is connected to by links between ``left`` and ``right``; places count on from left to right.
+
+    Intersections are products of 0-1 matrices over the elements that several sets hold, some
+    thousand elements at a time.
+    """
+    n, sets = len(left), [*left, *right]
+    size = np.array([len(x) for x in sets], np.float32)
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    shared = np.bincount(at, minlength=len(values)) > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    owner, column = owner[keep], column[at[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, len(right)), np.float32)
+    step = 2048
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [low, low + step])
+        m = np.zeros((len(sets), step), np.float32)
+        m[owner[a:b], column[a:b] - low] = 1
+        both += m[:n] @ m[n:].T
+    # float32 holds whole numbers to 2**24 exactly; a larger set would need 16 million shingles
+    i, j = np.nonzero(den * both.astype(np.float64) >= num * (size[:n, None] + size[None, n:] - both).astype(np.float64))
+    label = np.arange(len(sets))
+    while len(i):
+        before = label.copy()
+        low = np.minimum(label[i], label[n + j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, n + j, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def block_links(listed: DataFrame, elements: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
+    """(a, b): connections between documents of different components that share a group.
+
+    ``listed`` has each document (doc, label of its component) under its group's ``head``, the
+    head's component.  Those of other components than the head's are compared exactly with all
+    documents of the group, in blocks of about ``block`` by ``block``; a block sends on one
+    row for each document that it connects, not one for each link.
+    """
+    spread = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    sizes = listed.groupBy("head").agg(F.count("*").alias("all"), F.count_if(F.col("label") != F.col("head")).alias("out")).filter("out > 0").select("head", spread("all").alias("cols"), spread("out").alias("rows"))
+    placed = listed.join(sizes, "head").join(elements.withColumnRenamed("doc_id", "doc"), "doc")
+    side = lambda from_, own, other, count, turns: from_.select("doc", "label", "elements", "head", F.pmod(F.xxhash64("doc"), count).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(turns) - 1)).alias(other))
+    left = side(placed.filter("label <> head"), "i", "j", "rows", "cols")
+    right = side(placed, "j", "i", "cols", "rows").toDF("doc_", "label_", "elements_", "head_", "j_", "i_")
+
+    def compare(_, few: pa.Table, many: pa.Table) -> pa.Table:
+        out_a, out_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if few.num_rows and many.num_rows:
+            ids = np.concatenate([few["doc"].to_numpy(), many["doc_"].to_numpy()])
+            unpack = lambda c: [np.frombuffer(x.as_py(), np.uint64) for x in c]
+            label = connected(unpack(few["elements"]), unpack(many["elements_"]), num, den)
+            known = np.concatenate([few["label"].to_numpy(), many["label_"].to_numpy()])
+            # a document is connected with itself and with its component anyhow
+            new = known != known[label]
+            out_a, out_b = ids[new], ids[label[new]]
+        return pa.table({"a": out_a, "b": out_b})
+
+    return left.groupBy("head", "i", "j").cogroup(right.groupBy("head_", "i_", "j_")).applyInArrow(compare, "a long, b long")
+
+
 def similarity_components(docs: DataFrame, width: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key as ``doc_id``, ``n_shingles`` and ``component_id``.
 
@@ -306,7 +373,7 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
 
     Documents that share a signature are first held only against the one with the smallest id,
     which connects most of a group of near copies in as many comparisons as it has members.
-    Then every pair that shares a signature and is not connected yet is compared.
+    What that leaves apart is compared with all documents of its groups, block by block.
     """
     own = keyed_text(docs, key, text)
     sets = written(set_classes(own, width), "sets")
@@ -324,17 +391,13 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
     links = written(links.union(same), "links")
     label = components(links)
 
-    # what a group's head did not connect: held against all members of other components
+    # what a group's head did not connect: held, in blocks, against the group's members
     tag = label.select(F.col("node").alias("doc"), "label")
-    head = label.select(F.col("node").alias("rep"), F.col("label").alias("head_label"))
-    numbered = groups.withColumn("g", F.xxhash64("rep", "others"))
-    listed = numbered.select("g", "rep", F.explode("others").alias("doc")).join(tag, "doc", "left").join(head, "rep", "left")
-    listed = written(listed.select("g", "rep", "doc", F.coalesce("label", "doc").alias("label"), F.coalesce("head_label", "rep").alias("head_label")), "listed")
-    apart = listed.filter("label <> head_label").select("rep", F.col("doc").alias("x"), F.col("label").alias("x_label")).distinct()
-    other = listed.select("rep", F.col("doc").alias("y"), F.col("label").alias("y_label")).distinct()
-    # groups with one head are taken together: a chunk of a large group must meet the others
-    rest = apart.join(other, "rep").filter("x <> y and x_label <> y_label").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(verified(rest, elements, num, den), "more")
+    head = label.select(F.col("node").alias("rep"), F.col("label").alias("head"))
+    listed = rows.join(tag, "doc", "left").join(head, "rep", "left").select("doc", F.coalesce("label", "doc").alias("label"), F.coalesce("head", "rep").alias("head"))
+    # groups whose heads are connected are one
+    listed = written(listed.distinct(), "listed")
+    more = written(block_links(listed, elements, num, den), "more")
     label = components(links.union(more)) if more.limit(1).count() else label
 
     by_rep = label.select(F.col("node").alias("rep"), F.col("label"))
