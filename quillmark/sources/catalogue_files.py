@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-QUESTION = T._parse_datatype_string(
+QUESTION = (
     "schema_version int, question_id string, exam_code string, year int, paper int, variant int, question_number int, total_marks int, part_count int, "
     "topic string, sub_topics array<string>, child_topics map<string,string>, relative_path string, root_text string, child_text map<string,string>, "
     "content_right int, numeral_bbox array<int>, mark_bboxes array<array<int>>, markscheme_path string, horizontal_offset int, is_valid boolean"
 )
-REGIONS = T._parse_datatype_string(
+REGIONS = (
     "schema_version int, question_id string, composite_size struct<width:int,height:int>, horizontal_offset int, numeral_bbox array<int>, mark_bboxes array<array<int>>, "
     "regions map<string, struct<bounds:struct<top:int,bottom:int,left:int,right:int>, kind:string, marks:int, "
     "label_bbox:struct<top:int,bottom:int,left:int,right:int>, is_valid:boolean, validation_issues:array<string>, child_is_inline:boolean>>"
@@ -26,7 +25,7 @@ def read_catalogue(spark: SparkSession, path: str, strict: bool = False) -> Data
 
     A missing is_valid counts as true.
     """
-    reader = spark.read.schema(T.StructType([*QUESTION.fields, T.StructField("_bad", T.StringType())]))
+    reader = spark.read.schema(QUESTION + ", _bad string")
     rows = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.filter("_bad is null and relative_path is not null and coalesce(is_valid, true)").drop("_bad")
 
