@@ -11,8 +11,9 @@ from quillmark.llm.common import forget, written
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the smallest node it is connected to.
 
-    Each round takes the least label among a node and its neighbours and then the label of
-    that label, so distances to the least node about halve.  Labels are written to the shared
+    Each round a node takes the least label among its neighbours, tells it to the node that its
+    own label names, and then takes the label of its label, so the number of rounds is about
+    the logarithm of a component's size.  Labels are written to the shared
     folder every round, so lineage stays short and lost executors cost one round.  A node with
     very many edges is one key only in sums that are pre-aggregated.
     """
@@ -25,7 +26,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = total
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        least = labels.unionByName(near).groupBy("node").agg(F.min("label").alias("label"))
+        # a node passes what it hears on to the node that its own label names
+        heard = labels.withColumnRenamed("label", "own").join(near, "node").filter("label < own")
+        hook = heard.select(F.col("own").alias("node"), "label")
+        least = labels.unionByName(heard.select("node", "label")).unionByName(hook).groupBy("node").agg(F.min("label").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = written(least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         forget(labels)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillmark.llm.common import in_parts, keyed_text, table, written
 
@@ -253,6 +254,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_char
     chars = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
     schema = f"doc_id long, item_id {wanted.schema['item_id'].dataType.simpleString()}, start long, end long, edits int"
+    kind = to_arrow_type(wanted.schema["item_id"].dataType)
     own, out = keyed_text(docs, key, text), None
     for k in range(blocks):
         rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
@@ -268,7 +270,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_char
                 hits = list(find(texts, at))
                 if hits:
                     t, i, lo, hi, cost = zip(*hits)
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(t)), pa.array([at.ids[x] for x in i]), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(cost, pa.int32())], names=["doc_id", "item_id", "start", "end", "edits"])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(t)), pa.array([at.ids[x] for x in i], kind), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(cost, pa.int32())], names=["doc_id", "item_id", "start", "end", "edits"])
 
         some = own.mapInArrow(run, schema)
         out = some if out is None else out.unionByName(some)

@@ -57,8 +57,9 @@ def word_hashes(texts: list[str], split_punctuation: bool = False) -> tuple[np.n
     word = np.cumsum(start, dtype=np.int32) - 1
     place = np.arange(len(raw), dtype=np.int32) - at.astype(np.int32)[np.maximum(word, 0)]
     value = _BYTE[_LOWER[raw]] * _POWERS[place & 4095]
-    if len(raw) and place.max() > 4095:
-        value *= _mix((place >> 12).astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    far = np.flatnonzero(place > 4095)
+    if len(far):  # a word's hash must not depend on the words around it
+        value[far] *= _mix((place[far] >> 12).astype(np.uint64)) | np.uint64(1)
     value[(_CLASS[raw] == 0)] = 0
     hashes = _mix(np.add.reduceat(value, at))
     return hashes, np.searchsorted(at, ends)
