@@ -50,7 +50,7 @@ def _order(centres: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.argsort(-(q @ centres.T), axis=1, kind="stable")
 
 
-def fit_index(rows: DataFrame, k: int, sample: int = 4096, per_list: int = 2000, target: float = 0.97, seed: int = 11) -> ListIndex | None:
+def fit_index(rows: DataFrame, k: int, sample: int = 4096, per_list: int = 2000, target: float = 0.985, seed: int = 11) -> ListIndex | None:
     """Centres by spherical k-means on at most ``sample`` vectors, chosen by hash.
 
     The number of probes is the smallest that finds ``target`` of the sample's own neighbours
