@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillmark.plans import facet_queries, ordered_queries, report_queries, selection_queries, text_queries
+from quillmark.plans import detection_queries, facet_queries, ordered_queries, report_queries, selection_queries, text_queries
 
-_MODULES = (facet_queries, ordered_queries, report_queries, selection_queries, text_queries)
+_MODULES = (facet_queries, ordered_queries, report_queries, selection_queries, text_queries, detection_queries)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in _MODULES for name, text in m.SQL.items()}
