@@ -57,6 +57,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Children of the nodes of a vocabulary's trie that have none; never written to.
+_LEAF: dict[int, int] = {}
+
+
 class BpeAutomaton:
     """One vocabulary's transducer; grows as texts are run, and starts anew beyond ``max_states``."""
 
@@ -64,7 +68,7 @@ class BpeAutomaton:
     _NONE = 16
     #: Vocabulary paths with so few tokens below tell predecessors apart by what they allow.
     FEW = 12
-    MEMO = 400_000
+    MEMO = 200_000
 
     def __init__(self, path: str, counting: bool = True, max_states: int = 120_000, columns: int = 160):
         from tokenizers import Tokenizer
@@ -83,7 +87,7 @@ class BpeAutomaton:
         size = max(vocab.values()) + 1
         self.length = np.zeros(size + 1, np.int32)
         self.token_at: list[int] = [-1]
-        self.children: list[dict[int, int]] = [{}]
+        self.children: list[dict[int, int]] = [_LEAF]
         for text, token in vocab.items():
             ends = bool(self.suffix) and text.endswith(self.suffix)
             symbols = [letters[c] for c in (text[: -len(self.suffix)] if ends else text)]
@@ -95,8 +99,10 @@ class BpeAutomaton:
                 nxt = self.children[node].get(s)
                 if nxt is None:
                     nxt = len(self.children)
+                    if not self.children[node]:
+                        self.children[node] = {}
                     self.children[node][s] = nxt
-                    self.children.append({})
+                    self.children.append(_LEAF)
                     self.token_at.append(-1)
                 node = nxt
             self.token_at[node] = token
@@ -202,9 +208,10 @@ class BpeAutomaton:
             k = self.index[new] = len(self.states)
             self.states.append(new)
             if k >= len(self.step):
-                more = len(self.step)
+                held = len(self.step)
+                more = min(held, 16384)
                 self.step = np.concatenate([self.step, np.full((more, self.columns), -1, np.int32)])
-                self.step[more:, 0] = self._NONE
+                self.step[held:, 0] = self._NONE
                 self.last = np.concatenate([self.last, np.full(more, -1, np.int32)])
             self.last[k] = token
         self.step[state, column] = k << 5 | gain + self._NONE
@@ -372,7 +379,7 @@ class BpeAutomaton:
         sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
         return joined, np.cumsum(np.asarray(sizes, np.int64) + 1)
 
-    def counts(self, texts: list[str], width: int = 128, chars: int = 2_000_000) -> np.ndarray:
+    def counts(self, texts: list[str], width: int = 64, chars: int = 1_000_000) -> np.ndarray:
         """Number of tokens of each text: the sum of what its transitions emit."""
         out = np.zeros(len(texts), np.int64)
         fits = self._plan(texts)
@@ -389,7 +396,7 @@ class BpeAutomaton:
                     out[k] = len(self.library.encode(texts[k], add_special_tokens=False).ids)
         return out
 
-    def encode(self, texts: list[str], width: int = 128, chars: int = 2_000_000):
+    def encode(self, texts: list[str], width: int = 64, chars: int = 1_000_000):
         """Yields, batch by batch in order, (ids of all its texts, number of ids of each)."""
         fits = self._plan(texts)
         for own in self._batches(texts, chars):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -57,11 +59,6 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """For what a caller wrote with ``written`` and no later read needs."""
-    _delete(spark, path)
-
-
 def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """The rows as a table in the shared folder: computed once, safe when executors are lost."""
     path = new_path(df.sparkSession, label)
@@ -73,6 +70,7 @@ def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame
 
 
 def forget(*frames: DataFrame) -> None:
+    """Deletes what was written for frames that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "quillmark_path", None):
             _delete(df.sparkSession, path)
@@ -83,8 +81,20 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def in_parts(batches: Iterator[pa.RecordBatch], chars: int = 16_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _release_automata() -> None:
+    """Gives back what tokenizing left in this worker, which lives on from stage to stage."""
+    module = sys.modules.get("quillmark.llm.bpe_automaton")
+    if module is not None and module.automaton.cache_info().currsize:
+        module.automaton.cache_clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000, tokenizes: bool = False) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches whose ``text`` is decoded a bounded amount at a time."""
+    if not tokenizes:
+        _release_automata()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
@@ -94,8 +104,3 @@ def in_parts(batches: Iterator[pa.RecordBatch], chars: int = 16_000_000) -> Iter
             high = max(low + 1, int(np.searchsorted(ends, base + chars, "right")))
             yield batch.slice(low, high - low), column.slice(low, high - low).to_pylist()
             low = high
-
-
-def size_guard(df: DataFrame, limit: int) -> bool:
-    """Whether the frame has at most ``limit`` rows, found without counting the rest."""
-    return df.limit(limit + 1).count() <= limit

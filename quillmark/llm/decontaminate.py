@@ -265,7 +265,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_char
 
         def run(batches, sent=sent):
             at = sent.value
-            for part, texts in in_parts(batches, 2_000_000):
+            for part, texts in in_parts(batches, 1_000_000):
                 keys = part.column(0)
                 hits = list(find(texts, at))
                 if hits:

@@ -9,8 +9,9 @@ into segments, so an element that only one of the sets has spoils one segment:
   such a segment is indexed with all its one-deletion neighbours.
 
 Which of the two a band uses, and k, follows from a cost model: the number of signatures,
-against the share of segments too small to tell sets apart.  Up to k such segments of a set
-(half of that, where neighbours are indexed) need no signature, because k + 1 others agree.
+against the share of empty and nearly empty segments, which hardly tell sets apart.  The smallest segments of a
+set, up to k (half of that, where neighbours are indexed), need no signature: of k + 1 that
+agree, the two sets together drop no more than k.
 Every pair that shares a signature is compared exactly, unless links found before already
 connect it.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import in_parts, keyed_text, table, written
+from quillmark.llm.common import forget, in_parts, keyed_text, table, written
 from quillmark.llm.components import components
 from quillmark.llm.textscan import _mix, shingles
 
@@ -54,8 +55,8 @@ def plan(size: int, number: int, least: int, most: int, num: int, den: int) -> S
     near = errors // 2 + 1 + more
 
     def cost(signatures: float, mean: float, allowed: int, segments: int) -> float:
-        tiny = math.exp(-mean) * (1 + mean)
-        return signatures * (1 + 50 * max(0.0, tiny - allowed / (2 * segments)))
+        empty = math.exp(-mean)
+        return signatures * (1 + 12 * empty + 50 * max(0.0, empty - allowed / (2 * segments)))
 
     if cost(whole, least / whole, spare, whole) <= cost(least + near, least / near, more // 2, near):
         return Scheme(number, errors, whole, spare, False)
@@ -105,8 +106,9 @@ def signatures(values: np.ndarray, bounds: np.ndarray, docs: np.ndarray, num: in
         np.add.at(total, at, value)
         held = np.bincount(at, minlength=len(total))
         tag = (np.arange(len(total)) % m).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + salt
-        tiny = (held <= 1).reshape(-1, m)
-        skip = (tiny & (tiny.sum(axis=1) <= s.spare)[:, None]).reshape(-1)
+        held = held.reshape(-1, m)
+        # all segments smaller than the (spare + 1)-th smallest: at most ``spare`` of them
+        skip = (held < np.partition(held, s.spare, axis=1)[:, s.spare][:, None]).reshape(-1)
         use = np.flatnonzero(~skip)
         found_s.append(_mix(total[use] ^ tag[use]))
         found_d.append(mine[use // m])
@@ -133,7 +135,7 @@ def set_classes(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, f1, f2) of every row: its set's size and 128-bit fingerprint."""
 
     def run(batches):
-        for part, texts in in_parts(batches, 4_000_000):
+        for part, texts in in_parts(batches, 1_000_000):
             values, bounds = shingles(texts, width)
             f = _fingerprints(values, bounds).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["doc_id", "n_shingles", "f1", "f2"])
@@ -142,52 +144,45 @@ def set_classes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def candidate_groups(docs: DataFrame, width: int, num: int, den: int, chunk: int = 4096) -> DataFrame:
-    """(rep, others): documents that share a signature, the smallest id first; copies of a list once per task.
+    """(head, others): fingerprints of sets that share a signature, the smallest first; equal groups once per task.
 
-    Signatures are shuffled with a document's id and a fingerprint; a task sends on one of the
-    equal sets that it meets, and a group keeps one of those that are left.  The exchange is
-    sorted, so a group is streamed: a task holds ``chunk`` ids of it at a time, however many
-    documents share the signature.
+    Signatures are shuffled with the first half of a set's fingerprint, 16 bytes in all; a task
+    sends on one of the equal sets that it meets, and a group keeps one of those that are left.
+    The exchange is sorted, so a group is streamed: a task holds some ``chunk`` members of it at
+    a time, however many sets share the signature.
     """
 
     def sign(batches):
         met: set[int] = set()
-        for part, texts in in_parts(batches, 2_000_000):
+        for part, texts in in_parts(batches, 1_000_000):
             values, bounds = shingles(texts, width)
-            ids, valid = part.column(0).fill_null(0).to_numpy(zero_copy_only=False), part.column(0).is_valid().to_numpy(zero_copy_only=False)
-            prints = _fingerprints(values, bounds)[:, 0]
-            size = np.diff(bounds)
+            valid = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+            prints = _fingerprints(values, bounds)[:, 0].view(np.int64)
             own = []
-            for d in np.flatnonzero(size).tolist():
+            for d in np.flatnonzero((np.diff(bounds) > 0) & valid).tolist():
                 p = int(prints[d])
-                if p not in met and valid[d]:
+                if p not in met:
                     own.append(d)
                     if len(met) < 1_000_000:
                         met.add(p)
             sig, d = signatures(values, bounds, np.asarray(own, np.int64), num, den)
-            brief = (prints & np.uint64((1 << 44) - 1)) | (np.minimum(size, (1 << 19) - 1).astype(np.uint64) << np.uint64(44))
             for k in range(0, len(sig), 400_000):
-                s, e = sig[k : k + 400_000], d[k : k + 400_000]
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids[e].astype(np.int64)), pa.array(brief[e].view(np.int64))], names=["sig", "doc", "brief"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + 400_000].view(np.int64)), pa.array(prints[d[k : k + 400_000]])], names=["sig", "f"])
 
     def group(batches):
-        carry = np.zeros((0, 3), np.int64)
+        carry = np.zeros((0, 2), np.int64)
         told: set[int] = set()
-        last = None  # (signature, its smallest id) of a group that is still coming
-
-        def emit(rows: np.ndarray, rep: int | None):
-            ids = rows[:, 1]
-            # one of each set; rows come by signature, then id
-            _, first = np.unique(rows[:, 2], return_index=True)
-            ids = np.sort(ids[first])
-            head = int(ids[0]) if rep is None else rep
-            for k in range(0, len(ids), chunk):
-                some = ids[k : k + chunk]
+        last = None  # (signature, its smallest fingerprint) of a group that is still coming
+        out: list[tuple[int, list[int]]] = []
+
+        def emit(prints: np.ndarray, head: int | None):
+            prints = np.unique(prints)
+            head = int(prints[0]) if head is None else head
+            for k in range(0, len(prints), chunk):
+                some = prints[k : k + chunk]
                 some = some[some != head]
-                if not len(some):
-                    continue
                 mark = hash((head, some.tobytes()))
-                if mark in told:
+                if not len(some) or mark in told:
                     continue
                 if len(told) < 1_000_000:
                     told.add(mark)
@@ -201,27 +196,27 @@ def candidate_groups(docs: DataFrame, width: int, num: int, den: int, chunk: int
             edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
             lengths = np.diff(edges)
             stop = len(lengths) if final else len(lengths) - 1
-            for g in np.flatnonzero(lengths[:stop] > 1).tolist() if last is None else range(stop):
-                rows = carry[edges[g] : edges[g + 1]]
-                going_on = last is not None and last[0] == rows[0, 0]
-                if going_on or len(rows) > 1:
-                    emit(rows, last[1] if going_on else None)
-            rest = carry[edges[stop] :] if not final else carry[:0]
+            several = np.flatnonzero(lengths[:stop] > 1).tolist()
+            if last is not None and stop and sig[0] == last[0] and (not several or several[0]):
+                several.insert(0, 0)
+            for g in several:
+                going_on = last is not None and sig[edges[g]] == last[0]
+                emit(carry[edges[g] : edges[g + 1], 1], last[1] if going_on else None)
+            rest = carry[edges[stop] :]
             if len(rest) >= 8 * chunk:  # a very large group: send on what is there, remember its head
-                going_on = last is not None and last[0] == rest[0, 0]
+                going_on = last is not None and rest[0, 0] == last[0]
                 head = last[1] if going_on else int(rest[:, 1].min())
-                emit(rest, head if going_on else None)
+                emit(rest[:, 1], head)
                 last, rest = (int(rest[0, 0]), head), rest[:0]
-            elif stop > 0:
+            elif stop:
                 last = None
             carry = rest
 
         def block():
-            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([m for _, m in out], pa.list_(pa.int64()))], names=["rep", "others"])
+            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([m for _, m in out], pa.list_(pa.int64()))], names=["head", "others"])
 
-        out: list[tuple[int, list[int]]] = []
         for b in batches:
-            rows = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+            rows = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1)
             carry = np.concatenate([carry, rows]) if len(carry) else rows
             flush(False)
             if out:
@@ -231,8 +226,8 @@ def candidate_groups(docs: DataFrame, width: int, num: int, den: int, chunk: int
         if out:
             yield block()
 
-    signed = docs.mapInArrow(sign, "sig long, doc long, brief long")
-    return signed.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(group, "rep long, others array<long>")
+    signed = docs.mapInArrow(sign, "sig long, f long")
+    return signed.repartition("sig").sortWithinPartitions("sig", "f").mapInArrow(group, "head long, others array<long>")
 
 
 def _members(ids: DataFrame) -> bytes:
@@ -264,7 +259,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             keys = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             x = _mix(keys) >> np.uint64(41)
             hit = (held[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            for part, texts in in_parts(iter([b.filter(pa.array(hit))]), 4_000_000):
+            for part, texts in in_parts(iter([b.filter(pa.array(hit))]), 1_000_000):
                 values, bounds = shingles(texts, width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[bounds[k] : bounds[k + 1]].tobytes() for k in range(len(texts))], pa.binary())], names=["doc_id", "elements"])
 
@@ -378,17 +373,17 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
     own = keyed_text(docs, key, text)
     sets = written(set_classes(own, width), "sets")
     full = sets.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = written(full.join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep"), "classes")
-
-    groups = written(candidate_groups(own, width, num, den), "groups")
-    rows = groups.select("rep", F.explode("others").alias("doc"))
-    star = written(rows.select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct(), "star")
-    nodes = written(star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct(), "nodes")
+    classes = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+
+    groups = candidate_groups(own, width, num, den).select("head", F.explode("others").alias("other"))
+    # from fingerprints to documents; where two sets share half a fingerprint, both are candidates
+    a, b = classes.select(F.col("f1").alias("head"), F.col("rep").alias("rep")), classes.select(F.col("f1").alias("other"), F.col("rep").alias("doc"))
+    groups = written(groups.distinct(), "groups")
+    rows = written(groups.join(a, "head").join(b, "other").filter("rep <> doc").select("rep", "doc").distinct(), "rows")
+    star = rows.select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct()
+    nodes = written(rows.select(F.col("rep").alias("doc_id")).union(rows.select("doc")).distinct(), "nodes")
     elements = written(sets_of(own, nodes, width), "elements")
     links = written(verified(star, elements, num, den), "links")
-    same = member.join(nodes, "doc_id", "left_semi").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = written(links.union(same), "links")
     label = components(links)
 
     # what a group's head did not connect: held, in blocks, against the group's members
@@ -399,6 +394,7 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
     listed = written(listed.distinct(), "listed")
     more = written(block_links(listed, elements, num, den), "more")
     label = components(links.union(more)) if more.limit(1).count() else label
+    forget(groups, rows, nodes, elements, links, listed, more)
 
     by_rep = label.select(F.col("node").alias("rep"), F.col("label"))
     out = full.join(classes, ["f1", "f2", "n_shingles"]).join(by_rep, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import table, written
+from quillmark.llm.common import forget, table, written
 
 WINDOW = 3
 
@@ -53,7 +53,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         .select("digest", "first")
     )
     later = windows.join(first, "digest").filter(~F.struct("doc_id", F.col("covers")[0].alias("at")).eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("drop"))
+    out = later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("drop"))
+    out.quillmark_path = windows.quillmark_path  # for forget()
+    return out
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -63,7 +65,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
     has one empty line).  A document whose lines all go has an empty text.  Columns named
     n_lines or n_dropped are replaced.  An empty table gives no rows.
     """
-    drops = written(repeated_lines(docs, key, text, window), "drops")
+    found = repeated_lines(docs, key, text, window)
+    drops = written(found, "drops")
+    forget(found)
     d = drops.select(F.col("doc_id").alias("__key"), F.col("drop").alias("__drop"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*rest).join(d, F.col(key).eqNullSafe(F.col("__key")), "left")

@@ -24,7 +24,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
 
     def run(batches):
         machine = automaton(tokenizer, False)
-        for part, texts in in_parts(batches, 8_000_000):
+        for part, texts in in_parts(batches, 2_000_000, True):
             keys, row = part.column(0).to_pylist(), 0
             for ids, sizes in machine.encode(texts):
                 out: list[tuple] = []

@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 100_000, prior: float =
 
     def count(batches):
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for part, texts in in_parts(batches, 4_000_000):
+        for part, texts in in_parts(batches, 1_000_000):
             owner, value = ngrams(texts)
             inside = np.array([k in good for k in part.column(0).to_pylist()], bool)[owner]
             for at in buckets(value):
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: ImportanceModel) -> DataFrame:
 
     def run(batches):
         ratio = table_.value
-        for part, texts in in_parts(batches, 4_000_000):
+        for part, texts in in_parts(batches, 1_000_000):
             owner, value = ngrams([t or "" for t in texts])
             weight = np.bincount(owner, weights=ratios(ratio, value), minlength=len(texts)) + 0.0
             yield part.append_column("log_weight", pa.array(np.round(weight, 6)))

@@ -118,7 +118,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, key
         compressor = zstandard.ZstdCompressor(level=1)
         machine = automaton(tokenizer, False)
         sent: set[bytes] = set()
-        for part, texts in in_parts(batches, 8_000_000):
+        for part, texts in in_parts(batches, 2_000_000, True):
             keys, row = part.column(0).to_pylist(), 0
             for ids, sizes in machine.encode(texts):
                 ends = np.cumsum(sizes + 1)
