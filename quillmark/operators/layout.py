@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +17,25 @@ def atomic_groups(assets: DataFrame, run: list[str], sticky: Column, question: s
 def paginate(groups: DataFrame, run: list[str], page_height: int, spacing: int) -> DataFrame:
     """(run, grp, page, top): groups in order, a new page where one doesn't fit and the page is not empty.
 
-    groups: run, grp, height.  A group higher than a page stands alone and runs over.  One fold
+    groups: run, grp, height.  A group higher than a page stands alone and runs over.  One loop
     per run, over one document's groups.
     """
-    listed = groups.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct(F.col("grp").cast("int").alias("g"), F.col("height").cast("int").alias("h")))).alias("c"))
-    start = F.expr("named_struct('page', 1, 'y', 0, 'out', cast(array() as array<struct<grp:int,page:int,top:int>>))")
 
-    def step(a, x):
-        top = F.when(a["y"] == 0, 0).otherwise(a["y"] + spacing)
-        fits = (a["y"] == 0) | (top + x["h"] <= page_height)
-        page, at = F.when(fits, a["page"]).otherwise(a["page"] + 1), F.when(fits, top).otherwise(0)
-        return F.struct(page.alias("page"), (at + x["h"]).alias("y"), F.concat(a["out"], F.array(F.struct(x["g"].alias("grp"), page.alias("page"), at.alias("top")))).alias("out"))
-
-    return listed.select(*run, F.inline(F.aggregate("c", start, step)["out"]))
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("grp")
+        page, y, at = 1, 0, []
+        for h in rows["height"].to_pylist():
+            top = y + spacing if y else 0
+            if y and top + h > page_height:
+                page, top = page + 1, 0
+            at.append((page, top))
+            y = top + h
+        pages, tops = zip(*at)
+        return rows.select([*run, "grp"]).append_column("page", pa.array(pages, pa.int32())).append_column("top", pa.array(tops, pa.int32()))
+
+    listed = groups.select(*run, F.col("grp").cast("int").alias("grp"), F.col("height").cast("int").alias("height"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema if f.name != "height")
+    return listed.groupBy(*run).applyInArrow(place, f"{kinds}, page int, top int")
 
 
 def question_pages(placed: DataFrame, run: list[str], question: str = "question_id") -> DataFrame:

@@ -109,22 +109,21 @@ def prune_smallest(parts: DataFrame, run: list[str], target: int, tolerance: int
     """Leaves that stay when the globally smallest unprotected ones go while a run is over target + tolerance.
 
     A leaf goes only if what remains is no further from the target than before and its plan
-    keeps a leaf.  One fold per run, smallest first.
+    keeps a leaf.  As all leaves that may go do so smallest first until the first one that
+    must not, running sums over each run say which.
     """
-    order = F.struct(F.col("marks").cast("int").alias("m"), F.col("question_id").alias("q"), F.col("ord").alias("k"), protected.alias("p"))
-    listed = parts.groupBy(*run).agg(F.array_sort(F.collect_list(order)).alias("c"), F.sum("marks").cast("int").alias("total"))
-    state = F.struct(F.col("total").alias("t"), F.lit(False).alias("stop"), F.expr("cast(array() as array<struct<q:bigint,k:int>>)").alias("gone"))
-
-    def step(a, x):
-        plan = lambda arr, q: F.size(F.filter(arr, lambda y: y["q"] == q))
-        can = (~a["stop"]) & (a["t"] > target + tolerance) & ~x["p"] & (plan(F.col("c"), x["q"]) - plan(a["gone"], x["q"]) > 1)
-        worse = F.abs(a["t"] - x["m"] - target) > F.abs(a["t"] - target)
-        return F.when(can & ~worse, F.struct((a["t"] - x["m"]).alias("t"), a["stop"].alias("stop"), F.concat(a["gone"], F.array(F.struct(x["q"].alias("q"), x["k"].alias("k")))).alias("gone"))).otherwise(
-            F.struct(a["t"].alias("t"), (a["stop"] | (can & worse)).alias("stop"), a["gone"].alias("gone"))
-        )
-
-    gone = listed.select(*run, F.inline(F.aggregate("c", state, step)["gone"])).select(*run, F.col("q").alias("question_id"), F.col("k").alias("ord"))
-    return parts.join(gone, [*run, "question_id", "ord"], "left_anti")
+    plan = [*run, "question_id"]
+    order = [F.col("marks").cast("int"), F.col("question_id"), F.col("ord")]
+    # of a plan without a protected leaf, the last in order stays
+    held = F.max(F.coalesce(protected, F.lit(False))).over(Window.partitionBy(*plan))
+    last = F.row_number().over(Window.partitionBy(*plan).orderBy(*[c.desc() for c in order])) == 1
+    known = parts.select(*plan, "ord", "marks", (~F.coalesce(protected, F.lit(False)) & (held | ~last)).alias("__may"), F.sum("marks").over(Window.partitionBy(*run)).alias("__total"))
+    w = Window.partitionBy(*run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rest = known.filter("__may").withColumn("__rest", F.col("__total") - F.sum("marks").over(w))
+    before = F.col("__rest") + F.col("marks")
+    goes = (before > target + tolerance) & (F.abs(F.col("__rest") - target) <= F.abs(before - target))
+    gone = rest.withColumn("__gone", F.min(goes).over(w)).filter("__gone").select(*plan, "ord")
+    return parts.join(gone, [*plan, "ord"], "left_anti")
 
 
 def missing_topics(wanted: DataFrame, covered: DataFrame) -> DataFrame:

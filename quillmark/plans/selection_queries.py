@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -81,28 +83,33 @@ def label_superset(spark, d):
     return selection.covering_option(opts, pins)
 
 
-def _assets(spark, d):
-    p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id").filter("question_id % 40 = 1")
+def prune_across_plans_whole(spark, d):
+    p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id")
+    return selection.prune_smallest(p, _RUN, 30, 2, F.col("ord") == 1).select(*_RUN, "question_id", "ord", "marks")
+
+
+def _assets(spark, d, whole=False):
+    p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id").filter("true" if whole else "question_id % 40 = 1")
     rows = p.select(*_RUN, "question_id", F.col("ord").alias("part"), (40 + F.col("y") % 300).cast("int").alias("height"))
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*_RUN).orderBy("question_id", "part")))
 
 
-def _groups(spark, d):
-    return layout.atomic_groups(_assets(spark, d), _RUN, (F.col("part") == 1) | (F.col("height") % 5 == 0))
+def _groups(spark, d, whole=False):
+    return layout.atomic_groups(_assets(spark, d, whole), _RUN, (F.col("part") == 1) | (F.col("height") % 5 == 0))
 
 
-def atomic_groups(spark, d):
-    return _groups(spark, d).select(*_RUN, "ord", "grp")
+def atomic_groups(spark, d, whole=False):
+    return _groups(spark, d, whole).select(*_RUN, "ord", "grp")
 
 
-def paginate(spark, d):
-    g = _groups(spark, d).groupBy(*_RUN, "grp").agg(F.sum("height").alias("height"))
+def paginate(spark, d, whole=False):
+    g = _groups(spark, d, whole).groupBy(*_RUN, "grp").agg(F.sum("height").alias("height"))
     return layout.paginate(g, _RUN, 900, 20)
 
 
-def question_pages(spark, d):
-    g = _groups(spark, d)
-    placed = paginate(spark, d).join(g.select(*_RUN, "grp", "question_id").distinct(), [*_RUN, "grp"])
+def question_pages(spark, d, whole=False):
+    g = _groups(spark, d, whole)
+    placed = paginate(spark, d, whole).join(g.select(*_RUN, "grp", "question_id").distinct(), [*_RUN, "grp"])
     return layout.question_pages(placed, _RUN)
 
 
@@ -111,8 +118,8 @@ def question_sequence(spark, d):
     return layout.question_sequence(e, "user_id", "n", ["at"], "event_id")
 
 
-def composite_offsets(spark, d):
-    return layout.composite_offsets(_assets(spark, d), _RUN, "ord", "height").select(*_RUN, "ord", F.col("y_offset").cast("long").alias("y_offset"))
+def composite_offsets(spark, d, whole=False):
+    return layout.composite_offsets(_assets(spark, d, whole), _RUN, "ord", "height").select(*_RUN, "ord", F.col("y_offset").cast("long").alias("y_offset"))
 
 
 def part_bounds(spark, d):
@@ -124,8 +131,8 @@ def part_bounds(spark, d):
     return boxed.withColumn("overlaps_next", F.coalesce(F.col("bottom") > after, F.lit(False)))
 
 
-def page_points(spark, d):
-    return _assets(spark, d).select(*_RUN, "ord", F.round(geo.px_to_pt(F.col("height"), 200), 6).alias("height_pt"), F.round(geo.y_flip(841.89, F.col("ord"), F.col("height"), 200), 6).alias("y_pt"))
+def page_points(spark, d, whole=False):
+    return _assets(spark, d, whole).select(*_RUN, "ord", F.round(geo.px_to_pt(F.col("height"), 200), 6).alias("height_pt"), F.round(geo.y_flip(841.89, F.col("ord"), F.col("height"), 200), 6).alias("y_pt"))
 
 
 QUERIES = {
@@ -135,6 +142,9 @@ QUERIES = {
         prune_to_target, prune_across_plans, missing_topics, label_superset, atomic_groups, paginate, question_pages, question_sequence, composite_offsets, part_bounds, page_points,
     )
 }
+#: The layout queries over all questions; those above keep the part that their SQL names.
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (atomic_groups, paginate, question_pages, composite_offsets, page_points)}
+QUERIES["prune_across_plans_whole"] = prune_across_plans_whole
 
 _P = f"WITH RECURSIVE {QUESTIONS_SQL}, {PARTS_SQL}"
 _SMALL = _P + """, small AS (SELECT question_id, ord, marks, count(*) OVER (PARTITION BY question_id) AS n FROM parts),
@@ -203,3 +213,8 @@ c AS (SELECT question_id, ord, greatest(0, l - 5) AS "left", greatest(0, t - 6)
 SELECT *, coalesce(bottom > lead(top) OVER (PARTITION BY question_id ORDER BY ord), false) AS overlaps_next FROM c""",
     "page_points": _ASSETS + "SELECT exam_code, year, ord, round(height * 72.0::DOUBLE / 200, 6) AS height_pt, round(841.89::DOUBLE - ord * 72.0::DOUBLE / 200 - height * 72.0::DOUBLE / 200, 6) AS y_pt FROM assets",
 }
+SQL |= {f"{k}_whole": SQL[k].replace(" WHERE question_id % 40 = 1", "") for k in ("atomic_groups", "paginate", "question_pages", "composite_offsets", "page_points")}
+SQL["prune_across_plans_whole"] = _P + """, l AS (SELECT exam_code, year, question_id, ord, marks, sum(marks) OVER (PARTITION BY exam_code, year) AS total FROM parts JOIN questions USING (question_id)),
+c AS (SELECT *, total - sum(marks) OVER (PARTITION BY exam_code, year ORDER BY marks, question_id, ord) AS rest FROM l WHERE ord <> 1),
+g AS (SELECT exam_code, year, question_id, ord, bool_and(rest + marks > 32 AND abs(rest - 30) <= abs(rest + marks - 30)) OVER (PARTITION BY exam_code, year ORDER BY marks, question_id, ord) AS gone FROM c)
+SELECT exam_code, year, question_id, ord, marks FROM l WHERE (exam_code, year, question_id, ord) NOT IN (SELECT (exam_code, year, question_id, ord) FROM g WHERE gone)"""

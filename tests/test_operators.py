@@ -159,3 +159,21 @@ def test_stream_keeps_the_first_of_each_id(spark, tmp_path):
     q = ingest.append_catalogue(ingest.first_seen(ingest.catalogue_stream(spark, str(src))), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(r.question_id for r in spark.read.schema(cf.QUESTION).json(str(tmp_path / "out")).collect()) == ["q1", "q2", "q3"]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 9), st.booleans()), min_size=1, max_size=40), st.integers(0, 60), st.integers(0, 4))
+def test_prune_smallest_equals_a_plain_loop(spark, leaves, target, tolerance):
+    rows = [("r", q, k, m, p) for k, (q, m, p) in enumerate(leaves)]
+    df = spark.createDataFrame(rows, "run string, question_id long, ord int, marks int, kept boolean")
+    got = {r.ord for r in selection.prune_smallest(df, ["run"], target, tolerance, F.col("kept")).collect()}
+    total, left, stop = sum(m for _, m, _ in leaves), {k: q for k, (q, _, _) in enumerate(leaves)}, False
+    for m, q, k, p in sorted((m, q, k, p) for k, (q, m, p) in enumerate(leaves)):
+        if stop or total <= target + tolerance or p or list(left.values()).count(q) <= 1:
+            continue
+        if abs(total - m - target) > abs(total - target):
+            stop = True
+            continue
+        total -= m
+        del left[k]
+    assert got == set(left)

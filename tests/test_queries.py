@@ -45,3 +45,14 @@ def test_entry_and_contract(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_queries_leave_no_question_out(spark):
+    from quillmark.sources.corpus import parts
+
+    n = parts(spark, SF).count()
+    for name in ("atomic_groups_whole", "composite_offsets_whole", "page_points_whole", "composition_whole"):
+        assert catalogue.QUERIES[name](spark, SF).count() == n
+    ids = parts(spark, SF).select("question_id").distinct().count()
+    for name in ("question_pages_whole", "prune_across_plans_whole"):
+        assert catalogue.QUERIES[name](spark, SF).select("question_id").distinct().count() == ids
