@@ -54,14 +54,17 @@ def ratios(table_: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.where(low > 0, low, np.where(high < 0, high, 0.0))
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float, least: float, deviations: float) -> np.ndarray:
-    """Per bucket. What an average bucket holds is taken to be rare n-grams that met there, and subtracted."""
+def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float, deviations: float) -> np.ndarray:
+    """Per bucket. What an average bucket holds is taken to be rare n-grams that met there, and subtracted.
+
+    A log ratio shrinks with the evidence for it: to half where the target count is ``deviations``
+    standard deviations from the expected one, to less below; none is set to 0.
+    """
     share = target.sum() / max(1.0, raw.sum())
     expected, rest = raw * share, target.sum() / len(raw)
     out = np.log((np.maximum(target - rest, 0) + prior) / (np.maximum(expected - rest, 0) + prior))
-    out[np.abs(out) < least] = 0.0
-    out[(target - expected) ** 2 < deviations**2 * np.maximum(expected, 1)] = 0.0
-    return out
+    evidence = (target - expected) ** 2 / np.maximum(expected, 1)
+    return out * evidence / (evidence + deviations**2)
 
 
 @dataclass(frozen=True)
@@ -82,13 +85,12 @@ def _bounded_labels(labels: DataFrame, bound: int) -> list[tuple[int, bool]]:
     return [(r.doc_id, r.good) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 100_000, prior: float = 1.0, least: float = 1.0, deviations: float = 4.5) -> ImportanceModel:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 100_000, prior: float = 4.0, deviations: float = 18.0) -> ImportanceModel:
     """Fits both models: the raw one on all documents, the target on at most ``bound`` labelled ones.
 
     Counts are of documents that hold an n-gram.  A bucket's ratio is (target count + prior) /
-    (count expected of a draw from raw + prior).  Log ratios count as 0 where they are smaller
-    than ``least``, as differences of topic or language are, or where the count is
-    within ``deviations`` standard deviations of the expected one.  Three tenths of the
+    (count expected of a draw from raw + prior); its logarithm is shrunk by the evidence (see
+    ``log_ratios``), and the cut decides what is too weak to reject.  Three tenths of the
     labelled sample are kept out of the target to find the cut.  Without labels all log
     ratios are 0 and nothing is cut.
     """
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 100_000, prior: float =
     found = counted.toArrow()  # at most TABLES * 2**BUCKET_BITS rows
     at = found["bucket"].to_numpy()
     raw[at], target[at] = found["raw"].to_numpy(), found["target"].to_numpy()
-    ratio = log_ratios(raw, target, prior, least, deviations) if good else np.zeros(size)
+    ratio = log_ratios(raw, target, prior, deviations) if good else np.zeros(size)
     model = ImportanceModel(ratio.astype(np.float32), -np.inf)
     if not held_out or not good:
         return model

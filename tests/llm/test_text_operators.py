@@ -343,6 +343,14 @@ def test_scores_and_cut(spark):
     assert best_cut(np.array([1.0, 2.0]), np.array([False, True])) == 1.5
 
 
+def test_few_labels_still_weigh(spark):
+    rows, labels = corpus(random.Random(4), 120)
+    model = fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    w = {r.doc_id: r.log_weight for r in score(frame(spark, rows), model).collect()}
+    assert all(w.values())
+    assert np.mean([w[k] > w[j] for k in w if k % 4 for j in w if j % 4 == 0]) > 0.9
+
+
 def test_kth_largest(spark):
     rng = random.Random(4)
     values = [rng.choice([rng.gauss(0, 1), 1e9 * rng.random(), -3.0, 0.0, 1e-300]) for _ in range(700)]
