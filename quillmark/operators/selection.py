@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from quillmark.operators.search import seeded_order
 
-#: Subsets are enumerated up to so many leaves; beyond it, prefixes.
-MOST_LEAVES = 16
+#: Bits of a mask that an exploded array lists at once; higher bits are exploded first.
+LOW_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -47,19 +47,61 @@ def options(parts: DataFrame, mode: str, key: str = "question_id") -> DataFrame:
     """(key, mask, marks, n_parts) of each candidate subset of a question's valid leaves.
 
     ALL: the full set; PRUNE: all prefixes; SKIP: every non-empty subset, by bit mask (bit k is
-    leaf k in order); questions of more than MOST_LEAVES leaves give prefixes only.
+    leaf k in order).  Questions have at most 62 leaves; more fail.
     """
-    leaves = parts.filter("is_valid").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "marks"))).alias("leaf"))
+    leaves = _leaves(parts.filter("is_valid"), key)
     n = F.size("leaf")
-    full = F.array(_bit(n) - 1)
-    prefixes = F.transform(F.sequence(F.lit(1), n), lambda k: _bit(k) - 1)
-    every = F.sequence(F.lit(1).cast("long"), _bit(F.least(n, F.lit(MOST_LEAVES))) - 1)
-    masks = {"ALL": full, "PRUNE": prefixes, "SKIP": F.when(n <= MOST_LEAVES, every).otherwise(prefixes)}[mode]
+    if mode == "SKIP":
+        high = F.sequence(F.lit(0).cast("long"), _bit(F.greatest(n - LOW_BITS, F.lit(0))) - 1)
+        low = F.sequence(F.lit(0).cast("long"), _bit(F.least(n, F.lit(LOW_BITS))) - 1)
+        rows = leaves.select(key, "leaf", F.explode(high).alias("__high")).select(key, "leaf", "__high", F.explode(low).alias("__low"))
+        rows = rows.select(key, "leaf", (F.col("__high") * (1 << LOW_BITS) + F.col("__low")).alias("mask")).filter("mask > 0")
+    else:
+        masks = {"ALL": F.array(_bit(n) - 1), "PRUNE": F.transform(F.sequence(F.lit(1), n), lambda k: _bit(k) - 1)}[mode]
+        rows = leaves.select(key, "leaf", F.explode(masks).alias("mask"))
     chosen = F.filter("leaf", lambda x, i: F.getbit(F.col("mask"), i) == 1)
-    rows = leaves.select(key, "leaf", F.explode(masks).alias("mask"))
     return rows.select(key, "mask", F.aggregate(chosen, F.lit(0), lambda a, x: a + x["marks"]).alias("marks"), F.size(chosen).alias("n_parts"))
 
 
+def _leaves(parts: DataFrame, key: str) -> DataFrame:
+    """(key, leaf): the leaves of each question in order; questions of over 62 leaves, which a mask can't hold, fail."""
+    listed = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "marks"))).alias("leaf"))
+    return listed.withColumn("leaf", F.when(F.size("leaf") <= 62, F.col("leaf")).otherwise(F.raise_error(F.lit("a question has over 62 leaves"))))
+
+
+def best_of_leaves(parts: DataFrame, most: int, key: str = "question_id") -> DataFrame:
+    """``best_within`` of all subsets without listing them: the best of each sum up to ``most``, leaf by leaf.
+
+    Marks must not be negative.  A sum's best has most parts, then the smallest mask.
+    """
+    leaf = F.transform("leaf", lambda x, i: F.struct(x["marks"].cast("int").alias("m"), _bit(i).alias("bit")))
+    start = F.expr(f"transform(sequence(0, {most}), s -> if(s = 0, named_struct('n', 0, 'neg', 0L), null))")
+
+    def step(a, x):
+        def with_leaf(v, s):
+            before = F.get(a, s - x["m"])
+            taken = F.when((s >= x["m"]) & before.isNotNull(), F.struct((before["n"] + 1).alias("n"), (before["neg"] - x["bit"]).alias("neg")))
+            return F.greatest(v, taken)
+
+        return F.transform(a, with_leaf)
+
+    sums = F.transform(F.aggregate(leaf, start, step), lambda v, s: F.struct(s.alias("marks"), v["n"].alias("n"), v["neg"].alias("neg")))
+    best = _leaves(parts.filter("is_valid"), key).select(key, F.array_max(F.filter(sums, lambda x: x["n"] > 0)).alias("x"))
+    return best.filter("x is not null").select(key, (-F.col("x.neg")).alias("mask"), F.col("x.marks").alias("marks"))
+
+
+def covering_leaves(parts: DataFrame, pinned: DataFrame, key: str = "question_id") -> DataFrame:
+    """``covering_option`` of all subsets without listing them, for marks that are over 0.
+
+    The smallest subset that holds the pins is the pins; where a pin is no leaf, the largest is all leaves.
+    """
+    both = _leaves(parts.filter("is_valid"), key).join(pinned.select(key, F.col("mask").alias("pins")), key)
+    full = _bit(F.size("leaf")) - 1
+    mask = F.when((F.col("pins") != 0) & (F.col("pins").bitwiseAND(full) == F.col("pins")), F.col("pins")).otherwise(full)
+    chosen = F.filter("leaf", lambda x, i: F.getbit(F.col("mask"), i) == 1)
+    return both.withColumn("mask", mask).select(key, "mask", F.aggregate(chosen, F.lit(0), lambda a, x: a + x["marks"]).alias("marks"))
+
+
 def ranked_options(opts: DataFrame, key: str = "question_id") -> DataFrame:
     """Options by marks, then parts, both descending; ties by mask."""
     return opts.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("marks"), F.desc("n_parts"), "mask")))

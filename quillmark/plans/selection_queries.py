@@ -36,6 +36,18 @@ def best_option_for_budget(spark, d):
     return selection.best_within(selection.options(_small(spark, d), "SKIP"), 7)
 
 
+def _all(spark, d):
+    return parts(spark, d).withColumn("is_valid", F.lit(True))
+
+
+def option_enumeration_skip_whole(spark, d):
+    return selection.ranked_options(selection.options(_all(spark, d), "SKIP"))
+
+
+def best_option_for_budget_whole(spark, d):
+    return selection.best_of_leaves(_all(spark, d), 7)
+
+
 def topic_coverage_scoring(spark, d):
     full = selection.options(parts(spark, d), "ALL")
     scored = selection.topic_scores(full, 9.0, 42, F.lit(True)).join(questions(spark, d).select("question_id", "topic"), "question_id")
@@ -77,10 +89,16 @@ def missing_topics(spark, d):
     return selection.missing_topics(p.filter("topic is not null"), p.filter("topic is not null and question_id < 4"))
 
 
+def _pins(spark, d):
+    return parts(spark, d).filter("ord in (2, 3, 9)").groupBy("question_id").agg(F.sum(F.expr("shiftleft(1L, ord - 1)")).alias("mask"))
+
+
 def label_superset(spark, d):
-    opts = selection.options(_small(spark, d), "SKIP")
-    pins = parts(spark, d).filter("ord in (2, 3, 9)").groupBy("question_id").agg(F.sum(F.expr("shiftleft(1L, ord - 1)")).alias("mask"))
-    return selection.covering_option(opts, pins)
+    return selection.covering_option(selection.options(_small(spark, d), "SKIP"), _pins(spark, d))
+
+
+def label_superset_whole(spark, d):
+    return selection.covering_leaves(_all(spark, d), _pins(spark, d))
 
 
 def prune_across_plans_whole(spark, d):
@@ -144,7 +162,7 @@ QUERIES = {
 }
 #: The layout queries over all questions; those above keep the part that their SQL names.
 QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (atomic_groups, paginate, question_pages, composite_offsets, page_points)}
-QUERIES["prune_across_plans_whole"] = prune_across_plans_whole
+QUERIES |= {f.__name__: f for f in (prune_across_plans_whole, option_enumeration_skip_whole, best_option_for_budget_whole, label_superset_whole)}
 
 _P = f"WITH RECURSIVE {QUESTIONS_SQL}, {PARTS_SQL}"
 _SMALL = _P + """, small AS (SELECT question_id, ord, marks, count(*) OVER (PARTITION BY question_id) AS n FROM parts),
@@ -218,3 +236,4 @@ SQL["prune_across_plans_whole"] = _P + """, l AS (SELECT exam_code, year, questi
 c AS (SELECT *, total - sum(marks) OVER (PARTITION BY exam_code, year ORDER BY marks, question_id, ord) AS rest FROM l WHERE ord <> 1),
 g AS (SELECT exam_code, year, question_id, ord, bool_and(rest + marks > 32 AND abs(rest - 30) <= abs(rest + marks - 30)) OVER (PARTITION BY exam_code, year ORDER BY marks, question_id, ord) AS gone FROM c)
 SELECT exam_code, year, question_id, ord, marks FROM l WHERE (exam_code, year, question_id, ord) NOT IN (SELECT (exam_code, year, question_id, ord) FROM g WHERE gone)"""
+SQL |= {f"{k}_whole": SQL[k].replace(" WHERE n <= 6", "") for k in ("option_enumeration_skip", "best_option_for_budget", "label_superset")}

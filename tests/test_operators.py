@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 import time
 
 import pytest
@@ -177,3 +178,16 @@ def test_prune_smallest_equals_a_plain_loop(spark, leaves, target, tolerance):
         total -= m
         del left[k]
     assert got == set(left)
+
+
+def test_options_of_many_leaves(spark):
+    rng = random.Random(1)
+    marks = {1: [rng.randint(0, 4) for _ in range(17)], 2: [3], 3: [9, 8], 4: [rng.randint(1, 9) for _ in range(10)]}
+    parts = spark.createDataFrame([(q, k + 1, m, True) for q, row in marks.items() for k, m in enumerate(row)], "question_id long, ord int, marks int, is_valid boolean")
+    opts = selection.options(parts, "SKIP")
+    assert {r[0]: r[1] for r in opts.groupBy("question_id").count().collect()} == {q: 2 ** len(row) - 1 for q, row in marks.items()}
+    pair = lambda df: {(r.question_id, r.mask, r.marks) for r in df.collect()}
+    for most in (0, 7, 30):
+        assert pair(selection.best_of_leaves(parts, most)) == pair(selection.best_within(opts, most))
+    pins = spark.createDataFrame([(2, 1), (3, 4), (4, 512 + 3)], "question_id long, mask long")
+    assert pair(selection.covering_leaves(parts, pins)) == pair(selection.covering_option(opts, pins))
