@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,8 +48,8 @@ def question_pages(placed: DataFrame, run: list[str], question: str = "question_
 def question_sequence(candidates: DataFrame, document: str, number: str, order: list[str], ident: str) -> DataFrame:
     """The candidates that count up 1, 2, 3, ... in reading order, one per number and document.
 
-    The scan looks for the next expected number behind the last one taken; where it does not
-    come any more, for the least greater one that does.  One fold per document.
+    The scan looks for the next expected number behind the last one taken and ends where that
+    does not come any more; ``resolved_sequence`` goes on.  One fold per document.
     """
     listed = candidates.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(number).cast("int").alias("n"), F.col(ident).alias("id")))).alias("c"))
     kind = candidates.schema[ident].dataType.simpleString()
@@ -59,6 +61,66 @@ def question_sequence(candidates: DataFrame, document: str, number: str, order:
     return listed.select(document, F.inline(F.aggregate("c", start, step)["out"]))
 
 
+def resolved_sequence(candidates: DataFrame, document: str, number: str, order: list[str], ident: str, pseudo: str | None = None, real: str | None = None) -> DataFrame:
+    """(document, n, id, pos): the reference's resolve_question_sequence, one loop per document.
+
+    Behind the last one taken, the next expected number is looked for; where it does not come any
+    more, the next candidate whose number is not taken yet goes on.  Of those with the expected
+    number, real positions (column ``real``) and then others than pseudo code (``pseudo``) go first.
+    Null numbers are left out.
+    """
+    code = F.coalesce(F.col(pseudo), F.lit(False)) if pseudo else F.lit(False)
+    placed = F.coalesce(F.col(real), F.lit(True)) if real else F.lit(True)
+    listed = candidates.filter(F.col(number).isNotNull()).select(F.col(document).alias("__d"), F.struct(*order, F.col(number).cast("int").alias("n"), F.col(ident).alias("id")).alias("__o"), code.alias("__p"), placed.alias("__r"))
+    ordered = listed.groupBy("__d").agg(F.array_sort(F.collect_list(F.struct("__o", "__p", "__r"))).alias("c"))
+    rows = ordered.select("__d", F.transform("c", lambda x: x["__o"]["n"]).alias("n"), F.transform("c", lambda x: x["__o"]["id"]).alias("id"), F.transform("c", lambda x: x["__p"]).alias("p"), F.transform("c", lambda x: x["__r"]).alias("r"))
+
+    def run(batches):
+        for b in batches:
+            docs, ns, out, at = [], [], [], []
+            for k, (n, i, p, r) in enumerate(zip(b["n"].to_pylist(), b["id"].to_pylist(), b["p"].to_pylist(), b["r"].to_pylist())):
+                for pos, j in enumerate(resolved(n, p, r)):
+                    docs.append(k)
+                    ns.append(n[j])
+                    out.append(i[j])
+                    at.append(pos + 1)
+            yield pa.RecordBatch.from_arrays([b["__d"].take(pa.array(docs, pa.int64())), pa.array(ns, pa.int32()), pa.array(out, b["id"].type.value_type), pa.array(at, pa.int32())], names=["document", "n", "id", "pos"])
+
+    kind = candidates.schema
+    found = rows.mapInArrow(run, f"document {kind[document].dataType.simpleString()}, n int, id {kind[ident].dataType.simpleString()}, pos int")
+    return found.withColumnRenamed("document", document)
+
+
+def resolved(number: list[int], pseudo: list[bool], real: list[bool]) -> list[int]:
+    """Places of the candidates taken, of candidates in reading order."""
+    places: dict[int, list[int]] = {}
+    for k, n in enumerate(number):
+        places.setdefault(n, []).append(k)
+    taken, seen, behind, wanted = [], set(), 0, 1
+    while True:
+        best = None
+        same = places.get(wanted, [])
+        for k in same[bisect_left(same, behind) :]:
+            if best is None:
+                best = k
+            elif not real[best] and real[k]:
+                best = k
+            elif pseudo[best] and not pseudo[k]:
+                best = k
+                break
+            else:
+                continue
+            if real[best] and not pseudo[best]:
+                break
+        if best is None:
+            best = next((k for k in range(behind, len(number)) if number[k] not in seen), None)
+            if best is None:
+                return taken
+        taken.append(best)
+        seen.add(number[best])
+        behind, wanted = best + 1, number[best] + 1
+
+
 def composite_offsets(segments: DataFrame, run: list[str], order: str, height: str) -> DataFrame:
     """Where each stitched segment begins: the sum of the heights before it."""
     w = Window.partitionBy(*run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

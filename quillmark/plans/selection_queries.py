@@ -136,6 +136,11 @@ def question_sequence(spark, d):
     return layout.question_sequence(e, "user_id", "n", ["at"], "event_id")
 
 
+def question_sequence_whole(spark, d):
+    e = events(spark, d).withColumn("n", (F.col("event_id") % 5 + 1).cast("int")).filter("event_type in ('view', 'click')")
+    return layout.resolved_sequence(e, "user_id", "n", ["at"], "event_id").select("user_id", "n", "id")
+
+
 def composite_offsets(spark, d, whole=False):
     return layout.composite_offsets(_assets(spark, d, whole), _RUN, "ord", "height").select(*_RUN, "ord", F.col("y_offset").cast("long").alias("y_offset"))
 
@@ -162,7 +167,7 @@ QUERIES = {
 }
 #: The layout queries over all questions; those above keep the part that their SQL names.
 QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (atomic_groups, paginate, question_pages, composite_offsets, page_points)}
-QUERIES |= {f.__name__: f for f in (prune_across_plans_whole, option_enumeration_skip_whole, best_option_for_budget_whole, label_superset_whole)}
+QUERIES |= {f.__name__: f for f in (prune_across_plans_whole, option_enumeration_skip_whole, best_option_for_budget_whole, label_superset_whole, question_sequence_whole)}
 
 _P = f"WITH RECURSIVE {QUESTIONS_SQL}, {PARTS_SQL}"
 _SMALL = _P + """, small AS (SELECT question_id, ord, marks, count(*) OVER (PARTITION BY question_id) AS n FROM parts),
@@ -237,3 +242,8 @@ c AS (SELECT *, total - sum(marks) OVER (PARTITION BY exam_code, year ORDER BY m
 g AS (SELECT exam_code, year, question_id, ord, bool_and(rest + marks > 32 AND abs(rest - 30) <= abs(rest + marks - 30)) OVER (PARTITION BY exam_code, year ORDER BY marks, question_id, ord) AS gone FROM c)
 SELECT exam_code, year, question_id, ord, marks FROM l WHERE (exam_code, year, question_id, ord) NOT IN (SELECT (exam_code, year, question_id, ord) FROM g WHERE gone)"""
 SQL |= {f"{k}_whole": SQL[k].replace(" WHERE n <= 6", "") for k in ("option_enumeration_skip", "best_option_for_budget", "label_superset")}
+SQL["question_sequence_whole"] = f"""WITH RECURSIVE {EVENTS_SQL}, c AS (SELECT user_id, event_id, CAST(event_id % 5 + 1 AS INTEGER) AS n, row_number() OVER (PARTITION BY user_id ORDER BY at_, event_id % 5, event_id) AS k FROM ev WHERE event_type IN ('view', 'click')),
+s AS (SELECT user_id, 0 AS n, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS seen FROM (SELECT DISTINCT user_id FROM c)
+  UNION ALL SELECT user_id, n, id, k, seen FROM (SELECT c.user_id, c.n, c.event_id AS id, c.k, list_append(s.seen, c.n) AS seen, row_number() OVER (PARTITION BY c.user_id ORDER BY CASE WHEN c.n = s.n + 1 THEN 0 ELSE 1 END, c.k) AS r
+    FROM s JOIN c ON c.user_id = s.user_id AND c.k > s.k AND (c.n = s.n + 1 OR NOT list_contains(s.seen, c.n))) WHERE r = 1)
+SELECT user_id, n, id FROM s WHERE n > 0"""

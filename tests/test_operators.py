@@ -191,3 +191,44 @@ def test_options_of_many_leaves(spark):
         assert pair(selection.best_of_leaves(parts, most)) == pair(selection.best_within(opts, most))
     pins = spark.createDataFrame([(2, 1), (3, 4), (4, 512 + 3)], "question_id long, mask long")
     assert pair(selection.covering_leaves(parts, pins)) == pair(selection.covering_option(opts, pins))
+
+
+def sequence_by_the_rule(c):
+    """The reference's rule as a plain scan over (number, pseudo, real)."""
+    out, used, done, want = [], set(), set(), 1
+    while True:
+        after = [k for k in range(out[-1] + 1 if out else 0, len(c)) if k not in used]
+        best = None
+        for k in (k for k in after if c[k][0] == want):
+            if best is None:
+                best = k
+                if c[k][2] and not c[k][1]:
+                    break
+            elif not c[best][2] and c[k][2]:
+                best = k
+                if not c[k][1]:
+                    break
+            elif c[best][1] and not c[k][1]:
+                best = k
+                break
+        if best is None:
+            if not after:
+                return out
+            if c[after[0]][0] in done:
+                used.add(after[0])
+                continue
+            best = after[0]
+        out.append(best)
+        done.add(c[best][0])
+        want = c[best][0] + 1
+
+
+def test_sequence_goes_on_behind_a_missing_number(spark):
+    rng = random.Random(7)
+    docs = {0: [(1, False, True), (3, False, True), (4, False, True)]} | {d: [(rng.randint(1, 8), rng.random() < 0.4, rng.random() < 0.7) for _ in range(rng.randint(1, 25))] for d in range(1, 200)}
+    rows = [(d, k, *x) for d, c in docs.items() for k, x in enumerate(c)]
+    df = spark.createDataFrame(rows, "doc long, k int, num int, code boolean, placed boolean")
+    got = {d: [] for d in docs}
+    for r in sorted(layout.resolved_sequence(df, "doc", "num", ["k"], "k", "code", "placed").collect(), key=lambda r: r.pos):
+        got[r.doc].append(r.id)
+    assert got == {d: sequence_by_the_rule(c) for d, c in docs.items()} and got[0] == [0, 1, 2]
