@@ -174,7 +174,7 @@ def find_secrets(text: str, model: GuessCost, min_log10: float) -> tuple[list[tu
             if b - a < 6 or any(s <= a and b <= e for s, e, _ in base):
                 continue
             value = m[1].rstrip(".)]}!?")
-            if len(value) >= 6 and any(c.isdigit() for c in value) + any(c.isupper() for c in value[1:]) + any(not c.isalnum() for c in value) and model.segment(value)[0] >= min_log10:
+            if len(value) >= 6 and model.segment(value)[0] >= min_log10:
                 more.append((a, a + len(value), "guess"))
     order = lambda x: (x[0], KINDS.index(x[2]), x[1])
     return sorted(base, key=order), sorted(more, key=order)

@@ -76,6 +76,15 @@ def test_scan(spark):
     assert scan_secrets(frame(spark, [])).count() == 0
 
 
+def test_costly_values_of_small_letters_alone():
+    from quillmark.llm.secret_scan import GuessCost, find_secrets
+
+    for text, value in (("pwd: qzxvkjwhrtplmd", "qzxvkjwhrtplmd"), ("Authorization: Bearer xkqjvzwpghtr", "xkqjvzwpghtr"), ("passphrase is wqkzjxvbnq", "wqkzjxvbnq")):
+        a = text.index(value)
+        assert find_secrets(text, GuessCost(), 8.0)[1] == [(a, a + len(value), "guess")]
+    assert find_secrets("pwd: sunshinemonkey", GuessCost(), 8.0)[1] == []
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
     model = GuessCost()
     for value in ["password1", "qwerty2020", "abcabcabc", "Zx9$k", "dragon1987!", "aaaa", "p@ssw0rd"]:
