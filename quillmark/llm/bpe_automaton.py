@@ -12,15 +12,24 @@ pre-token start on, a chunk's state map is constant, so a chunk is (lead, consta
 the prefix scan composes these maps: each lead is run from the exit state before it, and
 chunks without any start hand the composition on to the next round.
 
-Texts with characters outside ``_SAFE`` or with special strings go to the tokenizers
-library itself, so the ids and counts are the library's for every text.
+Long texts are cut between two words, where both patterns part pre-tokens whatever stands
+around, so memory is bounded by a batch and not by a text.  Pieces with characters outside
+``_SAFE`` or with special strings go to the tokenizers library itself, so the ids and
+counts are the library's for every text.
+
+Memory: a state is one ``bytes`` object, the table of transitions is reserved once for
+``max_states`` rows and touched as states are made, and the library is loaded only when a
+piece needs it.  A batch that would pass ``max_states`` starts the table anew and is run in
+halves.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
-from functools import lru_cache
+from array import array
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -59,26 +68,47 @@ def _byte_letters() -> dict[str, int]:
 
 #: Children of the nodes of a vocabulary's trie that have none; never written to.
 _LEAF: dict[int, int] = {}
+#: Between two words: what stands before and after never shares a pre-token.
+_BETWEEN = re.compile(r"(?<=[a-z])(?= [a-z])")
+
+
+def cut_text(text: str, most: int) -> list[str]:
+    """Pieces of about ``most`` characters, cut between words; a stretch without such a place stays whole."""
+    if len(text) <= most:
+        return [text]
+    out, low = [], 0
+    while len(text) - low > most and (m := _BETWEEN.search(text, low + most)):
+        out.append(text[low : m.start()])
+        low = m.start()
+    return [*out, text[low:]]
+
+
+class _Full(Exception):
+    """There is no room for another state."""
+
+
+def _coded(paths: list[tuple[int, int, int]]) -> bytes:
+    """A state, (node, token before, offset) of each open path, as bytes."""
+    return array("q", [(before + 1) << 40 | node << 16 | offset + 32768 for node, before, offset in paths]).tobytes()
+
+
+def _decoded(state: bytes) -> list[tuple[int, int, int]]:
+    return [(x >> 16 & 0xFFFFFF, (x >> 40) - 1, (x & 0xFFFF) - 32768) for x in array("q", state)]
 
 
 class BpeAutomaton:
     """One vocabulary's transducer; grows as texts are run, and starts anew beyond ``max_states``."""
 
-    #: Step entries hold the next state and, in five bits, the emission plus this.
+    #: Step entries hold the next state and, in five bits, the emission plus this; 0: not made yet.
     _NONE = 16
     #: Vocabulary paths with so few tokens below tell predecessors apart by what they allow.
     FEW = 12
-    MEMO = 200_000
-
-    def __init__(self, path: str, counting: bool = True, max_states: int = 120_000, columns: int = 160):
-        from tokenizers import Tokenizer
+    MEMO = 60_000
 
+    def __init__(self, path: str, counting: bool = True, max_states: int = 120_000, columns: int = 128):
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
         self.path, self.counting, self.max_states, self.columns = path, counting, max_states, columns
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.suffix = model.get("end_of_word_suffix") or ""
         self.lower = bool(self.suffix)
         self.special = tuple(t["content"] for t in spec["added_tokens"])
@@ -121,17 +151,30 @@ class BpeAutomaton:
         self.below: dict[int, list[int] | None] = {}
         self._restart()
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def __reduce__(self):
         return automaton, (self.path, self.counting)
 
     def _restart(self) -> None:
-        self.column = np.zeros(512, np.int32)
-        self.symbol_of = [-1]
-        self.states: list[tuple] = [((0, -1, 0),)]
-        self.index: dict[tuple, int] = {self.states[0]: 0}
-        self.step = np.full((1024, self.columns), -1, np.int32)
-        self.last = np.full(1024, -1, np.int32)
-        self.step[:, 0] = self._NONE
+        """Forgets all states; the columns stay."""
+        if not hasattr(self, "symbol_of"):
+            self.column = np.zeros(512, np.int32)
+            self.symbol_of = [-1]
+        first = _coded([(0, -1, 0)])
+        self.states: list[bytes] = [first]
+        self.index: dict[bytes, int] = {first: 0}
+        # zeros are reserved, and become memory when they are written to
+        self.step = np.zeros((self.max_states, self.columns), np.int32)
+        self.last = np.full(self.max_states, -1, np.int32)
+        self.step[0, 0] = self._NONE
 
     def _stable(self, left: int, right: int) -> bool:
         """Whether the merge rules leave ``left`` and ``right`` side by side as they are.
@@ -191,7 +234,7 @@ class BpeAutomaton:
     def _make(self, state: int, column: int) -> None:
         symbol, children, token_at = self.symbol_of[column], self.children, self.token_at
         token, gain, open_paths = -1, 0, []
-        for node, before, offset in self.states[state]:
+        for node, before, offset in _decoded(self.states[state]):
             node = children[node].get(symbol)
             if node is None:
                 continue
@@ -202,25 +245,27 @@ class BpeAutomaton:
                 open_paths.append((node, view, offset))
         if symbol >= 256:
             open_paths = []
-        new = (*((n, b, (o - gain) * self.counting) for n, b, o in open_paths), (0, token, 0))
+        new = _coded([*((n, b, (o - gain) * self.counting) for n, b, o in open_paths), (0, token, 0)])
         k = self.index.get(new)
         if k is None:
-            k = self.index[new] = len(self.states)
-            self.states.append(new)
+            k = len(self.states)
             if k >= len(self.step):
-                held = len(self.step)
-                more = min(held, 16384)
-                self.step = np.concatenate([self.step, np.full((more, self.columns), -1, np.int32)])
-                self.step[held:, 0] = self._NONE
-                self.last = np.concatenate([self.last, np.full(more, -1, np.int32)])
+                raise _Full
+            self.index[new] = k
+            self.states.append(new)
             self.last[k] = token
+            self.step[k, 0] = self._NONE
         self.step[state, column] = k << 5 | gain + self._NONE
+        if len(self.pairs) > self.MEMO:
+            self.pairs.clear()
+        if len(self.views) > self.MEMO:
+            self.views.clear()
 
     def _advance(self, state: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = state * self.columns + column
         nxt = self.step.reshape(-1).take(at)
-        if nxt.min(initial=0) < 0:
-            for key in np.unique(at[nxt < 0]).tolist():
+        if len(nxt) and not nxt.all():
+            for key in np.unique(at[nxt == 0]).tolist():
                 self._make(*divmod(key, self.columns))
             nxt = self.step.reshape(-1).take(at)
         return nxt >> 5, nxt
@@ -280,7 +325,6 @@ class BpeAutomaton:
             if len(self.symbol_of) + len(new) > self.columns:
                 self.columns = len(self.symbol_of) + len(new) + 64
                 self._restart()
-                new = np.unique(symbol[real]).tolist()
             for s in new:
                 self.column[s] = len(self.symbol_of)
                 self.symbol_of.append(s)
@@ -290,17 +334,28 @@ class BpeAutomaton:
     # -- running ------------------------------------------------------------------
 
     def _run(self, column: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
-        """Per byte: the tokens that its transition emits; without counting, the state after it."""
-        if len(self.pairs) > self.MEMO:
-            self.pairs.clear()
-        if len(self.views) > self.MEMO:
-            self.views.clear()
-        if len(self.states) > self.max_states:
-            kept = self.symbol_of
+        """Per byte: the tokens that its transition emits; without counting, the token that ends there."""
+        try:
+            return self._lanes(column, start, width)
+        except _Full:
             self._restart()
-            for s in kept[1:]:
-                self.column[s] = len(self.symbol_of)
-                self.symbol_of.append(s)
+        # from a pre-token's start on nothing depends on what stands before it
+        inner = np.flatnonzero(start[1:]) + 1
+        if len(column) <= width or not len(inner):
+            return self._alone(column, start, width)
+        cut = int(inner[np.argmin(np.abs(inner - len(column) // 2))])
+        return np.concatenate([self._run(column[:cut], start[:cut], width), self._run(column[cut:], start[cut:], width)])
+
+    def _alone(self, column: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+        """As ``_run``, with as many states as it takes: a pre-token can't be halved."""
+        held, self.max_states = self.max_states, max(self.max_states, len(column) + 2)
+        self._restart()
+        try:
+            return self._lanes(column, start, width)
+        finally:
+            self.max_states = held
+
+    def _lanes(self, column: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
         n = len(column)
         chunks = -(-n // width)
         pad = chunks * width - n
@@ -342,36 +397,34 @@ class BpeAutomaton:
             final[lane[through]] = state[through]
             ready[now] = True
             todo = np.setdiff1d(todo, now, assume_unique=True)
-        return (emitted if self.counting else states).T.reshape(-1)[:n]
+        out = (emitted if self.counting else states).T.reshape(-1)[:n]
+        return out if self.counting else self.last.take(out)
 
     def _fits(self, text: str) -> bool:
         if any(s in text for s in self.special):
             return False
         if text.isascii() and text.isprintable():
             return True
-        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        try:
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        except UnicodeEncodeError:
+            return False
         return bool(len(code) == 0 or (code.max() < _TABLE and code.min() > 0 and _SAFE[code].max() < UNSAFE))
 
     def _batches(self, texts: list[str], chars: int):
-        own: list[int] = []
+        """About ``chars`` characters at a time: (pieces, number of the text of each, whether it goes to the library), and whether the last text ends there."""
+        own: list[tuple[str, int, bool]] = []
         held = 0
         for k, t in enumerate(texts):
-            own.append(k)
-            held += len(t) + 1
-            if held >= chars:
-                yield own
-                own, held = [], 0
+            pieces = cut_text(t, chars)
+            for j, piece in enumerate(pieces):
+                own.append((piece, k, not self._fits(piece)))
+                held += len(piece) + 1
+                if held >= chars:
+                    yield own, j + 1 == len(pieces)
+                    own, held = [], 0
         if own:
-            yield own
-
-    def _plan(self, texts: list[str]):
-        fits = []
-        for t in texts:
-            try:
-                fits.append(self._fits(t))
-            except UnicodeEncodeError:
-                fits.append(False)
-        return fits
+            yield own, True
 
     def _bytes_of(self, texts: list[str]) -> tuple[str, np.ndarray]:
         texts = [t.lower() for t in texts] if self.lower else texts
@@ -379,55 +432,72 @@ class BpeAutomaton:
         sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
         return joined, np.cumsum(np.asarray(sizes, np.int64) + 1)
 
-    def counts(self, texts: list[str], width: int = 64, chars: int = 1_000_000) -> np.ndarray:
+    def counts(self, texts: list[str], width: int = 64, chars: int = 400_000) -> np.ndarray:
         """Number of tokens of each text: the sum of what its transitions emit."""
         out = np.zeros(len(texts), np.int64)
-        fits = self._plan(texts)
-        for own in self._batches(texts, chars):
-            good = [k for k in own if fits[k]]
+        for own, _ in self._batches(texts, chars):
+            good = [k for k, (_, _, odd) in enumerate(own) if not odd]
             if good:
-                joined, ends = self._bytes_of([texts[k] for k in good])
+                joined, ends = self._bytes_of([own[k][0] for k in good])
                 column, start, _ = self._symbols(joined)
-                emitted = self._run(column, start, width)
-                total = np.concatenate([[0], np.cumsum(emitted, dtype=np.int64)])
-                out[good] = np.diff(total[np.concatenate([[0], ends])])
-            for k in own:
-                if not fits[k]:
-                    out[k] = len(self.library.encode(texts[k], add_special_tokens=False).ids)
+                total = np.concatenate([[0], np.cumsum(self._run(column, start, width), dtype=np.int64)])
+                np.add.at(out, [own[k][1] for k in good], np.diff(total[np.concatenate([[0], ends])]))
+            for piece, k, odd in own:
+                if odd:
+                    out[k] += len(self.library.encode(piece, add_special_tokens=False).ids)
         return out
 
-    def encode(self, texts: list[str], width: int = 64, chars: int = 1_000_000):
+    def _ids(self, own: list[tuple[str, int, bool]], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each)."""
+        good = [k for k, (_, _, odd) in enumerate(own) if not odd]
+        ids, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if good:
+            joined, ends = self._bytes_of([own[k][0] for k in good])
+            column, start, end = self._symbols(joined)
+            token_of = self._run(column, start, width)
+            mark = np.full(len(column), -1, np.int32)
+            at, low = np.flatnonzero(end), np.flatnonzero(start)
+            while len(at):
+                token = token_of.take(at)
+                mark[at] = token
+                at = at - self.length.take(token)
+                more = at >= low
+                at, low = at[more], low[more]
+            held = mark >= 0
+            total = np.concatenate([[0], np.cumsum(held)])
+            sizes = np.diff(total[np.concatenate([[0], ends])])
+            ids = mark[held]
+        if len(good) < len(own):
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            parts = {k: ids[bounds[j] : bounds[j + 1]] for j, k in enumerate(good)}
+            for k, (piece, _, odd) in enumerate(own):
+                if odd:
+                    parts[k] = np.asarray(self.library.encode(piece, add_special_tokens=False).ids, np.int32)
+            ids = np.concatenate([parts[k] for k in range(len(own))])
+            sizes = np.asarray([len(parts[k]) for k in range(len(own))], np.int64)
+        return ids, sizes
+
+    def encode(self, texts: list[str], width: int = 64, chars: int = 400_000):
         """Yields, batch by batch in order, (ids of all its texts, number of ids of each)."""
-        fits = self._plan(texts)
-        for own in self._batches(texts, chars):
-            good = [k for k in own if fits[k]]
-            parts: dict[int, np.ndarray] = {}
-            ids, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
-            if good:
-                joined, ends = self._bytes_of([texts[k] for k in good])
-                column, start, end = self._symbols(joined)
-                states = self._run(column, start, width)
-                mark = np.full(len(column), -1, np.int32)
-                at, low = np.flatnonzero(end), np.flatnonzero(start)
-                while len(at):
-                    token = self.last.take(states.take(at))
-                    mark[at] = token
-                    at = at - self.length.take(token)
-                    more = at >= low
-                    at, low = at[more], low[more]
-                held = mark >= 0
-                total = np.concatenate([[0], np.cumsum(held)])
-                sizes = np.diff(total[np.concatenate([[0], ends])])
-                ids = mark[held]
-            if len(good) < len(own):
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
-                parts = {k: ids[bounds[j] : bounds[j + 1]] for j, k in enumerate(good)}
-                for k in own:
-                    if k not in parts:
-                        parts[k] = np.asarray(self.library.encode(texts[k], add_special_tokens=False).ids, np.int32)
-                ids = np.concatenate([parts[k] for k in own])
-                sizes = np.asarray([len(parts[k]) for k in own], np.int64)
-            yield ids, sizes
+        waiting: list[np.ndarray] = []  # ids of a text whose other pieces are still to come
+        done = 0
+        for own, complete in self._batches(texts, chars):
+            ids, sizes = self._ids(own, width)
+            owner = np.array([k for _, k, _ in own]) - done
+            per = np.bincount(owner, weights=sizes).astype(np.int64)
+            per[0] += sum(map(len, waiting))
+            waiting.append(ids)
+            done = own[-1][1] + 1
+            if not complete:
+                # all but the last text
+                done -= 1
+                ids, tail = np.concatenate(waiting), int(per[-1])
+                waiting, per = [ids[len(ids) - tail :]], per[:-1]
+                ids = ids[: len(ids) - tail]
+            else:
+                ids, waiting = np.concatenate(waiting), []
+            if len(per):
+                yield ids, per
 
 
 @lru_cache(maxsize=2)

@@ -7,6 +7,7 @@ import ctypes
 import sys
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +60,30 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """While it holds, the JVM and its Python workers exchange Arrow batches of about ``size`` at most.
+
+    By default they are eight times that, held in both and copied in each.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """The rows as a table in the shared folder: computed once, safe when executors are lost."""
     path = new_path(df.sparkSession, label)
     w = df.write.option("compression", "zstd")
-    (w.partitionBy(*by) if by else w).parquet(path)
+    with small_batches(df.sparkSession):
+        (w.partitionBy(*by) if by else w).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.quillmark_path = path
     return out
@@ -81,6 +101,14 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def free_name(base: str, *taken: list[str]) -> str:
+    """``base``, lengthened until no column of the given lists has that name in any case."""
+    used = {c.lower() for names in taken for c in names}
+    while base.lower() in used:
+        base += "_"
+    return base
+
+
 def _release_automata() -> None:
     """Gives back what tokenizing left in this worker, which lives on from stage to stage."""
     module = sys.modules.get("quillmark.llm.bpe_automaton")
