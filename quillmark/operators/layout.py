@@ -45,24 +45,8 @@ def question_pages(placed: DataFrame, run: list[str], question: str = "question_
     return placed.groupBy(*run, question).agg(F.array_join(F.transform(F.sort_array(F.collect_set("page")), lambda p: p.cast("string")), ",").alias("pages"))
 
 
-def question_sequence(candidates: DataFrame, document: str, number: str, order: list[str], ident: str) -> DataFrame:
-    """The candidates that count up 1, 2, 3, ... in reading order, one per number and document.
-
-    The scan looks for the next expected number behind the last one taken and ends where that
-    does not come any more; ``resolved_sequence`` goes on.  One fold per document.
-    """
-    listed = candidates.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(number).cast("int").alias("n"), F.col(ident).alias("id")))).alias("c"))
-    kind = candidates.schema[ident].dataType.simpleString()
-    start = F.expr(f"named_struct('last', 0, 'out', cast(array() as array<struct<n:int,id:{kind}>>))")
-
-    def step(a, x):
-        return F.when(x["n"] == a["last"] + 1, F.struct(x["n"].alias("last"), F.concat(a["out"], F.array(F.struct(x["n"].alias("n"), x["id"].alias("id")))).alias("out"))).otherwise(F.struct(a["last"].alias("last"), a["out"].alias("out")))
-
-    return listed.select(document, F.inline(F.aggregate("c", start, step)["out"]))
-
-
 def resolved_sequence(candidates: DataFrame, document: str, number: str, order: list[str], ident: str, pseudo: str | None = None, real: str | None = None) -> DataFrame:
-    """(document, n, id, pos): the reference's resolve_question_sequence, one loop per document.
+    """(document, n, id, pos): question numbers in reading order, one loop per document.
 
     Behind the last one taken, the next expected number is looked for; where it does not come any
     more, the next candidate whose number is not taken yet goes on.  Of those with the expected

@@ -68,18 +68,12 @@ def plugin_discovery(spark, d):
     return dt.discovered_plugins(m).select("code", "path", "is_default")
 
 
-def composition_whole(spark, d):
-    """``composition`` over all questions."""
-    p = parts(spark, d).join(questions(spark, d).select("question_id", "exam_code", "year"), "question_id")
-    return dt.composed(p, ["exam_code", "year"]).select("exam_code", "year", "question_id", "ord", "seq", "has_header")
-
-
 def composition(spark, d):
-    p = parts(spark, d).join(questions(spark, d).select("question_id", "exam_code", "year"), "question_id").filter("question_id % 30 = 2")
+    p = parts(spark, d).join(questions(spark, d).select("question_id", "exam_code", "year"), "question_id")
     return dt.composed(p, ["exam_code", "year"]).select("exam_code", "year", "question_id", "ord", "seq", "has_header")
 
 
-QUERIES = {f.__name__: f for f in (section_labels, mark_boxes, right_edges, label_ancestors, leaf_labels, pinned_descendants, tree_marks, overlapping_siblings, page_offsets, plugin_discovery, composition, composition_whole)}
+QUERIES = {f.__name__: f for f in (section_labels, mark_boxes, right_edges, label_ancestors, leaf_labels, pinned_descendants, tree_marks, overlapping_siblings, page_offsets, plugin_discovery, composition)}
 
 _SPANS = _DEEP + ", spans AS (SELECT question_id, ord, marks, CAST(trunc(price)::BIGINT % 500 AS INTEGER) AS x0, CASE WHEN ord % 3 <> 1 THEN roman ELSE substr('abcdefghijklmnopqrstuvwxyz', ord, 1) END AS l FROM deep)\n"
 _NODES = _DEEP + ", nodes AS (SELECT question_id, label FROM deep UNION SELECT question_id, deep FROM deep)\n"
@@ -100,6 +94,5 @@ SELECT question_id, page, CAST(coalesce(trunc(mean - lag(mean) OVER (PARTITION B
 f AS (SELECT * FROM m WHERE regexp_full_match(code, '[A-Za-z0-9]{1,10}') AND trim(name) <> '' QUALIFY row_number() OVER (PARTITION BY code ORDER BY path) = 1)
 SELECT code, path, code = coalesce((SELECT arg_max(code, path) FROM f WHERE flagged), (SELECT min(code) FROM f)) AS is_default FROM f""",
     "composition": f"""WITH {QUESTIONS_SQL}, {PARTS_SQL} SELECT exam_code, year, question_id, ord, CAST(dense_rank() OVER (PARTITION BY exam_code, year ORDER BY question_id) AS INTEGER) AS seq,
- row_number() OVER (PARTITION BY exam_code, year, question_id ORDER BY ord) = 1 AS has_header FROM parts JOIN (SELECT question_id, exam_code, year FROM questions) USING (question_id) WHERE question_id % 30 = 2""",
+ row_number() OVER (PARTITION BY exam_code, year, question_id ORDER BY ord) = 1 AS has_header FROM parts JOIN (SELECT question_id, exam_code, year FROM questions) USING (question_id)""",
 }
-SQL["composition_whole"] = SQL["composition"].replace(" WHERE question_id % 30 = 2", "")

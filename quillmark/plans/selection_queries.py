@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,10 +12,8 @@ from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, event
 _RUN = ["exam_code", "year"]
 
 
-def _small(spark, d):
-    """Questions of at most six leaves: what subsets are listed for."""
-    p = parts(spark, d).withColumn("is_valid", F.lit(True))
-    return p.withColumn("n", F.count("*").over(Window.partitionBy("question_id"))).filter("n <= 6").drop("n")
+def _all(spark, d):
+    return parts(spark, d).withColumn("is_valid", F.lit(True))
 
 
 def option_enumeration_all(spark, d):
@@ -29,22 +25,10 @@ def option_enumeration_prune(spark, d):
 
 
 def option_enumeration_skip(spark, d):
-    return selection.ranked_options(selection.options(_small(spark, d), "SKIP"))
-
-
-def best_option_for_budget(spark, d):
-    return selection.best_within(selection.options(_small(spark, d), "SKIP"), 7)
-
-
-def _all(spark, d):
-    return parts(spark, d).withColumn("is_valid", F.lit(True))
-
-
-def option_enumeration_skip_whole(spark, d):
     return selection.ranked_options(selection.options(_all(spark, d), "SKIP"))
 
 
-def best_option_for_budget_whole(spark, d):
+def best_option_for_budget(spark, d):
     return selection.best_of_leaves(_all(spark, d), 7)
 
 
@@ -80,7 +64,7 @@ def prune_to_target(spark, d):
 
 
 def prune_across_plans(spark, d):
-    p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id").filter("question_id % 200 = 3")
+    p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id")
     return selection.prune_smallest(p, _RUN, 30, 2, F.col("ord") == 1).select(*_RUN, "question_id", "ord", "marks")
 
 
@@ -94,55 +78,41 @@ def _pins(spark, d):
 
 
 def label_superset(spark, d):
-    return selection.covering_option(selection.options(_small(spark, d), "SKIP"), _pins(spark, d))
-
-
-def label_superset_whole(spark, d):
     return selection.covering_leaves(_all(spark, d), _pins(spark, d))
 
 
-def prune_across_plans_whole(spark, d):
+def _assets(spark, d):
     p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id")
-    return selection.prune_smallest(p, _RUN, 30, 2, F.col("ord") == 1).select(*_RUN, "question_id", "ord", "marks")
-
-
-def _assets(spark, d, whole=False):
-    p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id").filter("true" if whole else "question_id % 40 = 1")
     rows = p.select(*_RUN, "question_id", F.col("ord").alias("part"), (40 + F.col("y") % 300).cast("int").alias("height"))
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*_RUN).orderBy("question_id", "part")))
 
 
-def _groups(spark, d, whole=False):
-    return layout.atomic_groups(_assets(spark, d, whole), _RUN, (F.col("part") == 1) | (F.col("height") % 5 == 0))
+def _groups(spark, d):
+    return layout.atomic_groups(_assets(spark, d), _RUN, (F.col("part") == 1) | (F.col("height") % 5 == 0))
 
 
-def atomic_groups(spark, d, whole=False):
-    return _groups(spark, d, whole).select(*_RUN, "ord", "grp")
+def atomic_groups(spark, d):
+    return _groups(spark, d).select(*_RUN, "ord", "grp")
 
 
-def paginate(spark, d, whole=False):
-    g = _groups(spark, d, whole).groupBy(*_RUN, "grp").agg(F.sum("height").alias("height"))
+def paginate(spark, d):
+    g = _groups(spark, d).groupBy(*_RUN, "grp").agg(F.sum("height").alias("height"))
     return layout.paginate(g, _RUN, 900, 20)
 
 
-def question_pages(spark, d, whole=False):
-    g = _groups(spark, d, whole)
-    placed = paginate(spark, d, whole).join(g.select(*_RUN, "grp", "question_id").distinct(), [*_RUN, "grp"])
+def question_pages(spark, d):
+    g = _groups(spark, d)
+    placed = paginate(spark, d).join(g.select(*_RUN, "grp", "question_id").distinct(), [*_RUN, "grp"])
     return layout.question_pages(placed, _RUN)
 
 
 def question_sequence(spark, d):
-    e = events(spark, d).withColumn("n", (F.col("event_id") % 5 + 1).cast("int")).filter("event_type in ('view', 'click')")
-    return layout.question_sequence(e, "user_id", "n", ["at"], "event_id")
-
-
-def question_sequence_whole(spark, d):
     e = events(spark, d).withColumn("n", (F.col("event_id") % 5 + 1).cast("int")).filter("event_type in ('view', 'click')")
     return layout.resolved_sequence(e, "user_id", "n", ["at"], "event_id").select("user_id", "n", "id")
 
 
-def composite_offsets(spark, d, whole=False):
-    return layout.composite_offsets(_assets(spark, d, whole), _RUN, "ord", "height").select(*_RUN, "ord", F.col("y_offset").cast("long").alias("y_offset"))
+def composite_offsets(spark, d):
+    return layout.composite_offsets(_assets(spark, d), _RUN, "ord", "height").select(*_RUN, "ord", F.col("y_offset").cast("long").alias("y_offset"))
 
 
 def part_bounds(spark, d):
@@ -154,8 +124,8 @@ def part_bounds(spark, d):
     return boxed.withColumn("overlaps_next", F.coalesce(F.col("bottom") > after, F.lit(False)))
 
 
-def page_points(spark, d, whole=False):
-    return _assets(spark, d, whole).select(*_RUN, "ord", F.round(geo.px_to_pt(F.col("height"), 200), 6).alias("height_pt"), F.round(geo.y_flip(841.89, F.col("ord"), F.col("height"), 200), 6).alias("y_pt"))
+def page_points(spark, d):
+    return _assets(spark, d).select(*_RUN, "ord", F.round(geo.px_to_pt(F.col("height"), 200), 6).alias("height_pt"), F.round(geo.y_flip(841.89, F.col("ord"), F.col("height"), 200), 6).alias("y_pt"))
 
 
 QUERIES = {
@@ -165,15 +135,12 @@ QUERIES = {
         prune_to_target, prune_across_plans, missing_topics, label_superset, atomic_groups, paginate, question_pages, question_sequence, composite_offsets, part_bounds, page_points,
     )
 }
-#: The layout queries over all questions; those above keep the part that their SQL names.
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (atomic_groups, paginate, question_pages, composite_offsets, page_points)}
-QUERIES |= {f.__name__: f for f in (prune_across_plans_whole, option_enumeration_skip_whole, best_option_for_budget_whole, label_superset_whole, question_sequence_whole)}
 
 _P = f"WITH RECURSIVE {QUESTIONS_SQL}, {PARTS_SQL}"
-_SMALL = _P + """, small AS (SELECT question_id, ord, marks, count(*) OVER (PARTITION BY question_id) AS n FROM parts),
-masks AS (SELECT question_id, n, unnest(range(1, (1 << n))) AS mask FROM (SELECT DISTINCT question_id, n FROM small WHERE n <= 6)),
+_SUBSETS = _P + """, numbered_leaves AS (SELECT question_id, ord, marks, count(*) OVER (PARTITION BY question_id) AS n FROM parts),
+masks AS (SELECT question_id, n, unnest(range(1, (1 << n))) AS mask FROM (SELECT DISTINCT question_id, n FROM numbered_leaves)),
 opts AS (SELECT m.question_id, m.mask, CAST(sum(s.marks) AS INTEGER) AS marks, CAST(count(*) AS INTEGER) AS n_parts
-         FROM masks m JOIN small s ON s.question_id = m.question_id AND (m.mask >> (s.ord - 1)) & 1 = 1 GROUP BY 1, 2)
+         FROM masks m JOIN numbered_leaves s ON s.question_id = m.question_id AND (m.mask >> (s.ord - 1)) & 1 = 1 GROUP BY 1, 2)
 """
 _VALID = _P + """, valid AS (SELECT question_id, marks, ord, CAST(row_number() OVER (PARTITION BY question_id ORDER BY ord) AS INTEGER) AS k FROM parts WHERE is_valid),
 prefix AS (SELECT question_id, k, (CAST(1 AS BIGINT) << k) - 1 AS mask, CAST(sum(marks) OVER (PARTITION BY question_id ORDER BY k) AS INTEGER) AS marks, k AS n_parts FROM valid)
@@ -192,7 +159,7 @@ picked AS (SELECT exam_code, year, CAST(pos AS INTEGER) AS pos, q AS question_id
 """
 _ASSETS = _P + """, assets AS (SELECT exam_code, year, question_id, p.ord AS part, CAST(40 + y % 300 AS INTEGER) AS height,
   CAST(row_number() OVER (PARTITION BY exam_code, year ORDER BY question_id, p.ord) AS INTEGER) AS ord
-  FROM parts p JOIN questions USING (question_id) WHERE question_id % 40 = 1),
+  FROM parts p JOIN questions USING (question_id)),
 flag AS (SELECT *, CASE WHEN coalesce(lag(part = 1 OR height % 5 = 0) OVER w, false) AND question_id = lag(question_id) OVER w THEN 0 ELSE 1 END AS fresh FROM assets WINDOW w AS (PARTITION BY exam_code, year ORDER BY ord)),
 grouped AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY exam_code, year ORDER BY ord) AS BIGINT) AS grp FROM flag),
 heights AS (SELECT exam_code, year, grp, CAST(sum(height) AS INTEGER) AS h FROM grouped GROUP BY 1, 2, 3),
@@ -206,8 +173,8 @@ pages AS (
 SQL = {
     "option_enumeration_all": _VALID + "SELECT question_id, mask, marks, n_parts FROM prefix QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY k DESC) = 1",
     "option_enumeration_prune": _VALID + "SELECT question_id, mask, marks, n_parts FROM prefix",
-    "option_enumeration_skip": _SMALL + "SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY marks DESC, n_parts DESC, mask) AS INTEGER) AS place FROM opts",
-    "best_option_for_budget": _SMALL + ", r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY marks DESC, n_parts DESC, mask) AS place FROM opts WHERE marks <= 7) SELECT question_id, mask, marks FROM r WHERE place = 1",
+    "option_enumeration_skip": _SUBSETS + "SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY marks DESC, n_parts DESC, mask) AS INTEGER) AS place FROM opts",
+    "best_option_for_budget": _SUBSETS + ", r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY marks DESC, n_parts DESC, mask) AS place FROM opts WHERE marks <= 7) SELECT question_id, mask, marks FROM r WHERE place = 1",
     "topic_coverage_scoring": _VALID + """, f AS (SELECT question_id, CAST(sum(marks) AS INTEGER) AS marks FROM valid GROUP BY 1),
 s AS (SELECT topic, question_id, marks, greatest(0, 10 - abs(marks - 9.0)) + 5 + CAST(('0x' || substr(md5('42:' || question_id), 1, 8)) AS BIGINT) / 4294967296.0 * 5 AS score FROM f JOIN questions USING (question_id))
 SELECT topic, question_id, marks, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, question_id) = 1""",
@@ -217,7 +184,7 @@ SELECT topic, question_id, marks, round(score, 6) AS score FROM s QUALIFY row_nu
 FROM picked JOIN parts p USING (question_id) JOIN (SELECT question_id, topic FROM questions) q USING (question_id) GROUP BY 1, 2""",
     "prune_to_target": _P + "SELECT question_id, ord, marks FROM parts QUALIFY sum(marks) OVER (PARTITION BY question_id ORDER BY ord) <= 10 OR ord = 1",
     "missing_topics": _P + "SELECT DISTINCT topic FROM parts WHERE topic IS NOT NULL EXCEPT SELECT topic FROM parts WHERE topic IS NOT NULL AND question_id < 4",
-    "label_superset": _SMALL + """, pins AS (SELECT question_id, CAST(sum(CAST(1 AS BIGINT) << (ord - 1)) AS BIGINT) AS pins FROM parts WHERE ord IN (2, 3, 9) GROUP BY 1),
+    "label_superset": _SUBSETS + """, pins AS (SELECT question_id, CAST(sum(CAST(1 AS BIGINT) << (ord - 1)) AS BIGINT) AS pins FROM parts WHERE ord IN (2, 3, 9) GROUP BY 1),
 r AS (SELECT question_id, mask, marks, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN mask & pins = pins THEN 0 ELSE 1 END,
   CASE WHEN mask & pins = pins THEN marks ELSE -marks END, CASE WHEN mask & pins = pins THEN n_parts ELSE -n_parts END, mask) AS r FROM opts JOIN pins USING (question_id))
 SELECT question_id, mask, marks FROM r WHERE r = 1""",
@@ -226,24 +193,18 @@ SELECT question_id, mask, marks FROM r WHERE r = 1""",
     "question_pages": _ASSETS + """, d AS (SELECT DISTINCT exam_code, year, question_id, page FROM pages JOIN (SELECT DISTINCT exam_code, year, grp, question_id FROM grouped) USING (exam_code, year, grp))
 SELECT exam_code, year, question_id, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM d GROUP BY 1, 2, 3""",
     "question_sequence": f"""WITH RECURSIVE {EVENTS_SQL}, c AS (SELECT user_id, event_id, CAST(event_id % 5 + 1 AS INTEGER) AS n, row_number() OVER (PARTITION BY user_id ORDER BY at_, event_id % 5, event_id) AS k FROM ev WHERE event_type IN ('view', 'click')),
-s AS (SELECT user_id, n, event_id AS id, k FROM c WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k) = 1
-  UNION ALL SELECT user_id, n, id, k FROM (SELECT c.user_id, c.n, c.event_id AS id, c.k, row_number() OVER (PARTITION BY c.user_id ORDER BY c.k) AS r FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1 AND c.k > s.k) WHERE r = 1)
-SELECT user_id, n, id FROM s""",
+s AS (SELECT user_id, 0 AS n, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS seen FROM (SELECT DISTINCT user_id FROM c)
+  UNION ALL SELECT user_id, n, id, k, seen FROM (SELECT c.user_id, c.n, c.event_id AS id, c.k, list_append(s.seen, c.n) AS seen, row_number() OVER (PARTITION BY c.user_id ORDER BY CASE WHEN c.n = s.n + 1 THEN 0 ELSE 1 END, c.k) AS r
+    FROM s JOIN c ON c.user_id = s.user_id AND c.k > s.k AND (c.n = s.n + 1 OR NOT list_contains(s.seen, c.n))) WHERE r = 1)
+SELECT user_id, n, id FROM s WHERE n > 0""",
     "composite_offsets": _ASSETS + "SELECT exam_code, year, ord, CAST(coalesce(sum(height) OVER (PARTITION BY exam_code, year ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS y_offset FROM assets",
     "part_bounds": _P + """, e AS (SELECT question_id, ord, y, price / 100.0 AS x, coalesce(lead(y) OVER (PARTITION BY question_id ORDER BY ord), y + 100) AS y_end FROM parts),
 b AS (SELECT question_id, ord, CAST(round_even(x * (200 / 72), 0) AS INTEGER) AS l, CAST(round_even(y * (200 / 72), 0) AS INTEGER) AS t, CAST(round_even((x + 50.0) * (200 / 72), 0) AS INTEGER) AS r, CAST(round_even(y_end * (200 / 72), 0) AS INTEGER) AS bo FROM e),
 c AS (SELECT question_id, ord, greatest(0, l - 5) AS "left", greatest(0, t - 6) AS top, greatest(r, l + 1) AS "right", greatest(bo, t + 1) AS bottom FROM b)
 SELECT *, coalesce(bottom > lead(top) OVER (PARTITION BY question_id ORDER BY ord), false) AS overlaps_next FROM c""",
     "page_points": _ASSETS + "SELECT exam_code, year, ord, round(height * 72.0::DOUBLE / 200, 6) AS height_pt, round(841.89::DOUBLE - ord * 72.0::DOUBLE / 200 - height * 72.0::DOUBLE / 200, 6) AS y_pt FROM assets",
-}
-SQL |= {f"{k}_whole": SQL[k].replace(" WHERE question_id % 40 = 1", "") for k in ("atomic_groups", "paginate", "question_pages", "composite_offsets", "page_points")}
-SQL["prune_across_plans_whole"] = _P + """, l AS (SELECT exam_code, year, question_id, ord, marks, sum(marks) OVER (PARTITION BY exam_code, year) AS total FROM parts JOIN questions USING (question_id)),
+    "prune_across_plans": _P + """, l AS (SELECT exam_code, year, question_id, ord, marks, sum(marks) OVER (PARTITION BY exam_code, year) AS total FROM parts JOIN questions USING (question_id)),
 c AS (SELECT *, total - sum(marks) OVER (PARTITION BY exam_code, year ORDER BY marks, question_id, ord) AS rest FROM l WHERE ord <> 1),
 g AS (SELECT exam_code, year, question_id, ord, bool_and(rest + marks > 32 AND abs(rest - 30) <= abs(rest + marks - 30)) OVER (PARTITION BY exam_code, year ORDER BY marks, question_id, ord) AS gone FROM c)
-SELECT exam_code, year, question_id, ord, marks FROM l WHERE (exam_code, year, question_id, ord) NOT IN (SELECT (exam_code, year, question_id, ord) FROM g WHERE gone)"""
-SQL |= {f"{k}_whole": SQL[k].replace(" WHERE n <= 6", "") for k in ("option_enumeration_skip", "best_option_for_budget", "label_superset")}
-SQL["question_sequence_whole"] = f"""WITH RECURSIVE {EVENTS_SQL}, c AS (SELECT user_id, event_id, CAST(event_id % 5 + 1 AS INTEGER) AS n, row_number() OVER (PARTITION BY user_id ORDER BY at_, event_id % 5, event_id) AS k FROM ev WHERE event_type IN ('view', 'click')),
-s AS (SELECT user_id, 0 AS n, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS seen FROM (SELECT DISTINCT user_id FROM c)
-  UNION ALL SELECT user_id, n, id, k, seen FROM (SELECT c.user_id, c.n, c.event_id AS id, c.k, list_append(s.seen, c.n) AS seen, row_number() OVER (PARTITION BY c.user_id ORDER BY CASE WHEN c.n = s.n + 1 THEN 0 ELSE 1 END, c.k) AS r
-    FROM s JOIN c ON c.user_id = s.user_id AND c.k > s.k AND (c.n = s.n + 1 OR NOT list_contains(s.seen, c.n))) WHERE r = 1)
-SELECT user_id, n, id FROM s WHERE n > 0"""
+SELECT exam_code, year, question_id, ord, marks FROM l WHERE (exam_code, year, question_id, ord) NOT IN (SELECT (exam_code, year, question_id, ord) FROM g WHERE gone)""",
+}
