@@ -7,7 +7,7 @@ import ctypes
 import sys
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ _OWN: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,30 +61,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: str = "8m"):
-    """While it holds, the JVM and its Python workers exchange Arrow batches of about ``size`` at most.
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """From here on the session's JVM and Python workers exchange Arrow batches of about ``size`` at most, if it doesn't set a bound itself.
 
-    By default they are eight times that, held in both and copied in each.
+    By default they are eight times that, held in both and copied in each.  Plans run after
+    an operator has returned, so the setting stays.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, size)
 
 
 def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """The rows as a table in the shared folder: computed once, safe when executors are lost."""
     path = new_path(df.sparkSession, label)
     w = df.write.option("compression", "zstd")
-    with small_batches(df.sparkSession):
-        (w.partitionBy(*by) if by else w).parquet(path)
+    small_batches(df.sparkSession)
+    (w.partitionBy(*by) if by else w).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.quillmark_path = path
     return out
@@ -98,6 +92,7 @@ def forget(*frames: DataFrame) -> None:
 
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key and the text (null: empty) alone, whatever other columns there are."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
@@ -109,6 +104,20 @@ def free_name(base: str, *taken: list[str]) -> str:
     return base
 
 
+def local_rows(spark: SparkSession, columns: dict[str, tuple[str, list]]) -> DataFrame:
+    """A small table from values of the driver, by name: (type, values); no Python worker has a part in it."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+    return spark.createDataFrame(pa.table({name: pa.array(values, kinds[kind]) for name, (kind, values) in columns.items()}))
+
+
+@lru_cache(maxsize=1)
+def _return_memory() -> None:
+    """Arrays of over 4 MB go back to the system when they are freed; once per worker."""
+    tell = getattr(ctypes.CDLL(None), "mallopt", None)
+    if tell is not None:
+        tell(-3, 1 << 22)  # M_MMAP_THRESHOLD
+
+
 def _release_automata() -> None:
     """Gives back what tokenizing left in this worker, which lives on from stage to stage."""
     module = sys.modules.get("quillmark.llm.bpe_automaton")
@@ -119,8 +128,9 @@ def _release_automata() -> None:
             trim(0)
 
 
-def in_parts(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000, tokenizes: bool = False) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def in_parts(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000, tokenizes: bool = False) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches whose ``text`` is decoded a bounded amount at a time."""
+    _return_memory()
     if not tokenizes:
         _release_automata()
     for batch in batches:

@@ -24,7 +24,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
 
     def run(batches):
         machine = automaton(tokenizer, False)
-        for part, texts in in_parts(batches, 2_000_000, True):
+        for part, texts in in_parts(batches, tokenizes=True):
             keys, row = part.column(0).to_pylist(), 0
             for ids, sizes in machine.encode(texts):
                 out: list[tuple] = []
@@ -102,7 +102,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(pieces: DataFrame, capacity: int, per_task: int = 200_000, rounds: int = 4) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset``: pieces of ``length`` placed into sequences.
+    """Adds ``sequence_id``, ``offset`` and ``gap``: pieces of ``length`` placed into sequences.
 
     Every partition packs its own pieces by best fit decreasing and compares the number of
     its bins with the dual-feasible-function bound.  A partition that meets the bound is
@@ -111,12 +111,16 @@ def pack(pieces: DataFrame, capacity: int, per_task: int = 200_000, rounds: int
     partition count of one has been packed or ``rounds`` is over.  A partition has about
     ``per_task`` pieces, whatever the number of documents.
 
+    ``gap`` is 0 where the bound certifies that the partition that placed a piece could not do
+    with fewer sequences, or the sequence is full; else it is by how many sequences that
+    partition is over its bound after the last round.
+
     ``length`` must be 1 to ``capacity``.  Repeated rows are separate pieces.  No rows give
     no rows.
     """
     spark = pieces.sparkSession
     fields = pieces.schema.names
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, settled boolean, short int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, gap int"
 
     def packer(turn: int):
         def run(batches):
@@ -132,7 +136,8 @@ def pack(pieces: DataFrame, capacity: int, per_task: int = 200_000, rounds: int
             final = np.full(len(loads), len(loads) == bound) | (loads == capacity)
             base = (turn << 56) | (TaskContext.get().partitionId() << 32)
             out = mine
-            for name, column in (("sequence_id", base + bins), ("offset", offsets), ("settled", final[bins]), ("short", np.full(len(bins), len(loads) - bound, np.int32))):
+            gap = np.where(final, 0, len(loads) - bound).astype(np.int32)
+            for name, column in (("sequence_id", base + bins), ("offset", offsets), ("gap", gap[bins])):
                 out = out.append_column(name, pa.array(column))
             yield from out.to_batches(max_chunksize=50_000)
 
@@ -146,17 +151,17 @@ def pack(pieces: DataFrame, capacity: int, per_task: int = 200_000, rounds: int
         # the salt differs by turn, so documents of one partition part company in the next
         dealt = rest.repartition(parts, F.xxhash64(F.lit(turn), *[F.col(c) for c in fields])) if parts > 1 else rest.coalesce(1)
         packed = written(dealt.mapInArrow(packer(turn), schema), f"packed{turn}")
-        left = packed.filter("not settled").count() if parts > 1 and turn + 1 < rounds else 0
+        left = packed.filter("gap > 0").count() if parts > 1 and turn + 1 < rounds else 0
         if not left:
             done.append(packed)
             break
-        done.append(packed.filter("settled"))
-        rest = packed.filter("not settled").select(*fields)
+        done.append(packed.filter("gap = 0"))
+        rest = packed.filter("gap > 0").select(*fields)
         parts = min(max(1, -(-left // per_task)), parts)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*fields, "sequence_id", "offset")
+    return out.select(*fields, "sequence_id", "offset", "gap")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     def run(batches):
         machine = automaton(tokenizer)
-        for part, texts in in_parts(batches, 2_000_000, True):
+        for part, texts in in_parts(batches, tokenizes=True):
             n = machine.counts(texts)
             yield pa.RecordBatch.from_arrays(
                 [
