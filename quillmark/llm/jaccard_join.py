@@ -13,7 +13,9 @@ against the share of empty and nearly empty segments, which hardly tell sets apa
 set, up to k (half of that, where neighbours are indexed), need no signature: of k + 1 that
 agree, the two sets together drop no more than k.
 Every pair that shares a signature is compared exactly, unless links found before already
-connect it.
+connect it or their sketches rule a link out: a sketch counts a set's elements in each of 256
+parts of the universe, and two sets have at most the sum of the lesser counts in common.  So
+sets themselves are moved only for pairs that are links or nearly so.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from quillmark.llm.common import forget, in_parts, keyed_text, table, written
 from quillmark.llm.components import components
 from quillmark.llm.textscan import _mix, shingles
 
-_BITS = 1 << 23
+#: Parts of the universe that a sketch counts in: the values of one byte.
+PARTS = 256
 
 
 @dataclass(frozen=True)
@@ -132,15 +135,15 @@ def _fingerprints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def set_classes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2) of every row: its set's size and 128-bit fingerprint."""
+    """(doc_id, n_shingles, f1, f2, sketch) of every row: its set's size, 128-bit fingerprint and sketch."""
 
     def run(batches):
         for part, texts in in_parts(batches, 1_000_000):
             values, bounds = shingles(texts, width)
             f = _fingerprints(values, bounds).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["doc_id", "n_shingles", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array([r.tobytes() for r in sketches(values, bounds)], pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
 
 
 def candidate_groups(docs: DataFrame, width: int, num: int, den: int, chunk: int = 4096) -> DataFrame:
@@ -163,7 +166,7 @@ def candidate_groups(docs: DataFrame, width: int, num: int, den: int, chunk: int
                 p = int(prints[d])
                 if p not in met:
                     own.append(d)
-                    if len(met) < 1_000_000:
+                    if len(met) < 200_000:
                         met.add(p)
             sig, d = signatures(values, bounds, np.asarray(own, np.int64), num, den)
             for k in range(0, len(sig), 400_000):
@@ -184,7 +187,7 @@ def candidate_groups(docs: DataFrame, width: int, num: int, den: int, chunk: int
                 mark = hash((head, some.tobytes()))
                 if not len(some) or mark in told:
                     continue
-                if len(told) < 1_000_000:
+                if len(told) < 200_000:
                     told.add(mark)
                 out.append((head, some.tolist()))
 
@@ -230,34 +233,80 @@ def candidate_groups(docs: DataFrame, width: int, num: int, den: int, chunk: int
     return signed.repartition("sig").sortWithinPartitions("sig", "f").mapInArrow(group, "head long, others array<long>")
 
 
-def _members(ids: DataFrame) -> bytes:
-    """A fixed-size bit set that holds the hashes of all ids: 1 MB, whatever their number."""
+def _members(ids: DataFrame, bits: int) -> bytes:
+    """A set of ``bits`` bits that holds the hashes of all ids."""
+    shift = np.uint64(64 - (bits - 1).bit_length())
 
     def run(batches):
-        bits = np.zeros(_BITS // 8, np.uint8)
+        held = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            x = _mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(41)
-            np.bitwise_or.at(bits, (x >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (x & np.uint64(7)).astype(np.uint8)))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+            x = _mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> shift
+            np.bitwise_or.at(held, (x >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (x & np.uint64(7)).astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in ids.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
 
 
+def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Number of elements of each set in each part of the universe, 255 standing for as many or more."""
+    n = len(bounds) - 1
+    out = np.zeros((n, PARTS), np.uint8)
+    part = (_mix(values ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(56)).astype(np.int64)
+    for low in range(0, n, 2048):
+        high = min(n, low + 2048)
+        owner = np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1]))
+        held = np.bincount(owner * PARTS + part[bounds[low] : bounds[high]], minlength=(high - low) * PARTS)
+        out[low:high] = np.minimum(held, 255).reshape(-1, PARTS)
+    return out
+
+
+def may_link(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Row by row, whether sets of sizes m and n with the sketches x and y can link; never False for a link."""
+    least = np.minimum(x, y)
+    most = np.where((least == 255).any(axis=-1), np.minimum(m, n), np.minimum(least.sum(axis=-1, dtype=np.int64), np.minimum(m, n)))
+    return den * most >= num * (m + n - most)
+
+
+def _sketch_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PARTS)
+
+
+def possible(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) among ``pairs`` that sizes and sketches (``sketched``: doc_id, size, sketch) don't rule out."""
+
+    def run(batches):
+        for b in batches:
+            keep = may_link(_sketch_rows(b.column(2)), _sketch_rows(b.column(3)), b.column(4).to_numpy(), b.column(5).to_numpy(), num, den)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    left = sketched.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("m"))
+    right = sketched.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("n"))
+    joined = pairs.join(left, "a").join(right, "b").filter((F.least("m", "n") * den) >= (F.greatest("m", "n") * num))
+    return joined.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, elements as bytes) of the documents among ``ids`` (column doc_id).
+    """(doc_id, elements as bytes) of the documents among ``ids`` (column doc_id, distinct, written).
 
-    The scan drops most others by a bit set of hashed ids; the join drops the rest.
+    The scan drops most others by a bit set of hashed ids, 16 bits for each and 16 MB at most;
+    the join drops the rest.  Where there are so many that the bit set would be too full, they
+    are joined before sets are made.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_members(ids))
+    n = ids.count()
+    bits = 1 << max(16, min(27, (16 * n).bit_length()))
+    if 4 * n > bits:
+        docs = docs.join(ids, "doc_id", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(_members(ids, bits))
+    shift = np.uint64(64 - (bits - 1).bit_length())
 
     def run(batches):
-        held = np.frombuffer(bits.value, np.uint8)
+        held = np.frombuffer(sent.value, np.uint8)
         for b in batches:
             keys = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            x = _mix(keys) >> np.uint64(41)
+            x = _mix(keys) >> shift
             hit = (held[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
             for part, texts in in_parts(iter([b.filter(pa.array(hit))]), 1_000_000):
                 values, bounds = shingles(texts, width)
@@ -326,20 +375,82 @@ def connected(left: list[np.ndarray], right: list[np.ndarray], num: int, den: in
     return label
 
 
-def block_links(listed: DataFrame, elements: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
+def _blocks(listed: DataFrame, held: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the blocks of each group: those outside its head's component by all of it.
+
+    Sides have about ``block`` documents and ``held`` elements.  (doc, size, label, head, i, j),
+    and the same with names that end in _.
+    """
+    spread = lambda n, m: F.greatest(F.lit(1), F.ceil(F.col(n) / block), F.ceil(F.col(m) / held)).cast("int")
+    out = F.col("label") != F.col("head")
+    sizes = listed.groupBy("head").agg(F.count("*").alias("all"), F.sum("size").alias("most"), F.count_if(out).alias("out"), F.sum(F.when(out, F.col("size")).otherwise(0)).alias("some"))
+    sizes = sizes.filter("out > 0").select("head", spread("all", "most").alias("cols"), spread("out", "some").alias("rows"))
+    placed = listed.join(sizes, "head")
+    side = lambda from_, own, other, count, turns: from_.select("doc", "size", "label", "head", F.pmod(F.xxhash64("doc"), count).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(turns) - 1)).alias(other))
+    left = side(placed.filter("label <> head"), "i", "j", "rows", "cols").select("doc", "size", "label", "head", "i", "j")
+    right = side(placed, "j", "i", "cols", "rows").select("doc", "size", "label", "head", "i", "j")
+    return left, right.toDF("doc_", "size_", "label_", "head_", "i_", "j_")
+
+
+def possible_members(listed: DataFrame, sketched: DataFrame, num: int, den: int, block: int = 1024, per_task: int = 8192) -> DataFrame:
+    """The rows of ``listed`` that their sketches leave a link with a row of another component of their group.
+
+    Groups are mostly of a few documents, so blocks are dealt into about as many parts as give
+    ``per_task`` rows each.
+    """
+    sides = [written(x, "side") for x in _blocks(listed, 1 << 60, block)]
+    left, right = sides
+    parts = max(1, (left.count() + right.count()) // per_task)
+    sketch = sketched.select("doc_id", "sketch")
+    left = left.join(sketch.withColumnRenamed("doc_id", "doc"), "doc").withColumn("part", F.pmod(F.xxhash64("head", "i", "j"), F.lit(parts)))
+    right = right.join(sketch.select(F.col("doc_id").alias("doc_"), F.col("sketch").alias("sketch_")), "doc_").withColumn("part_", F.pmod(F.xxhash64("head_", "i_", "j_"), F.lit(parts)))
+
+    def compare(few: pa.Table, many: pa.Table) -> pa.Table:
+        found_h, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if few.num_rows and many.num_rows:
+            ordered = []
+            for t, tail in ((few, ""), (many, "_")):
+                block_of = np.stack([t[c + tail].to_numpy().astype(np.int64) for c in ("head", "i", "j")])
+                order = np.lexsort(block_of[::-1])
+                block_of = block_of[:, order]
+                edge = np.flatnonzero(np.concatenate([[True], (block_of[:, 1:] != block_of[:, :-1]).any(axis=0), [True]]))
+                ordered.append(({tuple(block_of[:, a].tolist()): (a, b) for a, b in zip(edge, edge[1:])}, *(t[c + tail].to_numpy()[order] for c in ("doc", "size", "label")), _sketch_rows(t["sketch" + tail])[order]))
+            (places, doc, size, label, sketch), (places_, doc_, size_, label_, sketch_) = ordered
+            for key, (a, b) in places.items():
+                if key not in places_:
+                    continue
+                lo, hi = places_[key]
+                hit_ = np.zeros(hi - lo, bool)
+                for k in range(a, b):
+                    # another component, not too different in size, and sketches that allow a link
+                    near = np.flatnonzero((label_[lo:hi] != label[k]) & (den * np.minimum(size_[lo:hi], size[k]) >= num * np.maximum(size_[lo:hi], size[k])))
+                    near = near[may_link(sketch_[lo:hi][near], sketch[k], size_[lo:hi][near], size[k], num, den)]
+                    if len(near):
+                        hit_[near] = True
+                        found_h.append(np.array([key[0]]))
+                        found_d.append(doc[k : k + 1])
+                found_h.append(np.full(int(hit_.sum()), key[0]))
+                found_d.append(doc_[lo:hi][hit_])
+        return pa.table({"head": np.concatenate(found_h).astype(np.int64), "doc": np.concatenate(found_d).astype(np.int64)})
+
+    kept = left.groupBy("part").cogroup(right.groupBy("part_")).applyInArrow(compare, "head long, doc long").distinct()
+    out = written(listed.join(kept, ["head", "doc"], "left_semi"), "open")
+    forget(*sides)
+    return out
+
+
+def block_links(listed: DataFrame, elements: DataFrame, num: int, den: int, block: int = 1024, held: int = 1 << 20) -> DataFrame:
     """(a, b): connections between documents of different components that share a group.
 
-    ``listed`` has each document (doc, label of its component) under its group's ``head``, the
-    head's component.  Those of other components than the head's are compared exactly with all
-    documents of the group, in blocks of about ``block`` by ``block``; a block sends on one
-    row for each document that it connects, not one for each link.
+    ``listed`` has each document (doc, its set's size, label of its component) under its group's
+    ``head``, the head's component.  Those of other components than the head's are compared
+    exactly with all documents of the group, in blocks of about ``block`` documents and ``held``
+    elements by as many; a block sends on one row for each document that it connects, not one
+    for each link.
     """
-    spread = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
-    sizes = listed.groupBy("head").agg(F.count("*").alias("all"), F.count_if(F.col("label") != F.col("head")).alias("out")).filter("out > 0").select("head", spread("all").alias("cols"), spread("out").alias("rows"))
-    placed = listed.join(sizes, "head").join(elements.withColumnRenamed("doc_id", "doc"), "doc")
-    side = lambda from_, own, other, count, turns: from_.select("doc", "label", "elements", "head", F.pmod(F.xxhash64("doc"), count).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(turns) - 1)).alias(other))
-    left = side(placed.filter("label <> head"), "i", "j", "rows", "cols")
-    right = side(placed, "j", "i", "cols", "rows").toDF("doc_", "label_", "elements_", "head_", "j_", "i_")
+    left, right = _blocks(listed, held, block)
+    left = left.join(elements.toDF("doc", "elements"), "doc")
+    right = right.join(elements.toDF("doc_", "elements_"), "doc_")
 
     def compare(_, few: pa.Table, many: pa.Table) -> pa.Table:
         out_a, out_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -368,7 +479,8 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
 
     Documents that share a signature are first held only against the one with the smallest id,
     which connects most of a group of near copies in as many comparisons as it has members.
-    What that leaves apart is compared with all documents of its groups, block by block.
+    What that leaves apart is compared with all documents of its groups, block by block: first
+    by sketches, and by sets where these leave a link possible.
     """
     own = keyed_text(docs, key, text)
     sets = written(set_classes(own, width), "sets")
@@ -377,24 +489,35 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
 
     groups = candidate_groups(own, width, num, den).select("head", F.explode("others").alias("other"))
     # from fingerprints to documents; where two sets share half a fingerprint, both are candidates
-    a, b = classes.select(F.col("f1").alias("head"), F.col("rep").alias("rep")), classes.select(F.col("f1").alias("other"), F.col("rep").alias("doc"))
+    a, b = classes.select(F.col("f1").alias("head"), F.col("rep").alias("rep")), classes.select(F.col("f1").alias("other"), F.col("rep").alias("doc"), F.col("n_shingles").alias("size"))
     groups = written(groups.distinct(), "groups")
-    rows = written(groups.join(a, "head").join(b, "other").filter("rep <> doc").select("rep", "doc").distinct(), "rows")
+    rows = written(groups.join(a, "head").join(b, "other").filter("rep <> doc").select("rep", "doc", "size").distinct(), "rows")
     star = rows.select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct()
     nodes = written(rows.select(F.col("rep").alias("doc_id")).union(rows.select("doc")).distinct(), "nodes")
-    elements = written(sets_of(own, nodes, width), "elements")
-    links = written(verified(star, elements, num, den), "links")
+    sketched = written(sets.select("doc_id", F.col("n_shingles").alias("size"), "sketch").join(nodes, "doc_id", "left_semi"), "sketches")
+    close = written(possible(star, sketched, num, den), "close")
+    wanted = written(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "wanted")
+    elements = written(sets_of(own, wanted, width), "elements")
+    links = written(verified(close, elements, num, den), "links")
+    forget(elements, wanted, close, nodes)
     label = components(links)
 
     # what a group's head did not connect: held, in blocks, against the group's members
     tag = label.select(F.col("node").alias("doc"), "label")
     head = label.select(F.col("node").alias("rep"), F.col("label").alias("head"))
-    listed = rows.join(tag, "doc", "left").join(head, "rep", "left").select("doc", F.coalesce("label", "doc").alias("label"), F.coalesce("head", "rep").alias("head"))
+    listed = rows.join(tag, "doc", "left").join(head, "rep", "left").select("doc", "size", F.coalesce("label", "doc").alias("label"), F.coalesce("head", "rep").alias("head"))
     # groups whose heads are connected are one
     listed = written(listed.distinct(), "listed")
-    more = written(block_links(listed, elements, num, den), "more")
-    label = components(links.union(more)) if more.limit(1).count() else label
-    forget(groups, rows, nodes, elements, links, listed, more)
+    open_ = possible_members(listed, sketched, num, den)
+    forget(sketched, listed)
+    if open_.limit(1).count():
+        wanted = written(open_.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
+        elements = written(sets_of(own, wanted, width), "elements")
+        more = written(block_links(open_, elements, num, den), "more")
+        forget(elements, wanted)
+        label = components(links.union(more)) if more.limit(1).count() else label
+        forget(more)
+    forget(groups, rows, links, open_)
 
     by_rep = label.select(F.col("node").alias("rep"), F.col("label"))
     out = full.join(classes, ["f1", "f2", "n_shingles"]).join(by_rep, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
