@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import geometry as geo
 from quillmark.operators import layout, ordered, selection
+from quillmark.operators import selection_pass as sp
 from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions
 
 _RUN = ["exam_code", "year"]
@@ -51,14 +52,57 @@ def greedy_fill(spark, d):
     return selection.greedy_fill(_totals(spark, d), _RUN, _CONFIG)
 
 
-def full_selection(spark, d):
-    """Marks, questions, topics and deviation of each run."""
+def greedy_summary(spark, d):
+    """Marks, questions, topics and deviation of each run's first fit over full questions."""
     picked = selection.greedy_fill(_totals(spark, d), _RUN, _CONFIG)
     leaves = picked.join(parts(spark, d).select("question_id", "marks", "topic"), "question_id").join(questions(spark, d).select("question_id", F.col("topic").alias("q")), "question_id")
     out = leaves.groupBy(*_RUN).agg(F.sum("marks").alias("marks"), F.countDistinct("question_id").alias("n_questions"), F.countDistinct(F.coalesce(F.nullif(F.col("topic"), F.lit("")), F.col("q"))).alias("n_topics"))
     return out.select(*_RUN, "marks", "n_questions", "n_topics", *selection.deviation(F.col("marks"), _CONFIG.target), (F.abs(F.col("marks") - _CONFIG.target) <= _CONFIG.tolerance).alias("within"))
 
 
+_TOPICS = ("1-URGENT", "PROMO", "ECONOMY")
+
+
+def _sources(spark, d):
+    """(questions, parts, pinned questions, part pins, keyword matches): of each run its first question and a part of its last are pinned."""
+    q, p = questions(spark, d), parts(spark, d)
+    ends = q.join(p.filter("ord = 2").select("question_id", F.col("label").alias("second")), "question_id").groupBy(*_RUN).agg(F.min("question_id").alias("question_id"), F.max_by(F.struct("question_id", "second"), "question_id").alias("last"))
+    return q, p, ends.select("question_id"), ends.select("last.question_id", F.col("last.second").alias("label")), p.filter(F.contains("name", F.lit("77"))).select("question_id", "label")
+
+
+def _built(spark, d, request, pins=True):
+    q, p, pinned, part_pins, matched = _sources(spark, d)
+    if not pins:
+        pinned, part_pins, matched = pinned.limit(0), part_pins.limit(0), matched.limit(0)
+    return sp.build(q, p, _RUN, request, pinned, part_pins, matched)
+
+
+def selection_all(spark, d):
+    """Whole questions, topics covered and the rest filled."""
+    return _built(spark, d, sp.Request(50, 2, 42, "ALL", topics=_TOPICS), False).select(*_RUN, "question_id", "k", "marks", "origin")
+
+
+def selection_prune(spark, d):
+    """Prefixes up to the last leaf of a topic; the smallest last leaves go."""
+    return _built(spark, d, sp.Request(30, 0, 7, "PRUNE", topics=_TOPICS)).select(*_RUN, "question_id", "k", "marks", "origin")
+
+
+def selection_skip(spark, d):
+    """Any leaves of the topics, at most six questions."""
+    return _built(spark, d, sp.Request(35, 1, 1, "SKIP", topics=_TOPICS, max_questions=6), False).select(*_RUN, "question_id", "k", "marks", "origin")
+
+
+def selection_keywords(spark, d):
+    """Pins and keyword matches alone."""
+    return _built(spark, d, sp.Request(40, 2, 12345, "SKIP", keyword_mode=True)).select(*_RUN, "question_id", "k", "marks", "origin")
+
+
+def full_selection(spark, d):
+    """What each run of a build with pins, matches and topics comes to, and what its user is warned of."""
+    c = sp.Request(50, 2, 42, "SKIP", topics=_TOPICS)
+    return sp.warnings(_built(spark, d, c), _RUN, c)
+
+
 def prune_to_target(spark, d):
     return selection.prune_to_target(parts(spark, d), 10).select("question_id", "ord", "marks")
 
@@ -131,7 +175,7 @@ def page_points(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        option_enumeration_all, option_enumeration_prune, option_enumeration_skip, best_option_for_budget, topic_coverage_scoring, greedy_fill, full_selection,
+        option_enumeration_all, option_enumeration_prune, option_enumeration_skip, best_option_for_budget, topic_coverage_scoring, greedy_fill, greedy_summary, full_selection, selection_all, selection_prune, selection_skip, selection_keywords,
         prune_to_target, prune_across_plans, missing_topics, label_superset, atomic_groups, paginate, question_pages, question_sequence, composite_offsets, part_bounds, page_points,
     )
 }
@@ -179,7 +223,7 @@ SQL = {
 s AS (SELECT topic, question_id, marks, greatest(0, 10 - abs(marks - 9.0)) + 5 + CAST(('0x' || substr(md5('42:' || question_id), 1, 8)) AS BIGINT) / 4294967296.0 * 5 AS score FROM f JOIN questions USING (question_id))
 SELECT topic, question_id, marks, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, question_id) = 1""",
     "greedy_fill": _GREEDY + "SELECT exam_code, year, pos, question_id FROM picked",
-    "full_selection": _GREEDY + """SELECT exam_code, year, CAST(sum(marks) AS BIGINT) AS marks, count(DISTINCT question_id) AS n_questions, count(DISTINCT coalesce(nullif(p.topic, ''), q.topic)) AS n_topics,
+    "greedy_summary": _GREEDY + """SELECT exam_code, year, CAST(sum(marks) AS BIGINT) AS marks, count(DISTINCT question_id) AS n_questions, count(DISTINCT coalesce(nullif(p.topic, ''), q.topic)) AS n_topics,
  CAST(sum(marks) - 50 AS BIGINT) AS difference, CAST(abs(sum(marks) - 50) AS BIGINT) AS deviation, abs(sum(marks) - 50) <= 2 AS within
 FROM picked JOIN parts p USING (question_id) JOIN (SELECT question_id, topic FROM questions) q USING (question_id) GROUP BY 1, 2""",
     "prune_to_target": _P + "SELECT question_id, ord, marks FROM parts QUALIFY sum(marks) OVER (PARTITION BY question_id ORDER BY ord) <= 10 OR ord = 1",
