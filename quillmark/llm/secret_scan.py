@@ -1,16 +1,23 @@
 """Secret scans (operator 1): patterned secrets, and credential values that are costly to guess.
 
-Values that follow a credential word are segmented by dynamic programming into words, dates,
-repeats, keyboard walks and brute-force spans so that the product of the segments' guesses
-is smallest; a value whose cheapest segmentation still costs ``min_log10`` decimal digits of
-guesses is a secret.
+Values that follow a credential word, those in base spans included, are segmented by dynamic
+programming into words, dates, repeats, keyboard walks and brute-force spans so that the
+product of the segments' guesses is smallest.  A value whose cheapest segmentation still
+costs ``min_log10`` decimal digits of guesses is a secret if brute force carries
+``min_brute`` of them; one of words, dates, repeats and walks alone (prose, paths, names)
+has to cost ``phrase_log10``.
+
+Words are ranked: a short list of common passwords, then the whole words of a public
+tokenizer's vocabulary in the order of their merges, which is about that of their frequency.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,7 +41,7 @@ CONTEXT = re.compile(
 )
 _CONTEXT_HINT = re.compile(r"[:=]|\x20is\x20")
 
-#: Common password words, most common first; a caller may give a longer list.
+#: Common password words, most common first; the words of a vocabulary come after them.
 WORDS = tuple(
     "password admin welcome login dragon master monkey letmein secret sunshine princess football shadow baseball "
     "superman trustno hello freedom whatever ninja mustang access flower passw0rd batman starwars computer "
@@ -49,6 +56,33 @@ ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "789456123
 _SWAPS = str.maketrans("@4301!$57+", "aaeoiisstt")
 
 
+@lru_cache(maxsize=4)
+def ranked_words(vocabulary: str | None) -> tuple[str, ...]:
+    """``WORDS``, then the whole words of three letters or more that merges of a vocabulary file end in, in their order."""
+    if vocabulary is None:
+        return WORDS
+    model = json.loads(open(vocabulary, encoding="utf-8").read())["model"]
+    end = model.get("end_of_word_suffix") or ""
+    found = dict.fromkeys(WORDS)
+    for pair in model["merges"]:
+        whole = pair.replace(" ", "") if isinstance(pair, str) else "".join(pair)
+        if end and whole.endswith(end):
+            whole = whole[: -len(end)]
+        elif end or not whole.startswith("\u0120"):
+            continue
+        else:
+            whole = whole[1:]
+        if len(whole) >= 3 and whole.isascii() and whole.isalpha():
+            found.setdefault(whole.lower())
+    return tuple(found)
+
+
+@lru_cache(maxsize=4)
+def guess_cost(vocabulary: str | None) -> GuessCost:
+    """One per Python worker."""
+    return GuessCost(ranked_words(vocabulary))
+
+
 @lru_cache(maxsize=1)
 def _neighbours() -> frozenset[str]:
     """Pairs of keys that lie side by side in a row, or above one another in two of the first four."""
@@ -79,6 +113,9 @@ class GuessCost:
         self.most = max(map(len, self.rank), default=0)
         self.longest = longest
 
+    #: Between words, one of about ten signs is tried.
+    SIGNS = "-_./:"
+
     def _alphabet(self, s: str) -> int:
         n = 26 * bool(re.search("[a-z]", s)) + 26 * bool(re.search("[A-Z]", s)) + 10 * bool(re.search("[0-9]", s)) + 33 * bool(re.search(r"[!-/:-@\[-`{-~ ]", s))
         return max(10, n + 100 * (not s.isascii()))
@@ -142,7 +179,8 @@ class GuessCost:
         cost, back = [0.0] + [math.inf] * n, [None] * (n + 1)
         for j in range(1, n + 1):
             # brute force goes on by a character: spans of any length, at no charge per span
-            cost[j], back[j] = cost[j - 1] + each, Segment(j - 1, j, "brute", each)
+            one, kind = (1.0, "sign") if value[j - 1] in self.SIGNS else (each, "brute")
+            cost[j], back[j] = cost[j - 1] + one, Segment(j - 1, j, kind, one)
             for x in by_end.get(j, ()):
                 # a segment's kind and place are guessed too
                 if (c := cost[x.start] + x.log10 + 0.3) < cost[j]:
@@ -151,33 +189,91 @@ class GuessCost:
         j = n
         while j:
             x = back[j]
-            if found and x.kind == "brute" == found[-1].kind:
-                found[-1] = Segment(x.start, found[-1].end, "brute", x.log10 + found[-1].log10)
+            if found and x.kind == found[-1].kind and x.kind in ("brute", "sign"):
+                found[-1] = Segment(x.start, found[-1].end, x.kind, x.log10 + found[-1].log10)
             else:
                 found.append(x)
             j = x.start
         return cost[n], found[::-1]
 
 
-def find_secrets(text: str, model: GuessCost, min_log10: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, spans of costly credential values that no base span covers), by start, then kind."""
+@dataclass(frozen=True)
+class Rule:
+    """From which guess cost on a credential value is a secret; see the head of this module."""
+
+    min_log10: float = 9.0
+    min_brute: float = 5.0
+    phrase_log10: float = 24.0
+
+    def secret(self, log10: float, segments: list[Segment]) -> bool:
+        brute = sum(x.log10 for x in segments if x.kind == "brute")
+        return log10 >= self.phrase_log10 or (log10 >= self.min_log10 and brute >= self.min_brute)
+
+
+@dataclass(frozen=True)
+class Value:
+    """A credential value, the log10 of the guesses that it costs, and the segmentation that is cheapest."""
+
+    start: int
+    end: int
+    log10: float
+    segments: tuple[Segment, ...]
+    secret: bool
+
+    def __str__(self) -> str:
+        return f"{self.start}:{self.end}:{self.log10:.2f}:{'+'.join(f'{x.kind}{x.end - x.start}' for x in self.segments)}"
+
+
+def _order(span: tuple[int, int, str]) -> tuple:
+    return span[0], KINDS.index(span[2]), span[1]
+
+
+def base_finds(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """(spans of the base patterns by start and then kind, places of the assignments' values)."""
     base: list[tuple[int, int, str]] = []
+    places: list[tuple[int, int]] = []
     if ":" in text or "=" in text:
-        base += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
+        for m in ASSIGN.finditer(text):
+            if len(m[2]) >= ASSIGN_LEAST:
+                base.append((*m.span(), "assign"))
+                places.append(m.span(2))
     if "AKIA" in text:
         base += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     base += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    more = []
+    return sorted(base, key=_order), places
+
+
+def credential_values(text: str, places: list[tuple[int, int]], model: GuessCost, rule: Rule) -> list[Value]:
+    """Guess cost of every credential value of six characters or more, by start.
+
+    These are the values at ``places`` and those behind other credential contexts that overlap
+    none of them.
+    """
+    found = list(places)
     if _CONTEXT_HINT.search(text):
+        ends = [b for _, b in places]
         for m in _contexts(text):
-            a, b = m.span(1)
-            if b - a < 6 or any(s <= a and b <= e for s, e, _ in base):
-                continue
-            value = m[1].rstrip(".)]}!?")
-            if len(value) >= 6 and model.segment(value)[0] >= min_log10:
-                more.append((a, a + len(value), "guess"))
-    order = lambda x: (x[0], KINDS.index(x[2]), x[1])
-    return sorted(base, key=order), sorted(more, key=order)
+            a = m.start(1)
+            b = a + len(m[1].rstrip(".)]}!?"))
+            k = bisect_right(ends, a)
+            if b - a >= ASSIGN_LEAST and (k == len(places) or places[k][0] >= b):
+                found.append((a, b))
+    out = []
+    for a, b in sorted(found):
+        log10, segments = model.segment(text[a:b])
+        out.append(Value(a, b, log10, tuple(segments), rule.secret(log10, segments)))
+    return out
+
+
+def guess_spans(base: list[tuple[int, int, str]], values: list[Value]) -> list[tuple[int, int, str]]:
+    """Spans of the values that are secrets and that no base span covers."""
+    return [(v.start, v.end, "guess") for v in values if v.secret and not any(s <= v.start and v.end <= e for s, e, _ in base)]
+
+
+def find_secrets(text: str, model: GuessCost, min_log10: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(base spans, guess spans) of one text."""
+    base, places = base_finds(text)
+    return base, guess_spans(base, credential_values(text, places, model, Rule(min_log10)))
 
 
 _ANCHOR = re.compile(r"(?:pass|pwd|secret|token|key|credential|authorization|bearer|pin)", re.IGNORECASE | re.ASCII)
@@ -201,33 +297,44 @@ def _joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_log10: float = 8.0, words: tuple[str, ...] = WORDS) -> DataFrame:
-    """Per row: n_assign, n_access, n_hex, base_sha256, spans and n_guess.
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_log10: float = 9.0, min_brute: float = 5.0, phrase_log10: float = 24.0, vocabulary: str | None = None) -> DataFrame:
+    """Per row: n_assign, n_access, n_hex, base_sha256, spans, n_guess, n_costly and guess_costs.
 
     ``spans`` lists kind:start:end (code points, end exclusive) of all finds, comma-joined,
     by start and then kind; ``base_sha256`` is the SHA-256 of the list of the first three
-    kinds alone.  ``guess`` spans are credential values, in no base span, that cost at least
-    ``min_log10`` decimal digits of guesses.  Null and empty texts have no spans; null keys
-    and repeated rows stay; other columns are not read; no rows give no rows.
+    kinds alone.  ``guess_costs`` lists every credential value, in a base span or not, secret or
+    not, as start:end:log10 of its guesses:segmentation, such as word5+brute8; ``n_costly`` of
+    them are secrets by the three thresholds (see ``Rule``), and those in no base span are
+    the ``guess`` spans.  ``vocabulary`` is a tokenizer file whose words the guesser knows;
+    without one it knows ``WORDS``.  Null and empty texts have no spans; null keys and
+    repeated rows stay; other columns are not read; no rows give no rows.  Keys must be whole
+    numbers.
     """
+    rule = Rule(min_log10, min_brute, phrase_log10)
 
     def run(batches):
-        model = GuessCost(words)
+        model = guess_cost(vocabulary)
         for part, texts in in_parts(batches):
             rows = []
             for t in texts:
-                base, more = find_secrets(t, model, min_log10)
+                base, places = base_finds(t)
+                values = credential_values(t, places, model, rule)
+                more = guess_spans(base, values)
                 kinds = [k for _, _, k in base]
-                listed = sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
-                rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(listed), len(more)))
+                rows.append(
+                    (*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + more, key=_order)), len(more), sum(v.secret for v in values), ",".join(map(str, values)))
+                )
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.string(),) * 2 + (pa.int64(),)))],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"],
+                [part.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.string(),) * 2 + (pa.int64(),) * 2 + (pa.string(),)))],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "n_costly", "guess_costs"],
             )
 
-    return keyed_text(docs, key, text).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, n_costly long, guess_costs string"
+    return keyed_text(docs, key, text).mapInArrow(run, schema)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return scan_secrets(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("word_bpe_49k.json"))
