@@ -1,10 +1,13 @@
 """Quality classifier by importance resampling (operator 6).
 
-Two generative models over hashed word n-grams are compared: one of the target (labelled
-documents of good quality that are not toxic), one of the raw text (all documents).  A
-document's log weight is the sum of its n-grams' log ratios.  Documents are then drawn
-without replacement by Gumbel top-k on log weight / temperature, where k is the number of
-documents on the good side of the cut that parts the labelled sample best.
+Two generative models over hashed n-grams are compared: one of the target (labelled documents
+of good quality that are not toxic), one of the raw text (all documents).  n-grams are words,
+pairs of neighbouring words, and triples of word shapes (capital, small letters, digits, the
+punctuation itself; whether a word repeats the one before).  A document's log weight is the
+sum of its n-grams' log ratios.  Documents are then drawn without replacement by Gumbel top-k
+on log weight / temperature: k is the number of documents on the good side of the cut that
+parts the held-out labels best, and the temperature the largest at which the draw is expected
+to do hardly worse than that cut on them.
 """
 
 from __future__ import annotations
@@ -15,28 +18,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillmark.llm.common import in_parts, keyed_text, table, written
-from quillmark.llm.textscan import pair_hashes, word_hashes
+from quillmark.llm.common import forget, free_name, in_parts, keyed_text, local_rows, table, written
+from quillmark.llm.textscan import _mix, pair_hashes, word_hashes
 
 BUCKET_BITS = 17
 #: Each n-gram has a bucket in each of so many tables, so that a chance meeting in one is not taken for evidence.
 TABLES = 2
+TEMPERATURES = (1.0, 0.5, 0.25, 0.1, 0.05, 0.02, 0.01)
+
+
+def _shapes(words: np.ndarray, heads: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Of each word: digits, capital or small first letter, or the punctuation itself; and whether it repeats its predecessor."""
+    kind = np.full(256, 0, np.uint64)
+    kind[48:58], kind[65:91], kind[97:123], kind[128:] = 1, 2, 3, 3
+    same = np.zeros(len(words), np.uint64)
+    same[1:] = (words[1:] == words[:-1]) & inside
+    shape = kind[heads]
+    return np.where(shape == 0, words, shape) * np.uint64(2) + same
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of the words and pairs of neighbouring words of each text, each once per text."""
-    words, upto = word_hashes([t.lower() for t in texts], split_punctuation=True)
+    """(text number, hash) of the words, pairs of words and triples of word shapes of each text, each once per text.
+
+    Words are runs of letters and digits or of other signs; A-Z count as a-z.
+    """
+    words, upto, heads = word_hashes(texts, split_punctuation=True, heads=True)
     owner = np.repeat(np.arange(len(texts)), np.diff(upto, prepend=0))
     if not len(words):
         return owner, words
-    pairs = pair_hashes(words)
-    same = words[1:] == words[:-1]
-    if len(words) > 3:
-        pairs[2:][same[:-2] & same[1:-1] & same[2:]] = 1 << 62  # a word four times in a row: one n-gram, whatever the word
     inside = owner[1:] == owner[:-1]
-    value = np.concatenate([words, pairs[inside]])
-    owner = np.concatenate([owner, owner[1:][inside]])
+    shape = _mix(_shapes(words, heads, inside) + np.uint64(0x51ED270B))
+    triples = _mix(pair_hashes(shape)[:-1] * np.uint64(3) + shape[2:]) if len(words) > 2 else words[:0]
+    both = inside[1:] & inside[:-1]
+    value = np.concatenate([words, pair_hashes(words)[inside], triples[both]])
+    owner = np.concatenate([owner, owner[1:][inside], owner[2:][both]])
     _, first = np.unique(value + (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), return_index=True)
     return owner[first], value[first]
 
@@ -54,25 +71,28 @@ def ratios(table_: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.where(low > 0, low, np.where(high < 0, high, 0.0))
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float, deviations: float) -> np.ndarray:
-    """Per bucket. What an average bucket holds is taken to be rare n-grams that met there, and subtracted.
+def log_ratios(raw: np.ndarray, target: np.ndarray, share: float, prior: float, deviations: float) -> np.ndarray:
+    """Per bucket, from the documents that hold it among all and in the target; ``share`` of all are in the target.
 
-    A log ratio shrinks with the evidence for it: to half where the target count is ``deviations``
-    standard deviations from the expected one, to less below; none is set to 0.
+    What half of the buckets hold at least is taken to be rare n-grams that met there, and
+    subtracted.  A log ratio shrinks with the evidence for it: to half where the target count
+    is ``deviations`` standard deviations from the expected one, with the fourth power of these
+    below; none is set to 0.
     """
-    share = target.sum() / max(1.0, raw.sum())
-    expected, rest = raw * share, target.sum() / len(raw)
+    expected = raw * share
+    rest = float(np.median(raw)) * share
     out = np.log((np.maximum(target - rest, 0) + prior) / (np.maximum(expected - rest, 0) + prior))
-    evidence = (target - expected) ** 2 / np.maximum(expected, 1)
-    return out * evidence / (evidence + deviations**2)
+    evidence = ((target - expected) ** 2 / (expected + prior)) ** 2
+    return out * evidence / (evidence + deviations**4)
 
 
 @dataclass(frozen=True)
 class ImportanceModel:
-    """log ratio of target to raw by bucket; cut: log weight from which a document is good."""
+    """log ratio of target to raw by bucket; cut: log weight from which a document is good; temperature of the draw."""
 
     log_ratio: np.ndarray
     cut: float
+    temperature: float = 1.0
 
 
 def _bounded_labels(labels: DataFrame, bound: int) -> list[tuple[int, bool]]:
@@ -85,14 +105,14 @@ def _bounded_labels(labels: DataFrame, bound: int) -> list[tuple[int, bool]]:
     return [(r.doc_id, r.good) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 100_000, prior: float = 4.0, deviations: float = 18.0) -> ImportanceModel:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 100_000, prior: float = 1.0, deviations: float = 4.0) -> ImportanceModel:
     """Fits both models: the raw one on all documents, the target on at most ``bound`` labelled ones.
 
     Counts are of documents that hold an n-gram.  A bucket's ratio is (target count + prior) /
     (count expected of a draw from raw + prior); its logarithm is shrunk by the evidence (see
-    ``log_ratios``), and the cut decides what is too weak to reject.  Three tenths of the
-    labelled sample are kept out of the target to find the cut.  Without labels all log
-    ratios are 0 and nothing is cut.
+    ``log_ratios``).  Three tenths of the labelled sample are kept out of the target; on them
+    the cut and the temperature are found.  Without labels all log ratios are 0 and nothing
+    is cut.
     """
     sample = _bounded_labels(labels, bound)
     held_out = dict(sample[::10] + sample[3::10] + sample[7::10])
@@ -100,30 +120,37 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 100_000, prior: float =
     size = TABLES << BUCKET_BITS
 
     def count(batches):
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        # the last place counts the documents themselves
+        raw, target = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
         for part, texts in in_parts(batches, 1_000_000):
             owner, value = ngrams(texts)
-            inside = np.array([k in good for k in part.column(0).to_pylist()], bool)[owner]
+            mine = np.array([k in good for k in part.column(0).to_pylist()], bool)
+            inside = mine[owner]
+            raw[size] += len(texts)
+            target[size] += int(mine.sum())
             for at in buckets(value):
-                raw += np.bincount(at, minlength=size)
+                raw[:size] += np.bincount(at, minlength=size)
                 if inside.any():
-                    target += np.bincount(at[inside], minlength=size)
+                    target[:size] += np.bincount(at[inside], minlength=size)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
     counted = keyed_text(docs).mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(size), np.zeros(size)
-    found = counted.toArrow()  # at most TABLES * 2**BUCKET_BITS rows
+    raw, target = np.zeros(size + 1), np.zeros(size + 1)
+    found = counted.toArrow()  # at most TABLES * 2**BUCKET_BITS + 1 rows
     at = found["bucket"].to_numpy()
     raw[at], target[at] = found["raw"].to_numpy(), found["target"].to_numpy()
-    ratio = log_ratios(raw, target, prior, deviations) if good else np.zeros(size)
+    share = target[size] / max(1.0, raw[size])
+    ratio = log_ratios(raw[:size], target[:size], share, prior, deviations) if share else np.zeros(size)
     model = ImportanceModel(ratio.astype(np.float32), -np.inf)
-    if not held_out or not good:
+    if not held_out or not share:
         return model
-    mine = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in held_out], "doc_id long")), "doc_id", "left_semi")
-    scores = score(mine.select("doc_id", "text"), model).select("doc_id", "log_weight").toArrow()  # at most 0.3 * bound rows, and their copies
-    keys, weight = scores["doc_id"].to_pylist(), scores["log_weight"].to_numpy()
-    return ImportanceModel(model.log_ratio, best_cut(weight, np.array([held_out[k] for k in keys], bool)))
+    mine = keyed_text(docs).join(F.broadcast(local_rows(docs.sparkSession, {"doc_id": ("long", list(held_out))})), "doc_id", "left_semi")
+    scores = score(mine, model).toArrow()  # at most 0.3 * bound rows, and their copies
+    weight = scores["log_weight"].to_numpy()
+    is_good = np.array([held_out[k] for k in scores["doc_id"].to_pylist()], bool)
+    cut = best_cut(weight, is_good)
+    return ImportanceModel(model.log_ratio, cut, best_temperature(weight, is_good, cut))
 
 
 def best_cut(weight: np.ndarray, good: np.ndarray, care: float = 4.0) -> float:
@@ -142,26 +169,48 @@ def best_cut(weight: np.ndarray, good: np.ndarray, care: float = 4.0) -> float:
     return -np.inf if i == 0 else np.inf if i == len(w) else float((w[i - 1] + w[i]) / 2)
 
 
-def score(docs: DataFrame, model: ImportanceModel) -> DataFrame:
-    """All columns of ``docs`` (doc_id and text among them) and ``log_weight``; 0 for empty and null texts."""
-    names = [c for c in docs.columns if c != "log_weight"]
-    table_ = docs.sparkSession.sparkContext.broadcast(model.log_ratio)
+def best_temperature(weight: np.ndarray, good: np.ndarray, cut: float, care: float = 4.0, slack: float = 0.004) -> float:
+    """The largest of ``TEMPERATURES`` at which a draw of as many documents as pass the cut is expected to err hardly more.
+
+    A document of weight w is drawn if w / temperature + Gumbel noise passes a bound, of which
+    the probability is known; the bound is the one that as many pass in the mean.  Up to
+    ``slack`` more errors per document are allowed; if no temperature does, it is the least.
+    """
+    share = float((weight >= cut).mean()) if len(weight) else 1.0
+    if not 0 < share < 1:
+        return TEMPERATURES[0]
+    errors = care * (good & (weight < cut)).sum() + (~good & (weight >= cut)).sum()
+    for t in TEMPERATURES:
+        low, high = weight.min() / t - 50, weight.max() / t + 50
+        for _ in range(80):
+            bound = (low + high) / 2
+            lost = np.exp(-np.exp(np.minimum(weight / t - bound, 700)))
+            low, high = (bound, high) if 1 - lost.mean() > share else (low, bound)
+        if care * lost[good].sum() + (1 - lost[~good]).sum() <= errors + slack * len(weight):
+            return t
+    return TEMPERATURES[-1]
+
+
+def _weights(texts: list[str], ratio: np.ndarray) -> np.ndarray:
+    owner, value = ngrams(texts)
+    return np.round(np.bincount(owner, weights=ratios(ratio, value), minlength=len(texts)) + 0.0, 6)
+
+
+def score(docs: DataFrame, model: ImportanceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key as ``doc_id`` and ``log_weight``; 0 for empty and null texts."""
+    table_ = docs.sparkSession.sparkContext.broadcast(model.log_ratio)  # TABLES * 2**BUCKET_BITS floats
 
     def run(batches):
-        ratio = table_.value
         for part, texts in in_parts(batches, 1_000_000):
-            owner, value = ngrams([t or "" for t in texts])
-            weight = np.bincount(owner, weights=ratios(ratio, value), minlength=len(texts)) + 0.0
-            yield part.append_column("log_weight", pa.array(np.round(weight, 6)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_weights(texts, table_.value))], names=["doc_id", "log_weight"])
 
-    picked = docs.select(*names)
-    return picked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema) + ", log_weight double")
+    return keyed_text(docs, key, text).mapInArrow(run, "doc_id long, log_weight double")
 
 
-def with_key(scored: DataFrame, temperature: float, seed: int) -> DataFrame:
-    """Adds ``key``: log weight / temperature plus Gumbel noise from the hash of doc_id and seed."""
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
-    return scored.withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(u)))
+def gumbel_key(weight: str, temperature: float, seed: int, key: str = "doc_id"):
+    """Log weight / temperature plus Gumbel noise from the hash of the key and the seed, as a column."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.col(key).cast("long"), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
+    return F.col(weight) / temperature - F.log(-F.log(u))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -186,28 +235,41 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
         lo, hi = r.lo, r.hi
 
 
-def keep_rule(docs: DataFrame, model: ImportanceModel, temperature: float, seed: int) -> tuple[DataFrame, float]:
+def keep_rule(docs: DataFrame, model: ImportanceModel, seed: int) -> tuple[DataFrame, float]:
     """(doc_id, log_weight and key of every document as a written table; smallest key drawn)."""
-    scored = written(with_key(score(keyed_text(docs), model).select("doc_id", "log_weight"), temperature, seed), "weights")
+    scored = written(score(docs, model).withColumn("key", gumbel_key("log_weight", model.temperature, seed)), "weights")
     k = scored.filter(F.col("log_weight") >= F.lit(model.cut)).count()
     return scored, kth_largest(scored, "key", k)
 
 
-def resample(docs: DataFrame, labels: DataFrame, temperature: float = 0.01, seed: int = 7, bound: int = 100_000) -> DataFrame:
-    """The documents drawn: rows of ``docs`` with all their columns.
+def resample(docs: DataFrame, labels: DataFrame, temperature: float | None = None, seed: int = 7, bound: int = 100_000) -> DataFrame:
+    """The documents drawn: rows of ``docs`` (doc_id and text among the columns) with all their columns.
 
     Null and empty texts weigh 0, like text that says nothing about quality.  Rows that repeat
     a doc_id and text are drawn together.  Equal keys at the limit are all drawn.  Without
-    labels everything is.  A low temperature keeps the draw close to the weights' order.
+    labels everything is; no rows give no rows.  A lower ``temperature`` keeps the draw closer
+    to the weights' order; None takes the fitted one (``best_temperature``).  doc_id must be
+    a whole number, null included.
     """
     model = fit(docs, labels, bound)
-    _, least = keep_rule(docs, model, temperature, seed)
+    if temperature is not None:
+        model = ImportanceModel(model.log_ratio, model.cut, temperature)
+    scored, least = keep_rule(docs, model, seed)
+    forget(scored)
     names = docs.columns
-    return with_key(score(docs, model), temperature, seed).filter(F.col("key") >= F.lit(least)).select(*names)
+    weight = free_name("log_weight", names)
+    sent = docs.sparkSession.sparkContext.broadcast(model.log_ratio)
+
+    def run(batches):
+        for part, texts in in_parts(batches, 1_000_000):
+            yield part.append_column(weight, pa.array(_weights([t or "" for t in texts], sent.value)))
+
+    picked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(weight, DoubleType())]))
+    return picked.filter(gumbel_key(weight, model.temperature, seed) >= F.lit(least)).select(*names)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents drawn: doc_id, log_weight and key."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored, least = keep_rule(docs, fit(docs, labels), 0.01, 7)
+    scored, least = keep_rule(docs, fit(docs, labels), 7)
     return scored.filter(F.col("key") >= F.lit(least)).select("doc_id", "log_weight", "key")

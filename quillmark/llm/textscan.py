@@ -31,8 +31,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(texts: list[str], split_punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words up to and with each text).
+def word_hashes(texts: list[str], split_punctuation: bool = False, heads: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash of each word, number of words up to and with each text), with ``heads`` also the first byte of each word.
 
     A-Z count as a-z.  Words are runs of bytes other than ASCII white space; with
     ``split_punctuation`` also changes between punctuation and other characters part words.
@@ -53,7 +53,7 @@ def word_hashes(texts: list[str], split_punctuation: bool = False) -> tuple[np.n
         start[1:] &= space[:-1]
     at = np.flatnonzero(start)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), np.zeros(0, np.uint8))[: 2 + heads]
     word = np.cumsum(start, dtype=np.int32) - 1
     place = np.arange(len(raw), dtype=np.int32) - at.astype(np.int32)[np.maximum(word, 0)]
     value = _BYTE[_LOWER[raw]] * _POWERS[place & 4095]
@@ -62,7 +62,7 @@ def word_hashes(texts: list[str], split_punctuation: bool = False) -> tuple[np.n
         value[far] *= _mix((place[far] >> 12).astype(np.uint64)) | np.uint64(1)
     value[(_CLASS[raw] == 0)] = 0
     hashes = _mix(np.add.reduceat(value, at))
-    return hashes, np.searchsorted(at, ends)
+    return (hashes, np.searchsorted(at, ends), raw[at])[: 2 + heads]
 
 
 def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:

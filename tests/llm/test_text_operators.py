@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmark.llm import queries
@@ -17,8 +20,8 @@ from quillmark.llm.components import components
 from quillmark.llm.decontaminate import build_index, clean_documents, find, find_items
 from quillmark.llm.jaccard_join import connected, plan, signatures, similarity_components
 from quillmark.llm.line_dedup import line_dedup
-from quillmark.llm.quality import best_cut, fit, kth_largest, resample, score
-from quillmark.llm.secret_scan import GuessCost, find_secrets, scan_secrets
+from quillmark.llm.quality import best_cut, best_temperature, fit, keep_rule, kth_largest, ngrams, resample, score
+from quillmark.llm.secret_scan import GuessCost, find_secrets, guess_cost, ranked_words, scan_secrets
 from quillmark.llm.textscan import shingles
 from tests.conftest import SF
 from tests.oracle import same
@@ -85,6 +88,40 @@ def test_costly_values_of_small_letters_alone():
     assert find_secrets("pwd: sunshinemonkey", GuessCost(), 8.0)[1] == []
 
 
+def test_every_credential_value_is_costed(spark):
+    """Through the operator: each value's least cost, base spans or not, against all segmentations."""
+    values = ["hunter2hunter2", "Xk9#qLz!7vTw2", "qwertyuiop", "sunshinemonkey", "required", "zk19870412"]
+    rows = [(k, f"{lead}{v}.") for k, (lead, v) in enumerate((lead, v) for lead in ("password=", "my pwd: ", "the passphrase is ") for v in values)]
+    model = GuessCost()
+    for r in scan_secrets(frame(spark, rows)).collect():
+        v = values[r.doc_id % len(values)] + "." * (r.doc_id < len(values) and "#" not in values[r.doc_id % len(values)])
+        v = "Xk9" if r.doc_id == 1 else v
+        if len(v) < 6:
+            continue
+        each, some = np.log10(model._alphabet(v)), model._segments(v)
+        best = {0: 0.0}
+        for j in range(1, len(v) + 1):
+            best[j] = min([best[j - 1] + (1.0 if v[j - 1] in model.SIGNS else each)] + [best[s.start] + s.log10 + 0.3 for s in some if s.end == j])
+        start, end, cost, parts = r.guess_costs.split(":")
+        text = dict(rows)[r.doc_id]
+        assert text[int(start) : int(end)] == v and float(cost) == pytest.approx(best[len(v)], abs=0.006)
+        assert sum(int(re.sub(r"\D", "", x)) for x in parts.split("+")) == len(v)
+
+
+def test_precision_and_recall_of_guesses():
+    """Planted strong values are found; weak ones and prose behind the same words are not."""
+    model, rng = guess_cost(public_tokenizers.path("word_bpe_49k.json")), random.Random(11)
+    lead = ["pwd: ", "passphrase is ", "Authorization: Bearer ", "private_key := ", "credentials: ", "bearer: "]
+    marks = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#%+_"
+    strong = ["".join(rng.choice(marks[: rng.choice([26, 62, 67])]) for _ in range(rng.randint(12, 40))) for _ in range(300)]
+    weak = [rng.choice(["Summer", "password", "dragon", "Welcome", "monkey"]) + rng.choice(["1", "2024", "123", "1987!", "qwerty"]) for _ in range(100)]
+    words = [w for w in ranked_words(public_tokenizers.path("word_bpe_49k.json")) if len(w) > 3][:8000]
+    prose = [rng.choice([rng.choice(words), "-".join(rng.sample(words, 2)), "/" + "/".join(rng.sample(words, 3)), ".".join(rng.sample(words, 3)), "https://" + rng.choice(words) + ".com"]) for _ in range(300)]
+    found = lambda values: sum(any(k == "guess" for *_, k in find_secrets(f"so the {rng.choice(lead)}{v} then", model, 9.0)[1]) for v in values)
+    hits, false = found(strong), found(weak) + found(prose)
+    assert hits >= 0.97 * len(strong) and false <= 0.03 * (len(weak) + len(prose)), (hits, false)
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
     model = GuessCost()
     for value in ["password1", "qwerty2020", "abcabcabc", "Zx9$k", "dragon1987!", "aaaa", "p@ssw0rd"]:
@@ -352,6 +389,93 @@ def test_scores_and_cut(spark):
     assert best_cut(np.array([1.0, 2.0]), np.array([False, True])) == 1.5
 
 
+def brute_grams(text):
+    """The n-grams of a text as plain values, in the sense of ``quality.ngrams``."""
+    words = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\x80-\U0010ffff \t-\r]+", text)
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    shape = []
+    for k, w in enumerate(words):
+        kind = "9" if w[0] in "0123456789" else "X" if "A" <= w[0] <= "Z" else "x" if w[0].isalpha() or w[0] >= "\x80" else low[k]
+        shape.append((kind, k > 0 and low[k] == low[k - 1]))
+    return {("w", w) for w in low} | set(zip(low, low[1:])) | {("s", x) for x in zip(shape, shape[1:], shape[2:])}
+
+
+def test_ngrams_equal_brute_force():
+    texts = ["", "a", "a a", "The the THE end.", "x ... x 12 12 é É", "One two\n\nthree, 4 four four four", "!?! !?!"]
+    owner, value = ngrams(texts)
+    assert np.bincount(owner, minlength=len(texts)).tolist() == [len(brute_grams(t)) for t in texts]
+    of = lambda k: set(value[owner == k].tolist())
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert len(of(i) & of(j)) == len(brute_grams(a) & brute_grams(b))
+
+
+def test_weights_and_draw_equal_brute_force(spark):
+    """Counts, shrunk ratios, weights and the k largest keys, recomputed with exact n-grams."""
+    rows, labels = corpus(random.Random(5), 400)
+    docs, known = frame(spark, rows), spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int")
+    model = fit(docs, known)
+    sample = [(r.doc_id, r.good) for r in known.selectExpr("doc_id", "quality = 1 and toxic = 0 as good").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    held = {k for k, _ in sample[::10] + sample[3::10] + sample[7::10]}
+    target = {k for k, g in sample if g and k not in held}
+    grams = {k: brute_grams(t) for k, t in rows}
+    raw_df, good_df = Counter(), Counter()
+    for k, g in grams.items():
+        raw_df.update(g)
+        good_df.update(g if k in target else ())
+    share = len(target) / len(rows)
+
+    def ratio(g):
+        expected = raw_df[g] * share
+        evidence = ((good_df[g] - expected) ** 2 / (expected + 1)) ** 2
+        return np.log((good_df[g] + 1) / (expected + 1)) * evidence / (evidence + 4.0**4)
+
+    want = {k: sum(map(ratio, g)) for k, g in grams.items()}
+    got = {r.doc_id: r.log_weight for r in score(docs, model).collect()}
+    # n-grams that met others in both of their buckets are all that differs
+    assert np.corrcoef([want[k] for k in want], [got[k] for k in want])[0, 1] > 0.99
+    assert np.median([abs(want[k] - got[k]) for k in want]) < 0.05
+    scored, least = keep_rule(docs, model, 7)
+    keys = {r.doc_id: r.key for r in scored.collect()}
+    k = sum(w >= model.cut for w in got.values())
+    assert least == sorted(keys.values(), reverse=True)[k - 1]
+    drawn = {r.doc_id for r in resample(docs, known).collect()}
+    assert drawn == {d for d in keys if keys[d] >= least}
+
+
+def test_the_draw_is_one():
+    """At a temperature of 1 documents are drawn about in proportion to their weight."""
+    rng = np.random.default_rng(3)
+    w = np.repeat([0.0, 2.0], 20_000)
+    keys = w - np.log(-np.log(rng.random(len(w))))
+    first = np.argsort(-keys)[:1000]
+    assert abs((first >= 20_000).mean() - np.exp(2) / (1 + np.exp(2))) < 0.03
+    good = np.repeat([False, True], 200)
+    assert best_temperature(np.where(good, 3.0, -30.0), good, -10.0) == 1.0
+    assert best_temperature(np.where(good, 0.02, -0.02), good, 0.0) == 0.01
+
+
+def test_resample_leaves_columns_alone(spark):
+    rows, labels = corpus(random.Random(2), 300)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    wide = frame(spark, rows).withColumn("key", F.lit(100.0)).withColumn("Log_Weight", F.lit("mine"))
+    kept = resample(wide, known)
+    assert kept.columns == wide.columns
+    assert {(r.key, r.Log_Weight) for r in kept.collect()} == {(100.0, "mine")} and kept.count() < 300
+
+
+def test_rejects_at_a_hundredth(spark):
+    """At scale 0.01 some labelled junk goes and hardly any good document."""
+    at = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    kept = {r.doc_id for r in resample(docs, labels).select("doc_id").collect()}
+    good = {r.doc_id: r.good for r in labels.groupBy("doc_id").agg(F.min(F.expr("quality = 1 and toxic = 0")).alias("good")).collect()}
+    bad = [k for k, g in good.items() if not g]
+    assert sum(k not in kept for k in bad) >= 0.2 * len(bad)
+    fine = [k for k, g in good.items() if g]
+    assert sum(k in kept for k in fine) >= 0.97 * len(fine)
+
+
 def test_few_labels_still_weigh(spark):
     rows, labels = corpus(random.Random(4), 120)
     model = fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
@@ -382,7 +506,8 @@ def test_pipeline(spark):
         assert rows.columns == docs.columns
         seen.append((name, {r.doc_id: r.text for r in before.collect()}, {r.doc_id: r.text for r in rows.collect()}))
     (_, a, b), (_, c, d), (_, e, f), (_, g, h) = seen
-    assert set(b) <= set(a) and all(a[k] == b[k] for k in b)
+    scored, least = keep_rule(docs, fit(docs, spark.read.parquet(f"{SF}/labels.parquet")), 7)
+    assert b == {k: a[k] for k in (r.doc_id for r in scored.collect() if r.key >= least)}
     text, _ = brute_lines(list(c.items()))
     assert d == text
     comp = dict((x[0], x[2]) for x in brute_components(list(e.items()), 5, 80, 100))
