@@ -8,6 +8,12 @@ Layout under one folder:
   in its shard's id stream, number of ids, digests of its chunks in order, Merkle root.
 * ``recipes`` (kind shard), the manifest: per shard its documents, its ids and the Merkle root
   of its documents; the ids before a shard are the sum over the shards before it.
+* ``recipes`` (kind store): the number of shards, documents and ids of the store and the
+  Merkle root of its shards.
+
+Reading holds chunks against their digests, documents against their chunks, shards against
+their documents and the store against its shards, so whatever is lost, swapped or changed
+raises an error.
 
 Id streams are cut where a rolling hash of the last 16 ids is 0 modulo the target size, so
 equal passages give equal chunks wherever they stand.
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm.bpe_automaton import automaton
-from quillmark.llm.common import in_parts, keyed_text, new_path, table, written
+from quillmark.llm.common import in_parts, keyed_text, local_rows, new_path, table, written
 
 DIGEST = 20
 LEAST, TARGET, MOST = 256, 1024, 4096
@@ -118,7 +124,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, key
         compressor = zstandard.ZstdCompressor(level=1)
         machine = automaton(tokenizer, False)
         sent: set[bytes] = set()
-        for part, texts in in_parts(batches, 2_000_000, True):
+        for part, texts in in_parts(batches, tokenizes=True):
             keys, row = part.column(0).to_pylist(), 0
             for ids, sizes in machine.encode(texts):
                 ends = np.cumsum(sizes + 1)
@@ -143,25 +149,38 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, key
                 )
 
     def first_of_each(batches):
-        # an exchange partition's digests: 20 bytes for each kilobyte of ids that it holds
-        seen: set[bytes] = set()
+        # sorted by digest, so copies follow each other
+        last = None
         for b in batches:
-            names = b.column(1).to_pylist()
             keep = []
-            for k, name in enumerate(names):
-                if name is None or name not in seen:
+            for k, name in enumerate(b.column(1).to_pylist()):
+                if name is None or name != last:
                     keep.append(k)
-                    if name is not None:
-                        seen.add(name)
+                last = name
             yield b.take(pa.array(keep, pa.int64()))
 
     schema = "kind string, digest binary, data binary, doc_id long, n_tokens long"
     sent = keyed_text(docs, key, text).mapInArrow(chunks, schema)
     dealt = sent.repartition(F.coalesce(F.col("digest"), F.unhex(F.hex(F.xxhash64("doc_id", "data")))))
-    dealt.mapInArrow(first_of_each, schema).write.partitionBy("kind").parquet(f"{path}/chunks")
+    dealt.sortWithinPartitions("digest").mapInArrow(first_of_each, schema).write.partitionBy("kind").parquet(f"{path}/chunks")
     _write_recipes(docs.sparkSession, path)
 
 
+def _leaf(key: int | None, start: int, size: int, root: bytes) -> bytes:
+    """What a document is in its shard's tree: its key, place and length as well as its chunks."""
+    return hashlib.blake2b(b"\0" + repr((key, start, size)).encode() + root, digest_size=DIGEST).digest()
+
+
+def _store_root(shards: list[tuple[int, int, int, bytes]]) -> bytes:
+    """Merkle root over (shard, documents, ids, root) in order."""
+    return merkle_root([_leaf(*s) for s in shards])
+
+
+def _shards(spark: SparkSession, path: str) -> list[tuple[int, int, int, bytes]]:
+    rows = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").filter("kind = 'shard'").select("shard", "doc_id", "n_tokens", "root").orderBy("shard", "doc_id").collect()
+    return [(r.shard, r.doc_id, r.n_tokens, bytes(r.root)) for r in rows]
+
+
 def _write_recipes(spark: SparkSession, path: str) -> None:
     def shard(batches):
         from pyspark import TaskContext
@@ -170,9 +189,9 @@ def _write_recipes(spark: SparkSession, path: str) -> None:
         for b in batches:
             keys, sizes, lists = (b.column(k).to_pylist() for k in range(3))
             starts, roots = [], []
-            for size, names in zip(sizes, lists):
+            for key, size, names in zip(keys, sizes, lists):
                 roots.append(merkle_root([names[i : i + DIGEST] for i in range(0, len(names), DIGEST)]))
-                tree.add(roots[-1])
+                tree.add(_leaf(key, at, size, roots[-1]))
                 starts.append(at)
                 at += size
                 n += 1
@@ -187,22 +206,63 @@ def _write_recipes(spark: SparkSession, path: str) -> None:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_order = recipes.select("doc_id", "n_tokens", "data").repartitionByRange(parts, "doc_id", "n_tokens", "data").sortWithinPartitions("doc_id", "n_tokens", "data")
     in_order.mapInArrow(shard, "kind string, shard int, doc_id long, start long, n_tokens long, data binary, root binary").write.partitionBy("kind").parquet(f"{path}/recipes")
+    shards = _shards(spark, path)
+    total = {
+        "kind": ("string", ["store"]), "shard": ("int", [len(shards)]), "doc_id": ("long", [sum(s[1] for s in shards)]), "start": ("long", [0]),
+        "n_tokens": ("long", [sum(s[2] for s in shards)]), "data": ("binary", [b""]), "root": ("binary", [_store_root(shards)]),
+    }
+    local_rows(spark, total).coalesce(1).write.mode("append").partitionBy("kind").parquet(f"{path}/recipes")
 
 
 _SHARD = ["kind", "shard", "doc_id", "start", "n_tokens", "data", "root"]
 _RECIPES = "shard int, doc_id long, start long, n_tokens long, data binary, root binary, kind string"
 
 
-def shard_offsets(spark: SparkSession, path: str) -> list[tuple[int, int]]:
-    """(shard, ids in the shards before it); as many entries as the recipes have partitions."""
-    rows = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").filter("kind = 'shard'").select("shard", "n_tokens").orderBy("shard").collect()
+def verified_shards(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(shard, ids in the shards before it), after the store was held against its manifest; as many entries as the recipes have partitions.
+
+    The documents' recipes are read in order, shard by shard, for their number, their places
+    and the shard's Merkle root; these must be the manifest's, and its shards those of the store.
+    """
+    shards = _shards(spark, path)
+    whole = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").filter("kind = 'store'").collect()
+    if [(r.shard, r.doc_id, r.n_tokens, bytes(r.root)) for r in whole] != [(len(shards), sum(s[1] for s in shards), sum(s[2] for s in shards), _store_root(shards))]:
+        raise ValueError("the store's shards are not those of its manifest")
+
+    def recount(batches):
+        shard, tree, n, at, gap = None, MerkleStream(), 0, 0, False
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, n, at, b"" if gap else tree.root()), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "n", "ids", "root"])
+
+        for b in batches:
+            for one, key, start, size, root in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if one != shard:
+                    if shard is not None:
+                        yield row()
+                    shard, tree, n, at, gap = one, MerkleStream(), 0, 0, False
+                tree.add(_leaf(key, start, size, root))
+                gap |= start != at
+                n, at = n + 1, at + size
+        if shard is not None:
+            yield row()
+
+    docs = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").filter("kind = 'doc'").select("shard", "doc_id", "start", "n_tokens", "root")
+    found = docs.repartition("shard").sortWithinPartitions("shard", "start").mapInArrow(recount, "shard int, n long, ids long, root binary").collect()
+    if sorted((r.shard, r.n, r.ids, bytes(r.root)) for r in found) != shards:
+        raise ValueError("the documents of a shard are not those of its manifest row")
     out, at = [], 0
-    for r in rows:
-        out.append((r.shard, at))
-        at += r.n_tokens
+    for shard, _, ids, _ in shards:
+        out.append((shard, at))
+        at += ids
     return out
 
 
+def _offsets_table(spark: SparkSession, path: str) -> DataFrame:
+    known = verified_shards(spark, path)
+    return local_rows(spark, {"shard": ("int", [k for k, _ in known]), "before": ("long", [n for _, n in known])})
+
+
 def _times(matrix: np.ndarray, v: np.ndarray) -> np.ndarray:
     out = np.zeros_like(v)
     for k in range(32):
@@ -263,10 +323,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     Every chunk is read and held against its digest once; a document's checksum is composed
     from its chunks' checksums, so ids are not shuffled.  A recipe whose Merkle root or number
-    of ids differs from what its chunks give raises an error, as does a missing chunk.
+    of ids differs from what its chunks give raises an error, as does a missing chunk; the
+    manifest is checked first (``verified_shards``).
     """
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").filter("kind = 'doc'")
-    first = spark.createDataFrame(shard_offsets(spark, path), "shard int, before long")
+    first = _offsets_table(spark, path)
     parts = recipes.select(
         "shard", F.col("start").alias("at"), F.expr(f"posexplode(transform(sequence(1, length(data), {DIGEST}), i -> substring(data, i, {DIGEST})))").alias("pos", "digest")
     )
@@ -298,7 +359,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start and the array ``ids``, rebuilt from its chunks."""
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").filter("kind = 'doc'")
     stored = spark.read.schema("digest binary, data binary, doc_id long, n_tokens long, kind string").parquet(f"{path}/chunks").filter("kind = 'chunk'").select("digest", "data")
-    first = spark.createDataFrame(shard_offsets(spark, path), "shard int, before long")
+    first = _offsets_table(spark, path)
     parts = recipes.select("shard", "doc_id", F.col("start").alias("at"), F.expr(f"posexplode(transform(sequence(1, length(data), {DIGEST}), i -> substring(data, i, {DIGEST})))").alias("pos", "digest"))
     lists = parts.join(stored, "digest").join(first, "shard").groupBy("doc_id", (F.col("at") + F.col("before")).alias("start")).agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("parts"))
 

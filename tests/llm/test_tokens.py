@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillmark.llm.bpe_automaton import BpeAutomaton
@@ -121,6 +122,30 @@ def test_store_keeps_equal_chunks_once_and_notices_damage(spark):
         read_store(spark, bad).collect()
 
 
+DAMAGE = {
+    "a document": lambda r: r.filter("kind <> 'doc' or doc_id <> 17"),
+    "a document twice": lambda r: r.union(r.filter("kind = 'doc' and doc_id = 17")),
+    "a shard's row": lambda r: r.filter("kind <> 'shard' or shard <> 1"),
+    "a shard": lambda r: r.filter("kind = 'store' or shard <> 1"),
+    "the store's row": lambda r: r.filter("kind <> 'store'"),
+    "two recipes swapped": lambda r: r.withColumn("doc_id", F.expr("case when kind = 'doc' and doc_id = 3 then 4 when kind = 'doc' and doc_id = 4 then 3 else doc_id end")),
+    "chunks of two documents swapped": lambda r: r.withColumn("data", F.expr("case when kind = 'doc' and doc_id in (3, 4) then reverse(data) else data end")),
+}
+
+
+@pytest.mark.parametrize("what", DAMAGE)
+def test_store_notices_what_is_lost_or_swapped(spark, what):
+    path, bad = new_path(spark, "t"), new_path(spark, "t")
+    write_store(docs(spark, [(k, f"text {k} " * (k + 1)) for k in range(60)]), path, WORD)
+    assert read_store(spark, path).count() == 60
+    recipes = spark.read.parquet(f"{path}/recipes")
+    assert recipes.filter("kind = 'shard'").count() > 1
+    DAMAGE[what](recipes).write.partitionBy("kind").parquet(f"{bad}/recipes")
+    spark.read.parquet(f"{path}/chunks").write.partitionBy("kind").parquet(f"{bad}/chunks")
+    with pytest.raises(Exception, match="manifest|does not match"):
+        read_store(spark, bad).collect()
+
+
 def test_empty_store(spark):
     path = new_path(spark, "t")
     write_store(docs(spark, []), path, WORD)
