@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by adaptive dimension scan (operator 8).
 
-Vectors are rotated at random, so the part of an inner product that a scan has not seen yet
-is close to normal with a variance that the unseen parts' lengths give.  Each probed list is
-scanned in blocks of columns; after a block, a candidate is abandoned when a test at
-``z`` standard deviations says that it can't reach the query's 20th best score so far.
-Survivors are scored exactly on the original vectors.
+Vectors are rotated at random, so d of D columns hold close to d / D of an inner product, with
+a variance that the vectors' lengths give.  A query probes the lists whose centres are nearest
+to it.  They are scanned in blocks of columns, best list first; after a block, a candidate is
+abandoned when a test at ``z`` standard deviations rejects that its whole inner product
+reaches the query's k-th best score so far, which every list raises for the next.  Survivors are scored exactly on the original vectors.
+
+Nothing outside the probed lists is looked at.  Lists are grouped into cells of about equal size; a task scans one block of a cell's
+candidates for one block of queries, so neither a large list nor a frequent one is one task's.
 """
 
 from __future__ import annotations
@@ -18,19 +21,21 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import table, written
 
-
+_CELLS = pa.list_(pa.struct([("cell", pa.int32()), ("lists", pa.binary())]))
 _NEAR = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
 
 
 @dataclass(frozen=True)
 class ListIndex:
-    """Fitted on a bounded sample: rotation, list centres, lists to probe, and the sample itself."""
+    """Fitted on a bounded sample: rotation, list centres, lists to probe, cell of each list, and the sample itself."""
 
     rotation: np.ndarray
     centres: np.ndarray
     probes: int
+    cell: np.ndarray
     sample_ids: np.ndarray
     sample: np.ndarray
+    sample_list: np.ndarray
 
     @property
     def dim(self) -> int:
@@ -50,11 +55,42 @@ def _order(centres: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.argsort(-(q @ centres.T), axis=1, kind="stable")
 
 
-def fit_index(rows: DataFrame, k: int, sample: int = 4096, per_list: int = 2000, target: float = 0.985, seed: int = 11) -> ListIndex | None:
-    """Centres by spherical k-means on at most ``sample`` vectors, chosen by hash.
+def train_centres(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """Centres of length 1 by spherical k-means."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit[rng.permutation(len(x))[:lists]]
+    for _ in range(rounds):
+        near = np.argmax(unit @ centres.T, axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, unit)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(size > 0, total / np.maximum(size, 1e-300), centres)
+    return centres
+
+
+def probes_for(centres: np.ndarray, x: np.ndarray, k: int, target: float, asked: int = 512) -> int:
+    """The fewest lists to probe that hold ``target`` of the k nearest rows of ``x`` of some rows of ``x``."""
+    near = np.argmax(x @ centres.T, axis=1)
+    own = np.arange(len(x))[:: max(1, len(x) // asked)]
+    score = x[own] @ x.T
+    score[np.arange(len(own)), own] = -np.inf
+    kth = min(k, len(x) - 1)
+    if kth < 1:
+        return len(centres)
+    best = np.argpartition(-score, kth - 1, axis=1)[:, :kth]
+    rank = np.argsort(_order(centres, x[own]), axis=1)  # rank[i, list]
+    needed = np.sort(np.take_along_axis(rank, near[best], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
+
+
+def fit_index(rows: DataFrame, k: int, sample: int = 16_384, per_list: int = 50, per_cell: int = 8192, target: float = 0.89, seed: int = 11) -> ListIndex | None:
+    """Centres from one half of at most ``sample`` vectors chosen by hash, the number of probes from the other half.
 
-    The number of probes is the smallest that finds ``target`` of the sample's own neighbours
-    within the sample.  None if there is no vector.
+    There is a list for every ``per_list`` vectors, but at most one for every 16 of the half
+    sample.  The number of probes is the smallest that finds ``target`` of the neighbours that
+    queries of the other half have there; no centre was trained on these, and as neighbours
+    among fewer vectors are farther off, all vectors' recall is expected above it.  None if
+    there is no vector.
     """
     found = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if found is None:
@@ -64,24 +100,19 @@ def fit_index(rows: DataFrame, k: int, sample: int = 4096, per_list: int = 2000,
     x = np.array(some["v"].to_pylist(), np.float64).reshape(-1, dim)
     rng = np.random.default_rng(seed)
     rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    lists = max(1, min(n // per_list, len(x) // 8))
-    centres = unit[rng.permutation(len(x))[:lists]]
-    for _ in range(12):
-        near = np.argmax(unit @ centres.T, axis=1)
-        total = np.zeros_like(centres)
-        np.add.at(total, near, unit)
-        size = np.linalg.norm(total, axis=1, keepdims=True)
-        centres = np.where(size > 0, total / np.maximum(size, 1e-300), centres)
-    near = np.argmax(unit @ centres.T, axis=1)
-    q = x[:: max(1, len(x) // 256)]
-    score = q @ x.T
-    kth = min(k + 1, len(x))
-    best = np.argpartition(-score, kth - 1, axis=1)[:, :kth]
-    rank = np.argsort(_order(centres, q), axis=1)  # rank[i, list]
-    needed = np.sort(np.take_along_axis(rank, near[best], axis=1).ravel())
-    probes = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
-    return ListIndex(rotation, centres, probes, some["vec_id"].to_numpy(), x)
+    lists = max(1, min(n // per_list, len(x) // 32))
+    centres = train_centres(x[::2], lists, rng) if lists > 1 else np.zeros((1, dim))
+    probes = probes_for(centres, x[1::2], k, target) if lists > 1 else 1
+    # neighbouring lists along the main axis share a cell
+    axis = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0]
+    cells = max(1, min(lists, -(-n // per_cell)))
+    home = np.argmax(x @ centres.T, axis=1)
+    held = np.bincount(home, minlength=lists)
+    cell = np.zeros(lists, np.int32)
+    order = np.argsort(centres @ axis, kind="stable")
+    before = np.cumsum(held[order]) - held[order]
+    cell[order] = np.minimum(before * cells // max(1, held.sum()), cells - 1)
+    return ListIndex(rotation, centres, probes, cell, some["vec_id"].to_numpy(), x, home)
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -102,56 +133,96 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -score[some]))[:k]]
 
 
-def scan(q_ids, q, least, x_ids, x, rotation, k: int, block: int, z: float):
-    """For each query its best k of one block of a list: (query places, candidate places, scores)."""
+class Best:
+    """The k best candidates so far of each query; ties to smaller ids."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.k, self.bound = k, least.copy()
+        self.query, self.place, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, query: np.ndarray, place: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if not len(query):
+            return
+        query, place, score = np.concatenate([self.query, query]), np.concatenate([self.place, place]), np.concatenate([self.score, score])
+        order = np.lexsort((ids[place], -score, query))
+        query, place, score = query[order], place[order], score[order]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        kth = rank == self.k - 1
+        self.bound[query[kth]] = np.maximum(self.bound[query[kth]], score[kth])
+        keep = rank < self.k
+        self.query, self.place, self.score = query[keep], place[keep], score[keep]
+
+
+def scan(q_ids, q, least, probed, x_ids, x, x_list, rotation, k: int, block: int, z: float, work: list | None = None):
+    """For each query its best k among the candidates of its lists: (query places, candidate places, scores).
+
+    ``probed`` holds the lists of each query, best first; in turn r every query scans its r-th
+    one with the bound that the turns before left.  ``work`` gets (multiplications done, those
+    of whole scans).
+    """
     rq, rx = q @ rotation, x @ rotation
     dim = q.shape[1]
-    out_q, out_x, out_s = [], [], []
     cuts = [*range(0, dim, block), dim]
-    rest_q = [np.sqrt((rq[:, c:] ** 2).sum(axis=1)) for c in cuts]
-    rest_x = [np.sqrt((rx[:, c:] ** 2).sum(axis=1)) for c in cuts]
-    first = rq[:, : cuts[1]] @ rx[:, : cuts[1]].T
-    for i in range(len(q)):
-        alive, seen, bound = np.arange(len(x)), first[i], least[i]
-        own = x_ids == q_ids[i]
-        for b in range(1, len(cuts)):
-            left = dim - cuts[b]
-            slack = z * rest_q[b][i] * rest_x[b][alive] / np.sqrt(left) if left else 0.0
-            keep = seen + slack >= bound - 1e-9 * abs(bound)
-            alive, seen = alive[keep], seen[keep]
-            if b + 1 < len(cuts) and len(alive):
-                seen = seen + rx[alive, cuts[b] : cuts[b + 1]] @ rq[i, cuts[b] : cuts[b + 1]]
-        alive = alive[~own[alive]]
-        if not len(alive):
-            continue
-        score = exact_scores(np.broadcast_to(q[i], (len(alive), dim)), x[alive])
-        best = _top(score, x_ids[alive], k)
-        out_q.append(np.full(len(best), i))
-        out_x.append(alive[best])
-        out_s.append(score[best])
-    if not out_q:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_s)
-
-
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", column: str = "embedding", block: int = 16, z: float = 3.0, candidates: int = 8192, asked: int = 1024) -> DataFrame:
+    size_q, size_x = np.sqrt((q**2).sum(axis=1)), np.sqrt((x**2).sum(axis=1))
+    order = np.argsort(x_list, kind="stable")
+    names, begin = np.unique(x_list[order], return_index=True)
+    members = {int(n): order[a:b] for n, a, b in zip(names, begin, np.append(begin[1:], len(order)))}
+    best = Best(least, k)
+    done = whole = 0
+    for turn in range(max(map(len, probed), default=0)):
+        asks: dict[int, list[int]] = {}
+        for i, lists in enumerate(probed):
+            if turn < len(lists) and lists[turn] in members:
+                asks.setdefault(lists[turn], []).append(i)
+        found = []
+        for name, asking in asks.items():
+            who, what = np.asarray(asking), members[name]
+            seen = rq[who, : cuts[1]] @ rx[what, : cuts[1]].T
+            done, whole = done + seen.size * cuts[1], whole + seen.size * dim
+            i = j = None
+            for b in range(1, len(cuts)):
+                part = cuts[b] / dim
+                spread = z * np.sqrt(part * (1 - part) / dim)
+                if b == 1:
+                    bound = best.bound[who][:, None]
+                    i, j = np.nonzero(seen + spread * np.outer(size_q[who], size_x[what]) >= bound * part - 1e-9 * np.abs(bound))
+                    seen, i, j = seen[i, j], who[i], what[j]
+                else:
+                    bound = best.bound[i]
+                    keep = seen + spread * size_q[i] * size_x[j] >= bound * part - 1e-9 * np.abs(bound)
+                    seen, i, j = seen[keep], i[keep], j[keep]
+                if b + 1 < len(cuts) and len(i):
+                    seen = seen + np.einsum("nd,nd->n", rq[i, cuts[b] : cuts[b + 1]], rx[j, cuts[b] : cuts[b + 1]])
+                    done += len(i) * (cuts[b + 1] - cuts[b])
+            other = x_ids[j] != q_ids[i]
+            found.append((i[other], j[other]))
+        if found:
+            i, j = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+            best.add(i, j, exact_scores(q[i], x[j]), x_ids)
+    if work is not None:
+        work.append((done, whole))
+    return best.query, best.place, best.score
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", column: str = "embedding", block: int = 16, z: float = 2.5, candidates: int = 8192, asked: int = 1024, **index_options) -> DataFrame:
     """The k nearest found (largest inner product) of each row whose key is divisible by ``every``.
 
     Returns query_id, rank (from 1), vec_id and score, ties to the smaller vec_id; all
     candidates where there are fewer than k.  Vectors that are null or zero, hold null or
     non-finite components, or have another length than most, take no part; nor do null keys.
     Rows that repeat a key are one query, and none of them is its neighbour; as a candidate the
-    key counts once, with its best vector.
+    key counts once, with its best vector.  Keys must be whole numbers.
 
-    All rows are indexed.  Lists are dealt out in blocks of about ``candidates`` vectors and
-    ``asked`` queries, so a list that holds a third of all rows is many groups; a group returns
-    k rows a query at most.  Each query starts from its k-th best score within the fitted
-    sample, which is a true lower bound, as the sample's vectors are candidates too; its best
-    there are results even if their lists are not probed.
+    All rows are indexed (``fit_index``, whose options may be given).  Cells are dealt out in
+    blocks of about ``candidates`` vectors and ``asked`` queries, so a list that holds a third
+    of all rows is many groups; a group returns k rows a query at most.  Each query starts
+    from its k-th best score among the sample's vectors in its probed lists, which is a true
+    lower bound of what probing these lists finds.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, key, column)
-    index = fit_index(rows, k)
+    index = fit_index(rows, k, **index_options)
     empty = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], empty)
@@ -163,41 +234,42 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
         for b in batches:
             x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, at.dim)
             near = np.argmax(x @ at.centres.T, axis=1) if len(x) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "list", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32)), pa.array(at.cell[near]), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "list", "cell", "x"])
 
     def ask(batches):
         at = shared.value
-        for b in batches:
-            q = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, at.dim)
-            score = q @ at.sample.T
-            score[b.column(0).to_numpy()[:, None] == at.sample_ids[None, :]] = -np.inf
-            if score.shape[1] > k:
-                least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-            else:
-                least = np.full(len(q), -np.inf)
-            near = []
-            for i in range(len(q)):
-                some = np.flatnonzero((score[i] > -np.inf) & (score[i] >= least[i] - 1e-9))
-                exact = exact_scores(np.broadcast_to(q[i], (len(some), at.dim)), at.sample[some])
-                best = _top(exact, at.sample_ids[some], k)
-                near.append([{"vec_id": int(at.sample_ids[some[j]]), "score": float(exact[j])} for j in best])
-            lists = _order(at.centres, q)[:, : at.probes]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(least), pa.array(lists.tolist(), pa.list_(pa.int32())), pa.array(near, _NEAR)],
-                names=["query_id", "q", "least", "lists", "near"],
-            )
-
-    placed = written(rows.mapInArrow(place, "vec_id long, list int, x binary"), "lists")
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(ask, "query_id long, q binary, least double, lists array<int>, near array<struct<vec_id:long,score:double>>")
-    queries = written(queries, "asked")
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                b = whole.slice(low, 256)
+                ids = b.column(0).to_numpy()
+                q = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, at.dim)
+                lists = _order(at.centres, q)[:, : at.probes].astype(np.int32)
+                probed = np.zeros((len(q), len(at.centres)), bool)
+                np.put_along_axis(probed, lists, True, axis=1)
+                score = np.where(probed[:, at.sample_list], q @ at.sample.T, -np.inf)
+                score[ids[:, None] == at.sample_ids[None, :]] = -np.inf
+                least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] > k else np.full(len(q), -np.inf)
+                near, cells = [], []
+                for i in range(len(q)):
+                    some = np.flatnonzero((score[i] > -np.inf) & (score[i] >= least[i] - 1e-9))
+                    exact = exact_scores(np.broadcast_to(q[i], (len(some), at.dim)), at.sample[some])
+                    best = _top(exact, at.sample_ids[some], k)
+                    near.append([{"vec_id": int(at.sample_ids[some[j]]), "score": float(exact[j])} for j in best])
+                    home = at.cell[lists[i]]
+                    cells.append([{"cell": int(c), "lists": lists[i][home == c].tobytes()} for c in np.unique(home)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(least), pa.array(cells, _CELLS), pa.array(near, _NEAR)], names=["query_id", "q", "least", "cells", "near"])
+
+    placed = written(rows.mapInArrow(place, "vec_id long, list int, cell int, x binary"), "lists")
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = written(queries.mapInArrow(ask, "query_id long, q binary, least double, cells array<struct<cell:int,lists:binary>>, near array<struct<vec_id:long,score:double>>"), "asked")
     from_sample = queries.select("query_id", F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score")
-    queries = queries.select("query_id", "q", "least", F.explode("lists").alias("list"))
-    # per list: how many blocks of candidates and of queries (as many rows as there are lists)
-    n = placed.groupBy("list").agg(F.ceil(F.count("*") / candidates).cast("int").alias("subs"))
-    m = queries.groupBy("list").agg(F.ceil(F.count("*") / asked).cast("int").alias("asks"))
-    sizes = F.broadcast(n.join(m, "list"))
-    left = queries.join(sizes, "list").select("query_id", "q", "least", "list", F.pmod(F.xxhash64("query_id"), "asks").cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    right = placed.join(sizes, "list").select("vec_id", "x", "list", F.pmod(F.xxhash64("vec_id"), "subs").cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"))
+    queries = queries.select("query_id", "q", "least", F.explode("cells").alias("c")).select("query_id", "q", "least", "c.cell", "c.lists")
+    # per cell: how many blocks of candidates and of queries (as many rows as there are cells, at most as lists)
+    n = placed.groupBy("cell").agg(F.ceil(F.count("*") / candidates).cast("int").alias("subs"))
+    m = queries.groupBy("cell").agg(F.ceil(F.count("*") / asked).cast("int").alias("asks"))
+    sizes = F.broadcast(n.join(m, "cell"))
+    left = queries.join(sizes, "cell").select("query_id", "q", "least", "lists", "cell", F.pmod(F.xxhash64("query_id"), "asks").cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+    right = placed.join(sizes, "cell").select("vec_id", "x", "list", "cell", F.pmod(F.xxhash64("vec_id"), "subs").cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"))
 
     def answer(_, asked_rows: pa.Table, found_rows: pa.Table) -> pa.Table:
         at = shared.value
@@ -205,10 +277,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
         q_ids, x_ids = asked_rows["query_id"].to_numpy(), found_rows["vec_id"].to_numpy()
         if not len(q_ids) or not len(x_ids):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        i, j, s = scan(q_ids, unpack(asked_rows["q"]), asked_rows["least"].to_numpy(), x_ids, unpack(found_rows["x"]), at.rotation, k, block, z)
+        probed = [np.frombuffer(x, np.int32).tolist() for x in asked_rows["lists"].to_pylist()]
+        i, j, s = scan(q_ids, unpack(asked_rows["q"]), asked_rows["least"].to_numpy(), probed, x_ids, unpack(found_rows["x"]), found_rows["list"].to_numpy(), at.rotation, k, block, z)
         return pa.table({"query_id": q_ids[i], "vec_id": x_ids[j], "score": s})
 
-    keys = ["list", "sub", "ask"]
+    keys = ["cell", "sub", "ask"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     hits = hits.unionByName(from_sample).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
