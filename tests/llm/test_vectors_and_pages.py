@@ -9,8 +9,8 @@ import pytest
 
 from quillmark.llm.common import new_path
 from quillmark.llm.queries import QUERIES
-from quillmark.llm.vector_search import nearest
-from quillmark.llm.warc import candidates, page_of, reachable, read_archives, write_archives
+from quillmark.llm.vector_search import fit_index, nearest, scan, usable
+from quillmark.llm.warc import exits, page_of, read_archives, successor, write_archives
 from tests.conftest import SF
 
 
@@ -86,6 +86,54 @@ def test_recall_on_many_lists_and_blocks(spark):
     assert hits >= 0.9 * 20 * 120
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_with_lists_skipped(spark, clustered):
+    """Over 20 lists; at least a quarter of them skipped where vectors have no clusters at all, most where they have."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 32))
+    if clustered:
+        x = rng.standard_normal((60, 32))[rng.integers(0, 60, 6000)] * 2 + x * 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = fit_index(usable(df, "vec_id", "embedding"), 20)
+    assert len(index.centres) >= 100 and index.probes <= (0.2 if clustered else 0.75) * len(index.centres)
+    got: dict = {}
+    for r in nearest(df, 50, 20, candidates=900, asked=64, per_cell=1000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    # what is returned lies in probed lists
+    home = np.argmax(x @ index.centres.T, axis=1)
+    hits = 0
+    for q in range(0, 6000, 50):
+        probed = set(np.argsort(-(x[q] @ index.centres.T), kind="stable")[: index.probes].tolist())
+        assert len(got[q]) == 20 and {int(home[j]) for j in got[q]} <= probed
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 120
+
+
+def test_scan_abandons_early_and_raises_its_bound():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rotation, _ = np.linalg.qr(rng.standard_normal((64, 64)))
+    ids, lists = np.arange(3000), np.arange(3000) % 30
+    q = x[:20]
+    probed = [rng.permutation(30).tolist() for _ in range(20)]
+    work: list = []
+    i, j, s = scan(ids[:20], q, np.full(20, -np.inf), probed, ids, x, lists, rotation, 10, 16, 3.0, work)
+    done, whole = work[0]
+    assert whole == 20 * 3000 * 64 and done < 0.75 * whole
+    full = q @ x.T
+    full[np.arange(20), np.arange(20)] = -np.inf
+    want = np.sort(full, axis=1)[:, ::-1][:, :10]
+    hits = sum(len(set(np.round(s[i == n], 9)) & set(np.round(want[n], 9))) for n in range(20))
+    assert hits >= 0.97 * 200
+    # without tests it is the exact answer
+    i, j, s = scan(ids[:20], q, np.full(20, -np.inf), probed, ids, x, lists, rotation, 10, 64, 3.0)
+    assert all(np.allclose(np.sort(s[i == n])[::-1], want[n]) for n in range(20))
+
+
 def test_registered_search(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     x = np.array([v for _, v in rows], float)
@@ -148,18 +196,52 @@ def test_no_pages(spark):
     assert read_archives(spark, path).count() == 0
 
 
-def test_boundaries():
-    inner = ("x" * 20 + RECORD + RECORD).encode()
-    outer = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(inner) + inner + b"\r\n\r\n"
-    data = RECORD.encode() + outer + RECORD.encode()
-    starts, ends = candidates(data)
-    assert len(starts) == 5
-    assert starts[reachable(starts, ends, len(data))].tolist() == [0, len(RECORD), len(RECORD) + len(outer)]
-    with pytest.raises(ValueError):
-        reachable(*candidates(data[:-3]), len(data) - 3)
-    with pytest.raises(ValueError):
-        reachable(*candidates(b"junk" + data), len(data) + 4)
-    assert reachable(*candidates(b""), 0).tolist() == []
+def test_exits_by_pointer_jumping():
+    starts = np.array([0, 10, 25, 30, 55, 70, 90])
+    ends = np.array([25, 55, 70, -1, 70, 120, 95])  # 10, 30 and 55 stand in payloads; 90 points where no candidate is
+    out, last = exits(starts, ends)
+    assert out.tolist() == [120, 120, 120, -1, 120, 120, 95]
+    assert last.tolist() == [70, 70, 70, 30, 70, 70, 90]
+    assert successor(RECORD.encode()) == successor(RECORD.encode() * 2) == len(RECORD)
+    assert successor(b"WARC/1.1\r\n\r\n") == successor(b"junk\r\nContent-Length: 5\r\n\r\n") == successor(b"WARC/1.1\r\nContent-Length: 5") == -1
+
+
+@pytest.mark.parametrize("split", [1009, 4096, 50_000, 1 << 20])
+def test_splits_across_records(spark, split, tmp_path):
+    """One file in splits of a few bytes to all of it, with magic and whole records in payloads across them."""
+    rng = np.random.default_rng(split)
+    odd = ["\r\n\r\nWARC/1.1\r\n", RECORD, RECORD * 2, "\r\n\r\n" + RECORD, "WARC/1.1", "\r\n", "\r\n\r\n", "é", "x" * 50, "WARC/1.1\r\nContent-Length: 999999\r\n\r\n", "\r\n\r\nWARC/1.1\r\nContent-Length: 61\r\n\r\n"]
+    rows = [(k, f"http://a/{k}", "".join(odd[j] for j in rng.integers(0, len(odd), rng.integers(0, 30)))) for k in range(80)]
+    rows += [(100, "u" * 70_000, "long header " * 20), (101, "v", "\r\n\r\nWARC/1.1\r\nz" * 300), (None, "no id", "y" * 200), (None, None, None), (102, "w", "y" * 200)]
+    path = str(tmp_path / "w")
+    write_archives(pages(spark, rows).coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = read_archives(spark, path, with_payload=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    known = [r for r in rows if r[0] is not None]
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got if r.page_id is not None), key=repr) == expected(known)
+    payload = {k: (h or "").encode() for k, _, h in known}
+    assert all(bytes(r.payload) == payload[r.page_id] for r in got if r.record_type == "response" and r.page_id is not None)
+    assert sorted((r.record_type, bytes(r.payload), r.url) for r in got if r.page_id is None and r.url) == [("response", b"y" * 200, "no%20id")]
+    assert len(got) == len(rows) and {r.url for r in got if r.page_id == 100} == {"u" * 70_000}
+
+
+@pytest.mark.parametrize("change", [lambda d: d[:-3], lambda d: b"junk" + d, lambda d: d.replace(b"payload payload", b"payloadpayload", 1), lambda d: d + b"tail", lambda d: d.replace(b"Content-Length: 3", b"Content-Length: 4", 1)])
+def test_broken_chains_raise(spark, change, tmp_path):
+    path = tmp_path / "w"
+    write_archives(pages(spark, [(k, "u", "payload " * 40 + str(k)) for k in range(20)]).coalesce(1), str(path))
+    (name,) = path.glob("part-*")
+    data = name.read_bytes()
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+    name.write_bytes(change(data))
+    with pytest.raises(Exception, match="breaks|make it up"):
+        read_archives(spark, str(path)).collect()
 
 
 def test_record_ids(spark):
