@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmark.operators import images as im
 from quillmark.operators import reports as rp
 from quillmark.plans.report_queries import _I, _T, _issues, _timings
 from quillmark.plans.selection_queries import _GREEDY, _RUN, greedy_fill
 from quillmark.plans.tree_queries import _N, _nodes
+from quillmark.sources import catalogue_files as cf
 from quillmark.sources.corpus import PARTS_SQL, QUESTIONS_SQL, parts, questions, table
 
 
@@ -168,12 +170,45 @@ def cleaned_texts(spark, d):
     return p.select("question_id", "ord", c["diagnostic"].alias("diagnostic"), c["plain"].alias("plain"), c["model"].alias("model"), rp.cleaned(F.col("name"))["pattern"].alias("pattern"))
 
 
+def loaded_questions_filtered(spark, d):
+    q = questions(spark, d).select(
+        F.lit(9).alias("schema_version"), "question_id", "exam_code", F.when(F.col("question_id") % 8 != 0, F.col("year") + 20).alias("year"), "paper", "variant", F.col("question_id").alias("question_number"), F.lit(5).alias("total_marks"), F.lit(1).alias("part_count"), "topic"
+    )
+    return cf.loaded(q, parts(spark, d).filter("marks > 2"), ["1-URGENT", "2-HIGH"], ["2016", "2017"], []).select("question_id", "year", "topic")
+
+
+def question_checks(spark, d):
+    q = questions(spark, d)
+    k = F.col("question_id")
+    rows = q.select(
+        F.when(k % 5 == 0, 8).otherwise(9).alias("schema_version"), k.cast("string").alias("question_id"), F.when(k % 6 == 0, "12").otherwise(F.col("exam_code")).alias("exam_code"), (F.col("year") + F.when(k % 4 == 0, 0).otherwise(20)).alias("year"),
+        F.col("paper"), F.when(k % 9 != 0, F.col("variant")).alias("variant"), k.alias("question_number"), F.when(k % 7 == 0, -1).otherwise(4).alias("total_marks"), F.lit(1).alias("part_count"), "topic",
+    )
+    return cf.rejects(rows).select("question_id", "reject")
+
+
+def keyword_results(spark, d):
+    """Hits with what is shown of their questions."""
+    return _hits(spark, d).join(questions(spark, d).select("question_id", "exam_code", "year", "paper", "topic"), "question_id").select("keyword", "question_id", "label", "exam_code", "year", "paper", "topic")
+
+
+def crop_boxes(spark, d):
+    p = parts(spark, d).select("question_id", "ord", (F.col("y") - 10).alias("top"), (F.col("y") + 30).alias("bottom"), (F.col("marks") - 2).alias("left"), F.when(F.col("marks") > 3, F.col("price").cast("int") % 700).alias("right"), (F.col("ord") % 2 == 0).alias("clear"), F.lit(600).alias("width"), F.lit(150).alias("height"))
+    return im.crop_boxes(p).select("question_id", "ord", "crop_bottom", "crop_right", "problem")
+
+
+def trimmed_boxes(spark, d):
+    """Questions as images, leaves as pixels."""
+    px = parts(spark, d).select("question_id", (F.col("price").cast("int") % 200).alias("x"), (F.col("y") % 100).cast("int").alias("y"), (F.col("price").cast("int") % 256).alias("value"))
+    return im.trimmed_boxes(px, px.select("question_id").distinct().withColumn("width", F.lit(200)).withColumn("height", F.lit(100)), "question_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         year_picker, paper_picker, facet_sub_topics, checked_topics, keyword_preview, keyword_label_union, misclassified_parts, context_lookup, pre_order, plan_topic_marks,
         covered_topics, issue_documents, timing_merge_phases, timing_merge_slowest, variant_runs, uncategorised_reasons, letter_gap_issues, highlighted_snippets, classifier_entry,
-        manifest_checks, catalogue_records, region_documents, archive_entries, build_documents, cleaned_texts,
+        manifest_checks, catalogue_records, region_documents, archive_entries, build_documents, cleaned_texts, loaded_questions_filtered, question_checks, keyword_results, crop_boxes, trimmed_boxes,
     )
 }
 
@@ -227,4 +262,16 @@ SELECT doc_id, CASE WHEN t IS NULL THEN '(No text available)' WHEN at_ < 0 THEN
 SELECT question_id, ord, trim(regexp_replace(regexp_replace(regexp_replace(t, '\.{3,}|_{3,}', ' ', 'g'), '\[turn over\]?', ' ', 'gi'), '\s+', ' ', 'g')) AS diagnostic, trim(regexp_replace(t, '\s+', ' ', 'g')) AS plain,
  trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '\b\d+(?:\.\d+)?\s*(?:mm|cm|km|kg|mg|ml|g|m|l|s|n|v|a|w|j)\b', ' unit ', 'g'), '[+*/=<>^]', ' operator ', 'g'), ' +', ' ', 'g')) AS model,
  '\b' || regexp_replace(lower(name), '([\\.^$|?*+()\[\]{}-])', '\\\1', 'g') || 's?\b' AS pattern FROM t""",
+    "loaded_questions_filtered": _B + " SELECT question_id, CAST(year + 20 AS INTEGER) AS year, topic FROM questions WHERE question_id % 8 <> 0 AND year + 20 IN (2016, 2017) AND topic IN ('1-URGENT', '2-HIGH') AND question_id IN (SELECT question_id FROM parts WHERE marks > 2)",
+    "question_checks": f"""WITH {QUESTIONS_SQL} SELECT CAST(question_id AS VARCHAR) AS question_id, CASE WHEN question_id % 9 = 0 THEN 'missing variant' WHEN question_id % 5 = 0 THEN 'schema version' WHEN question_id % 6 = 0 THEN 'exam code'
+ WHEN question_id % 4 = 0 AND year < 2000 THEN 'year' WHEN question_id % 7 = 0 THEN 'marks' END AS reject FROM questions""",
+    "keyword_results": _B + " SELECT 'k' || marks AS keyword, question_id, label, exam_code, year, paper, q.topic FROM parts p JOIN questions q USING (question_id) WHERE marks >= 5",
+    "crop_boxes": f"""WITH {PARTS_SQL}, c AS (SELECT question_id, ord, y - 10 AS t, marks - 2 AS l, CASE WHEN ord % 2 = 0 THEN least(y + 40, 150) ELSE y + 30 END AS b, coalesce(nullif(CASE WHEN marks > 3 THEN CAST(trunc(price)::BIGINT % 700 AS INTEGER) END, 0), 600) AS r FROM parts)
+SELECT question_id, ord, b AS crop_bottom, r AS crop_right, CASE WHEN t < 0 THEN 'top' WHEN b > 150 THEN 'bottom' WHEN l < 0 THEN 'left' WHEN r > 600 THEN 'right' END AS problem FROM c""",
+    "trimmed_boxes": f"""WITH {PARTS_SQL}, p AS (SELECT question_id, trunc(price)::BIGINT % 200 AS x, y % 100 AS y, trunc(price)::BIGINT % 256 AS v FROM parts),
+w AS (SELECT question_id, greatest(200, CAST(trunc(quantile_cont(CAST(v AS DOUBLE), 0.98)) AS BIGINT)) AS w FROM p GROUP BY 1),
+b AS (SELECT w.question_id, greatest(0, min(x) - 4) AS l, least(200, max(x) + 4) AS r, greatest(0, min(y) - 4) AS t, least(100, max(y) + 4) AS o FROM w LEFT JOIN p ON p.question_id = w.question_id AND v < w GROUP BY 1)
+SELECT question_id, CAST(CASE WHEN coalesce(r - l >= 120, false) AND has THEN l ELSE 0 END AS INTEGER) AS "left", CAST(CASE WHEN has THEN t ELSE 0 END AS INTEGER) AS top,
+ CAST(CASE WHEN coalesce(r - l >= 120, false) AND has THEN r ELSE 200 END AS INTEGER) AS "right", CAST(CASE WHEN has THEN o ELSE 100 END AS INTEGER) AS bottom
+FROM b JOIN (SELECT w.question_id, bool_or(v < w) AS has FROM w JOIN p USING (question_id) GROUP BY 1) USING (question_id)""",
 }

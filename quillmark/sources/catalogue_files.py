@@ -70,7 +70,11 @@ def write_catalogue(questions: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def append_new(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Appends the records whose question_id is not there yet; the commit protocol stands for the file lock."""
+    """Appends the records whose question_id is not there yet.
+
+    Spark's commit protocol shows readers whole batches; it is no lock: two appends at once may
+    both add the same id.
+    """
     from quillmark.operators.search import new_only
 
     seen = spark.read.schema("question_id string").json(path)
@@ -93,3 +97,46 @@ def triaged_papers(spark: SparkSession, root: str, supported: list[str]) -> Data
     code = F.nullif(F.regexp_extract(name, r"^(\d{3,5})_", 1), F.lit(""))
     good = name.rlike(r"_\w{3}_qp_\d{2}") & code.isNotNull()
     return files.filter(~name.rlike("_ms_")).select("path", code.alias("exam_code"), F.when(~good, "invalid").when(code.isin(supported), "supported").otherwise("unsupported").alias("status"))
+
+
+def loaded(questions: DataFrame, parts: DataFrame, topics: list | None = None, years: list | None = None, papers: list | None = None) -> DataFrame:
+    """Valid records that pass the filters, by id: an empty or missing list lets all pass; years and papers may be strings."""
+    from quillmark.operators.facets import where_in
+
+    good = rejects(questions).filter("reject is null").drop("reject")
+    held = parts.select("question_id").distinct()
+    return where_in(good, topic=topics, year=years, paper=papers).join(held, "question_id", "left_semi").orderBy("question_id")
+
+
+def write_questions(questions: DataFrame, parts: DataFrame, path: str) -> None:
+    """Question folders: records by exam code with their parts in one document each; Spark renames finished files into place."""
+    listed = parts.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct([c for c in parts.columns if c != "question_id"]))).alias("parts"))
+    questions.join(listed, "question_id", "left").write.mode("overwrite").partitionBy("exam_code").json(path)
+
+
+def write_document(spark: SparkSession, path: str, document: dict) -> None:
+    """One JSON document in one file."""
+    import json
+
+    spark.range(1, numPartitions=1).select(F.lit(json.dumps(document, ensure_ascii=False, sort_keys=True)).alias("value")).write.mode("overwrite").text(path)
+
+
+def upsert_file(spark: SparkSession, new: DataFrame, path: str, key: str) -> None:
+    """Replaces a folder's JSON records of the same key and adds the rest: written beside it, then renamed into its place.
+
+    A reader sees the old or the new folder.  Two writers at once are not told apart: the last stands.
+    """
+    from quillmark.operators.trees import upserted
+
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path + ".old")
+    known = upserted(spark.read.schema(new.schema).json(path), new, key) if fs.exists(to) else new
+    known.write.mode("overwrite").json(path + ".new")
+    fs.delete(old, True)
+    if fs.exists(to) and not fs.rename(to, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(beside, to):
+        raise OSError(f"{path}.new can't be moved")
+    fs.delete(old, True)
