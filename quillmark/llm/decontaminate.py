@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillmark.llm.common import in_parts, keyed_text, table, written
+from quillmark.llm.common import free_name, in_parts, keyed_text, table, written
 
 Q = 8
-SHORTEST = 32
 _MULT = 0x9E3779B97F4A7C15
 
 
@@ -94,7 +93,11 @@ class ItemIndex:
     least: int
 
 
-def build_index(rows: list[tuple], rate: float) -> ItemIndex | None:
+def build_index(rows: list[tuple], rate: float, shortest: int = 32) -> ItemIndex | None:
+    """Of the (key, text) of at least ``shortest`` normalised characters; None if there are none.
+
+    Raises where ``rate`` allows an item more edits than leave a fifth of its q-grams to count on.
+    """
     ids, items = [], []
     for key, text in rows:
         code, _, upto = normalised([text or ""])
@@ -103,14 +106,16 @@ def build_index(rows: list[tuple], rate: float) -> ItemIndex | None:
             code = code[1:]
         while len(code) and code[-1] == 32:
             code = code[:-1]
-        if len(code) >= SHORTEST:
+        if len(code) >= max(Q, shortest):
             ids.append(key)
             items.append(code)
     if not items:
         return None
     n = np.array([len(x) for x in items])
-    # no more edits than leave one q-gram in five to count on
-    budget = np.minimum((rate * n).astype(np.int64), (n + 1 - Q - (n + 1 - Q) // 5) // Q)
+    budget, most = (rate * n).astype(np.int64), (n + 1 - Q - (n + 1 - Q) // 5) // Q
+    if (budget > most).any():
+        k = int(np.argmax(budget > most))
+        raise ValueError(f"{rate} edits a character are too many for q-grams of {Q}: item {ids[k]} of {n[k]} characters may have {most[k]}; lower the rate or raise the shortest length")
     bound = n + 1 - Q - budget * Q
     hashes = [gram_hashes(x) for x in items]
     h = np.concatenate(hashes)
@@ -236,21 +241,23 @@ def find(texts: list[str], index: ItemIndex) -> Iterator[tuple[int, int, int, in
             yield t, i, int(place[lo]), int(place[hi - 1]) + 1, cost
 
 
-def find_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_chars: int = 8_000_000, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, shortest: int = 32, block_chars: int = 4_000_000, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, edits): occurrences of benchmark items in whole texts.
 
     An item occurs where a substring of the normalised text is within ``rate`` edits per
     character of it.  start and end are code points of the text as given; edits are in
-    normalised text.  An item's occurrences in a text don't overlap.  Items of fewer than 32
-    normalised characters are too short to be evidence and are not looked for; null and empty
-    texts hold nothing; null keys and repeated rows stay.
+    normalised text.  An item's occurrences in a text don't overlap.  Items of fewer than
+    ``shortest`` normalised characters are taken as too short to be evidence and are not looked
+    for (``short_items`` lists them); null and empty texts hold nothing; null keys and
+    repeated rows stay.  A rate that is too high for the q-gram lemma raises.  Keys of documents
+    must be whole numbers.
 
     The items' total length is measured first.  Up to ``block_chars`` characters are sent to
     the tasks at a time; a larger benchmark is dealt into blocks by hash, and the documents are
     scanned once for each.
     """
     spark = docs.sparkSession
-    wanted = items.select(F.col(item_key).alias("item_id"), F.col(item_text).cast("string").alias("text")).filter(F.length("text") >= SHORTEST)
+    wanted = items.select(F.col(item_key).alias("item_id"), F.col(item_text).cast("string").alias("text")).filter(F.length("text") >= shortest)
     chars = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
     schema = f"doc_id long, item_id {wanted.schema['item_id'].dataType.simpleString()}, start long, end long, edits int"
@@ -258,7 +265,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_char
     own, out = keyed_text(docs, key, text), None
     for k in range(blocks):
         rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        index = build_index([tuple(r) for r in rows], rate)
+        index = build_index([tuple(r) for r in rows], rate, shortest)
         if index is None:
             continue
         sent = spark.sparkContext.broadcast(index)
@@ -277,6 +284,19 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_char
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def short_items(items: DataFrame, shortest: int = 32, item_text: str = "text") -> DataFrame:
+    """The rows of ``items`` that ``find_items`` does not look for: null or of too few normalised characters."""
+
+    def run(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index(item_text)).to_pylist()]
+            code, _, upto = normalised(texts) if texts else (np.zeros(0), None, np.zeros(0, np.int64))
+            sizes = [len("".join(map(chr, code[a : e - 1])).strip(" ")) for a, e in zip([0, *upto[:-1]], upto)]
+            yield b.filter(pa.array([n < max(Q, shortest) for n in sizes], pa.bool_()))
+
+    return items.mapInArrow(run, items.schema)
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, rate: float = 0.08, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose key is not that of a text with a benchmark item (``find_items``).
 
@@ -284,8 +304,9 @@ def clean_documents(docs: DataFrame, items: DataFrame, rate: float = 0.08, key:
     size allows and shuffles by key if not.
     """
     names = docs.columns
-    hits = written(find_items(docs, items, rate, key=key, text=text).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
-    return docs.join(hits, F.col(key).eqNullSafe(F.col("__hit")), "left_anti").select(*names)
+    hit = free_name("hit", names)
+    hits = written(find_items(docs, items, rate, key=key, text=text).select(F.col("doc_id").alias(hit)).distinct(), "contaminated")
+    return docs.join(hits, F.col(key).eqNullSafe(F.col(hit)), "left_anti").select(*names)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import forget, table, written
+from quillmark.llm.common import forget, free_name, table, written
 
 WINDOW = 3
 
@@ -22,7 +22,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     anywhere, the occurrence with the smallest (doc_id, line) stays, a null doc_id coming
     first; the lines of all others are covered, and overlapping covers merge.  Windows are
     counted before they are joined, so a window that a third of the documents share is one
-    row there.  Rows with the same doc_id and text are the same place: none removes the other.
+    row of the counts; on the windows' side of that join Spark splits its partition.  Rows with the same doc_id and text are the same place: none removes the other.
     """
     lines = docs.select(F.col(key).alias("doc_id"), _lines(F.col(text)).alias("line"))
     # (number, digest) of each line with something in it
@@ -68,14 +68,17 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
     found = repeated_lines(docs, key, text, window)
     drops = written(found, "drops")
     forget(found)
-    d = drops.select(F.col("doc_id").alias("__key"), F.col("drop").alias("__drop"))
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*rest).join(d, F.col(key).eqNullSafe(F.col("__key")), "left")
-    kept = F.array_join(F.filter(_lines(F.col(text)), lambda x, i: ~F.array_contains("__drop", i)), "\n")
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    own, gone, line = (free_name(c, docs.columns) for c in ("own_key", "gone", "line"))
+    d = drops.select(F.col("doc_id").alias(own), F.col("drop").alias(gone))
+    joined = docs.select(*rest).join(d, F.col(key).eqNullSafe(F.col(own)), "left").withColumn(line, _lines(F.col(text)))
+    # positions that stay, by a hash set; the lines themselves are looked up by position
+    stay = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), gone)
+    kept = F.array_join(F.transform(stay, lambda i: F.element_at(line, i + 1)), "\n")
     return joined.select(
-        *[F.when(F.col("__drop").isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in rest],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text)))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.when(F.col(gone).isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in rest],
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(line)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
