@@ -1,8 +1,7 @@
 """Choosing parts for a mark target: options, scoring, greedy fill, pruning.
 
 Order that the task leaves to chance is md5(seed:id), so the same seed gives the same result
-on every cluster.  Recurrences that no window can say are folds over one ordered array per
-run; a run's array holds candidates of one exam, not the corpus.
+on every cluster.  Recurrences that no window can say are folds over ordered slices of a run.
 """
 
 from __future__ import annotations
@@ -39,6 +38,21 @@ class SelectionConfig:
             raise ValueError("max_questions must be over 0")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of an intermediate result by a reliable checkpoint in the folder that the session names, or in one of its own on a single machine."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            at = "file://" + tempfile.mkdtemp(prefix="quillmark-")
+        sc.setCheckpointDir(at)
+    return df.checkpoint()
+
+
 def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
@@ -122,23 +136,36 @@ def topic_scores(opts: DataFrame, budget: float, seed: int, full: Column) -> Dat
     return opts.withColumn("score", F.greatest(F.lit(0.0), 10 - F.abs(F.col("marks") - budget)) + F.when(full, 5.0).otherwise(0.0) + jitter(seed, "question_id") * 5)
 
 
-def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key: str = "question_id") -> DataFrame:
+def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key: str = "question_id", first: int = 512) -> DataFrame:
     """First fit in seeded order: a question is taken while under the target if it keeps within target + tolerance.
 
-    totals: run columns, key, marks.  One fold per run over its ordered candidates.
+    totals: run columns, key, marks.  Candidates are taken by slices of each run, ``first`` at
+    first and four times as many each time, and the next slice is read only while some run is
+    under its target and has more; a fold is over a slice, never over a run.
     """
-    listed = totals.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct(seeded_order(config.seed, key).alias("o"), F.col(key).alias("q"), F.col("marks").cast("int").alias("m")))).alias("c"))
     kind = totals.schema[key].dataType.simpleString()
     most = config.max_questions or 2**31 - 1
-    fold = F.aggregate(
-        "c",
-        F.expr(f"named_struct('sum', 0, 'picked', cast(array() as array<{kind}>))"),
-        lambda a, x: F.when(
-            (a["sum"] < config.target) & (a["sum"] + x["m"] <= config.target + config.tolerance) & (x["m"] > 0) & (F.size(a["picked"]) < most),
-            F.struct((a["sum"] + x["m"]).alias("sum"), F.concat(a["picked"], F.array(x["q"])).alias("picked")),
-        ).otherwise(F.struct(a["sum"].alias("sum"), a["picked"].alias("picked"))),
-    )
-    return listed.select(*run, fold.alias("f")).select(*run, F.posexplode("f.picked").alias("pos", key)).withColumn("pos", F.col("pos") + 1)
+    ranked = totals.withColumn("__r", F.row_number().over(Window.partitionBy(*run).orderBy(seeded_order(config.seed, key), key)))
+    state = kept(totals.groupBy(*run).agg(F.count("*").alias("__all")).withColumns({"sum": F.lit(0), "n": F.lit(0)}))
+    low, high, out = 0, first, None
+    while True:
+        part = ranked.filter((F.col("__r") > low) & (F.col("__r") <= high)) if low else ranked.filter(F.col("__r") <= high)
+        listed = part.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct(F.col("__r").alias("r"), F.col(key).alias("q"), F.col("marks").cast("int").alias("m")))).alias("c"))
+        fold = F.aggregate(
+            "c",
+            F.struct(F.col("sum"), F.expr(f"cast(array() as array<{kind}>)").alias("picked")),
+            lambda a, x: F.when(
+                (a["sum"] < config.target) & (a["sum"] + x["m"] <= config.target + config.tolerance) & (x["m"] > 0) & (F.size(a["picked"]) + F.col("n") < most),
+                F.struct((a["sum"] + x["m"]).alias("sum"), F.concat(a["picked"], F.array(x["q"])).alias("picked")),
+            ).otherwise(F.struct(a["sum"].alias("sum"), a["picked"].alias("picked"))),
+        )
+        folded = kept(state.join(listed, run).select(*run, "__all", "n", fold.alias("f")))
+        picks = folded.select(*run, "n", F.posexplode("f.picked").alias("pos", key)).select(*run, (F.col("pos") + F.col("n") + 1).alias("pos"), key)
+        out = picks if out is None else out.unionByName(picks)
+        state = folded.select(*run, "__all", F.col("f.sum").alias("sum"), (F.col("n") + F.size("f.picked")).alias("n")).filter((F.col("sum") < config.target) & (F.col("n") < most) & (F.col("__all") > high))
+        if not state.limit(1).count():
+            return out
+        low, high = high, high + 4 * (high - low)
 
 
 def prune_to_target(parts: DataFrame, target: int, key: str = "question_id") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillmark.operators.detection import ancestors
 from quillmark.operators.facets import effective_topic
 from quillmark.operators.search import seeded_order
-from quillmark.operators.selection import SelectionConfig
+from quillmark.operators.selection import SelectionConfig, kept
 
 Option = tuple[int, int, int]  # marks, leaves, mask
 _PICK = "question_id long, mask long, marks int, origin string, topics array<string>"
@@ -220,7 +220,7 @@ def _first_fit(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, se
     keyword = origin == "keyword"
     mode = "SKIP" if c.keyword_mode else c.mode
     order = Window.partitionBy(*run).orderBy(seeded_order(seed, "question_id"), "question_id")
-    ranked = _kept(pool.join(picks.select("question_id").distinct(), "question_id", "left_anti").withColumn("__r", F.row_number().over(order)).select(*run, "question_id", "leaf", "__r"))
+    ranked = kept(pool.join(picks.select("question_id").distinct(), "question_id", "left_anti").withColumn("__r", F.row_number().over(order)).select(*run, "question_id", "leaf", "__r"))
     state = picks.groupBy(*run).agg(F.sum("marks").alias("total"), F.count("*").alias("n"))
 
     def fit(key, taken: pa.Table, found: pa.Table) -> pa.Table:
@@ -244,7 +244,7 @@ def _first_fit(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, se
     while low < longest:
         open_ = state.filter(F.col("total") >= c.target).select(*run)
         part = ranked.filter((F.col("__r") > low) & (F.col("__r") <= low + step)).join(F.broadcast(open_), run, "left_anti")
-        new = _kept(state.groupBy(*run).cogroup(part.groupBy(*run)).applyInArrow(fit, f"{_kinds(pool, run)}, {_PICK}"))
+        new = kept(state.groupBy(*run).cogroup(part.groupBy(*run)).applyInArrow(fit, f"{_kinds(pool, run)}, {_PICK}"))
         out = new if out is None else out.unionByName(new)
         low, step = low + step, step * 4
         state = picks.select(*run, "marks").unionByName(out.select(*run, "marks")).groupBy(*run).agg(F.sum("marks").alias("total"), F.count("*").alias("n"))
@@ -263,8 +263,8 @@ def _cover(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, seed:
     mine = pool.withColumn("__t", F.array_intersect(names, F.array_union(F.array("q_topic"), F.transform("leaf", lambda x: x["topic"]))))
     counts = mine.select(*run, F.explode("__t").alias("topic")).groupBy(*run, "topic").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy(*run).orderBy("n", F.md5(F.concat(F.lit(f"{seed}:"), "topic"))))
-    topics = _kept(counts.withColumn("place", place).select(*run, "topic", "place"))
-    mine = _kept(mine)
+    topics = kept(counts.withColumn("place", place).select(*run, "topic", "place"))
+    mine = kept(mine)
     mode = "SKIP" if c.keyword_mode else c.mode
     wanted = len(c.topics)
 
@@ -292,26 +292,11 @@ def _cover(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, seed:
         open_ = mine.join(turn, run).filter(F.array_contains("__t", F.col("topic"))).join(now.select("question_id"), "question_id", "left_anti")
         scored = open_.select(*run, "question_id", "leaf", "topic", "total", "covered").mapInArrow(best, f"{_kinds(pool, run)}, {_PICK}, score double")
         top = scored.groupBy(*run).agg(F.max_by(F.struct("question_id", "mask", "marks", "origin", "topics"), F.struct("score", -F.col("question_id"))).alias("x")).select(*run, "x.*")
-        top = _kept(top)
-        added = top if added is None else _kept(added.unionByName(top))
+        top = kept(top)
+        added = top if added is None else kept(added.unionByName(top))
     return added
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an intermediate result by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            at = "file://" + tempfile.mkdtemp(prefix="quillmark-")
-        sc.setCheckpointDir(at)
-    return df.checkpoint()
-
-
 def select_pass(questions: DataFrame, parts: DataFrame, run: list[str], c: Request, pinned: DataFrame, part_pins: DataFrame, matched: DataFrame, attempt: int = 0) -> DataFrame:
     """(run, question_id, mask, marks, origin, topics): the plans that one pass picks for every run, before pruning.
 
@@ -319,9 +304,9 @@ def select_pass(questions: DataFrame, parts: DataFrame, run: list[str], c: Reque
     and the fill.  pinned: question_id; part_pins, matched: question_id, label.
     """
     seed = c.seed + attempt
-    pool = _kept(_pool(questions, parts, run, c, pinned, part_pins, matched))
-    picks = _kept(_forced(pool, run, c))
-    add = lambda more: _kept(picks.unionByName(more))
+    pool = kept(_pool(questions, parts, run, c, pinned, part_pins, matched))
+    picks = kept(_forced(pool, run, c))
+    add = lambda more: kept(picks.unionByName(more))
     under = lambda: pool.join(picks.groupBy(*run).agg(F.sum("marks").alias("__m")).filter(F.col("__m") >= c.target).select(*run), run, "left_anti")
     if c.backfill:
         picks = add(_first_fit(under().filter("hit"), picks, run, c, seed, "keyword"))
@@ -378,14 +363,14 @@ def build(questions: DataFrame, parts: DataFrame, run: list[str], c: Request, pi
     Where topics must be covered, runs that miss one after a pass are selected again with the
     next seed, up to ``attempts`` times in all; the last attempt stands.
     """
-    every = _kept(pool_leaves(questions, parts, pinned, part_pins))
+    every = kept(pool_leaves(questions, parts, pinned, part_pins))
     todo, done = questions, None
     for attempt in range(attempts):
-        found = _kept(prune_pass(select_pass(todo, parts, run, c, pinned, part_pins, matched, attempt), every, run, c))
+        found = kept(prune_pass(select_pass(todo, parts, run, c, pinned, part_pins, matched, attempt), every, run, c))
         if not (c.force_topics and c.topics) or attempt + 1 == attempts:
             return found if done is None else done.unionByName(found)
         missing = found.groupBy(*run).agg(F.collect_set("topic").alias("t")).filter(F.size(F.array_except(F.array(*map(F.lit, c.topics)), "t")) > 0).select(*run)
-        missing = _kept(missing)
+        missing = kept(missing)
         good = found.join(missing, run, "left_anti")
         done = good if done is None else done.unionByName(good)
         if not missing.limit(1).count():

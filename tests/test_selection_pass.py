@@ -182,3 +182,13 @@ def test_warnings_of_a_build(spark):
 
 def test_part_pins_of_malformed_pins(spark):
     assert [tuple(r) for r in sp.part_pins_of(["3::3(a)", "nothing", "4::4(b)(i)"], spark).collect()] == [(3, "3(a)"), (4, "4(b)(i)")]
+
+
+def test_greedy_fill_by_slices(spark):
+    from quillmark.operators import selection
+    from quillmark.plans.selection_queries import _totals
+
+    totals = _totals(spark, SF)
+    for c in (selection.SelectionConfig(50, 2, 42), selection.SelectionConfig(7, 0, 1), selection.SelectionConfig(10_000, 2, 3), selection.SelectionConfig(90, 5, 4, max_questions=3)):
+        whole = {tuple(r) for r in selection.greedy_fill(totals, RUN, c).collect()}
+        assert whole == {tuple(r) for r in selection.greedy_fill(totals, RUN, c, first=2).collect()} and whole
