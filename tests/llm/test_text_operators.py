@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillmark.llm import queries
 from quillmark.llm.components import components
-from quillmark.llm.decontaminate import build_index, clean_documents, find, find_items
+from quillmark.llm.decontaminate import build_index, clean_documents, find, find_items, short_items
 from quillmark.llm.jaccard_join import connected, plan, signatures, similarity_components
 from quillmark.llm.line_dedup import line_dedup
 from quillmark.llm.quality import best_cut, best_temperature, fit, keep_rule, kth_largest, ngrams, resample, score
@@ -186,6 +186,27 @@ def test_components_equal_brute_force(spark, width, num, den, seed):
     assert got == brute_components(rows, width, num, den)
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_link_counts_equal_brute_force(spark, monkeypatch, block):
+    """Exact and near copies, several blocks a component."""
+    from quillmark.llm import jaccard_join
+
+    counts = jaccard_join.link_counts
+    monkeypatch.setattr(jaccard_join, "link_counts", lambda *a: counts(*a, block=block))
+    rng = random.Random(block)
+    base = [[f"w{rng.randrange(60)}" for _ in range(40)] for _ in range(4)]
+    rows = [(1000, None), (1001, ""), (None, " ".join(base[0]))]
+    for k in range(60):
+        t = base[k % 4][:]
+        for _ in range(k % 3):
+            t[rng.randrange(40)] = f"x{rng.randrange(9)}"
+        rows.append((k, " ".join(t)))
+    got = {r.doc_id: r.n_links for r in jaccard_join.similarity_components(frame(spark, rows), 3, 60, 100, count_links=True).collect()}
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in rows if k is not None and (w := (t or "").split())}
+    want = {a: sum(b != a and 100 * len(x & y) >= 60 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    assert got == want | {1000: 0, 1001: 0, None: 0} and max(want.values()) > 3
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(9)
     words = [f"w{k}" for k in range(70)]
@@ -342,6 +363,16 @@ def test_find_items_on_odd_rows(spark):
     assert find_items(frame(spark, rows), items.limit(0)).count() == 0
 
 
+def test_short_items_and_high_rates(spark):
+    items = spark.createDataFrame([(1, "too short!"), (2, None), (3, "long enough to be evidence, that is, of thirty-two characters or more"), (4, "!!! ... " * 20)], "item_id long, text string")
+    assert sorted(r.item_id for r in short_items(items).collect()) == [1, 2, 4]
+    assert sorted(r.item_id for r in short_items(items, 8).collect()) == [2, 4]
+    docs = frame(spark, [(7, "so it is Too  short, too"), (8, "nothing")])
+    assert [(r.doc_id, r.item_id) for r in find_items(docs, items, 0.0, shortest=8).collect()] == [(7, 1)]
+    with pytest.raises(ValueError, match="too many"):
+        find_items(docs, items, 0.2)
+
+
 # -- quality --------------------------------------------------------------------
 
 
