@@ -82,12 +82,6 @@ class Rule:
     weight: float = 1.0
 
 
-def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """(topic, topic_ord, ord, pattern, weight); topics in order of their first rule."""
-    order = {t: k for k, t in enumerate(dict.fromkeys(r.topic for r in rules))}
-    return spark.createDataFrame([(r.topic, order[r.topic], k, r.pattern, float(r.weight)) for k, r in enumerate(rules)], "topic string, topic_ord int, ord int, pattern string, weight double")
-
-
 def rule_scores(texts: DataFrame, rules: list[Rule], key: str, text: str) -> DataFrame:
     """(key, topic, topic_ord, score) of topics with a score: sums of the weights of the patterns found, each once.
 
@@ -101,6 +95,21 @@ def rule_scores(texts: DataFrame, rules: list[Rule], key: str, text: str) -> Dat
     return texts.select(key, F.inline(F.filter(F.array(*by_topic), lambda s: s["score"] > 0)))
 
 
+def rule_details(texts: DataFrame, rules: list[Rule], key: str, text: str) -> DataFrame:
+    """(key, topic, score, matched, margin, tied) of every topic with a score.
+
+    ``matched``: the first 50 characters that each of its patterns finds, in the order of the
+    rules; ``margin``: to the best other topic; ``tied``: whether another has the same score.
+    """
+    found = [F.array_join(F.array_compact(F.array(*[F.when(F.col(text).rlike(r.pattern), F.substring(F.regexp_extract(text, r.pattern, 0), 1, 50)) for r in rules if r.topic == t])), "|") for t in dict.fromkeys(r.topic for r in rules)]
+    score = [sum((F.when(F.col(text).rlike(r.pattern), r.weight).otherwise(0.0) for r in rules if r.topic == t), F.lit(0.0)) for t in dict.fromkeys(r.topic for r in rules)]
+    rows = [F.struct(F.lit(t).alias("topic"), s.alias("score"), m.alias("matched")) for t, s, m in zip(dict.fromkeys(r.topic for r in rules), score, found)]
+    out = texts.select(F.col(key), F.filter(F.array(*rows), lambda x: x["score"] > 0).alias("__t")).select(key, "__t", F.explode("__t").alias("x"))
+    others = F.filter("__t", lambda o: o["topic"] != F.col("x.topic"))
+    best = F.coalesce(F.array_max(F.transform(others, lambda o: o["score"])), F.lit(0.0))
+    return out.select(key, "x.topic", "x.score", "x.matched", (F.col("x.score") - best).alias("margin"), F.exists(others, lambda o: F.abs(o["score"] - F.col("x.score")) < 1e-9).alias("tied"))
+
+
 def classify(scores: DataFrame, keys: DataFrame, key: str, least: float = 0.7, lead: float = 0.3) -> DataFrame:
     """(key, topic, score, margin, reason): the best topic where it has ``least`` and is ``lead`` ahead.
 

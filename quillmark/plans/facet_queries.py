@@ -30,11 +30,6 @@ def leaf_marks_rollup(spark, d):
     return facets.mark_rollup(questions(spark, d), parts(spark, d))
 
 
-def _topics(spark, d):
-    rows = spark.read.parquet(f"{d}/part.parquet").groupBy("p_type").agg(F.count("*").alias("n"))
-    return rows
-
-
 def part_aware_topic_filter(spark, d):
     q, p = questions(spark, d), parts(spark, d)
     return facets.part_aware_topics(q, p, ["1-URGENT", "PROMO"], [7, 9]).select("question_id", "exam_code", "topic")

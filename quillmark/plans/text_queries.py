@@ -83,6 +83,10 @@ def rule_diagnostics(spark, d):
     return c.groupBy("reason").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 3))
 
 
+def rule_score_details(spark, d):
+    return search.rule_details(_docs(spark, d), RULES, "doc_id", "text").select("doc_id", "topic", F.round("score", 6).alias("score"), "matched", F.round("margin", 6).alias("margin"), "tied")
+
+
 def pattern_precision(spark, d):
     return search.pattern_precision(_docs(spark, d), table(spark, d, "labels"), PATTERNS, "doc_id", "text", "quality", 5, 0.8)
 
@@ -125,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_sanitise, name_parse, topic_canonical, keyword_search, keyword_counts, keyword_filtered_counts, keyword_snippets, part_keyword_hits, rule_classify,
-        rule_diagnostics, pattern_precision, capped_candidates, stratified_sample, append_dedupe, sub_topic_match, checksum, json_decode_validate,
+        rule_diagnostics, rule_score_details, pattern_precision, capped_candidates, stratified_sample, append_dedupe, sub_topic_match, checksum, json_decode_validate,
     )
 }
 
@@ -148,6 +152,11 @@ best AS (SELECT doc_id, topic, score, coalesce(lead(score) OVER w, 0) AS second,
 c AS (SELECT d.doc_id, topic, score, score - second AS margin FROM documents d LEFT JOIN (SELECT * FROM best WHERE r = 1) b USING (doc_id))
 """
 
+_DETAILS = "WITH rules(topic, k, pattern, weight) AS (VALUES " + ", ".join(f"({_sql_text(r.topic)}, {k}, {_sql_text(r.pattern)}, {r.weight})" for k, r in enumerate(RULES)) + """),
+s AS (SELECT doc_id, topic, sum(CAST(weight AS DOUBLE)) AS score, string_agg(substr(regexp_extract(text, pattern), 1, 50), '|' ORDER BY k) AS matched FROM documents, rules WHERE regexp_matches(text, pattern) GROUP BY 1, 2)
+SELECT doc_id, topic, round(score, 6) AS score, matched, round(score - coalesce((SELECT max(o.score) FROM s o WHERE o.doc_id = s.doc_id AND o.topic <> s.topic), 0), 6) AS margin,
+ EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.topic <> s.topic AND abs(o.score - s.score) < 1e-9) AS tied FROM s"""
+
 
 def _reason(least: float, lead: float) -> str:
     return f"CASE WHEN score IS NULL THEN 'no match' WHEN score < {least} THEN 'low score' WHEN margin < {lead} - 1e-9 THEN 'close call' ELSE 'ok' END"
@@ -171,6 +180,7 @@ SELECT p_partkey, CASE WHEN trim(raw) = '' THEN '00. Unknown' WHEN {_CANON.forma
 a AS (SELECT *, instr(lower(t), 'that') AS i, greatest(1, instr(lower(t), 'that') - 60) AS lo FROM t)
 SELECT doc_id, CASE WHEN i > 0 THEN substr(t, lo, i - lo) || '[' || substr(t, i, 4) || ']' || substr(t, i + 4, 60) ELSE substr(t, 1, 150) END AS snippet FROM a""",
     "rule_classify": _RULES + f"SELECT doc_id, CASE WHEN {_reason(0.7, 0.3)} = 'ok' THEN topic ELSE '00. Unknown' END AS topic, round(coalesce(score, 0), 6) AS score, round(coalesce(margin, 0), 6) AS margin, {_reason(0.7, 0.3)} AS reason FROM c",
+    "rule_score_details": _DETAILS,
     "rule_diagnostics": _RULES + f"SELECT {_reason(0.8, 0.4)} AS reason, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 3) AS share FROM c GROUP BY 1",
     "pattern_precision": "WITH p(pattern, want) AS (VALUES " + ", ".join(f"({_sql_text(p)}, {w})" for p, w in PATTERNS) + """),
 x AS (SELECT pattern, want, count(*) FILTER (WHERE regexp_matches(text, pattern) AND quality = want) AS tp, count(*) FILTER (WHERE regexp_matches(text, pattern) AND quality <> want) AS fp,

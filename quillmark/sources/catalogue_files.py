@@ -48,23 +48,6 @@ def exploded_parts(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode("child_text").alias("label", "text"), "child_topics", "topic").select("question_id", "label", "text", F.coalesce(F.try_element_at("child_topics", "label"), "topic").alias("topic"))
 
 
-def exploded_regions(regions: DataFrame) -> DataFrame:
-    """One row per region, by top; the kind follows from the label's depth and the right edge from the width where absent."""
-    rows = regions.select("question_id", "composite_size", F.explode("regions").alias("label", "r"))
-    depth = F.regexp_count("label", F.lit(r"\("))
-    return rows.select(
-        "question_id", "label", F.coalesce("r.kind", F.when(depth == 0, "question").when(depth == 1, "letter").otherwise("roman")).alias("kind"), "r.marks",
-        "r.bounds.top", "r.bounds.bottom", F.coalesce("r.bounds.left", F.lit(0)).alias("left"), F.coalesce("r.bounds.right", "composite_size.width").alias("right"),
-        F.coalesce("r.is_valid", F.lit(True)).alias("is_valid"),
-    ).orderBy("question_id", "top")
-
-
-def with_regions(questions: DataFrame, regions: DataFrame) -> DataFrame:
-    """Catalogue rows with their regions' offset; the region's wins unless it is null or 0."""
-    r = regions.select("question_id", F.col("horizontal_offset").alias("__offset"))
-    return questions.join(r, "question_id").withColumn("horizontal_offset", F.coalesce(F.nullif("__offset", F.lit(0)), "horizontal_offset", F.lit(0))).drop("__offset")
-
-
 def write_catalogue(questions: DataFrame, path: str, mode: str = "overwrite") -> None:
     questions.write.mode(mode).json(path)
 

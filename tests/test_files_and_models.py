@@ -41,3 +41,18 @@ def test_topic_model_on_held_out_texts(spark):
     assert sum(r.topic == r.wanted for r in got) >= 0.95 * len(got) and all(1 / 3 <= r.confidence <= 1 for r in got)
     blank = spark.createDataFrame([(1, " "), (2, None)], "id int, text string")
     assert [(r.topic, r.confidence) for r in topic_model.predicted_topics(blank, model, patterns).collect()] == [(None, 0.0), (None, 0.0)]
+
+
+def test_gap_sessions_of_a_stream(spark, tmp_path):
+    from quillmark.streaming import ingest
+
+    at = tmp_path / "in"
+    at.mkdir()
+    (at / "a.json").write_text("\n".join(json.dumps({"u": u, "t": f"2024-01-01T{h:02}:{m:02}:00"}) for u, h, m in [(1, 1, 0), (1, 1, 20), (1, 3, 0), (2, 1, 0)]))
+    (at / "b.json").write_text(json.dumps({"u": 9, "t": "2024-01-09T00:00:00"}))
+    (at / "c.json").write_text(json.dumps({"u": 9, "t": "2024-01-19T00:00:00"}))
+    stream = spark.readStream.schema("u int, t timestamp").option("maxFilesPerTrigger", 1).json(str(at))
+    q = ingest.gap_sessions(stream, "u", "t", "30 minutes").writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.u, r.n) for r in spark.sql("select u, n from sessions where u < 9").collect())
+    assert got == [(1, 1), (1, 2), (2, 1)]
