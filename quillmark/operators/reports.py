@@ -161,10 +161,10 @@ def manifest_rejects(manifests: DataFrame) -> DataFrame:
 
     A version's dots are left out: '3.0' is 30; what is no number is 1.
     """
-    m = manifests.withColumn("__m", F.from_json("json", "code string, name string, manifest_schema_version string, schema_version string, supported_years array<string>"))
+    m = manifests.withColumn("__m", F.from_json("json", "code string, name string, manifest_schema_version string, schema_version string, supported_years array<string>, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     code, name = F.trim(F.coalesce("__m.code", F.lit(""))), F.trim(F.coalesce("__m.name", F.lit("")))
     raw = F.coalesce(F.nullif("__m.manifest_schema_version", F.lit("")), F.nullif("__m.schema_version", F.lit("")))
-    reject = F.when(F.col("__m").isNull() | ~F.startswith(F.trim("json"), F.lit("{")), "not an object").when(~code.rlike("^[A-Za-z0-9]{1,10}$"), "code").when(name == "", "no name").when(F.length(name) > 100, "name")
+    reject = F.when(F.col("__m").isNull() | F.col("__m._bad").isNotNull() | ~F.startswith(F.trim("json"), F.lit("{")), "not an object").when(~code.rlike("^[A-Za-z0-9]{1,10}$"), "code").when(name == "", "no name").when(F.length(name) > 100, "name")
     return m.withColumn("version", F.coalesce(F.replace(raw, F.lit("."), F.lit("")).try_cast("int"), F.lit(1))).withColumn("reject", reject).drop("__m")
 
 
