@@ -83,6 +83,15 @@ def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame
     return out
 
 
+def sized(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table as one side of a join: of more than ``most`` rows it is never sent to all tasks.
+
+    Spark decides by the size of the files, which says little of decoded rows; their number is
+    read from the files' footers.
+    """
+    return df if df.count() <= most else df.hint("merge")
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes what was written for frames that nothing reads any more."""
     for df in frames:

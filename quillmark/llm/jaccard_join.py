@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import forget, in_parts, keyed_text, table, written
+from quillmark.llm.common import forget, in_parts, keyed_text, sized, table, written
 from quillmark.llm.components import components
 from quillmark.llm.textscan import _mix, shingles
 
@@ -298,7 +298,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     n = ids.count()
     bits = 1 << max(16, min(27, (16 * n).bit_length()))
     if 4 * n > bits:
-        docs = docs.join(ids, "doc_id", "left_semi")
+        docs = docs.join(ids.hint("merge"), "doc_id", "left_semi")
     sent = docs.sparkSession.sparkContext.broadcast(_members(ids, bits))
     shift = np.uint64(64 - (bits - 1).bit_length())
 
@@ -312,7 +312,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 values, bounds = shingles(texts, width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[bounds[k] : bounds[k + 1]].tobytes() for k in range(len(texts))], pa.binary())], names=["doc_id", "elements"])
 
-    return docs.mapInArrow(run, "doc_id long, elements binary").join(ids, "doc_id", "left_semi")
+    return docs.mapInArrow(run, "doc_id long, elements binary").join(sized(ids), "doc_id", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -338,8 +338,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def connected(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Smallest place that each set is connected to by links between ``left`` and ``right``; places count on from left to right.
+def linked_sets(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Whether each of the left sets links with each of the right ones.
 
     Intersections are products of 0-1 matrices over the elements that several sets hold, some
     thousand elements at a time.
@@ -358,12 +358,18 @@ def connected(left: list[np.ndarray], right: list[np.ndarray], num: int, den: in
     step = 2048
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         a, b = np.searchsorted(column, [low, low + step])
-        m = np.zeros((len(sets), step), np.float32)
+        m = np.zeros((len(sets), min(step, int(column[-1]) + 1 - low)), np.float32)
         m[owner[a:b], column[a:b] - low] = 1
         both += m[:n] @ m[n:].T
     # float32 holds whole numbers to 2**24 exactly; a larger set would need 16 million shingles
-    i, j = np.nonzero(den * both.astype(np.float64) >= num * (size[:n, None] + size[None, n:] - both).astype(np.float64))
-    label = np.arange(len(sets))
+    return den * both.astype(np.float64) >= num * (size[:n, None] + size[None, n:] - both).astype(np.float64)
+
+
+def connected(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Smallest place that each set is connected to by links between ``left`` and ``right``; places count on from left to right."""
+    n = len(left)
+    i, j = np.nonzero(linked_sets(left, right, num, den))
+    label = np.arange(n + len(right))
     while len(i):
         before = label.copy()
         low = np.minimum(label[i], label[n + j])
@@ -467,8 +473,49 @@ def block_links(listed: DataFrame, elements: DataFrame, num: int, den: int, bloc
     return left.groupBy("head", "i", "j").cogroup(right.groupBy("head_", "i_", "j_")).applyInArrow(compare, "a long, b long")
 
 
-def similarity_components(docs: DataFrame, width: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key as ``doc_id``, ``n_shingles`` and ``component_id``.
+def link_counts(members: DataFrame, elements: DataFrame, num: int, den: int, block: int = 1024, held: int = 1 << 20) -> DataFrame:
+    """(rep, n): documents of other classes that a class links with.
+
+    members: rep, copies, size, head (component).  Links lie within components, so each is
+    compared with itself in blocks of about ``block`` classes and ``held`` elements by as many.
+    A block sends on one number for each of its classes.
+    """
+    spread = F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.ceil(F.sum("size") / held)).cast("int")
+    placed = members.join(members.groupBy("head").agg(spread.alias("sides")), "head")
+    turn = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+    own = F.pmod(F.xxhash64("rep"), "sides").cast("int")
+    left = placed.select("rep", "size", "head", own.alias("i"), turn.alias("j"))
+    right = placed.select("rep", "copies", "head", own.alias("j"), turn.alias("i")).toDF("rep_", "copies_", "head_", "j_", "i_")
+    total = members.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, int(total) // held)
+    left = left.join(elements.toDF("rep", "elements"), "rep").withColumn("part", F.pmod(F.xxhash64("head", "i", "j"), F.lit(parts)))
+    right = right.join(elements.toDF("rep_", "elements_"), "rep_").withColumn("part_", F.pmod(F.xxhash64("head_", "i_", "j_"), F.lit(parts)))
+
+    def compare(few: pa.Table, many: pa.Table) -> pa.Table:
+        def grouped(t: pa.Table, tail: str) -> dict[tuple, list[int]]:
+            out: dict[tuple, list[int]] = {}
+            for k, key in enumerate(zip(*(t[c + tail].to_pylist() for c in ("head", "i", "j")))):
+                out.setdefault(key, []).append(k)
+            return out
+
+        reps, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if few.num_rows and many.num_rows:
+            a, b, copies = few["rep"].to_numpy(), many["rep_"].to_numpy(), many["copies_"].to_numpy()
+            sets = lambda column, at: [np.frombuffer(column[k].as_py(), np.uint64) for k in at]
+            other = grouped(many, "_")
+            for key, mine in grouped(few, "").items():
+                theirs = other.get(key, [])
+                if theirs:
+                    link = linked_sets(sets(few["elements"], mine), sets(many["elements_"], theirs), num, den) & (a[mine][:, None] != b[theirs][None, :])
+                    reps.append(a[mine])
+                    counts.append(link @ copies[theirs])
+        return pa.table({"rep": np.concatenate(reps), "n": np.concatenate(counts).astype(np.int64)})
+
+    return left.groupBy("part").cogroup(right.groupBy("part_")).applyInArrow(compare, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+def similarity_components(docs: DataFrame, width: int, num: int, den: int, key: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
+    """Per row: key as ``doc_id``, ``n_shingles`` and ``component_id``; with ``count_links`` also ``n_links``.
 
     A row's set is that of its distinct shingles of ``width`` words (A-Z as a-z, words parted by
     ASCII white space); with fewer words the whole sequence is its one shingle; null and empty
@@ -481,11 +528,15 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
     which connects most of a group of near copies in as many comparisons as it has members.
     What that leaves apart is compared with all documents of its groups, block by block: first
     by sketches, and by sets where these leave a link possible.
+
+    ``n_links`` is the number of other rows that a row links with, copies included (0 for a null
+    key).  Counting takes the pairs of classes within every component, as products of blocks;
+    without it connected pairs are not compared.
     """
     own = keyed_text(docs, key, text)
     sets = written(set_classes(own, width), "sets")
     full = sets.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
     groups = candidate_groups(own, width, num, den).select("head", F.explode("others").alias("other"))
     # from fingerprints to documents; where two sets share half a fingerprint, both are candidates
@@ -494,7 +545,7 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
     rows = written(groups.join(a, "head").join(b, "other").filter("rep <> doc").select("rep", "doc", "size").distinct(), "rows")
     star = rows.select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct()
     nodes = written(rows.select(F.col("rep").alias("doc_id")).union(rows.select("doc")).distinct(), "nodes")
-    sketched = written(sets.select("doc_id", F.col("n_shingles").alias("size"), "sketch").join(nodes, "doc_id", "left_semi"), "sketches")
+    sketched = written(sets.select("doc_id", F.col("n_shingles").alias("size"), "sketch").join(sized(nodes), "doc_id", "left_semi"), "sketches")
     close = written(possible(star, sketched, num, den), "close")
     wanted = written(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "wanted")
     elements = written(sets_of(own, wanted, width), "elements")
@@ -520,17 +571,26 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
     forget(groups, rows, links, open_)
 
     by_rep = label.select(F.col("node").alias("rep"), F.col("label"))
-    out = full.join(classes, ["f1", "f2", "n_shingles"]).join(by_rep, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    out = full.join(classes, ["f1", "f2", "n_shingles"]).join(by_rep, "rep", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"), "rep", "copies")
     alone = sets.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone)
+    if not count_links:
+        return out.drop("rep", "copies").unionByName(alone)
+    members = written(classes.join(by_rep, "rep").select("rep", "copies", F.col("n_shingles").alias("size"), F.col("label").alias("head")), "members")
+    wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    elements = written(sets_of(own, wanted, width), "elements")
+    counts = written(link_counts(members, elements, num, den), "counts")
+    forget(members, wanted, elements)
+    out = out.join(counts, "rep", "left").select("doc_id", "n_shingles", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    return out.unionByName(alone.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_components(table(spark, sf_dir, "documents"), 4, 85, 100)
+    return similarity_components(table(spark, sf_dir, "documents"), 4, 85, 100, count_links=True)
 
 
 def component_sql(width: int, num: int, den: int, source: str = "documents") -> str:
-    """CTEs that end in linked(doc_id, n_shingles, component_id) for source(doc_id, text)."""
+    """CTEs that end in linked(doc_id, n_shingles, component_id, n_links) for source(doc_id, text)."""
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 worded AS (
@@ -551,12 +611,15 @@ reach(id, other) AS (
   SELECT DISTINCT a, a FROM edges
   UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.other = e.a
 ), component AS (SELECT id, min(other) AS least FROM reach GROUP BY id),
+copies AS (SELECT rep, count(*) AS copies FROM classed WHERE n > 0 GROUP BY rep),
+others AS (SELECT e.a, sum(p.copies) AS n FROM edges e JOIN copies p ON p.rep = e.b GROUP BY e.a),
 linked AS (
   SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles,
-         CASE WHEN c.n = 0 THEN c.doc_id ELSE coalesce(k.least, c.rep) END AS component_id
-  FROM classed c LEFT JOIN component k ON k.id = c.rep
+         CASE WHEN c.n = 0 THEN c.doc_id ELSE coalesce(k.least, c.rep) END AS component_id,
+         CAST(CASE WHEN c.n = 0 THEN 0 ELSE p.copies - 1 + coalesce(o.n, 0) END AS BIGINT) AS n_links
+  FROM classed c LEFT JOIN component k ON k.id = c.rep LEFT JOIN copies p ON c.n > 0 AND p.rep = c.rep LEFT JOIN others o ON c.n > 0 AND o.a = c.rep
 )
 """
 
 
-SQL = {"op4_jaccard_join": "WITH RECURSIVE " + component_sql(4, 85, 100) + "SELECT doc_id, n_shingles, component_id FROM linked"}
+SQL = {"op4_jaccard_join": "WITH RECURSIVE " + component_sql(4, 85, 100) + "SELECT doc_id, n_shingles, component_id, n_links FROM linked"}
