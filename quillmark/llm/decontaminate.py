@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillmark.llm.common import free_name, in_parts, keyed_text, table, written
+from quillmark.llm.common import free_name, in_parts, keyed_text, sized, table, written
 
 Q = 8
 _MULT = 0x9E3779B97F4A7C15
@@ -300,13 +300,13 @@ def short_items(items: DataFrame, shortest: int = 32, item_text: str = "text") -
 def clean_documents(docs: DataFrame, items: DataFrame, rate: float = 0.08, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose key is not that of a text with a benchmark item (``find_items``).
 
-    The keys found are written first, so Spark sends them to the documents where the table's
-    size allows and shuffles by key if not.
+    The keys found are written and counted first; many are joined by sorting, few are sent to
+    the documents.
     """
     names = docs.columns
     hit = free_name("hit", names)
     hits = written(find_items(docs, items, rate, key=key, text=text).select(F.col("doc_id").alias(hit)).distinct(), "contaminated")
-    return docs.join(hits, F.col(key).eqNullSafe(F.col(hit)), "left_anti").select(*names)
+    return docs.join(sized(hits), F.col(key).eqNullSafe(F.col(hit)), "left_anti").select(*names)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import forget, free_name, table, written
+from quillmark.llm.common import forget, free_name, sized, table, written
 
 WINDOW = 3
 
@@ -70,7 +70,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
     forget(found)
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     own, gone, line = (free_name(c, docs.columns) for c in ("own_key", "gone", "line"))
-    d = drops.select(F.col("doc_id").alias(own), F.col("drop").alias(gone))
+    d = sized(drops).select(F.col("doc_id").alias(own), F.col("drop").alias(gone))
     joined = docs.select(*rest).join(d, F.col(key).eqNullSafe(F.col(own)), "left").withColumn(line, _lines(F.col(text)))
     # positions that stay, by a hash set; the lines themselves are looked up by position
     stay = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), gone)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import forget, local_rows, new_path, table, written
+from quillmark.llm.common import forget, local_rows, new_path, sized, table, written
 
 VERSION = b"WARC/1.1"
 _END = b"\r\n\r\n"
@@ -55,7 +55,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     response and revisits of it.  No rows give no records.
 
     Only (page id, digest) of repeated payloads is joined to the pages; that table is written
-    first, so Spark sends it to the pages where its size allows and shuffles by page id if not.
+    and counted first, and sent to the pages only where it is small.
     """
     own = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     known = own.select("page", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size"))
@@ -67,7 +67,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         "repeats",
     )
     forget(narrow)
-    rows = own.withColumn("sha", F.sha2("html", 256)).join(again, (F.col("page") == F.col("p")) & (F.unhex("sha") == F.col("d")), "left")
+    rows = own.withColumn("sha", F.sha2("html", 256)).join(sized(again), (F.col("page") == F.col("p")) & (F.unhex("sha") == F.col("d")), "left")
     # rows that repeat the response's own page id: all but one are revisits; they are few per id
     single = rows.filter("first is null or page <> first").withColumn("back", F.col("first"))
     nth = F.row_number().over(Window.partitionBy("page", "sha").orderBy(F.col("url").asc_nulls_first()))
