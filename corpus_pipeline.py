@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import forget, free_name, table, written
+from quillmark.llm.common import forget, free_name, sized, table, written
 from quillmark.llm.decontaminate import clean_documents
 from quillmark.llm.jaccard_join import similarity_components
 from quillmark.llm.line_dedup import line_dedup
@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = similarity_components(docs, 5, 80, 100)
     name = free_name("gone", docs.columns)
     gone = written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)
+    return docs.join(sized(gone), F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
