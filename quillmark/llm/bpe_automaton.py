@@ -34,12 +34,19 @@ from functools import cached_property, lru_cache
 import numpy as np
 
 SEP, SPACE, LETTER, NUMBER, OTHER, UNSAFE = range(6)
-_TABLE = 0x2100
+_TABLE = 0xD7A4
+#: Blocks whose classes have long been settled: Latin, Greek, Cyrillic, Hebrew and Arabic letters, punctuation, kana, Han, Hangul.
+_BLOCKS = ((1, 0x250), (0x370, 0x530), (0x5D0, 0x5EB), (0x620, 0x64B), (0x660, 0x66A), (0x2010, 0x2028), (0x20AC, 0x20AD), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
 
 
 def _classes() -> np.ndarray:
     out = np.full(_TABLE, UNSAFE, np.uint8)
-    for c in (*range(1, 0x250), *range(0x2010, 0x2028), 0x20AC):
+    for c in (c for low, high in _BLOCKS for c in range(low, high)):
+        low = chr(c).lower()
+        if unicodedata.normalize("NFC", chr(c)) != chr(c) or len(low) != 1 or unicodedata.normalize("NFC", low) != low:
+            continue
+        if not any(a <= ord(low) < b for a, b in _BLOCKS):
+            continue
         kind = unicodedata.category(chr(c))
         if c in (9, 10, 11, 12, 13, 32):
             out[c] = SPACE
@@ -50,7 +57,7 @@ def _classes() -> np.ndarray:
         elif kind[0] in "PS":
             out[c] = OTHER
     out[0] = SEP
-    out[0x130] = UNSAFE  # its lower case is two characters
+    out[0x3A3] = UNSAFE  # its lower case depends on what stands around it
     return out
 
 
@@ -104,6 +111,8 @@ class BpeAutomaton:
     #: Vocabulary paths with so few tokens below tell predecessors apart by what they allow.
     FEW = 12
     MEMO = 60_000
+    #: Places for transitions, 4 bytes each; corpora of many scripts have more columns and so fewer states.
+    CELLS = 15_400_000
 
     def __init__(self, path: str, counting: bool = True, max_states: int = 120_000, columns: int = 128):
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -163,8 +172,8 @@ class BpeAutomaton:
     def __reduce__(self):
         return automaton, (self.path, self.counting)
 
-    def _restart(self) -> None:
-        """Forgets all states; the columns stay."""
+    def _restart(self, room: int | None = None) -> None:
+        """Forgets all states; the columns stay.  There is room for ``max_states`` and CELLS transitions, or for ``room`` states."""
         if not hasattr(self, "symbol_of"):
             self.column = np.zeros(512, np.int32)
             self.symbol_of = [-1]
@@ -172,8 +181,9 @@ class BpeAutomaton:
         self.states: list[bytes] = [first]
         self.index: dict[bytes, int] = {first: 0}
         # zeros are reserved, and become memory when they are written to
-        self.step = np.zeros((self.max_states, self.columns), np.int32)
-        self.last = np.full(self.max_states, -1, np.int32)
+        room = room or max(2, min(self.max_states, self.CELLS // self.columns))
+        self.step = np.zeros((room, self.columns), np.int32)
+        self.last = np.full(room, -1, np.int32)
         self.step[0, 0] = self._NONE
 
     def _stable(self, left: int, right: int) -> bool:
@@ -348,12 +358,11 @@ class BpeAutomaton:
 
     def _alone(self, column: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
         """As ``_run``, with as many states as it takes: a pre-token can't be halved."""
-        held, self.max_states = self.max_states, max(self.max_states, len(column) + 2)
-        self._restart()
+        self._restart(max(self.max_states, len(column) + 2))
         try:
             return self._lanes(column, start, width)
         finally:
-            self.max_states = held
+            self._restart()
 
     def _lanes(self, column: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
         n = len(column)

@@ -71,6 +71,27 @@ def test_automaton_starts_anew_when_full():
         assert ids_of(machine, part) == encoded(WORD, part)
 
 
+def test_automaton_on_many_scripts(machines):
+    rng = random.Random(8)
+    blocks = ["Ελληνικάωψς", "РусскийязыкЁё", "עבריתשלום", "العربيةسلام", "ひらがなカタカナ", "中文漢字語言", "한국어문장", "ȺƏÀéñçß", "abcXYZ019"]
+    texts = ["".join(rng.choice(rng.choice(blocks[k % 9 : k % 9 + 2]) + " .,'1") for _ in range(rng.randint(1, 80))) for k in range(400)]
+    for path in (WORD, BYTE):
+        machine = machines[path, False]
+        assert sum(map(machine._fits, texts)) >= 300
+        want = encoded(path, texts)
+        assert ids_of(machine, texts) == want
+        assert machines[path, True].counts(texts).tolist() == [len(x) for x in want]
+
+
+def test_long_texts_are_cut_between_words(machines):
+    long = " ".join(f"word{k} it's, wOrd" for k in range(3000)) + " 日本 " + "x" * 5000 + " more words of it " * 500 + "😀 end of it"
+    for path in (WORD, BYTE):
+        (want,) = encoded(path, [long])
+        for chars in (100, 3000):
+            assert ids_of(machines[path, False], ["a", long, ""], chars=chars) == [encoded(path, ["a"])[0], want, []]
+            assert machines[path, True].counts([long, long], chars=chars).tolist() == [len(want)] * 2
+
+
 def docs(spark, rows=None):
     rows = [(k, t) for k, t in enumerate(ODD)] + [(3, "twice"), (3, "twice"), (None, "no key"), (99, None)] if rows is None else rows
     return spark.createDataFrame([(k, t, -1, "x") for k, t in rows], "doc_id long, text string, n_tokens int, start string")
