@@ -226,12 +226,13 @@ def find(texts: list[str], index: ItemIndex) -> Iterator[tuple[int, int, int, in
                 continue
             lo, t = lo[other], t[other]
             cost, end = banded_edits(index.items[i], regions[other])
-            for x in np.flatnonzero(cost <= edits).tolist():
-                stop = int(lo[x] + end[x])
-                back = _cut(code, np.array([stop - n - edits]), n + edits, first[t[x : x + 1]], upto[t[x : x + 1]] - 1)[:, ::-1]
+            near = np.flatnonzero(cost <= edits)
+            if len(near):
+                t, stop = t[near], lo[near] + end[near]
+                back = _cut(code, stop - n - edits, n + edits, first[t], upto[t] - 1)[:, ::-1]
                 _, length = banded_edits(index.items[i][::-1], back)
-                begin = max(stop - int(length[0]), int(first[t[x]]))
-                found.append((int(t[x]), i, begin, min(stop, int(upto[t[x]]) - 1), int(cost[x])))
+                begin, stop = np.maximum(stop - length, first[t]), np.minimum(stop, upto[t] - 1)
+                found += zip(t.tolist(), [i] * len(near), begin.tolist(), stop.tolist(), cost[near].tolist())
     found.sort(key=lambda f: (f[0], f[1], f[4], f[2]))
     taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for t, i, lo, hi, cost in found:
