@@ -1,4 +1,4 @@
-"""Every registered query of the reference's own operators, with its SQL."""
+"""Every registered query over questions, catalogues and reports, with its SQL."""
 
 from __future__ import annotations
 

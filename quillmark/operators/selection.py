@@ -146,8 +146,7 @@ def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key:
     kind = totals.schema[key].dataType.simpleString()
     most = config.max_questions or 2**31 - 1
     ranked = totals.withColumn("__r", F.row_number().over(Window.partitionBy(*run).orderBy(seeded_order(config.seed, key), key)))
-    state = kept(totals.groupBy(*run).agg(F.count("*").alias("__all")).withColumns({"sum": F.lit(0), "n": F.lit(0)}))
-    low, high, out = 0, first, None
+    state, low, high, out = None, 0, first, None
     while True:
         part = ranked.filter((F.col("__r") > low) & (F.col("__r") <= high)) if low else ranked.filter(F.col("__r") <= high)
         listed = part.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct(F.col("__r").alias("r"), F.col(key).alias("q"), F.col("marks").cast("int").alias("m")))).alias("c"))
@@ -159,10 +158,11 @@ def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key:
                 F.struct((a["sum"] + x["m"]).alias("sum"), F.concat(a["picked"], F.array(x["q"])).alias("picked")),
             ).otherwise(F.struct(a["sum"].alias("sum"), a["picked"].alias("picked"))),
         )
-        folded = kept(state.join(listed, run).select(*run, "__all", "n", fold.alias("f")))
+        began = listed.withColumns({"sum": F.lit(0), "n": F.lit(0)}) if state is None else state.join(listed, run)
+        folded = kept(began.select(*run, "n", fold.alias("f"), (F.size("c") == high - low).alias("more")))
         picks = folded.select(*run, "n", F.posexplode("f.picked").alias("pos", key)).select(*run, (F.col("pos") + F.col("n") + 1).alias("pos"), key)
         out = picks if out is None else out.unionByName(picks)
-        state = folded.select(*run, "__all", F.col("f.sum").alias("sum"), (F.col("n") + F.size("f.picked")).alias("n")).filter((F.col("sum") < config.target) & (F.col("n") < most) & (F.col("__all") > high))
+        state = folded.filter("more").select(*run, F.col("f.sum").alias("sum"), (F.col("n") + F.size("f.picked")).alias("n")).filter((F.col("sum") < config.target) & (F.col("n") < most))
         if not state.limit(1).count():
             return out
         low, high = high, high + 4 * (high - low)

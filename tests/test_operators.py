@@ -194,7 +194,7 @@ def test_options_of_many_leaves(spark):
 
 
 def sequence_by_the_rule(c):
-    """The reference's rule as a plain scan over (number, pseudo, real)."""
+    """The rule as a plain scan over (number, pseudo, real)."""
     out, used, done, want = [], set(), set(), 1
     while True:
         after = [k for k in range(out[-1] + 1 if out else 0, len(c)) if k not in used]
