@@ -101,11 +101,11 @@ def built_marks(nodes: DataFrame) -> DataFrame:
 
     nodes: question_id, label, parent, marks (null: none), right; two levels below the root.
     """
-    sums = lambda df, name: df.groupBy("question_id", F.col("parent").alias("label")).agg(F.sum("marks").cast("int").alias("__s"), F.min("right").alias("__r"))
-    done, level = None, nodes.filter("kind = 'roman'").select("question_id", "label", "parent", F.coalesce("marks", F.lit(0)).alias("marks"), F.when(F.col("marks").isNull(), "inferred").otherwise("explicit").alias("source"), "right")
+    sums = lambda df: df.groupBy("question_id", F.col("parent").alias("label")).agg(F.sum("marks").cast("int").alias("__s"), F.min("right").alias("__r"))
+    level = nodes.filter("kind = 'roman'").select("question_id", "label", "parent", F.coalesce("marks", F.lit(0)).alias("marks"), F.when(F.col("marks").isNull(), "inferred").otherwise("explicit").alias("source"), "right")
     done = level
     for kind in ("letter", "question"):
-        own = nodes.filter(F.col("kind") == kind).join(sums(level, kind), ["question_id", "label"], "left")
+        own = nodes.filter(F.col("kind") == kind).join(sums(level), ["question_id", "label"], "left")
         source = F.when(F.col("marks").isNotNull(), "explicit").when(F.col("__s").isNotNull(), "aggregate").otherwise("inferred")
         level = own.select("question_id", "label", "parent", F.coalesce("marks", "__s", F.lit(0)).alias("marks"), source.alias("source"), F.coalesce("__r", "right").alias("right"))
         done = done.unionByName(level)
