@@ -67,7 +67,7 @@ def weighted_patterns(patterns: DataFrame) -> DataFrame:
     patterns: topic, ord, pattern, weighted boolean, weight.  Patterns with a quantifier of
     nothing or an open bracket, which don't compile, are left out.
     """
-    broken = r"(^|[^\\])[*+?]{2,}|^[*+?]|\([^)]*$|\[[^\]]*$"
+    broken = r"(^|[^\\])[*+?]\*|^[*+?]|(^|[^\\])\([^)]*$|(^|[^\\])\[[^\]]*$"
     return patterns.filter(~F.col("pattern").rlike(broken)).withColumn("weight", F.when(F.col("weighted"), F.coalesce("weight", F.lit(1.0))))
 
 

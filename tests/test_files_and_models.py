@@ -56,3 +56,12 @@ def test_gap_sessions_of_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r.u, r.n) for r in spark.sql("select u, n from sessions where u < 9").collect())
     assert got == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_patterns_that_do_not_compile_are_left_out(spark):
+    from quillmark.operators import topics
+
+    good, bad = [".*?", "a+", r"\*", r"\(", "(a|b)", "[ab]*", "x??"], ["*a", "a**", "(a", "[a", "+"]
+    rows = [("t", k, p, k % 2 == 0, None) for k, p in enumerate(good + bad)]
+    out = topics.weighted_patterns(spark.createDataFrame(rows, "topic string, ord int, pattern string, weighted boolean, weight double")).collect()
+    assert sorted(r.pattern for r in out) == sorted(good) and {r.weight for r in out} == {1.0, None}
