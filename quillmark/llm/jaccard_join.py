@@ -390,7 +390,8 @@ def _blocks(listed: DataFrame, held: int, block: int) -> tuple[DataFrame, DataFr
     spread = lambda n, m: F.greatest(F.lit(1), F.ceil(F.col(n) / block), F.ceil(F.col(m) / held)).cast("int")
     out = F.col("label") != F.col("head")
     sizes = listed.groupBy("head").agg(F.count("*").alias("all"), F.sum("size").alias("most"), F.count_if(out).alias("out"), F.sum(F.when(out, F.col("size")).otherwise(0)).alias("some"))
-    sizes = sizes.filter("out > 0").select("head", spread("all", "most").alias("cols"), spread("out", "some").alias("rows"))
+    # one row a group with something to compare: where it is small, no group's rows come together for it
+    sizes = sized(written(sizes.filter("out > 0").select("head", spread("all", "most").alias("cols"), spread("out", "some").alias("rows")), "spread"))
     placed = listed.join(sizes, "head")
     side = lambda from_, own, other, count, turns: from_.select("doc", "size", "label", "head", F.pmod(F.xxhash64("doc"), count).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(turns) - 1)).alias(other))
     left = side(placed.filter("label <> head"), "i", "j", "rows", "cols").select("doc", "size", "label", "head", "i", "j")
@@ -481,7 +482,7 @@ def link_counts(members: DataFrame, elements: DataFrame, num: int, den: int, blo
     A block sends on one number for each of its classes.
     """
     spread = F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.ceil(F.sum("size") / held)).cast("int")
-    placed = members.join(members.groupBy("head").agg(spread.alias("sides")), "head")
+    placed = members.join(sized(written(members.groupBy("head").agg(spread.alias("sides")), "spread")), "head")
     turn = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
     own = F.pmod(F.xxhash64("rep"), "sides").cast("int")
     left = placed.select("rep", "size", "head", own.alias("i"), turn.alias("j"))
