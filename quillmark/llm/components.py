@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import forget, written
+from quillmark.llm.common import by_weight, forget, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,18 +14,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round a node takes the least label among its neighbours, tells it to the node that its
     own label names, and then takes the label of its label, so the number of rounds is about
     the logarithm of a component's size.  Labels are written to the shared
-    folder every round, so lineage stays short and lost executors cost one round.  A node with
-    very many edges is one key only in sums that are pre-aggregated.
+    folder every round, so lineage stays short and lost executors cost one round.  The labels
+    of nodes with very many edges are sent to where the edges are (``by_weight``), and what a
+    node hears is reduced to its minimum before it is shuffled.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    nodes = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"), F.count("*").alias("edges")), "nodes")
+    heavy = written(nodes.filter(F.col("edges") > 4096).select("node", "edges"), "heavy")
+    labels = written(nodes.select("node", F.least("node", "b").alias("label")), "labels")
+    forget(nodes)
+    many = not heavy.isEmpty()
     before = None
     for _ in range(rounds):
         total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if total == before:
             break
         before = total
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
+        if many:
+            told = labels.join(heavy, "node", "left").select(F.col("node").alias("b"), "label", F.coalesce("edges", F.lit(0)).alias("edges"))
+            near = by_weight(both, told, "b", "edges")
+        else:
+            near = both.join(labels.select(F.col("node").alias("b"), "label"), "b")
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
         # a node passes what it hears on to the node that its own label names
         heard = labels.withColumnRenamed("label", "own").join(near, "node").filter("label < own")
         hook = heard.select(F.col("own").alias("node"), "label")
@@ -36,5 +46,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new
     else:
         raise RuntimeError("components did not settle")
-    forget(both)
+    forget(both, heavy)
     return labels

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillmark.llm import jaccard_join, line_dedup, warc
+from quillmark.llm import embedding_dedup, jaccard_join, line_dedup, warc
+from quillmark.llm.conversations import op13_conversation_repair
 from quillmark.llm.decontaminate import op5_benchmark_decontamination
 from quillmark.llm.packing import op2_best_fit_packing
 from quillmark.llm.quality import op6_quality_classifier
 from quillmark.llm.secret_scan import op1_secret_scan
+from quillmark.llm.spelling import op11_spelling_variants
 from quillmark.llm.token_counts import op10_token_counts
 from quillmark.llm.token_store import op3_token_store
 from quillmark.llm.vector_search import op8_vector_search
@@ -24,6 +26,9 @@ QUERIES = {
         op8_vector_search,
         warc.op9_warc,
         op10_token_counts,
+        op11_spelling_variants,
+        embedding_dedup.op12_embedding_dedup,
+        op13_conversation_repair,
     )
 }
-SQL: dict[str, str] = {**jaccard_join.SQL, **line_dedup.SQL, **warc.SQL}
+SQL: dict[str, str] = {**embedding_dedup.SQL, **jaccard_join.SQL, **line_dedup.SQL, **warc.SQL}
