@@ -2,10 +2,13 @@
 
 Values that follow a credential word, those in base spans included, are segmented by dynamic
 programming into words, dates, repeats, keyboard walks and brute-force spans so that the
-product of the segments' guesses is smallest.  A value whose cheapest segmentation still
-costs ``min_log10`` decimal digits of guesses is a secret if brute force carries
-``min_brute`` of them; one of words, dates, repeats and walks alone (prose, paths, names)
-has to cost ``phrase_log10``.
+product of the segments' guesses is smallest.  The programme goes over whole values, whatever
+their length; segments are bounded by their kind (see ``GuessCost``).
+
+A value is a secret if it, or a piece of it between signs, costs ``min_log10`` decimal digits of
+guesses, ``min_brute`` of them by brute force, and ``min_share`` of what brute force alone
+would take for its characters.  The share is what tells random values from prose of any
+length: of paths and URLs only pieces count, as their signs part names.
 
 Words are ranked: a short list of common passwords, then the whole words of a public
 tokenizer's vocabulary in the order of their merges, which is about that of their frequency.
@@ -14,13 +17,18 @@ tokenizer's vocabulary in the order of their merges, which is about that of thei
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 import json
 import math
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +42,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Words before a value that make it a credential, beyond those of the base pattern.
+#: Words that make what follows a credential, beyond those of the base pattern; the name that holds one may begin with anything.
+#: For texts whose A-Z are lower-cased.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9_-]{0,40}?(?:passphrase|password|passwd|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization|bearer|pin))["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)["'`]?(?:bearer\x20+|basic\x20+)?([^\s"'`<>,;]+)""",
-    re.IGNORECASE | re.ASCII,
+    r"""(?:passphrase|password|passwd|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization|bearer|pin)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)["'`]?(?:bearer\x20+|basic\x20+)?([^\s"'`<>,;]+)""",
+    re.ASCII,
 )
-_CONTEXT_HINT = re.compile(r"[:=]|\x20is\x20")
+_CONTEXT_HINT = re.compile(r"[:=]|\x20is\x20", re.IGNORECASE | re.ASCII)
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Common password words, most common first; the words of a vocabulary come after them.
 WORDS = tuple(
@@ -83,7 +93,6 @@ def guess_cost(vocabulary: str | None) -> GuessCost:
     return GuessCost(ranked_words(vocabulary))
 
 
-@lru_cache(maxsize=1)
 def _neighbours() -> frozenset[str]:
     """Pairs of keys that lie side by side in a row, or above one another in two of the first four."""
     pairs = {a + b for row in ROWS for a, b in zip(row, row[1:])}
@@ -91,6 +100,16 @@ def _neighbours() -> frozenset[str]:
     return frozenset(pairs | {p[::-1] for p in pairs})
 
 
+_LOG = [0.0, *map(math.log10, range(1, 64))]
+_BESIDE = _neighbours()
+_FORWARD = frozenset(a + b for row in ROWS for a, b in zip(row, row[1:]))
+
+
+def _beside(a: str, b: str) -> bool:
+    """Keys that a walk may go between: neighbours, or characters that follow one another."""
+    return a + b in _BESIDE or ord(b) - ord(a) in (1, -1)
+
+
 @dataclass(frozen=True)
 class Segment:
     start: int
@@ -99,100 +118,132 @@ class Segment:
     log10: float
 
 
-_DATES = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:19|20)\d\d")
+_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:19|20)\d\d", re.ASCII)
 
 
 class GuessCost:
-    """Minimum-cost segmentation of a value of at most ``longest`` characters.
+    """Minimum-cost segmentation of a value, in time that grows with its length.
 
-    Longer values are cut into pieces of that length, whose costs add up.
+    Words, plain, with signs for letters or reversed, stand anywhere; dates are years or whole
+    dates; a walk has 3 to ``WALK`` keys; a repeat has a unit of at most ``UNIT`` characters, two
+    to four times or as often as it goes on.  All of these may begin anywhere, so a value's cost is the least over all
+    ways to part it into them and single characters.
     """
 
-    def __init__(self, words: tuple[str, ...] = WORDS, longest: int = 128):
-        self.rank = {w: k + 1 for k, w in reversed(list(enumerate(words)))}
-        self.most = max(map(len, self.rank), default=0)
-        self.longest = longest
-
     #: Between words, one of about ten signs is tried.
     SIGNS = "-_./:"
+    WALK, UNIT, TIMES = 48, 16, (2, 3, 4)
 
-    def _alphabet(self, s: str) -> int:
+    def __init__(self, words: tuple[str, ...] = WORDS):
+        self.rank = {w: k + 1 for k, w in reversed(list(enumerate(words)))}
+        self.forward, self.backward = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for w in self.rank:
+            self.forward.add_word(w, w)
+            self.backward.add_word(w[::-1], w)
+        for a in (self.forward, self.backward):
+            if self.rank:
+                a.make_automaton()
+
+    def _alphabet(self, value: str) -> int:
+        """How many characters brute force tries for each; signs between words are not among them."""
+        s = re.sub("[-_./:]", "", value) or value
+        if re.search("[0-9]", s) and re.fullmatch("[0-9]*[a-f][0-9a-f]*|[0-9]*[A-F][0-9A-F]*", s):
+            return 16
         n = 26 * bool(re.search("[a-z]", s)) + 26 * bool(re.search("[A-Z]", s)) + 10 * bool(re.search("[0-9]", s)) + 33 * bool(re.search(r"[!-/:-@\[-`{-~ ]", s))
         return max(10, n + 100 * (not s.isascii()))
 
-    def _segments(self, s: str) -> list[Segment]:
-        out, n = [], len(s)
-        low = s.lower() if len(s.lower()) == n else s
+    def _unit(self, unit: str, low: str) -> float | None:
+        """log10 of the guesses of a repeat's unit; none for one that is a repeat itself and no word."""
+        rank = self.rank.get(low)
+        if rank is None and (low + low).find(low, 1) < len(low):
+            return None
+        return min(len(unit) * math.log10(self._alphabet(unit)), math.inf if rank is None else math.log10(rank) + 0.3)
+
+    def _words(self, s: str, low: str) -> Iterator[Segment]:
+        """Words by their ends."""
         plain = low.translate(_SWAPS) if s.isascii() else low
-        for i in range(n):
-            for j in range(i + 2, min(n, i + self.most) + 1):
-                for form, twist in ((low[i:j], 0.0), (plain[i:j], 0.5), (low[i:j][::-1], 0.3)):
-                    if (r := self.rank.get(form)) is not None:
-                        case = 0.0 if s[i:j].islower() or not s[i:j].isalpha() else 0.3 if s[i:j].istitle() or s[i:j].isupper() else 0.3 * (j - i) / 2
-                        out.append(Segment(i, j, "word", math.log10(r) + twist + case))
-        for i in range(n):
-            if m := _DATES.match(s, i):
-                out.append(Segment(i, m.end(), "date", 2.0 if m.end() - i == 4 else math.log10(365 * 120) + 0.6 * (not m[0].isdigit())))
-        for size in range(1, n // 2 + 1):
-            i = 0
-            while i + 2 * size <= n:
-                j = i + size
-                while low.startswith(low[i : i + size], j):
-                    j += size
-                if (times := (j - i) // size) > 1 and j - i > 2:
-                    out.append(Segment(i, j, "repeat", min(size * math.log10(self._alphabet(s[i : i + size])), math.log10(self.rank.get(low[i : i + size], 1e300)) + 0.3) + math.log10(times)))
-                    i = j - size + 1
-                else:
-                    i += 1
-        beside = _neighbours()
-        i = 0
-        while i < n - 2:
-            j = i + 1
-            turns, way = 0, ""
-            while j < n and (low[j - 1] + low[j] in beside or ord(low[j]) - ord(low[j - 1]) in (1, -1)):
-                step = low[j - 1] + low[j]
-                forward = any(step in row for row in ROWS)
-                turns += str(forward) != way
-                way = str(forward)
-                j += 1
-            if j - i > 2:
-                out.append(Segment(i, j, "walk", math.log10(47) + math.log10(j - i) + max(1, turns) * math.log10(4)))
-                i = j - 1
-            else:
-                i += 1
+        ways = [(self.forward, low, 0.0), (self.backward, low, 0.3)] + [(self.forward, plain, 0.5)] * (plain != low)
+        found = [zip(a.iter(text), itertools.repeat(twist)) for a, text, twist in ways if self.rank]
+        for (end, word), twist in heapq.merge(*found, key=lambda x: x[0][0]):
+            j, i = end + 1, end + 1 - len(word)
+            own = s[i:j]
+            case = 0.0 if own.islower() or not own.isalpha() else 0.3 if own.istitle() or own.isupper() else 0.3 * (j - i) / 2
+            yield Segment(i, j, "word", math.log10(self.rank[word]) + twist + case)
+
+    def _repeats(self, low: str) -> list[np.ndarray]:
+        """For each length of a unit: from each place, how many characters in a row equal those a unit later."""
+        codes = np.frombuffer(low.encode("utf-32-le"), np.uint32)
+        out = []
+        for p in range(1, min(self.UNIT, len(low) // 2) + 1):
+            differs = np.append(np.flatnonzero(codes[:-p] != codes[p:]), len(low) - p)
+            out.append(differs[np.searchsorted(differs, np.arange(len(low) - p))] - np.arange(len(low) - p))
         return out
 
+    def _from(self, s: str, low: str, runs: list[np.ndarray], units: dict[str, float | None], i: int) -> Iterator[tuple[int, str, float]]:
+        """(end, kind, log10) of dates, repeats and walks that begin at a place."""
+        n = len(s)
+        if s[i] in "0123456789":
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if _DATE.fullmatch(s, i, j):
+                    yield j, "date", 2.0 if j - i == 4 else math.log10(365 * 120) + 0.6 * (not s[i:j].isdigit())
+        for p, run in enumerate(runs, 1):
+            if i < len(run) and run[i] >= p:
+                unit = s[i : i + p]
+                if unit not in units:
+                    units[unit] = self._unit(unit, low[i : i + p])
+                if (base := units[unit]) is not None:
+                    most = int(run[i]) // p + 1
+                    for times in {*self.TIMES, most}:
+                        if times <= most and times * p > 2:
+                            yield i + times * p, "repeat", base + math.log10(times)
+        j, turns, way = i + 1, 0, None
+        while j < min(n, i + self.WALK) and _beside(low[j - 1], low[j]):
+            forward = low[j - 1] + low[j] in _FORWARD
+            turns += forward != way
+            way = forward
+            j += 1
+            if j - i > 2:
+                yield j, "walk", _LOG[47] + _LOG[j - i] + turns * _LOG[4]
+
+    def _segments(self, s: str) -> list[Segment]:
+        """All segments of a value but single characters."""
+        low = s.lower() if len(s.lower()) == len(s) else s
+        runs, units = self._repeats(low), {}
+        return [*self._words(s, low), *(Segment(i, *x) for i in range(len(s)) for x in self._from(s, low, runs, units, i))]
+
     def segment(self, value: str) -> tuple[float, list[Segment]]:
         """(log10 of the guesses, the cheapest segmentation)."""
-        if len(value) > self.longest:
-            total, found = 0.0, []
-            for i in range(0, len(value), self.longest):
-                cost, some = self.segment(value[i : i + self.longest])
-                total += cost
-                found += [Segment(x.start + i, x.end + i, x.kind, x.log10) for x in some]
-            return total, found
         n = len(value)
+        low = value.lower() if len(value.lower()) == n else value
         each = math.log10(self._alphabet(value))
-        by_end: dict[int, list[Segment]] = {}
-        for x in self._segments(value):
-            by_end.setdefault(x.end, []).append(x)
+        words, runs, units = self._words(value, low), self._repeats(low), {}
+        word = next(words, None)
         cost, back = [0.0] + [math.inf] * n, [None] * (n + 1)
-        for j in range(1, n + 1):
+        for i in range(n):
+            here = cost[i]
+            # a segment's kind and place are guessed too
+            for end, kind, log10 in self._from(value, low, runs, units, i):
+                if here + log10 + 0.3 < cost[end]:
+                    cost[end], back[end] = here + log10 + 0.3, (i, end, kind, log10)
             # brute force goes on by a character: spans of any length, at no charge per span
-            one, kind = (1.0, "sign") if value[j - 1] in self.SIGNS else (each, "brute")
-            cost[j], back[j] = cost[j - 1] + one, Segment(j - 1, j, kind, one)
-            for x in by_end.get(j, ()):
-                # a segment's kind and place are guessed too
-                if (c := cost[x.start] + x.log10 + 0.3) < cost[j]:
-                    cost[j], back[j] = c, x
+            one = 1.0 if value[i] in self.SIGNS else each
+            if here + one <= cost[i + 1]:
+                cost[i + 1], back[i + 1] = here + one, None
+            while word is not None and word.end == i + 1:
+                if cost[word.start] + word.log10 + 0.3 < cost[i + 1]:
+                    cost[i + 1], back[i + 1] = cost[word.start] + word.log10 + 0.3, (word.start, word.end, word.kind, word.log10)
+                word = next(words, None)
         found: list[Segment] = []
         j = n
         while j:
-            x = back[j]
-            if found and x.kind == found[-1].kind and x.kind in ("brute", "sign"):
-                found[-1] = Segment(x.start, found[-1].end, x.kind, x.log10 + found[-1].log10)
+            if back[j] is not None:
+                x = Segment(*back[j])
             else:
-                found.append(x)
+                e, kind = j, "sign" if value[j - 1] in self.SIGNS else "brute"
+                while j and back[j] is None and (value[j - 1] in self.SIGNS) == (kind == "sign"):
+                    j -= 1
+                x = Segment(j, e, kind, (e - j) * (1.0 if kind == "sign" else each))
+            found.append(x)
             j = x.start
         return cost[n], found[::-1]
 
@@ -203,11 +254,30 @@ class Rule:
 
     min_log10: float = 9.0
     min_brute: float = 5.0
-    phrase_log10: float = 24.0
-
-    def secret(self, log10: float, segments: list[Segment]) -> bool:
-        brute = sum(x.log10 for x in segments if x.kind == "brute")
-        return log10 >= self.phrase_log10 or (log10 >= self.min_log10 and brute >= self.min_brute)
+    min_share: float = 0.7
+
+    def _costly(self, segments: list[Segment], each: float) -> bool:
+        own = [x for x in segments if x.kind != "sign"]
+        brute = sum(x.log10 for x in own if x.kind == "brute")
+        digits = brute + sum(x.log10 + 0.3 for x in own if x.kind != "brute")
+        return digits >= self.min_log10 and brute >= self.min_brute and digits >= self.min_share * each * sum(x.end - x.start for x in own)
+
+    def secret(self, value: str, segments: list[Segment], model: GuessCost) -> bool:
+        """Whether a value, or a piece between signs, is costly; of a path or an address, whether a value between its slashes is."""
+        if value.count("/") + value.count("\\") > 1:
+            return any(self.secret(x, model.segment(x)[1], model) for x in re.split(r"[/\\?&=]", value) if x)
+        each = math.log10(model._alphabet(value))
+        if self._costly(segments, each):
+            return True
+        piece: list[Segment] = []
+        for x in segments:
+            if x.kind != "sign":
+                piece.append(x)
+            elif self._costly(piece, each):
+                return True
+            else:
+                piece = []
+        return self._costly(piece, each)
 
 
 @dataclass(frozen=True)
@@ -253,15 +323,15 @@ def credential_values(text: str, places: list[tuple[int, int]], model: GuessCost
     if _CONTEXT_HINT.search(text):
         ends = [b for _, b in places]
         for m in _contexts(text):
-            a = m.start(1)
-            b = a + len(m[1].rstrip(".)]}!?"))
+            a, b = m.start(1), m.start(1) + len(m[1].rstrip(".)]}!?"))
             k = bisect_right(ends, a)
             if b - a >= ASSIGN_LEAST and (k == len(places) or places[k][0] >= b):
                 found.append((a, b))
     out = []
     for a, b in sorted(found):
-        log10, segments = model.segment(text[a:b])
-        out.append(Value(a, b, log10, tuple(segments), rule.secret(log10, segments)))
+        value = text[a:b]
+        log10, segments = model.segment(value)
+        out.append(Value(a, b, log10, tuple(segments), rule.secret(value, segments, model)))
     return out
 
 
@@ -276,28 +346,16 @@ def find_secrets(text: str, model: GuessCost, min_log10: float) -> tuple[list[tu
     return base, guess_spans(base, credential_values(text, places, model, Rule(min_log10)))
 
 
-_ANCHOR = re.compile(r"(?:pass|pwd|secret|token|key|credential|authorization|bearer|pin)", re.IGNORECASE | re.ASCII)
-
-
-def _contexts(text: str):
-    """Matches of CONTEXT in order; it is tried only where a word of its can begin."""
-    at = 0
-    for a in _ANCHOR.finditer(text):
-        low = a.start()
-        while low > max(at, a.start() - 44) and (text[low - 1].isascii() and (text[low - 1].isalnum() or text[low - 1] in "_-")):
-            low -= 1
-        if low < at:
-            continue
-        if m := CONTEXT.match(text, low):
-            yield m
-            at = m.end()
+def _contexts(text: str) -> Iterator[re.Match]:
+    """Matches of CONTEXT in order, at the places that they have in the text itself."""
+    return CONTEXT.finditer(text.encode().translate(_LOWER).decode())
 
 
 def _joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_log10: float = 9.0, min_brute: float = 5.0, phrase_log10: float = 24.0, vocabulary: str | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_log10: float = 9.0, min_brute: float = 5.0, min_share: float = 0.7, vocabulary: str | None = None) -> DataFrame:
     """Per row: n_assign, n_access, n_hex, base_sha256, spans, n_guess, n_costly and guess_costs.
 
     ``spans`` lists kind:start:end (code points, end exclusive) of all finds, comma-joined,
@@ -310,7 +368,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_l
     repeated rows stay; other columns are not read; no rows give no rows.  Keys must be whole
     numbers.
     """
-    rule = Rule(min_log10, min_brute, phrase_log10)
+    rule = Rule(min_log10, min_brute, min_share)
 
     def run(batches):
         model = guess_cost(vocabulary)
