@@ -92,18 +92,19 @@ def sized(df: DataFrame, most: int = 100_000) -> DataFrame:
     return df if df.count() <= most else df.hint("merge")
 
 
-def by_weight(left: DataFrame, right: DataFrame, key: str, weight: str, heavy: int = 4096, most: int = 100_000) -> DataFrame:
+def by_weight(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, heavy: int = 4096, most: int = 100_000) -> DataFrame:
     """Inner join on ``key``, which is one of ``right``: frequent keys are joined without a shuffle.
 
     ``weight`` of ``right`` says how many rows of ``left`` have the key.  Those of over
     ``heavy`` rows are sent to all tasks if there are ``most`` of them or fewer.
     """
+    keys = [key] if isinstance(key, str) else key
     often = right.filter(F.col(weight) > heavy)
     n = often.limit(most + 1).count()
     if not 0 < n <= most:
-        return left.join(right.hint("merge"), key)
-    rest = left.join(F.broadcast(often.select(key)), key, "left_anti").join(right.filter(F.col(weight) <= heavy).hint("merge"), key)
-    return left.join(F.broadcast(often), key).select(rest.columns).unionByName(rest)
+        return left.join(right.hint("merge"), keys)
+    rest = left.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(right.filter(F.col(weight) <= heavy).hint("merge"), keys)
+    return left.join(F.broadcast(often), keys).select(rest.columns).unionByName(rest)
 
 
 def forget(*frames: DataFrame) -> None:

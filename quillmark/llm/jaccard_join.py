@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import forget, in_parts, keyed_text, sized, table, written
+from quillmark.llm.common import by_weight, forget, in_parts, keyed_text, sized, table, written
 from quillmark.llm.components import components
 from quillmark.llm.textscan import _mix, shingles
 
@@ -523,7 +523,8 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
     texts have an empty set, which links with nothing.  Two rows link when den * |intersection|
     >= num * |union|; component_id is the smallest doc_id reachable by links, the own one
     included.  Equal sets are one class; classes link through one member each.  Rows with a
-    null key get a null component.  Rows that repeat a key get their own text's component.
+    null key get a null component.  Rows that repeat a key are rows of their own: each has its own
+    text's set, links and component.
 
     Documents that share a signature are first held only against the one with the smallest id,
     which connects most of a group of near copies in as many comparisons as it has members.
@@ -535,6 +536,24 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
     without it connected pairs are not compared.
     """
     own = keyed_text(docs, key, text)
+    clash = written(own.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id"), "clash")
+    if clash.isEmpty():
+        return _components_of(own, width, num, den, count_links)
+    # rows that share a key: keys of their own, past all others, and back again
+    low, high = own.agg(F.min("doc_id"), F.max("doc_id")).first()
+    first = high + 1 if high < 1 << 62 else low - (1 << 62)
+    renamed = written(own.join(sized(clash), "doc_id", "left_semi").withColumn("fresh", F.lit(first) + F.monotonically_increasing_id()), "renamed")
+    fresh = own.join(sized(clash), "doc_id", "left_anti").unionByName(renamed.select(F.col("fresh").alias("doc_id"), "text"))
+    found = _components_of(fresh, width, num, den, count_links)
+    back = sized(renamed).select(F.col("fresh").alias("doc_id"), F.col("doc_id").alias("was"))
+    found = written(found.join(back, "doc_id", "left").withColumn("doc_id", F.coalesce("was", "doc_id")).drop("was"), "found")
+    least = written(found.filter("component_id is not null").groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
+    out = by_weight(found.filter("component_id is not null"), least, "component_id", "n").withColumn("component_id", F.col("least")).drop("least", "n")
+    return out.select(found.columns).unionByName(found.filter("component_id is null"))
+
+
+def _components_of(own: DataFrame, width: int, num: int, den: int, count_links: bool) -> DataFrame:
+    """``similarity_components`` of rows (doc_id, text) whose keys differ or are null."""
     sets = written(set_classes(own, width), "sets")
     full = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -572,17 +591,19 @@ def similarity_components(docs: DataFrame, width: int, num: int, den: int, key:
     forget(groups, rows, links, open_)
 
     by_rep = label.select(F.col("node").alias("rep"), F.col("label"))
-    out = full.join(classes, ["f1", "f2", "n_shingles"]).join(by_rep, "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"), "rep", "copies")
+    # what is known of a class goes to its members in one join, and to those of large classes without a shuffle
+    known = classes.join(by_rep, "rep", "left").withColumn("component_id", F.coalesce("label", "rep")).drop("label")
     alone = sets.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    of_class = ["f1", "f2", "n_shingles"]
     if not count_links:
-        return out.drop("rep", "copies").unionByName(alone)
+        return by_weight(full, written(known, "known"), of_class, "copies").select("doc_id", "n_shingles", "component_id").unionByName(alone)
     members = written(classes.join(by_rep, "rep").select("rep", "copies", F.col("n_shingles").alias("size"), F.col("label").alias("head")), "members")
     wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     elements = written(sets_of(own, wanted, width), "elements")
     counts = written(link_counts(members, elements, num, den), "counts")
     forget(members, wanted, elements)
-    out = out.join(counts, "rep", "left").select("doc_id", "n_shingles", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    known = known.join(counts, "rep", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0))).drop("n")
+    out = by_weight(full, written(known, "known"), of_class, "copies").select("doc_id", "n_shingles", "component_id", "n_links")
     return out.unionByName(alone.withColumn("n_links", F.lit(0).cast("long")))
 
 
