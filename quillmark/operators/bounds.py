@@ -129,29 +129,6 @@ def climbed_topics(nodes: DataFrame, known: Column) -> DataFrame:
     return sides.withColumn("resolved", F.coalesce("__t", F.when((F.col("__b") == F.col("__a")) & F.col("parent").isNotNull(), F.col("__b")))).drop("__t", "__b", "__a")
 
 
-def paged(groups: DataFrame, run: list[str], page_height: int) -> DataFrame:
-    """(run, grp, page, top) of groups with their own ``gap`` before them, which the first of a page leaves out.
-
-    A running sum that starts anew has no window form: one loop a run, by Arrow, over that run's groups.
-    """
-    import pyarrow as pa
-
-    def place(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("grp")
-        page, y, at = 1, 0, []
-        for h, gap in zip(rows["height"].to_pylist(), rows["gap"].to_pylist()):
-            top = y + gap if y else 0
-            if y and top + h > page_height:
-                page, top = page + 1, 0
-            at.append((page, top))
-            y = top + h
-        return rows.select([*run, "grp"]).append_column("page", pa.array([p for p, _ in at], pa.int32())).append_column("top", pa.array([t for _, t in at], pa.int32()))
-
-    listed = groups.select(*run, F.col("grp").cast("int").alias("grp"), F.col("height").cast("int").alias("height"), F.col("gap").cast("int").alias("gap"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema if f.name not in ("height", "gap"))
-    return listed.groupBy(*run).applyInArrow(place, f"{kinds}, page int, top int")
-
-
 def context_slices(leaves: DataFrame, contexts: DataFrame, run: list[str]) -> DataFrame:
     """(run, question_id, ord, slice, top, context) of a composition: each context once, before the first leaf below it.
 

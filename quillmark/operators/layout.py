@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.pagination import paginate  # noqa: F401
+
 
 def atomic_groups(assets: DataFrame, run: list[str], sticky: Column, question: str = "question_id") -> DataFrame:
     """Numbers groups that must not be parted: a sticky asset (header, context) goes with the next of its question."""
@@ -16,30 +18,6 @@ def atomic_groups(assets: DataFrame, run: list[str], sticky: Column, question: s
     return assets.withColumn("__new", F.when(joined, 0).otherwise(1)).withColumn("grp", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def paginate(groups: DataFrame, run: list[str], page_height: int, spacing: int) -> DataFrame:
-    """(run, grp, page, top): groups in order, a new page where one doesn't fit and the page is not empty.
-
-    groups: run, grp, height.  A group higher than a page stands alone and runs over.  One loop
-    per run, over one document's groups.
-    """
-
-    def place(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("grp")
-        page, y, at = 1, 0, []
-        for h in rows["height"].to_pylist():
-            top = y + spacing if y else 0
-            if y and top + h > page_height:
-                page, top = page + 1, 0
-            at.append((page, top))
-            y = top + h
-        pages, tops = zip(*at)
-        return rows.select([*run, "grp"]).append_column("page", pa.array(pages, pa.int32())).append_column("top", pa.array(tops, pa.int32()))
-
-    listed = groups.select(*run, F.col("grp").cast("int").alias("grp"), F.col("height").cast("int").alias("height"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema if f.name != "height")
-    return listed.groupBy(*run).applyInArrow(place, f"{kinds}, page int, top int")
-
-
 def question_pages(placed: DataFrame, run: list[str], question: str = "question_id") -> DataFrame:
     """Distinct pages of each question, in order, comma-joined."""
     return placed.groupBy(*run, question).agg(F.array_join(F.transform(F.sort_array(F.collect_set("page")), lambda p: p.cast("string")), ",").alias("pages"))

@@ -1,7 +1,8 @@
 """Choosing parts for a mark target: options, scoring, greedy fill, pruning.
 
 Order that the task leaves to chance is md5(seed:id), so the same seed gives the same result
-on every cluster.  Recurrences that no window can say are folds over ordered slices of a run.
+on every cluster.  Recurrences that no window can say are folds over slices of a run.  As the
+order is a hash, a slice is a range of the hash's first bits: no run is ever ranked or sorted.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.operators.search import seeded_order
+from quillmark.operators.storage import kept, release
 
 #: Bits of a mask that an exploded array lists at once; higher bits are exploded first.
 LOW_BITS = 16
@@ -38,21 +40,6 @@ class SelectionConfig:
             raise ValueError("max_questions must be over 0")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an intermediate result by a reliable checkpoint in the folder that the session names, or in one of its own on a single machine."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            at = "file://" + tempfile.mkdtemp(prefix="quillmark-")
-        sc.setCheckpointDir(at)
-    return df.checkpoint()
-
-
 def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
@@ -136,36 +123,64 @@ def topic_scores(opts: DataFrame, budget: float, seed: int, full: Column) -> Dat
     return opts.withColumn("score", F.greatest(F.lit(0.0), 10 - F.abs(F.col("marks") - budget)) + F.when(full, 5.0).otherwise(0.0) + jitter(seed, "question_id") * 5)
 
 
-def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key: str = "question_id", first: int = 512) -> DataFrame:
+#: Places of the seeded order: the first 32 bits of its hash.
+PLACES = 1 << 32
+
+
+def place(seed: int, key: str) -> Column:
+    """The first 32 bits of a row's seeded order; rows are spread over them evenly."""
+    return F.conv(F.substring(seeded_order(seed, key), 1, 8), 16, 10).cast("long")
+
+
+def slices(candidates: DataFrame, state: DataFrame, run: list[str], fits: Column, size: int) -> DataFrame:
+    """The next candidates of each run of ``state`` (run, low, ...): about ``size`` of those that ``fits`` leaves, from place ``low`` on.
+
+    Adds the state's columns and ``high``, the place before which the slice ends.  Counting is an
+    aggregate of a row a run; then a slice is a filter, as places are spread evenly.
+    """
+    ahead = candidates.join(state, run).filter((F.col("__place") >= F.col("low")) & fits)
+    n = ahead.groupBy(*run).agg(F.count("*").alias("__n"), F.first("low").alias("__low"))
+    # past the last place where all that is left makes one slice
+    width = F.ceil((PLACES - F.col("__low")) * (size / F.col("__n")))
+    high = F.when(F.col("__n") <= size, F.lit(PLACES)).otherwise(F.least(F.lit(PLACES), F.col("__low") + F.greatest(width, F.lit(1)))).cast("long")
+    return ahead.join(n.select(*run, high.alias("high")), run).filter(F.col("__place") < F.col("high"))
+
+
+def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key: str = "question_id", first: int = 2048) -> DataFrame:
     """First fit in seeded order: a question is taken while under the target if it keeps within target + tolerance.
 
-    totals: run columns, key, marks.  Candidates are taken by slices of each run, ``first`` at
-    first and four times as many each time, and the next slice is read only while some run is
-    under its target and has more; a fold is over a slice, never over a run.
+    totals: run columns, key, marks.  Candidates are folded by slices of about ``first`` that still
+    fit, the lowest places of each run first.  The first candidate of a slice is taken, so a run
+    ends after as many slices as it takes questions at most, mostly after one.
     """
     kind = totals.schema[key].dataType.simpleString()
     most = config.max_questions or 2**31 - 1
-    ranked = totals.withColumn("__r", F.row_number().over(Window.partitionBy(*run).orderBy(seeded_order(config.seed, key), key)))
-    state, low, high, out = None, 0, first, None
+    own = kept(totals.select(*run, F.col(key), F.col("marks").cast("int").alias("marks"), place(config.seed, key).alias("__place")).filter(F.col("marks").between(1, config.target + config.tolerance)))
+    state = own.select(*run).distinct().withColumns({"sum": F.lit(0), "n": F.lit(0), "low": F.lit(0).cast("long")})
+    fits = F.col("marks") <= config.target + config.tolerance - F.col("sum")
+    out, done = None, []
     while True:
-        part = ranked.filter((F.col("__r") > low) & (F.col("__r") <= high)) if low else ranked.filter(F.col("__r") <= high)
-        listed = part.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct(F.col("__r").alias("r"), F.col(key).alias("q"), F.col("marks").cast("int").alias("m")))).alias("c"))
+        part = slices(own, state, run, fits, first)
+        listed = part.groupBy(*run, "sum", "n", "high").agg(F.array_sort(F.collect_list(F.struct("__place", seeded_order(config.seed, key).alias("o"), F.col(key).alias("q"), F.col("marks").alias("m")))).alias("c"))
         fold = F.aggregate(
             "c",
             F.struct(F.col("sum"), F.expr(f"cast(array() as array<{kind}>)").alias("picked")),
             lambda a, x: F.when(
-                (a["sum"] < config.target) & (a["sum"] + x["m"] <= config.target + config.tolerance) & (x["m"] > 0) & (F.size(a["picked"]) + F.col("n") < most),
+                (a["sum"] < config.target) & (a["sum"] + x["m"] <= config.target + config.tolerance) & (F.size(a["picked"]) + F.col("n") < most),
                 F.struct((a["sum"] + x["m"]).alias("sum"), F.concat(a["picked"], F.array(x["q"])).alias("picked")),
             ).otherwise(F.struct(a["sum"].alias("sum"), a["picked"].alias("picked"))),
         )
-        began = listed.withColumns({"sum": F.lit(0), "n": F.lit(0)}) if state is None else state.join(listed, run)
-        folded = kept(began.select(*run, "n", fold.alias("f"), (F.size("c") == high - low).alias("more")))
+        folded = kept(listed.select(*run, "n", "high", fold.alias("f")))
+        done.append(folded)
         picks = folded.select(*run, "n", F.posexplode("f.picked").alias("pos", key)).select(*run, (F.col("pos") + F.col("n") + 1).alias("pos"), key)
         out = picks if out is None else out.unionByName(picks)
-        state = folded.filter("more").select(*run, F.col("f.sum").alias("sum"), (F.col("n") + F.size("f.picked")).alias("n")).filter((F.col("sum") < config.target) & (F.col("n") < most))
-        if not state.limit(1).count():
+        state = folded.select(*run, F.col("f.sum").alias("sum"), (F.col("n") + F.size("f.picked")).alias("n"), F.col("high").alias("low")).filter((F.col("sum") < config.target) & (F.col("n") < most) & (F.col("low") < PLACES))
+        if state.isEmpty():
+            if len(done) > 1:
+                out = kept(out)
+                release(*done)
+            release(own)
             return out
-        low, high = high, high + 4 * (high - low)
 
 
 def prune_to_target(parts: DataFrame, target: int, key: str = "question_id") -> DataFrame:

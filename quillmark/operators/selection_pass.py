@@ -3,8 +3,9 @@
 A run is a group of questions (an exam's year, say) that a request selects from.  Forced pins
 need no order and are one join.  Coverage asks, topic by topic, for the best option over all
 of a run's questions: an aggregate.  Only first fit depends on what was taken before; it goes
-through a run's candidates in seeded order by slices of growing size, and on to the next slice
-only while some run is not full, so a task holds a slice of a run and never its pool.
+through a run's candidates by slices of the seeded order, which are ranges of a hash, and on to
+the next slice only while some run is not full.  A task holds a slice of those that still fit,
+and no run is ranked or sorted.
 
 Whatever is left to chance is taken from md5(seed:id), so results don't depend on the cluster.
 In SKIP mode a question has one option for every total that its leaves can make: of these
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quillmark.operators.detection import ancestors
 from quillmark.operators.facets import effective_topic
-from quillmark.operators.search import seeded_order
-from quillmark.operators.selection import SelectionConfig, kept
+from quillmark.operators.selection import PLACES, SelectionConfig, place, slices
+from quillmark.operators.storage import kept, release
 
 Option = tuple[int, int, int]  # marks, leaves, mask
 _PICK = "question_id long, mask long, marks int, origin string, topics array<string>"
@@ -211,47 +212,61 @@ def _forced(pool: DataFrame, run: list[str], c: Request) -> DataFrame:
     return own.select(*run, "question_id", "leaf", "whole").mapInArrow(pick, f"{_kinds(pool, run)}, {_PICK}")
 
 
-def _first_fit(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, seed: int, origin: str, first: int = 256) -> DataFrame:
-    """Picks that first fit adds, by slices of a run's candidates in seeded order.
+def _least(mode: str) -> F.Column:
+    """Marks of a question's smallest option."""
+    own = F.transform(F.filter("leaf", lambda x: x["usable"]), lambda x: x["marks"])
+    if mode == "ALL":
+        return F.aggregate(own, F.lit(0), lambda a, m: a + m)
+    return F.element_at(own, 1) if mode == "PRUNE" else F.array_min(own)
+
+
+def _first_fit(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, seed: int, origin: str, first: int = 1024) -> DataFrame:
+    """Picks that first fit adds, by slices of about ``first`` of a run's candidates that still fit, in seeded order.
 
     Keyword matches take the largest option within the target; the fill one by chance within
     target + tolerance while a run is under the target.
     """
     keyword = origin == "keyword"
     mode = "SKIP" if c.keyword_mode else c.mode
-    order = Window.partitionBy(*run).orderBy(seeded_order(seed, "question_id"), "question_id")
-    ranked = kept(pool.join(picks.select("question_id").distinct(), "question_id", "left_anti").withColumn("__r", F.row_number().over(order)).select(*run, "question_id", "leaf", "__r"))
-    state = picks.groupBy(*run).agg(F.sum("marks").alias("total"), F.count("*").alias("n"))
-
-    def fit(key, taken: pa.Table, found: pa.Table) -> pa.Table:
-        total, n = (taken["total"][0].as_py() or 0, taken["n"][0].as_py()) if taken.num_rows else (0, 0)
-        size = 2 * chance(seed, *(k.as_py() for k in key), "size") - 1
+    most = c.target if keyword else c.target + c.tolerance
+    left = pool.join(picks.select("question_id").distinct(), "question_id", "left_anti")
+    own = kept(left.select(*run, "question_id", "leaf", _least(mode).alias("__least"), place(seed, "question_id").alias("__place")).filter(F.col("__least") <= most))
+    start = own.select(*run).distinct().join(picks.groupBy(*run).agg(F.sum("marks").alias("total"), F.count("*").alias("n")), run, "left")
+    open_ = (F.col("total") < c.target) & (F.lit(True) if keyword or c.max_questions is None else F.col("n") < c.max_questions)
+    state = kept(start.select(*run, F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.lit(0).cast("long").alias("low")).filter(open_))
+    source = pool.select(*run)
+
+    def fit(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        names = [k.as_py() for k in key]
+        total, n = found["total"][0].as_py(), found["n"][0].as_py()
+        size_ = 2 * chance(seed, *names, "size") - 1
+        order = lambda r: (hashlib.md5(f"{seed}:{r['question_id']}".encode()).hexdigest(), r["question_id"])
         out = []
-        for r in sorted(found.to_pylist(), key=lambda r: r["__r"]):
+        for r in sorted(found.select(["question_id", "leaf"]).to_pylist(), key=order):
             if total >= c.target or (not keyword and c.max_questions is not None and n >= c.max_questions):
                 break
-            room = c.target - total if keyword else c.target + c.tolerance - total
+            room = most - total
             options = question_options(r["leaf"], mode, room)
-            o = next((o for o in options if o[0] <= room), None) if keyword else fill_option(options, room, size, seed, r["question_id"])
+            o = next((o for o in options if o[0] <= room), None) if keyword else fill_option(options, room, size_, seed, r["question_id"])
             if o is None:
                 continue
             total, n = total + o[0], n + 1
-            out.append((*(k.as_py() for k in key), r["question_id"], o[2], o[0], origin, topics_of(r["leaf"], o[2])))
+            out.append((*names, r["question_id"], o[2], o[0], origin, topics_of(r["leaf"], o[2])))
         return pa.Table.from_batches([_rows(out, run, found.schema)])
 
-    longest = ranked.agg(F.max("__r")).first()[0] or 0
-    low, step, out = 0, first, None
-    while low < longest:
-        open_ = state.filter(F.col("total") >= c.target).select(*run)
-        part = ranked.filter((F.col("__r") > low) & (F.col("__r") <= low + step)).join(F.broadcast(open_), run, "left_anti")
-        new = kept(state.groupBy(*run).cogroup(part.groupBy(*run)).applyInArrow(fit, f"{_kinds(pool, run)}, {_PICK}"))
-        out = new if out is None else out.unionByName(new)
-        low, step = low + step, step * 4
-        state = picks.select(*run, "marks").unionByName(out.select(*run, "marks")).groupBy(*run).agg(F.sum("marks").alias("total"), F.count("*").alias("n"))
-        full = state.filter(F.col("total") >= c.target)
-        if low < longest and not ranked.filter(F.col("__r") > low).join(full, run, "left_anti").limit(1).count():
-            break
-    return out if out is not None else picks.limit(0)
+    fits = F.col("__least") <= most - F.col("total")
+    out, done = picks.limit(0), [own]
+    while not state.isEmpty():
+        part = kept(slices(own, state, run, fits, first))
+        new = kept(part.select(*run, "question_id", "leaf", "total", "n").groupBy(*run).applyInArrow(fit, f"{_kinds(source, run)}, {_PICK}"))
+        out = out.unionByName(new)
+        ahead = part.groupBy(*run).agg(F.max("high").alias("low"), F.max("total").alias("total"), F.max("n").alias("n"))
+        added = new.groupBy(*run).agg(F.sum("marks").alias("__m"), F.count("*").alias("__k"))
+        then = ahead.join(added, run, "left").select(*run, (F.col("total") + F.coalesce("__m", F.lit(0))).alias("total"), (F.col("n") + F.coalesce("__k", F.lit(0))).alias("n"), "low")
+        before, state = state, kept(then.filter(open_ & (F.col("low") < PLACES)))
+        release(before, part)
+    release(state, *done)
+    return out
 
 
 def _cover(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, seed: int) -> DataFrame:
@@ -293,7 +308,8 @@ def _cover(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, seed:
         scored = open_.select(*run, "question_id", "leaf", "topic", "total", "covered").mapInArrow(best, f"{_kinds(pool, run)}, {_PICK}, score double")
         top = scored.groupBy(*run).agg(F.max_by(F.struct("question_id", "mask", "marks", "origin", "topics"), F.struct("score", -F.col("question_id"))).alias("x")).select(*run, "x.*")
         top = kept(top)
-        added = top if added is None else kept(added.unionByName(top))
+        added = top if added is None else added.unionByName(top)
+    release(mine, topics)
     return added
 
 
@@ -303,10 +319,14 @@ def select_pass(questions: DataFrame, parts: DataFrame, run: list[str], c: Reque
     Forced pins, keyword matches while they fit the target, the coverage of requested topics,
     and the fill.  pinned: question_id; part_pins, matched: question_id, label.
     """
+    return picks_of(kept(_pool(questions, parts, run, c, pinned, part_pins, matched)), run, c, attempt)
+
+
+def picks_of(pool: DataFrame, run: list[str], c: Request, attempt: int = 0) -> DataFrame:
+    """``select_pass`` from a pool, which all attempts share."""
     seed = c.seed + attempt
-    pool = kept(_pool(questions, parts, run, c, pinned, part_pins, matched))
     picks = kept(_forced(pool, run, c))
-    add = lambda more: kept(picks.unionByName(more))
+    add = lambda more: picks.unionByName(more)
     under = lambda: pool.join(picks.groupBy(*run).agg(F.sum("marks").alias("__m")).filter(F.col("__m") >= c.target).select(*run), run, "left_anti")
     if c.backfill:
         picks = add(_first_fit(under().filter("hit"), picks, run, c, seed, "keyword"))
@@ -364,9 +384,10 @@ def build(questions: DataFrame, parts: DataFrame, run: list[str], c: Request, pi
     next seed, up to ``attempts`` times in all; the last attempt stands.
     """
     every = kept(pool_leaves(questions, parts, pinned, part_pins))
-    todo, done = questions, None
+    pool, done = kept(_pool(questions, parts, run, c, pinned, part_pins, matched)), None
+    todo = pool
     for attempt in range(attempts):
-        found = kept(prune_pass(select_pass(todo, parts, run, c, pinned, part_pins, matched, attempt), every, run, c))
+        found = kept(prune_pass(picks_of(todo, run, c, attempt), every, run, c))
         if not (c.force_topics and c.topics) or attempt + 1 == attempts:
             return found if done is None else done.unionByName(found)
         missing = found.groupBy(*run).agg(F.collect_set("topic").alias("t")).filter(F.size(F.array_except(F.array(*map(F.lit, c.topics)), "t")) > 0).select(*run)

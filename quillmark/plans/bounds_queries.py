@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.operators import bounds as bd
+from quillmark.operators import pagination
 from quillmark.operators.facets import is_unknown
 from quillmark.plans.tree_queries import _N, _nodes
 from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions
@@ -88,7 +89,7 @@ def paginate_spaced(spark, d):
 
     w = Window.partitionBy(*_RUN).orderBy("question_id", "ord")
     g = p.select(*_RUN, F.row_number().over(w).alias("grp"), (40 + F.col("y") % 300).alias("height"), F.when(F.col("ord") == 1, 20).otherwise(10).alias("gap"))
-    return bd.paged(g, _RUN, 900)
+    return pagination.paged(g, _RUN, 900)
 
 
 def context_slices(spark, d):

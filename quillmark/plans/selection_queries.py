@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import geometry as geo
-from quillmark.operators import layout, ordered, selection
+from quillmark.operators import layout, ordered, pagination, selection
 from quillmark.operators import selection_pass as sp
 from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions
 
@@ -144,6 +144,12 @@ def paginate(spark, d):
     return layout.paginate(g, _RUN, 900, 20)
 
 
+def oversize_groups(spark, d):
+    """Groups that a page of 400 doesn't hold."""
+    g = _groups(spark, d).groupBy(*_RUN, "grp").agg(F.sum("height").alias("height"))
+    return pagination.oversize(g, _RUN, 400)
+
+
 def question_pages(spark, d):
     g = _groups(spark, d)
     placed = paginate(spark, d).join(g.select(*_RUN, "grp", "question_id").distinct(), [*_RUN, "grp"])
@@ -176,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         option_enumeration_all, option_enumeration_prune, option_enumeration_skip, best_option_for_budget, topic_coverage_scoring, greedy_fill, greedy_summary, full_selection, selection_all, selection_prune, selection_skip, selection_keywords,
-        prune_to_target, prune_across_plans, missing_topics, label_superset, atomic_groups, paginate, question_pages, question_sequence, composite_offsets, part_bounds, page_points,
+        prune_to_target, prune_across_plans, missing_topics, label_superset, atomic_groups, paginate, oversize_groups, question_pages, question_sequence, composite_offsets, part_bounds, page_points,
     )
 }
 
@@ -234,6 +240,7 @@ r AS (SELECT question_id, mask, marks, row_number() OVER (PARTITION BY question_
 SELECT question_id, mask, marks FROM r WHERE r = 1""",
     "atomic_groups": _ASSETS + "SELECT exam_code, year, ord, grp FROM grouped",
     "paginate": _ASSETS + "SELECT exam_code, year, CAST(grp AS INTEGER) AS grp, page, top FROM pages",
+    "oversize_groups": _ASSETS + "SELECT exam_code, year, CAST(grp AS INTEGER) AS grp, h AS height, h - 400 AS excess, 'group ' || grp || ' is ' || (h - 400) || ' higher than a page' AS warning FROM heights WHERE h > 400",
     "question_pages": _ASSETS + """, d AS (SELECT DISTINCT exam_code, year, question_id, page FROM pages JOIN (SELECT DISTINCT exam_code, year, grp, question_id FROM grouped) USING (exam_code, year, grp))
 SELECT exam_code, year, question_id, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM d GROUP BY 1, 2, 3""",
     "question_sequence": f"""WITH RECURSIVE {EVENTS_SQL}, c AS (SELECT user_id, event_id, CAST(event_id % 5 + 1 AS INTEGER) AS n, row_number() OVER (PARTITION BY user_id ORDER BY at_, event_id % 5, event_id) AS k FROM ev WHERE event_type IN ('view', 'click')),
