@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.geometry import contains, is_above, overlaps
+from quillmark.operators.cells import by_cells
+from quillmark.operators.levels import built_marks, climbed_topics  # noqa: F401
 
 
 def label_extents(labels: DataFrame, key: str, height: Column) -> DataFrame:
@@ -29,9 +31,10 @@ def first_marks(parts: DataFrame, marks: DataFrame, key: str) -> DataFrame:
 
     parts: key, ord, y, y_end; marks: key, mark_ord, my, bottom.
     """
-    m = marks.withColumnRenamed(key, "__k")
-    hit = parts.join(m, (F.col(key) == F.col("__k")) & (F.col("my") >= F.col("y")) & (F.col("my") < F.col("y_end")), "left")
-    return hit.groupBy(*parts.columns).agg(F.min_by("bottom", "mark_ord").alias("mark_bottom"))
+    m = marks.select(key, "my", F.col("bottom").alias("__b"), F.col("mark_ord").alias("__m"))
+    hit = by_cells(parts, m, key, "y", "y_end", "my", "my").filter(F.col("my") < F.col("y_end")).drop("my")
+    # parts without a mark stay; of all rows of a part, those of marks say which is first
+    return hit.unionByName(parts, allowMissingColumns=True).groupBy(*parts.columns).agg(F.min_by("__b", "__m").alias("mark_bottom"))
 
 
 def detected_bounds(parts: DataFrame, marks: DataFrame, key: str, height: int, padding: int = 5) -> DataFrame:
@@ -96,39 +99,6 @@ def tree_problems(nodes: DataFrame) -> DataFrame:
     return twice.union(below).union(outside).union(crossed)
 
 
-def built_marks(nodes: DataFrame) -> DataFrame:
-    """(question_id, label, marks, source, right): explicit marks, else the sum of the children's, else 0; the least right edge of the leaves below.
-
-    nodes: question_id, label, parent, marks (null: none), right; two levels below the root.
-    """
-    sums = lambda df: df.groupBy("question_id", F.col("parent").alias("label")).agg(F.sum("marks").cast("int").alias("__s"), F.min("right").alias("__r"))
-    level = nodes.filter("kind = 'roman'").select("question_id", "label", "parent", F.coalesce("marks", F.lit(0)).alias("marks"), F.when(F.col("marks").isNull(), "inferred").otherwise("explicit").alias("source"), "right")
-    done = level
-    for kind in ("letter", "question"):
-        own = nodes.filter(F.col("kind") == kind).join(sums(level), ["question_id", "label"], "left")
-        source = F.when(F.col("marks").isNotNull(), "explicit").when(F.col("__s").isNotNull(), "aggregate").otherwise("inferred")
-        level = own.select("question_id", "label", "parent", F.coalesce("marks", "__s", F.lit(0)).alias("marks"), source.alias("source"), F.coalesce("__r", "right").alias("right"))
-        done = done.unionByName(level)
-    return done.drop("parent")
-
-
-def climbed_topics(nodes: DataFrame, known: Column) -> DataFrame:
-    """Adds ``resolved``: a parent without a topic takes the first known one below it in document order; then a child between two that agree takes theirs.
-
-    nodes: question_id, label, parent, kind, topic, top; two levels below the root.
-    """
-    t = nodes.withColumn("__t", F.when(known, F.col("topic")))
-    first = lambda df: df.groupBy("question_id", F.col("parent").alias("label")).agg(F.min_by("__t", F.when(F.col("__t").isNotNull(), F.struct("top", "label"))).alias("__c"))
-    climb = lambda df, below: df.join(first(below), ["question_id", "label"], "left").withColumn("__t", F.coalesce("__t", "__c")).drop("__c")
-    romans = t.filter("kind = 'roman'")
-    letters = climb(t.filter("kind = 'letter'"), romans)
-    roots = climb(t.filter("kind = 'question'"), letters)
-    w = Window.partitionBy("question_id", "parent").orderBy("top", "label")
-    rows = roots.unionByName(letters).unionByName(romans)
-    sides = rows.withColumn("__b", F.lag("__t").over(w)).withColumn("__a", F.lead("__t").over(w))
-    return sides.withColumn("resolved", F.coalesce("__t", F.when((F.col("__b") == F.col("__a")) & F.col("parent").isNotNull(), F.col("__b")))).drop("__t", "__b", "__a")
-
-
 def context_slices(leaves: DataFrame, contexts: DataFrame, run: list[str]) -> DataFrame:
     """(run, question_id, ord, slice, top, context) of a composition: each context once, before the first leaf below it.
 

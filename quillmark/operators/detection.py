@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.cells import by_cells
+
 
 def section_labels(spans: DataFrame, page_width: float, left: float = 0.35) -> DataFrame:
     """Spans that begin with a bracketed label in the left part of the page; i, v and x are never letters."""
@@ -29,8 +31,8 @@ def right_edges(parts: DataFrame, marks: DataFrame, key: str, width: int, paddin
 
     parts: key, ord, top, bottom; marks: key, y, edge, mark_ord.
     """
-    m = marks.withColumnRenamed(key, "__k")
-    hit = parts.join(m, (F.col(key) == F.col("__k")) & (F.col("y") >= F.col("top")) & (F.col("y") <= F.col("bottom") + slack), "left")
+    p = parts.select(key, "ord", "top", (F.col("bottom") + slack).alias("__low"))
+    hit = by_cells(p, marks.select(key, "y", "edge", "mark_ord"), key, "top", "__low", "y", "y").unionByName(p, allowMissingColumns=True)
     return hit.groupBy(key, "ord").agg(F.coalesce(F.least(F.lit(width), F.min_by("edge", "mark_ord") + padding), F.lit(width)).alias("right"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.cells import by_cells
+
 #: Words that mark a line as pseudo code (fixed values).
 KEYWORDS = ("DECLARE", "INPUT", "OUTPUT", "FOR", "NEXT", "WHILE", "UNTIL", "CASE", "ELSE", "ENDIF", "END IF", "ELSEIF", "THEN")
 
@@ -112,16 +114,17 @@ def text_between(spans: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
 
     spans: key, y0, y1, text, ord; ranges: key, region, top, bottom.
     """
-    s = spans.withColumnRenamed(key, "__k")
-    hit = ranges.join(s, (F.col(key) == F.col("__k")) & (F.col("y1") > F.col("top")) & (F.col("y0") < F.col("bottom")), "left")
+    r = ranges.select(key, "region", "top", "bottom")
+    hit = by_cells(r, spans.select(key, "y0", "y1", "text", "ord"), key, "top", "bottom", "y0", "y1")
+    hit = hit.filter((F.col("y1") > F.col("top")) & (F.col("y0") < F.col("bottom"))).unionByName(r, allowMissingColumns=True)
     rows = hit.groupBy(key, "region").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("y0", "ord", "text")))).alias("t"))
     return rows.select(key, "region", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
 
 
 def labels_on_pages(pages: DataFrame, labels: DataFrame, key: str, kind: str) -> DataFrame:
     """(key, page, label): the labels of a kind from the top to the bottom of each page, both included."""
-    own = labels.filter(F.col("kind") == kind).select(F.col(key).alias("__k"), "label", "y")
-    return pages.join(own, (F.col(key) == F.col("__k")) & F.col("y").between(F.col("top"), F.col("bottom"))).select(key, "page", "label")
+    own = labels.filter(F.col("kind") == kind).select(key, "label", "y")
+    return by_cells(pages.select(key, "page", "top", "bottom"), own, key, "top", "bottom", "y", "y").select(key, "page", "label")
 
 
 def scheme_pages(pages: DataFrame, numbers: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.cells import by_cells
+
 
 def with_extent(df: DataFrame, keys: list[str], order: list[str], start: str, end_of_all: Column, name: str = "y_end") -> DataFrame:
     """Adds where each row ends: the next start within the keys, else ``end_of_all``."""
@@ -14,12 +16,13 @@ def with_extent(df: DataFrame, keys: list[str], order: list[str], start: str, en
 def lowest_in_interval(intervals: DataFrame, points: DataFrame, key: str, start: str, end: str, y: str, value: str, order: str) -> DataFrame:
     """Left join of each interval with the value of its lowest point (greatest y, then order) in [start, end).
 
-    The equality on ``key`` carries the join; the range is a residual condition on it.
+    Joined by cells of height, so a key with very many rows is many tasks' work.
     """
-    p = points.select(F.col(key).alias("__k"), F.col(y).alias("__y"), F.col(value).alias("__v"), F.col(order).alias("__o"))
-    hit = intervals.join(p, (F.col(key) == F.col("__k")) & (F.col("__y") >= F.col(start)) & (F.col("__y") < F.col(end)), "left")
+    p = points.select(key, F.col(y).alias("__y"), F.col(value).alias("__v"), F.col(order).alias("__o"))
+    hit = by_cells(intervals, p, key, start, end, "__y", "__y").filter(F.col("__y") < F.col(end))
     names = intervals.columns
-    return hit.groupBy(*names).agg(F.max_by("__v", F.struct("__y", "__o")).alias(value + "_found"))
+    both = hit.unionByName(intervals, allowMissingColumns=True)
+    return both.groupBy(*names).agg(F.max_by("__v", F.when(F.col("__y").isNotNull(), F.struct("__y", "__o"))).alias(value + "_found"))
 
 
 def asof_parent(children: DataFrame, parents: DataFrame, key: str, order: str, ident: str) -> DataFrame:
@@ -41,10 +44,11 @@ def region_text(spans: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     spans: key, y0, y1, x0, x1, text, ord; regions: key, region, top, bottom, left, right.
     Boxes without extent are one wide.
     """
-    s = spans.withColumnRenamed(key, "__k")
-    r = regions.withColumn("bottom", F.greatest("bottom", F.col("top") + 1)).withColumn("right", F.greatest("right", F.col("left") + 1))
-    over = (F.col(key) == F.col("__k")) & (F.col("y1") > F.col("top")) & (F.col("y0") < F.col("bottom")) & (F.col("x1") > F.col("left")) & (F.col("x0") < F.col("right"))
-    rows = r.join(s, over, "left").groupBy(key, "region").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("y0", "ord", "text")))).alias("t"))
+    s = spans.select(key, "y0", "y1", "x0", "x1", "text", "ord")
+    r = regions.withColumn("bottom", F.greatest("bottom", F.col("top") + 1)).withColumn("right", F.greatest("right", F.col("left") + 1)).select(key, "region", "top", "bottom", "left", "right")
+    over = (F.col("y1") > F.col("top")) & (F.col("y0") < F.col("bottom")) & (F.col("x1") > F.col("left")) & (F.col("x0") < F.col("right"))
+    both = by_cells(r, s, key, "top", "bottom", "y0", "y1").filter(over).unionByName(r, allowMissingColumns=True)
+    rows = both.groupBy(key, "region").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("y0", "ord", "text")))).alias("t"))
     return rows.select(key, "region", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import search_form
+from quillmark.operators.patterns import matched, ordered_sum
 
 #: No letter, digit or underscore of any script: what parts words in every engine alike.
 _EDGE = r"[^\p{L}\p{N}_]"
@@ -82,12 +84,19 @@ class Rule:
     weight: float = 1.0
 
 
+#: Rules up to this number are conditions of one scan; more go by what they require (``patterns``).  Results are the same.
+FEW = 64
+
+
 def rule_scores(texts: DataFrame, rules: list[Rule], key: str, text: str) -> DataFrame:
     """(key, topic, topic_ord, score) of topics with a score: sums of the weights of the patterns found, each once.
 
-    Rules are parameters: one scan evaluates them all in generated code, without a join.
+    Rules are parameters.  Keys must not repeat.
     """
     order = {t: k for k, t in enumerate(dict.fromkeys(r.topic for r in rules))}
+    if len(rules) > FEW:
+        hits = _hits(texts, rules, key, text).groupBy(key, "topic", "topic_ord").agg(F.array_sort(F.collect_list(F.struct("k", "weight"))).alias("h"))
+        return hits.select(key, "topic", "topic_ord", ordered_sum(F.transform("h", lambda x: x["weight"])).alias("score")).filter("score > 0")
     by_topic = [
         F.struct(F.lit(t).alias("topic"), F.lit(k).alias("topic_ord"), sum((F.when(F.col(text).rlike(r.pattern), r.weight).otherwise(0.0) for r in rules if r.topic == t), F.lit(0.0)).alias("score"))
         for t, k in order.items()
@@ -95,16 +104,24 @@ def rule_scores(texts: DataFrame, rules: list[Rule], key: str, text: str) -> Dat
     return texts.select(key, F.inline(F.filter(F.array(*by_topic), lambda s: s["score"] > 0)))
 
 
+def _hits(texts: DataFrame, rules: list[Rule], key: str, text: str) -> DataFrame:
+    """(key, k, text, pattern, topic, topic_ord, weight) of the rules that each text matches."""
+    order = {t: k for k, t in enumerate(dict.fromkeys(r.topic for r in rules))}
+    table = pa.table({"k": pa.array(range(len(rules)), pa.int32()), "topic": [r.topic for r in rules], "topic_ord": pa.array([order[r.topic] for r in rules], pa.int32()), "weight": pa.array([float(r.weight) for r in rules], pa.float64())})
+    return matched(texts, [r.pattern for r in rules], key, text).join(F.broadcast(texts.sparkSession.createDataFrame(table)), "k")
+
+
 def rule_details(texts: DataFrame, rules: list[Rule], key: str, text: str) -> DataFrame:
     """(key, topic, score, matched, margin, tied) of every topic with a score.
 
     ``matched``: the first 50 characters that each of its patterns finds, in the order of the
     rules; ``margin``: to the best other topic; ``tied``: whether another has the same score.
+    Keys must not repeat.
     """
-    found = [F.array_join(F.array_compact(F.array(*[F.when(F.col(text).rlike(r.pattern), F.substring(F.regexp_extract(text, r.pattern, 0), 1, 50)) for r in rules if r.topic == t])), "|") for t in dict.fromkeys(r.topic for r in rules)]
-    score = [sum((F.when(F.col(text).rlike(r.pattern), r.weight).otherwise(0.0) for r in rules if r.topic == t), F.lit(0.0)) for t in dict.fromkeys(r.topic for r in rules)]
-    rows = [F.struct(F.lit(t).alias("topic"), s.alias("score"), m.alias("matched")) for t, s, m in zip(dict.fromkeys(r.topic for r in rules), score, found)]
-    out = texts.select(F.col(key), F.filter(F.array(*rows), lambda x: x["score"] > 0).alias("__t")).select(key, "__t", F.explode("__t").alias("x"))
+    hits = _hits(texts, rules, key, text).withColumn("found", F.substring(F.expr(f"regexp_extract(`{text}`, pattern, 0)"), 1, 50))
+    topics = hits.groupBy(key, "topic").agg(F.array_sort(F.collect_list(F.struct("k", "weight", "found"))).alias("h"))
+    scored = topics.select(key, "topic", ordered_sum(F.transform("h", lambda x: x["weight"])).alias("score"), F.array_join(F.transform("h", lambda x: x["found"]), "|").alias("matched")).filter("score > 0")
+    out = scored.groupBy(key).agg(F.collect_list(F.struct("topic", "score", "matched")).alias("__t")).select(key, "__t", F.explode("__t").alias("x"))
     others = F.filter("__t", lambda o: o["topic"] != F.col("x.topic"))
     best = F.coalesce(F.array_max(F.transform(others, lambda o: o["score"])), F.lit(0.0))
     return out.select(key, "x.topic", "x.score", "x.matched", (F.col("x.score") - best).alias("margin"), F.exists(others, lambda o: F.abs(o["score"] - F.col("x.score")) < 1e-9).alias("tied"))

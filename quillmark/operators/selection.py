@@ -132,18 +132,19 @@ def place(seed: int, key: str) -> Column:
     return F.conv(F.substring(seeded_order(seed, key), 1, 8), 16, 10).cast("long")
 
 
-def slices(candidates: DataFrame, state: DataFrame, run: list[str], fits: Column, size: int) -> DataFrame:
-    """The next candidates of each run of ``state`` (run, low, ...): about ``size`` of those that ``fits`` leaves, from place ``low`` on.
+def slices(candidates: DataFrame, state: DataFrame, run: list[str], fits: Column, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, bounds): the next candidates of each run of ``state`` (run, low, ...), about ``size`` of those that ``fits`` leaves, from place ``low`` on.
 
-    Adds the state's columns and ``high``, the place before which the slice ends.  Counting is an
-    aggregate of a row a run; then a slice is a filter, as places are spread evenly.
+    ``bounds`` is the state of the runs that have candidates left, with ``high``, the place before
+    which their slice ends; a slice may be empty by chance.  Counting is an aggregate of a row
+    a run; then a slice is a filter, as places are spread evenly.
     """
-    ahead = candidates.join(state, run).filter((F.col("__place") >= F.col("low")) & fits)
-    n = ahead.groupBy(*run).agg(F.count("*").alias("__n"), F.first("low").alias("__low"))
-    # past the last place where all that is left makes one slice
-    width = F.ceil((PLACES - F.col("__low")) * (size / F.col("__n")))
-    high = F.when(F.col("__n") <= size, F.lit(PLACES)).otherwise(F.least(F.lit(PLACES), F.col("__low") + F.greatest(width, F.lit(1)))).cast("long")
-    return ahead.join(n.select(*run, high.alias("high")), run).filter(F.col("__place") < F.col("high"))
+    ahead = (F.col("__place") >= F.col("low")) & fits
+    n = candidates.join(state, run).filter(ahead).groupBy(*run).agg(F.count("*").alias("__n"))
+    width = F.greatest(F.ceil((PLACES - F.col("low")) * (size / F.col("__n"))), F.lit(1))
+    high = F.when(F.col("__n") <= size, F.lit(PLACES)).otherwise(F.least(F.lit(PLACES), F.col("low") + width)).cast("long")
+    bounds = kept(state.join(n, run).withColumn("high", high).drop("__n"))
+    return candidates.join(bounds, run).filter(ahead & (F.col("__place") < F.col("high"))), bounds
 
 
 def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key: str = "question_id", first: int = 2048) -> DataFrame:
@@ -151,7 +152,7 @@ def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key:
 
     totals: run columns, key, marks.  Candidates are folded by slices of about ``first`` that still
     fit, the lowest places of each run first.  The first candidate of a slice is taken, so a run
-    ends after as many slices as it takes questions at most, mostly after one.
+    ends after about as many slices as it takes questions at most, mostly after one.
     """
     kind = totals.schema[key].dataType.simpleString()
     most = config.max_questions or 2**31 - 1
@@ -160,8 +161,8 @@ def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key:
     fits = F.col("marks") <= config.target + config.tolerance - F.col("sum")
     out, done = None, []
     while True:
-        part = slices(own, state, run, fits, first)
-        listed = part.groupBy(*run, "sum", "n", "high").agg(F.array_sort(F.collect_list(F.struct("__place", seeded_order(config.seed, key).alias("o"), F.col(key).alias("q"), F.col("marks").alias("m")))).alias("c"))
+        part, bounds = slices(own, state, run, fits, first)
+        listed = part.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("__place", seeded_order(config.seed, key).alias("o"), F.col(key).alias("q"), F.col("marks").alias("m")))).alias("c"))
         fold = F.aggregate(
             "c",
             F.struct(F.col("sum"), F.expr(f"cast(array() as array<{kind}>)").alias("picked")),
@@ -170,7 +171,9 @@ def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key:
                 F.struct((a["sum"] + x["m"]).alias("sum"), F.concat(a["picked"], F.array(x["q"])).alias("picked")),
             ).otherwise(F.struct(a["sum"].alias("sum"), a["picked"].alias("picked"))),
         )
-        folded = kept(listed.select(*run, "n", "high", fold.alias("f")))
+        nothing = F.struct(F.col("sum"), F.expr(f"cast(array() as array<{kind}>)").alias("picked"))
+        folded = kept(bounds.join(listed, run, "left").select(*run, "n", "high", F.when(F.col("c").isNull(), nothing).otherwise(fold).alias("f")))
+        release(bounds)
         done.append(folded)
         picks = folded.select(*run, "n", F.posexplode("f.picked").alias("pos", key)).select(*run, (F.col("pos") + F.col("n") + 1).alias("pos"), key)
         out = picks if out is None else out.unionByName(picks)

@@ -257,14 +257,13 @@ def _first_fit(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, se
     fits = F.col("__least") <= most - F.col("total")
     out, done = picks.limit(0), [own]
     while not state.isEmpty():
-        part = kept(slices(own, state, run, fits, first))
+        part, bounds = slices(own, state, run, fits, first)
         new = kept(part.select(*run, "question_id", "leaf", "total", "n").groupBy(*run).applyInArrow(fit, f"{_kinds(source, run)}, {_PICK}"))
         out = out.unionByName(new)
-        ahead = part.groupBy(*run).agg(F.max("high").alias("low"), F.max("total").alias("total"), F.max("n").alias("n"))
         added = new.groupBy(*run).agg(F.sum("marks").alias("__m"), F.count("*").alias("__k"))
-        then = ahead.join(added, run, "left").select(*run, (F.col("total") + F.coalesce("__m", F.lit(0))).alias("total"), (F.col("n") + F.coalesce("__k", F.lit(0))).alias("n"), "low")
+        then = bounds.join(added, run, "left").select(*run, (F.col("total") + F.coalesce("__m", F.lit(0))).alias("total"), (F.col("n") + F.coalesce("__k", F.lit(0))).alias("n"), F.col("high").alias("low"))
         before, state = state, kept(then.filter(open_ & (F.col("low") < PLACES)))
-        release(before, part)
+        release(before, bounds)
     release(state, *done)
     return out
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.patterns import pattern_rejects
+
 from quillmark.functions import text as tx
 
 #: The label of what has no sub-topic (fixed value).
@@ -62,13 +64,12 @@ def statistics_weight(precision: Column, hits: Column, tier: Column) -> Column:
 
 
 def weighted_patterns(patterns: DataFrame) -> DataFrame:
-    """Valid patterns with their weight: what a weighted one carries (1 where it has none), null for a plain string.
+    """Patterns that compile with their weight: what a weighted one carries (1 where it has none), null for a plain string.
 
-    patterns: topic, ord, pattern, weighted boolean, weight.  Patterns with a quantifier of
-    nothing or an open bracket, which don't compile, are left out.
+    patterns: topic, ord, pattern, weighted boolean, weight.  ``pattern_rejects`` says why others are left out.
     """
-    broken = r"(^|[^\\])[*+?]\*|^[*+?]|(^|[^\\])\([^)]*$|(^|[^\\])\[[^\]]*$"
-    return patterns.filter(~F.col("pattern").rlike(broken)).withColumn("weight", F.when(F.col("weighted"), F.coalesce("weight", F.lit(1.0))))
+    bad = pattern_rejects(patterns.sparkSession, patterns)
+    return patterns.join(F.broadcast(bad.select("pattern")), "pattern", "left_anti").withColumn("weight", F.when(F.col("weighted"), F.coalesce("weight", F.lit(1.0))))
 
 
 def distinct_patterns(own: DataFrame, of_sub_topics: DataFrame) -> DataFrame:

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators.detection import ancestors
 from quillmark.operators.facets import effective_topic
-
-#: Two levels below a root, as far as labels go; what is not set is left out of the JSON.
-_BOUNDS = "bounds struct<top:bigint,bottom:bigint>"
-_LEAF = f"label string, kind string, marks int, {_BOUNDS}, topic string"
-TREE = f"{_LEAF}, children array<struct<{_LEAF}, children array<struct<{_LEAF}>>>>"
+from quillmark.operators.levels import decoded, encoded, first_not_inline  # noqa: F401
 
 
 def label_map(leaves: DataFrame, matched: DataFrame, pinned: DataFrame, part_pins: DataFrame) -> DataFrame:
@@ -97,32 +93,6 @@ def root_label(labels: DataFrame, key: str) -> DataFrame:
     return labels.groupBy(key).agg(F.min_by("label", F.struct(F.regexp_count("label", F.lit(r"\(")), F.col("label"))).alias("root"))
 
 
-def encoded_trees(nodes: DataFrame) -> DataFrame:
-    """(question_id, tree): one JSON document per question, nulls and empty lists of children left out.
-
-    nodes: question_id, label, parent (null: root), kind, marks, top, bottom, topic.  Children
-    stand in order of (top, label).
-    """
-    own = F.struct("label", "kind", "marks", F.struct("top", "bottom").alias("bounds"), "topic")
-    some = lambda name: F.when(F.size(name) > 0, F.transform(name, lambda x: x["node"])).alias("children")
-    deep = nodes.filter("kind = 'roman'").select("question_id", F.col("parent").alias("__up"), F.struct("top", "label", own.alias("node")).alias("x"))
-    deep = deep.groupBy("question_id", "__up").agg(F.array_sort(F.collect_list("x")).alias("__c"))
-    letters = nodes.filter("kind = 'letter'").join(deep.withColumnRenamed("__up", "label"), ["question_id", "label"], "left")
-    letters = letters.select("question_id", F.struct("top", "label", F.struct("label", "kind", "marks", F.struct("top", "bottom").alias("bounds"), "topic", some("__c")).alias("node")).alias("x"))
-    letters = letters.groupBy("question_id").agg(F.array_sort(F.collect_list("x")).alias("__c"))
-    roots = nodes.filter("parent is null").join(letters, "question_id", "left")
-    return roots.select("question_id", F.to_json(F.struct("label", "kind", "marks", F.struct("top", "bottom").alias("bounds"), "topic", some("__c"))).alias("tree"))
-
-
-def decoded_trees(trees: DataFrame) -> DataFrame:
-    """The nodes of ``encoded_trees``: question_id, label, parent, kind, marks, top, bottom, topic."""
-    t = trees.select("question_id", F.from_json("tree", TREE).alias("r"))
-    fields = lambda c, parent: [F.col(f"{c}.label").alias("label"), parent.alias("parent"), F.col(f"{c}.kind").alias("kind"), F.col(f"{c}.marks").alias("marks"), F.col(f"{c}.bounds.top").alias("top"), F.col(f"{c}.bounds.bottom").alias("bottom"), F.col(f"{c}.topic").alias("topic")]
-    letters = t.select("question_id", "r", F.explode("r.children").alias("l"))
-    romans = letters.select("question_id", "l", F.explode("l.children").alias("n"))
-    return t.select("question_id", *fields("r", F.lit(None).cast("string"))).union(letters.select("question_id", *fields("l", F.col("r.label")))).union(romans.select("question_id", *fields("n", F.col("l.label"))))
-
-
 def region_rejects(documents: DataFrame, version: int) -> DataFrame:
     """Adds ``reject``: what is wrong with a regions document first, null for a good one.
 
@@ -141,18 +111,6 @@ def region_rejects(documents: DataFrame, version: int) -> DataFrame:
     )
 
 
-def first_not_inline(nodes: DataFrame) -> DataFrame:
-    """(question_id, top): the top of the first child, of its first child where it stands in the parent's line, and so on.
-
-    nodes: question_id, label, parent, kind, inline, top; two levels below the root.  A child in
-    line that has no children gives its own top.
-    """
-    first = lambda kind: nodes.filter(F.col("kind") == kind).groupBy("question_id", "parent").agg(F.min_by(F.struct("label", "inline", "top"), F.struct("top", "label")).alias("x"))
-    below = first("roman").select("question_id", F.col("parent").alias("__label"), F.col("x.top").alias("__top"))
-    top = first("letter").select("question_id", F.col("x.label").alias("__label"), F.col("x.inline").alias("__inline"), F.col("x.top").alias("top"))
-    return top.join(below, ["question_id", "__label"], "left").select("question_id", F.when(F.col("__inline"), F.coalesce("__top", "top")).otherwise(F.col("top")).alias("top"))
-
-
 def stitched(questions: DataFrame, regions: DataFrame, child_topics: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(questions, parts) as loaded: a region's offset and numeral box win unless they are 0 or empty; a child topic wins over the part's own."""
     r = regions.select("question_id", F.col("horizontal_offset").alias("__o"), F.col("numeral_bbox").alias("__b"))

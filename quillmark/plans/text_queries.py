@@ -105,6 +105,15 @@ def append_dedupe(spark, d):
     return search.new_only(docs.filter("doc_id % 3 <> 0").select(F.col("n_chars"), "doc_id"), docs.filter("doc_id % 3 = 0").select("n_chars"), ["n_chars"]).select("doc_id", "n_chars")
 
 
+#: More rules than are conditions of one scan.
+MANY_RULES = [search.Rule(f"letter {a}", f"(?i){a}{b}[a-z]*{c}", (1 + i % 7) / 10) for i, (a, b, c) in enumerate((a, b, c) for a in "abdefghm" for b in "aeor" for c in "nte")]
+
+
+def many_rules(spark, d):
+    """Scores of 96 rules, by one automaton and the rules that it leaves."""
+    return search.rule_scores(_docs(spark, d), MANY_RULES, "doc_id", "text").select("doc_id", "topic", F.round("score", 6).alias("score"))
+
+
 def sub_topic_match(spark, d):
     """All sub-topics with a matching pattern; a fallback label without one."""
     docs = _docs(spark, d)
@@ -129,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_sanitise, name_parse, topic_canonical, keyword_search, keyword_counts, keyword_filtered_counts, keyword_snippets, part_keyword_hits, rule_classify,
-        rule_diagnostics, rule_score_details, pattern_precision, capped_candidates, stratified_sample, append_dedupe, sub_topic_match, checksum, json_decode_validate,
+        rule_diagnostics, rule_score_details, pattern_precision, capped_candidates, stratified_sample, append_dedupe, many_rules, sub_topic_match, checksum, json_decode_validate,
     )
 }
 
@@ -191,6 +200,7 @@ SELECT pattern, CAST(want AS VARCHAR) AS wanted, tp, fp, round(CASE WHEN tp + fp
     "stratified_sample": """WITH r AS (SELECT doc_id, lang, md5('42:' || doc_id) AS o, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents)
 SELECT doc_id, lang FROM r ORDER BY CASE WHEN r <= greatest(1, 50 // (SELECT count(DISTINCT lang) FROM documents)) THEN 0 ELSE 1 END, o, doc_id LIMIT 50""",
     "append_dedupe": "SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 <> 0 AND n_chars NOT IN (SELECT n_chars FROM documents WHERE doc_id % 3 = 0)",
+    "many_rules": "WITH rules(topic, pattern, weight) AS (VALUES " + ", ".join(f"({_sql_text(r.topic)}, {_sql_text(r.pattern)}, {r.weight}::DOUBLE)" for r in MANY_RULES) + ") SELECT doc_id, topic, round(sum(weight), 6) AS score FROM documents JOIN rules ON regexp_matches(text, pattern) GROUP BY 1, 2",
     "sub_topic_match": """WITH f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, ' \\| ') THEN 'lists' END, CASE WHEN contains(text, '!!') THEN 'shout' END, CASE WHEN regexp_matches(text, '[a-z0-9.]+@[a-z0-9.]+') THEN 'mail' END], lambda x: x IS NOT NULL) AS l FROM documents)
 SELECT doc_id, CASE WHEN len(l) = 0 THEN '00. General' ELSE array_to_string(l, ',') END AS sub_topics FROM f""",
     "checksum": "SELECT page_id, sha256(html) AS sha256 FROM pages",

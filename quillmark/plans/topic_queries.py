@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.operators import search, topics
+from quillmark.operators import patterns, search, topics
 from quillmark.sources.corpus import PARTS_SQL, QUESTIONS_SQL, parts, questions, table
 
 def _exam():
@@ -61,6 +61,14 @@ def pattern_weights(spark, d):
     return topics.weighted_patterns(p).select("p_partkey", "pattern", "weight")
 
 
+def compiled_patterns(spark, d):
+    """Patterns of parts, with whether they compile."""
+    before = F.element_at(F.array(*map(F.lit, ("", "(a", "[(]", "a{2,1}", "*", "[^]a]", "(?:b|c)"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    after = F.when(F.col("p_partkey") % 5 == 0, ")").otherwise("")
+    p = table(spark, d, "part").select("p_partkey", F.concat(before, "p_brand", after).alias("pattern"))
+    return p.join(F.broadcast(patterns.pattern_rejects(spark, p)), "pattern", "left").select("p_partkey", "pattern", F.col("reject").isNull().alias("compiles"))
+
+
 def topic_pattern_lists(spark, d):
     return topics.distinct_patterns(_patterns(spark, d, "= 0"), _patterns(spark, d, "<> 0")).select("topic", F.array_join("patterns", "|").alias("patterns"))
 
@@ -92,7 +100,7 @@ PART_RULES = [search.Rule("01. Metals", "(?i)brass|steel|copper", 1.0), search.R
 QUERIES = {
     f.__name__: f
     for f in (
-        topic_resolution, sub_topic_lists, sub_topic_parents, sub_topic_canonical, partly_checked_topics, statistics_weights, pattern_weights, topic_pattern_lists,
+        topic_resolution, sub_topic_lists, sub_topic_parents, sub_topic_canonical, partly_checked_topics, statistics_weights, pattern_weights, compiled_patterns, topic_pattern_lists,
         new_patterns, merged_patterns, example_bundles, classify_parts,
     )
 }
@@ -122,6 +130,8 @@ FROM part LEFT JOIN sub ON sub.exam_code = {_E} AND sub.topic = p_type AND lower
     "partly_checked_topics": """WITH c AS (SELECT p_type, p_brand AS name, max(p_size) % 3 = 0 AS checked FROM part GROUP BY 1, 2)
 SELECT p_type, string_agg(name, '|' ORDER BY name) FILTER (WHERE checked) AS names FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE checked) > 0 AND count(*) FILTER (WHERE checked) < count(*)""",
     "statistics_weights": "SELECT p_partkey, round((p_size / 50.0::DOUBLE) * ln(1.0::DOUBLE + p_partkey % 40) * CASE p_partkey % 3 WHEN 0 THEN 1.2::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END, 6) AS weight FROM part",
+    "compiled_patterns": """WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, p_partkey % 5 = 0 AS closes, ['', '(a', '[(]', 'a{2,1}', '*', '[^]a]', '(?:b|c)'][p_partkey % 7 + 1] || p_brand || CASE WHEN p_partkey % 5 = 0 THEN ')' ELSE '' END AS pattern FROM part)
+SELECT p_partkey, pattern, CASE WHEN k IN (3, 4) THEN false WHEN k = 1 THEN closes ELSE NOT closes END AS compiles FROM p""",
     "pattern_weights": "SELECT p_partkey, p_brand AS pattern, CASE WHEN p_partkey % 4 = 0 THEN p_size / 10.0::DOUBLE WHEN p_partkey % 2 = 0 THEN 1.0::DOUBLE END AS weight FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0",
     "topic_pattern_lists": _merged("f = 0", "f <> 0"),
     "new_patterns": _PAT + " SELECT topic, ord, pattern FROM pat p WHERE f = 1 AND NOT EXISTS (SELECT 1 FROM pat o WHERE o.f <> 1 AND o.topic = p.topic AND o.pattern = p.pattern)",

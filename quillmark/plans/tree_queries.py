@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillmark.operators import selection, trees
+from quillmark.operators import levels, selection, trees
 from quillmark.plans.ordered_queries import _DEEP, _deep
 from quillmark.plans.selection_queries import _GREEDY
-from quillmark.sources.corpus import PARTS_SQL, QUESTIONS_SQL, parts, questions, table
+from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions, table
 
 TOPICS = ["1-URGENT", "PROMO", "ECONOMY"]
 
@@ -112,12 +113,45 @@ def _nodes(spark, d):
 
 def part_tree_round_trip(spark, d):
     """Nodes written as one JSON document per question and read back."""
-    return trees.decoded_trees(trees.encoded_trees(_nodes(spark, d)))
+    return trees.decoded(trees.encoded(_nodes(spark, d))).drop("problem")
+
+
+def _heap(spark, d):
+    """Trees as deep as the logarithm of a user's events: the i-th event is below the (i / 2)-th."""
+    w = Window.partitionBy("user_id").orderBy("at", "event_id")
+    e = events(spark, d).select(F.col("user_id").alias("question_id"), "event_id", "event_type", F.row_number().over(w).alias("i"))
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    return e.select(
+        "question_id", name(F.col("i")).alias("label"), F.when(F.col("i") > 1, name(F.floor(F.col("i") / 2))).alias("parent"), F.lit("node").alias("kind"), F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 7).cast("int")).alias("marks"),
+        F.col("i").cast("long").alias("top"), (F.col("i") + 1).cast("long").alias("bottom"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("topic"), (F.col("event_id") % 3 != 1).alias("inline"), F.col("i").alias("right"),
+    )
+
+
+def deep_tree_marks(spark, d):
+    return levels.built_marks(_heap(spark, d))
+
+
+def deep_tree_topics(spark, d):
+    return levels.climbed_topics(_heap(spark, d), F.col("topic").isNotNull()).select("question_id", "label", "resolved")
+
+
+def deep_tree_round_trip(spark, d):
+    return levels.decoded(levels.encoded(_heap(spark, d))).drop("problem")
+
+
+def deep_first_not_inline(spark, d):
+    return levels.first_not_inline(_heap(spark, d))
+
+
+def tree_document_checks(spark, d):
+    """Documents with negative marks, bounds that end before they begin, labels away and labels twice."""
+    n = _heap(spark, d).withColumn("marks", F.when(F.col("top") % 7 == 3, -1).otherwise(F.col("marks"))).withColumn("bottom", F.when(F.col("top") % 11 == 4, F.col("top") - 1).otherwise(F.col("bottom")))
+    return levels.tree_checks(levels.encoded(n)).filter("problem <> 'not below its parent'")
 
 
 def part_tree_sizes(spark, d):
     """Length and leaves of each question's JSON document."""
-    t = trees.encoded_trees(_nodes(spark, d))
+    t = trees.encoded(_nodes(spark, d))
     return t.select("question_id", F.json_array_length(F.get_json_object("tree", "$.children")).alias("n_children"), (~F.contains("tree", F.lit("null"))).alias("no_nulls"), F.get_json_object("tree", "$.children[0].label").alias("first_label"))
 
 
@@ -190,7 +224,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pinned_label_map, intended_questions, allowed_labels_skip, allowed_labels_prune, allowed_labels_keyword, included_leaves, excluded_leaves, plan_fullness, options_in_range,
-        refreshed_matches, match_list, label_lookup, plan_lookup, root_labels, part_tree_round_trip, part_tree_sizes, region_rejects, first_not_inline, loaded_questions,
+        refreshed_matches, match_list, label_lookup, plan_lookup, root_labels, part_tree_round_trip, part_tree_sizes, deep_tree_marks, deep_tree_topics, deep_tree_round_trip, deep_first_not_inline, tree_document_checks, region_rejects, first_not_inline, loaded_questions,
         loaded_part_topics, keyword_index, json_upsert, config_checks, folder_names, scheme_files, exam_codes,
     )
 }
@@ -207,6 +241,10 @@ _N = _DEEP + """, nodes AS (SELECT question_id, CAST(question_id AS VARCHAR) AS
  UNION ALL SELECT question_id, label, CAST(question_id AS VARCHAR), 'letter', marks, y, y + 20, topic, marks % 2 = 0 FROM deep
  UNION ALL SELECT question_id, deep, label, 'roman', marks, y + 5, y + 15, NULL, false FROM deep WHERE ord % 3 <> 1)
 """
+_HEAP = f"""WITH RECURSIVE {EVENTS_SQL}, numbered AS (SELECT user_id AS question_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY at_, event_id) AS i FROM ev),
+heap AS (SELECT question_id, i, 'n' || i AS label, CASE WHEN i > 1 THEN 'n' || (i // 2) END AS parent, 'node' AS kind, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 7 AS INTEGER) END AS marks,
+ i AS top, i + 1 AS bottom, CASE WHEN event_id % 5 = 0 THEN event_type END AS topic, event_id % 3 <> 1 AS inline FROM numbered)
+"""
 SQL = {
     "pinned_label_map": _B + """, l AS (SELECT question_id, label FROM parts WHERE marks = 6 UNION SELECT question_id, label FROM parts WHERE question_id IN (SELECT s_suppkey * 11 FROM supplier)
  UNION SELECT s_suppkey * 7, CAST(s_suppkey * 7 AS VARCHAR) || '(b)' FROM supplier WHERE s_suppkey % 10 <> 0) SELECT question_id, string_agg(label, '|' ORDER BY label) AS labels FROM l GROUP BY 1""",
@@ -229,6 +267,19 @@ SELECT *, CAST(row_number() OVER (ORDER BY pinned DESC, question_id) AS INTEGER)
     "plan_lookup": _GREEDY + "SELECT exam_code, year, question_id, pos FROM picked",
     "root_labels": _DEEP + " SELECT question_id, CASE WHEN question_id % 3 <> 0 THEN CAST(question_id AS VARCHAR) ELSE min(label) END AS root FROM deep GROUP BY 1",
     "part_tree_round_trip": _N + "SELECT question_id, label, parent, kind, marks, top, bottom, topic FROM nodes",
+    "deep_tree_marks": _HEAP + """, climb AS (SELECT question_id, i AS src, i // 2 AS at_, marks FROM heap WHERE marks IS NOT NULL AND i > 1
+ UNION ALL SELECT c.question_id, c.src, c.at_ // 2, c.marks FROM climb c JOIN heap h ON h.question_id = c.question_id AND h.i = c.at_ AND h.marks IS NULL WHERE c.at_ > 1),
+s AS (SELECT question_id, at_ AS i, sum(marks) AS m FROM climb GROUP BY 1, 2), n AS (SELECT question_id, max(i) AS n FROM heap GROUP BY 1),
+low AS (SELECT h.question_id, h.i >> k AS i, min(h.i) AS r FROM heap h JOIN n USING (question_id), unnest(range(0, 40)) AS u(k) WHERE 2 * h.i > n AND h.i >> k > 0 GROUP BY 1, 2)
+SELECT h.question_id, label, CAST(coalesce(h.marks, s.m, 0) AS INTEGER) AS marks, CASE WHEN h.marks IS NOT NULL THEN 'explicit' WHEN 2 * h.i <= n THEN 'aggregate' ELSE 'inferred' END AS source, CAST(low.r AS INTEGER) AS "right"
+FROM heap h JOIN n USING (question_id) JOIN low USING (question_id, i) LEFT JOIN s USING (question_id, i)""",
+    "deep_tree_topics": _HEAP + """, up AS (SELECT question_id, i >> k AS i, arg_min(topic, bin(i)) AS t FROM heap, unnest(range(0, 40)) AS u(k) WHERE topic IS NOT NULL AND i >> k > 0 GROUP BY 1, 2)
+SELECT question_id, label, t AS resolved FROM heap LEFT JOIN up USING (question_id, i)""",
+    "deep_tree_round_trip": _HEAP + "SELECT question_id, label, parent, kind, marks, top, bottom, topic FROM heap",
+    "deep_first_not_inline": _HEAP + """, go AS (SELECT question_id, i, inline, top FROM heap WHERE i = 2
+ UNION ALL SELECT h.question_id, h.i, h.inline, h.top FROM go JOIN heap h ON h.question_id = go.question_id AND h.i = 2 * go.i WHERE go.inline)
+SELECT question_id, max(top) AS top FROM go GROUP BY 1""",
+    "tree_document_checks": _HEAP + "SELECT question_id, label, CASE WHEN i % 7 = 3 THEN 'negative marks' ELSE 'bounds' END AS problem FROM heap WHERE i % 7 = 3 OR i % 11 = 4",
     "part_tree_sizes": _N + "SELECT question_id, CAST(count(*) AS INTEGER) AS n_children, true AS no_nulls, arg_min(label, top * 100 + ascii(substr(split_part(label, '(', 2), 1, 1)) - 96) AS first_label FROM nodes WHERE kind = 'letter' GROUP BY 1",
     "region_rejects": f"""WITH {PARTS_SQL} SELECT question_id, CASE WHEN question_id % 5 = 0 THEN 'version' WHEN question_id % 7 = 0 THEN 'composite size' WHEN bool_or(trunc(price)::BIGINT % 97 = 0) THEN 'no bounds'
  WHEN bool_or(trunc(price)::BIGINT % 40 - 1 <= 0) THEN 'bounds' END AS reject FROM parts GROUP BY 1""",
