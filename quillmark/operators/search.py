@@ -164,11 +164,18 @@ def seeded_order(seed: int, key: str) -> Column:
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: int) -> DataFrame:
-    """size // strata rows of each stratum (at least one), topped up in seeded order to ``size``."""
+    """size // strata rows of each stratum (at least one), topped up in seeded order to ``size``.
+
+    Keys must not repeat.  A task passes on the first rows of each stratum and the first of all,
+    no more; the rows that top up are among the first ``size`` of all.
+    """
     strata = df.select(stratum).distinct().count()
     quota = max(1, size // max(1, strata))
-    ranked = df.withColumn("__o", seeded_order(seed, key)).withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__o", key)))
-    return ranked.orderBy(F.when(F.col("__r") <= quota, 0).otherwise(1), "__o", key).limit(size).drop("__o", "__r")
+    ordered = df.withColumn("__o", seeded_order(seed, key))
+    chosen = capped(ordered, [stratum], ["__o", key], quota).drop("place")
+    rest = ordered.orderBy("__o", key).limit(size).join(chosen.select(key), key, "left_anti").select(ordered.columns)
+    both = chosen.withColumn("__r", F.lit(0)).unionByName(rest.withColumn("__r", F.lit(1)))
+    return both.orderBy("__r", "__o", key).limit(size).drop("__o", "__r")
 
 
 def new_only(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

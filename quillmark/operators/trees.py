@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.operators.detection import ancestors
 from quillmark.operators.facets import effective_topic
 from quillmark.operators.levels import decoded, encoded, first_not_inline  # noqa: F401
+from quillmark.operators.numbering import numbered
 
 
 def label_map(leaves: DataFrame, matched: DataFrame, pinned: DataFrame, part_pins: DataFrame) -> DataFrame:
@@ -77,10 +78,8 @@ def refreshed(new: DataFrame, before: DataFrame) -> DataFrame:
 
 def match_list(matches: DataFrame) -> DataFrame:
     """Adds ``place``: pinned questions first, then by id; ``labels`` sorted; whether any label is nested (two brackets or more)."""
-    place = F.row_number().over(Window.orderBy(F.desc("pinned"), "question_id"))
     listed = matches.groupBy("question_id").agg(F.bool_or("pinned").alias("pinned"), F.sort_array(F.collect_set("label")).alias("labels"))
-    # the list is what a person looks through, a report
-    return listed.withColumn("nested", F.exists("labels", lambda x: F.regexp_count(x, F.lit(r"\(")) >= 2)).withColumn("place", place)
+    return numbered(listed.withColumn("nested", F.exists("labels", lambda x: F.regexp_count(x, F.lit(r"\(")) >= 2)), [F.desc("pinned"), F.col("question_id")])
 
 
 def first_by(rows: DataFrame, wanted: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -54,7 +54,7 @@ def mark_edges(spark, d):
 
 
 def question_extents(spark, d):
-    n = events(spark, d).filter("event_type = 'view'").select("user_id", (F.col("at") % 9).cast("int").alias("page"), F.col("value").cast("int").alias("y"), F.col("event_id").alias("n"))
+    n = events(spark, d).select("user_id", (F.col("at") % 9).cast("int").alias("page"), F.col("value").cast("int").alias("y"), F.col("event_id").alias("n"))
     return bd.question_extents(n, "user_id", F.lit(9), 842).select("user_id", "n", "end_page", "end_y")
 
 
@@ -134,7 +134,7 @@ SQL = {
     "value_clusters": f"""WITH {PARTS_SQL}, v AS (SELECT question_id, ord, trunc(price)::BIGINT % 300 AS v FROM parts), f AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY question_id ORDER BY v) > 20 THEN 1 ELSE 0 END AS f FROM (SELECT DISTINCT question_id, v FROM v)),
 c AS (SELECT question_id, v, CAST(sum(f) OVER (PARTITION BY question_id ORDER BY v) AS BIGINT) AS cluster FROM f) SELECT question_id, ord, cluster FROM v JOIN c USING (question_id, v)""",
     "mark_edges": f"WITH {PARTS_SQL}, m AS (SELECT question_id, y % 40 AS y, CAST(trunc(price)::BIGINT % 400 AS INTEGER) AS r FROM parts), e AS (SELECT *, max(r) OVER (PARTITION BY question_id) AS edge FROM m) SELECT DISTINCT question_id, y, edge FROM e WHERE edge - r <= 100",
-    "question_extents": f"""WITH {EVENTS_SQL}, n AS (SELECT user_id, CAST(at_ % 9 AS INTEGER) AS page, CAST(trunc(value) AS INTEGER) AS y, event_id AS n FROM ev WHERE event_type = 'view')
+    "question_extents": f"""WITH {EVENTS_SQL}, n AS (SELECT user_id, CAST(at_ % 9 AS INTEGER) AS page, CAST(trunc(value) AS INTEGER) AS y, event_id AS n FROM ev)
 SELECT user_id, n, coalesce(lead(page) OVER w, 9) AS end_page, coalesce(lead(y) OVER w, 842) AS end_y FROM n WINDOW w AS (PARTITION BY user_id ORDER BY page, y, n)""",
     "region_relations": f"""WITH {PARTS_SQL}, r AS (SELECT question_id, ord AS a, y AS t, y + trunc(price)::BIGINT % 50 + 1 AS o, lead(ord) OVER w AS b, lead(y) OVER w AS t2, lead(y + trunc(price)::BIGINT % 50 + 1) OVER w AS o2 FROM parts WINDOW w AS (PARTITION BY question_id ORDER BY ord))
 SELECT question_id, a, b, o > t2 AND o2 > t AS overlaps, o <= t2 AS above, t2 >= t AND t2 < o AS holds_top FROM r WHERE b IS NOT NULL""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillmark.operators import images as im
@@ -10,6 +12,7 @@ from quillmark.plans.report_queries import _I, _T, _issues, _timings
 from quillmark.plans.selection_queries import _GREEDY, _RUN, greedy_fill
 from quillmark.plans.tree_queries import _N, _nodes
 from quillmark.sources import catalogue_files as cf
+from quillmark.sources import versions
 from quillmark.sources.corpus import PARTS_SQL, QUESTIONS_SQL, parts, questions, table
 
 
@@ -115,8 +118,20 @@ def letter_gap_issues(spark, d):
     return rp.gap_issues(p, "question_id")
 
 
+def versioned_records(spark, d):
+    """Customers appended in two batches that overlap and then changed in part, read from the newest version."""
+    from quillmark.operators.storage import shared_folder
+
+    path = f"{shared_folder(spark)}/quillmark/versions-{uuid.uuid4().hex[:12]}"
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("question_id"), "c_custkey", F.col("c_name").alias("name"))
+    versions.append_new(spark, c.filter("c_custkey % 3 <> 0"), path)
+    versions.append_new(spark, c.filter("c_custkey % 2 = 0").withColumn("name", F.lit("second")), path)
+    versions.upsert(spark, c.filter("c_custkey % 5 = 0").withColumn("name", F.lit("changed")), path)
+    return versions.Versions(spark, path).read(c.schema).select("c_custkey", "name")
+
+
 def highlighted_snippets(spark, d):
-    docs = table(spark, d, "documents").filter("lang in ('en', 'de')").select("doc_id", F.concat(F.lit(" (a) [12] .. "), "text").alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit(" (a) [12] .. "), "text").alias("text"))
     return docs.select("doc_id", rp.highlighted(F.col("text"), ["that", "ein", "(a)"]).alias("snippet"))
 
 
@@ -207,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         year_picker, paper_picker, facet_sub_topics, checked_topics, keyword_preview, keyword_label_union, misclassified_parts, context_lookup, pre_order, plan_topic_marks,
-        covered_topics, issue_documents, timing_merge_phases, timing_merge_slowest, variant_runs, uncategorised_reasons, letter_gap_issues, highlighted_snippets, classifier_entry,
+        covered_topics, issue_documents, timing_merge_phases, timing_merge_slowest, variant_runs, uncategorised_reasons, letter_gap_issues, highlighted_snippets, versioned_records, classifier_entry,
         manifest_checks, catalogue_records, region_documents, archive_entries, build_documents, cleaned_texts, loaded_questions_filtered, question_checks, keyword_results, crop_boxes, trimmed_boxes,
     )
 }
@@ -251,8 +266,9 @@ m AS (SELECT question_id, chr(CAST(unnest(range(CAST(i + 1 AS BIGINT), CAST(n AS
     "archive_entries": _GREEDY + """, s AS (SELECT question_id, ord, label FROM parts UNION ALL SELECT DISTINCT question_id, 0, CAST(question_id AS VARCHAR) FROM parts)
 SELECT exam_code, year, lpad(CAST(pos AS VARCHAR), 2, '0') || '_' || question_id AS folder, CAST(row_number() OVER (PARTITION BY exam_code, year, pos ORDER BY ord) AS INTEGER) AS place, regexp_replace(label, '[()]+', '_', 'g') || '.png' AS file FROM picked JOIN s USING (question_id)""",
     "build_documents": _GREEDY + "SELECT exam_code, year, 50 AS target_marks, CAST(sum(marks) AS BIGINT) AS total_marks, count(DISTINCT question_id) AS question_count, CAST(count(DISTINCT coalesce(p.topic, q.topic)) AS INTEGER) AS n_topics FROM picked JOIN parts p USING (question_id) JOIN (SELECT question_id, topic FROM questions) q USING (question_id) GROUP BY 1, 2",
+    "versioned_records": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'changed' WHEN c_custkey % 3 <> 0 THEN c_name ELSE 'second' END AS name FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0 OR c_custkey % 5 = 0",
     "highlighted_snippets": r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(' (a) [12] .. ' || text, '[ \t\r\n\f\v]+', ' ', 'g')), '\.{2,}', '', 'g'), '\[\d+\]', '', 'g'), '^\s*\([a-zA-Z0-9]+\)\s*', '') AS t
- FROM documents WHERE lang IN ('en', 'de')),
+ FROM documents),
 k AS (SELECT *, CASE WHEN contains(lower(t), 'that') THEN 4 WHEN contains(lower(t), 'ein') OR contains(lower(t), '(a)') THEN 3 END AS n,
  CASE WHEN contains(lower(t), 'that') THEN instr(lower(t), 'that') WHEN contains(lower(t), 'ein') THEN instr(lower(t), 'ein') ELSE instr(lower(t), '(a)') END - 1 AS at_ FROM c),
 s AS (SELECT *, greatest(0, at_ - 60) AS lo, least(length(t), at_ + n + 60) AS hi FROM k)

@@ -103,6 +103,41 @@ def full_selection(spark, d):
     return sp.warnings(_built(spark, d, c), _RUN, c)
 
 
+def selection_fill(spark, d):
+    """First fit alone: whole questions of valid leaves, no topics asked for."""
+    return _built(spark, d, sp.Request(50, 2, 42, "ALL"), False).select(*_RUN, "question_id", "k", "marks", "origin")
+
+
+def selection_matches(spark, d):
+    """Keyword matches alone, each with all its valid leaves, while they fit the target."""
+    q, p, pinned, part_pins, matched = _sources(spark, d)
+    return sp.build(q, p, _RUN, sp.Request(50, 2, 42, "ALL", greedy=False), pinned.limit(0), part_pins.limit(0), matched).select(*_RUN, "question_id", "k", "marks", "origin")
+
+
+def selection_coverage(spark, d):
+    """The best question of each run for one topic."""
+    return _built(spark, d, sp.Request(50, 2, 42, "ALL", topics=("PROMO",), greedy=False, backfill=False), False).select(*_RUN, "question_id", "k", "marks", "origin")
+
+
+def selection_pins(spark, d):
+    """What pins alone give: all valid leaves of the questions that are pinned or hold a pinned part."""
+    q, p, pinned, part_pins, matched = _sources(spark, d)
+    return sp.build(q, p, _RUN, sp.Request(50, 2, 42, "ALL", greedy=False, backfill=False), pinned, part_pins, matched).select(*_RUN, "question_id", "k", "marks", "origin")
+
+
+def selection_checks(spark, d):
+    """What holds of every run of the five builds: leaves once, of this run, valid where nothing is pinned; totals within the target where first fit alone chose."""
+    builds = {"all": selection_all, "prune": selection_prune, "skip": selection_skip, "keywords": selection_keywords, "fill": selection_fill}
+    p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id").select(*_RUN, "question_id", (F.col("ord") - 1).alias("k"), F.col("marks").alias("__m"), "is_valid")
+    out = None
+    for name, build in builds.items():
+        got = build(spark, d).join(p, [*_RUN, "question_id", "k"], "left")
+        one = got.groupBy(*_RUN).agg(F.count("*").alias("n"), F.countDistinct("question_id", "k").alias("once"), F.count_if(F.col("__m").eqNullSafe(F.col("marks")) & F.col("is_valid")).alias("own"), F.sum("marks").alias("total"))
+        low = one.select(F.lit(name).alias("build"), (F.col("n") == F.col("once")).alias("once"), (F.col("n") == F.col("own")).alias("own"), ((F.col("total") <= 52) | F.lit(name != "fill")).alias("within"))
+        out = low if out is None else out.unionByName(low)
+    return out.groupBy("build").agg(F.every("once").alias("once"), F.every("own").alias("own"), F.every("within").alias("within"))
+
+
 def prune_to_target(spark, d):
     return selection.prune_to_target(parts(spark, d), 10).select("question_id", "ord", "marks")
 
@@ -181,7 +216,7 @@ def page_points(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        option_enumeration_all, option_enumeration_prune, option_enumeration_skip, best_option_for_budget, topic_coverage_scoring, greedy_fill, greedy_summary, full_selection, selection_all, selection_prune, selection_skip, selection_keywords,
+        option_enumeration_all, option_enumeration_prune, option_enumeration_skip, best_option_for_budget, topic_coverage_scoring, greedy_fill, greedy_summary, full_selection, selection_all, selection_prune, selection_skip, selection_keywords, selection_fill, selection_matches, selection_coverage, selection_pins, selection_checks,
         prune_to_target, prune_across_plans, missing_topics, label_superset, atomic_groups, paginate, oversize_groups, question_pages, question_sequence, composite_offsets, part_bounds, page_points,
     )
 }
@@ -220,7 +255,34 @@ pages AS (
          CASE WHEN p.y + 20 + n.h <= 900 THEN p.y + 20 ELSE 0 END, CASE WHEN p.y + 20 + n.h <= 900 THEN p.y + 20 + n.h ELSE n.h END
   FROM pages p JOIN heights n ON n.exam_code = p.exam_code AND n.year = p.year AND n.grp = p.grp + 1)
 """
+_VALID_TOTALS = _P + """, valid AS (SELECT exam_code, year, question_id, p.ord - 1 AS k, marks, coalesce(nullif(p.topic, ''), q.topic) AS topic FROM parts p JOIN questions q USING (question_id) WHERE is_valid),
+sizes AS (SELECT question_id, count(*) AS leaves FROM parts GROUP BY 1),
+totals AS (SELECT exam_code, year, question_id, CAST(sum(marks) AS INTEGER) AS m, count(*) AS n, CAST(sum(CAST(1 AS BIGINT) << k) AS BIGINT) AS mask FROM valid GROUP BY 1, 2, 3)
+"""
+
+
+def _fold_sql(source: str, most: int) -> str:
+    return f""", o AS (SELECT *, row_number() OVER (PARTITION BY exam_code, year ORDER BY md5('42:' || question_id), question_id) AS r FROM {source}),
+fold AS (
+  SELECT exam_code, year, CAST(0 AS BIGINT) AS r, CAST(0 AS INTEGER) AS total, CAST(NULL AS BIGINT) AS question_id FROM (SELECT DISTINCT exam_code, year FROM o)
+  UNION ALL
+  SELECT f.exam_code, f.year, o.r, CASE WHEN f.total + o.m <= {most} THEN f.total + o.m ELSE f.total END, CASE WHEN f.total + o.m <= {most} THEN o.question_id END
+  FROM fold f JOIN o ON o.exam_code = f.exam_code AND o.year = f.year AND o.r = f.r + 1 WHERE f.total < 50)
+"""
+
+
+_LEAVES = "SELECT v.exam_code, v.year, v.question_id, v.k, v.marks, '{}' AS origin FROM valid v JOIN {} USING (exam_code, year, question_id)"
 SQL = {
+    "selection_fill": _VALID_TOTALS + _fold_sql("totals", 52) + _LEAVES.format("normal", "fold"),
+    "selection_matches": _VALID_TOTALS + ", hits AS (SELECT * FROM totals WHERE question_id IN (SELECT question_id FROM parts WHERE contains(name, '77')))" + _fold_sql("hits", 50) + _LEAVES.format("keyword", "fold"),
+    "selection_coverage": _VALID_TOTALS + """, s AS (SELECT t.*, greatest(0.0, 10.0 - abs(m - 50)) + CASE WHEN n = leaves THEN 5.0 ELSE 0.0 END + 5.0::DOUBLE * (CAST(('0x' || substr(md5('42:' || question_id || ':' || mask), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE) AS score
+  FROM totals t JOIN sizes USING (question_id) WHERE question_id IN (SELECT question_id FROM valid WHERE topic = 'PROMO')),
+best AS (SELECT exam_code, year, question_id FROM s QUALIFY row_number() OVER (PARTITION BY exam_code, year ORDER BY score DESC, question_id) = 1)
+""" + _LEAVES.format("topic", "best"),
+    "selection_pins": _VALID_TOTALS + """, ends AS (SELECT exam_code, year, min(question_id) AS a, max(question_id) AS b FROM questions JOIN parts USING (question_id) WHERE ord = 2 GROUP BY 1, 2),
+pins AS (SELECT exam_code, year, a AS question_id FROM ends UNION SELECT exam_code, year, b FROM ends)
+""" + _LEAVES.format("pinned", "pins"),
+    "selection_checks": "SELECT unnest(['all', 'prune', 'skip', 'keywords', 'fill']) AS build, true AS once, true AS own, true AS within",
     "option_enumeration_all": _VALID + "SELECT question_id, mask, marks, n_parts FROM prefix QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY k DESC) = 1",
     "option_enumeration_prune": _VALID + "SELECT question_id, mask, marks, n_parts FROM prefix",
     "option_enumeration_skip": _SUBSETS + "SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY marks DESC, n_parts DESC, mask) AS INTEGER) AS place FROM opts",

@@ -64,7 +64,7 @@ def keyword_filtered_counts(spark, d):
 
 
 def keyword_snippets(spark, d):
-    return _docs(spark, d).filter("lang = 'en'").select("doc_id", search.snippet(F.col("text"), "that").alias("snippet"))
+    return _docs(spark, d).select("doc_id", search.snippet(F.col("text"), "that").alias("snippet"))
 
 
 def part_keyword_hits(spark, d):
@@ -185,7 +185,7 @@ SELECT p_partkey, CASE WHEN trim(raw) = '' THEN '00. Unknown' WHEN {_CANON.forma
     "keyword_search": _HITS + "SELECT keyword, doc_id FROM hits",
     "keyword_counts": _HITS + ", terms(keyword) AS (VALUES " + ", ".join(f"({_sql_text(k)})" for k in KEYWORDS if k.strip()) + ") SELECT t.keyword, count(DISTINCT doc_id) AS n FROM terms t LEFT JOIN hits USING (keyword) GROUP BY 1",
     "keyword_filtered_counts": _HITS + "SELECT keyword, count(DISTINCT doc_id) AS n FROM hits WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1",
-    "keyword_snippets": """WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'),
+    "keyword_snippets": """WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM documents),
 a AS (SELECT *, instr(lower(t), 'that') AS i, greatest(1, instr(lower(t), 'that') - 60) AS lo FROM t)
 SELECT doc_id, CASE WHEN i > 0 THEN substr(t, lo, i - lo) || '[' || substr(t, i, 4) || ']' || substr(t, i + 4, 60) ELSE substr(t, 1, 150) END AS snippet FROM a""",
     "rule_classify": _RULES + f"SELECT doc_id, CASE WHEN {_reason(0.7, 0.3)} = 'ok' THEN topic ELSE '00. Unknown' END AS topic, round(coalesce(score, 0), 6) AS score, round(coalesce(margin, 0), 6) AS margin, {_reason(0.7, 0.3)} AS reason FROM c",

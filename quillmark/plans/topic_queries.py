@@ -17,7 +17,7 @@ def _topics(spark, d):
 
 def _sub_topics(spark, d):
     """Brands as sub-topics of types."""
-    p = table(spark, d, "part").filter("p_size <= 40")
+    p = table(spark, d, "part")
     return p.groupBy(_exam().alias("exam_code"), F.col("p_type").alias("topic"), F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("ord"))
 
 
@@ -107,7 +107,7 @@ QUERIES = {
 
 _E = "lpad(CAST(p_partkey % 5 AS VARCHAR), 4, '0')"
 _CAP = "upper(substr(split_part(p_type, ' ', 1), 1, 1)) || lower(substr(split_part(p_type, ' ', 1), 2)) || CASE WHEN contains(p_type, ' ') THEN ' ' || upper(substr(split_part(p_type, ' ', 2), 1, 1)) || lower(substr(split_part(p_type, ' ', 2), 2)) ELSE '' END"
-_SUB = f"WITH sub AS (SELECT {_E} AS exam_code, p_type AS topic, p_brand AS name, min(p_partkey) AS ord FROM part WHERE p_size <= 40 GROUP BY 1, 2, 3)"
+_SUB = f"WITH sub AS (SELECT {_E} AS exam_code, p_type AS topic, p_brand AS name, min(p_partkey) AS ord FROM part GROUP BY 1, 2, 3)"
 _PAT = "WITH pat AS (SELECT p_type AS topic, p_partkey AS ord, lower(p_brand) || (p_size % 7) AS pattern, p_partkey % 3 AS f FROM part)"
 
 

@@ -55,8 +55,8 @@ def write_catalogue(questions: DataFrame, path: str, mode: str = "overwrite") ->
 def append_new(spark: SparkSession, new: DataFrame, path: str) -> None:
     """Appends the records whose question_id is not there yet.
 
-    Spark's commit protocol shows readers whole batches; it is no lock: two appends at once may
-    both add the same id.
+    For one writer at a time: two appends at once may both add the same id
+    (``versions.append_new`` adds it once).  Readers see whole batches.
     """
     from quillmark.operators.search import new_only
 
@@ -107,7 +107,8 @@ def write_document(spark: SparkSession, path: str, document: dict) -> None:
 def upsert_file(spark: SparkSession, new: DataFrame, path: str, key: str) -> None:
     """Replaces a folder's JSON records of the same key and adds the rest: written beside it, then renamed into its place.
 
-    A reader sees the old or the new folder.  Two writers at once are not told apart: the last stands.
+    For one writer and no reader at a time: between the two renames the folder is missing, and a
+    failure there leaves the old one as ``.old``.  ``versions.upsert`` has neither gap.
     """
     from quillmark.operators.trees import upserted
 
