@@ -129,6 +129,26 @@ def human_size(size: Column) -> Column:
     return out
 
 
+#: Fixed values of the model's tokens: units of quantities, signs of operations, command words, signs of powers.
+UNITS = r"m/s|kg|j|v|cm\^3|mb|gb|kb|hz|ghz|bit|byte|ms|s|%"
+OPERATORS = "[+\\-*/^=\u2265\u2264<>]"
+COMMANDS = ("calculate", "describe", "explain", "state", "determine")
+POWERS = "[\u00b2\u00b3]"
+
+
+def token_text(text: Column) -> Column:
+    """What the topic model reads: lower case, UNIT_VALUE, OPERATOR and RATE for quantities, signs and "per", then CMD_ tokens of the command words and NOTATION_POWER.
+
+    White space is squeezed before tokens are put in, and not behind them.
+    """
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\u00a0\\x00-\\x1f]+", " "), r"\s+", " ")
+    out = F.lower(F.trim(clean))
+    out = F.regexp_replace(out, r"\b\d+(?:\.\d+)?\s*(?:" + UNITS + r")\b", " UNIT_VALUE ")
+    out = F.regexp_replace(F.regexp_replace(out, OPERATORS, " OPERATOR "), r"\bper\b", " RATE ")
+    tags = [F.when(out.rlike(rf"\b{c}\b"), F.lit(f" CMD_{c.upper()} ")).otherwise("") for c in COMMANDS]
+    return F.concat(out, *tags, F.when(out.rlike(POWERS), F.lit(" NOTATION_POWER ")).otherwise(""))
+
+
 def model_text(text: Column) -> Column:
     """Lower case, control characters and no-break spaces as spaces, quantities with units as tokens."""
     out = F.lower(F.regexp_replace(text, r"[ \x00-\x1f]+", " "))

@@ -192,6 +192,25 @@ def prune_to_target(parts: DataFrame, target: int, key: str = "question_id") ->
     return parts.withColumn("running", F.sum("marks").over(w)).filter((F.col("running") <= target) | (F.col("ord") == 1))
 
 
+def prune_plan(leaves: DataFrame, target: int, mode: str, min_parts: int = 1, key: str = "question_id") -> DataFrame:
+    """Leaves that stay when a plan is pruned, one leaf at a time, until it has at most ``target`` marks or ``min_parts`` leaves.
+
+    SKIP: the smallest leaf goes, the first in order of equal ones; PRUNE: the last one; ALL:
+    none.  leaves: key, ord, marks.  Who goes next does not depend on who has gone, so running
+    sums over a question's leaves say where it ends.
+    """
+    if mode not in ("ALL", "PRUNE", "SKIP"):
+        raise ValueError("mode is one of ALL, PRUNE, SKIP")
+    if mode == "ALL":
+        return leaves
+    turn = [F.col("marks"), F.col("ord")] if mode == "SKIP" else [F.desc("ord")]
+    before = Window.partitionBy(key).orderBy(*turn).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(key)
+    left = F.sum("marks").over(whole) - F.coalesce(F.sum("marks").over(before), F.lit(0))
+    parts = F.count("*").over(whole) - F.count("*").over(before)
+    return leaves.withColumns({"__left": left, "__parts": parts}).filter((F.col("__left") <= target) | (F.col("__parts") <= min_parts)).drop("__left", "__parts")
+
+
 def prune_smallest(parts: DataFrame, run: list[str], target: int, tolerance: int, protected: Column) -> DataFrame:
     """Leaves that stay when the globally smallest unprotected ones go while a run is over target + tolerance.
 

@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillmark.functions import text as tx
 from quillmark.operators import images as im
 from quillmark.operators import reports as rp
+from quillmark.operators.storage import shared_folder
 from quillmark.plans.report_queries import _I, _T, _issues, _timings
 from quillmark.plans.selection_queries import _GREEDY, _RUN, greedy_fill
 from quillmark.plans.tree_queries import _N, _nodes
+from quillmark.sources import archives, versions
 from quillmark.sources import catalogue_files as cf
-from quillmark.sources import versions
 from quillmark.sources.corpus import PARTS_SQL, QUESTIONS_SQL, parts, questions, table
 
 
@@ -120,8 +122,6 @@ def letter_gap_issues(spark, d):
 
 def versioned_records(spark, d):
     """Customers appended in two batches that overlap and then changed in part, read from the newest version."""
-    from quillmark.operators.storage import shared_folder
-
     path = f"{shared_folder(spark)}/quillmark/versions-{uuid.uuid4().hex[:12]}"
     c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("question_id"), "c_custkey", F.col("c_name").alias("name"))
     versions.append_new(spark, c.filter("c_custkey % 3 <> 0"), path)
@@ -185,6 +185,22 @@ def cleaned_texts(spark, d):
     return p.select("question_id", "ord", c["diagnostic"].alias("diagnostic"), c["plain"].alias("plain"), c["model"].alias("model"), rp.cleaned(F.col("name"))["pattern"].alias("pattern"))
 
 
+def token_texts(spark, d):
+    """Texts of parts with quantities, signs and command words, as the topic model reads them."""
+    p = parts(spark, d)
+    said = F.element_at(F.array(*map(F.lit, ("Calculate 12.5 kg per box = ", "State the area in cm\u00b2 \u2265 3 ", "Explain; determine 40% ms ", "5 m/s + 7 V *2 GHz "))), F.col("marks") % 4 + 1)
+    return p.select("question_id", "ord", tx.token_text(F.concat(said, "name")).alias("tokens"))
+
+
+def archive_read_back(spark, d):
+    """The entries of archives, one for each run, written as files and read again."""
+    path = f"{shared_folder(spark)}/quillmark/archives-{uuid.uuid4().hex[:12]}"
+    entries = archive_entries(spark, d).withColumn("content", F.encode("file", "UTF-8"))
+    names = entries.groupBy(*_RUN).agg(F.countDistinct("folder").alias("n")).select(*_RUN, F.format_string("%s_%d.zip", *_RUN).alias("name"), F.format_string("%d questions", "n").alias("readme"))
+    archives.write_files(archives.archives(entries, names, _RUN, "name"), path)
+    return archives.entries_of(spark, path).select("archive", "place", "entry", F.decode("content", "UTF-8").alias("content"))
+
+
 def loaded_questions_filtered(spark, d):
     q = questions(spark, d).select(
         F.lit(9).alias("schema_version"), "question_id", "exam_code", F.when(F.col("question_id") % 8 != 0, F.col("year") + 20).alias("year"), "paper", "variant", F.col("question_id").alias("question_number"), F.lit(5).alias("total_marks"), F.lit(1).alias("part_count"), "topic"
@@ -222,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         year_picker, paper_picker, facet_sub_topics, checked_topics, keyword_preview, keyword_label_union, misclassified_parts, context_lookup, pre_order, plan_topic_marks,
-        covered_topics, issue_documents, timing_merge_phases, timing_merge_slowest, variant_runs, uncategorised_reasons, letter_gap_issues, highlighted_snippets, versioned_records, classifier_entry,
+        covered_topics, issue_documents, timing_merge_phases, timing_merge_slowest, variant_runs, uncategorised_reasons, letter_gap_issues, highlighted_snippets, versioned_records, token_texts, archive_read_back, classifier_entry,
         manifest_checks, catalogue_records, region_documents, archive_entries, build_documents, cleaned_texts, loaded_questions_filtered, question_checks, keyword_results, crop_boxes, trimmed_boxes,
     )
 }
@@ -263,6 +279,15 @@ m AS (SELECT question_id, chr(CAST(unnest(range(CAST(i + 1 AS BIGINT), CAST(n AS
  CASE WHEN s_suppkey % 9 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 2 = 0 THEN 30 ELSE 1 END AS version FROM supplier""",
     "catalogue_records": f"WITH {QUESTIONS_SQL} SELECT CAST(question_id AS VARCHAR) AS question_id, year, topic, 'q/' || question_id AS relative_path FROM questions WHERE question_id % 11 <> 0 AND question_id % 13 <> 0 AND question_id % 7 <> 0 AND (question_id % 3 <> 0 OR question_id % 2 = 0)",
     "region_documents": _B + " SELECT question_id, label, 'letter' AS kind, CAST(y AS INTEGER) AS top, CAST(y + 9 AS INTEGER) AS bottom, CASE WHEN marks > 3 THEN marks ELSE 0 END AS \"left\", CASE WHEN marks % 2 = 0 THEN marks + 100 ELSE 500 END AS \"right\", false AS inline FROM parts",
+    "token_texts": f"WITH {PARTS_SQL}" + r""", s AS (SELECT question_id, ord, ['Calculate 12.5 kg per box = ', 'State the area in cm² ≥ 3 ', 'Explain; determine 40% ms ', '5 m/s + 7 V *2 GHz '][marks % 4 + 1] || name AS t FROM parts),
+a AS (SELECT question_id, ord, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS t FROM s),
+b AS (SELECT question_id, ord, regexp_replace(t, '\b\d+(?:\.\d+)?\s*(?:m/s|kg|j|v|cm\^3|mb|gb|kb|hz|ghz|bit|byte|ms|s|%)\b', ' UNIT_VALUE ', 'g') AS t FROM a),
+c AS (SELECT question_id, ord, regexp_replace(regexp_replace(t, '[+\-*/^=≥≤<>]', ' OPERATOR ', 'g'), '\bper\b', ' RATE ', 'g') AS t FROM b)
+SELECT question_id, ord, t || """ + " || ".join(rf"CASE WHEN regexp_matches(t, '\b{c}\b') THEN ' CMD_{c.upper()} ' ELSE '' END" for c in tx.COMMANDS) + " || CASE WHEN regexp_matches(t, '[²³]') THEN ' NOTATION_POWER ' ELSE '' END AS tokens FROM c",
+    "archive_read_back": _GREEDY + """, s AS (SELECT question_id, ord, label FROM parts UNION ALL SELECT DISTINCT question_id, 0, CAST(question_id AS VARCHAR) FROM parts),
+e AS (SELECT exam_code, year, lpad(CAST(pos AS VARCHAR), 2, '0') || '_' || question_id AS folder, ord, regexp_replace(label, '[()]+', '_', 'g') || '.png' AS file FROM picked JOIN s USING (question_id))
+SELECT exam_code || '_' || year || '.zip' AS archive, CAST(row_number() OVER (PARTITION BY exam_code, year ORDER BY folder, ord) AS INTEGER) AS place, folder || '/' || file AS entry, file AS content FROM e
+UNION ALL SELECT exam_code || '_' || year || '.zip', 0, 'README.txt', count(DISTINCT folder) || ' questions' FROM e GROUP BY exam_code, year""",
     "archive_entries": _GREEDY + """, s AS (SELECT question_id, ord, label FROM parts UNION ALL SELECT DISTINCT question_id, 0, CAST(question_id AS VARCHAR) FROM parts)
 SELECT exam_code, year, lpad(CAST(pos AS VARCHAR), 2, '0') || '_' || question_id AS folder, CAST(row_number() OVER (PARTITION BY exam_code, year, pos ORDER BY ord) AS INTEGER) AS place, regexp_replace(label, '[()]+', '_', 'g') || '.png' AS file FROM picked JOIN s USING (question_id)""",
     "build_documents": _GREEDY + "SELECT exam_code, year, 50 AS target_marks, CAST(sum(marks) AS BIGINT) AS total_marks, count(DISTINCT question_id) AS question_count, CAST(count(DISTINCT coalesce(p.topic, q.topic)) AS INTEGER) AS n_topics FROM picked JOIN parts p USING (question_id) JOIN (SELECT question_id, topic FROM questions) q USING (question_id) GROUP BY 1, 2",

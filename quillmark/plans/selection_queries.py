@@ -142,6 +142,14 @@ def prune_to_target(spark, d):
     return selection.prune_to_target(parts(spark, d), 10).select("question_id", "ord", "marks")
 
 
+def prune_plan_skip(spark, d):
+    return selection.prune_plan(parts(spark, d).select("question_id", "ord", "marks"), 7, "SKIP", 2)
+
+
+def prune_plan_tail(spark, d):
+    return selection.prune_plan(parts(spark, d).select("question_id", "ord", "marks"), 9, "PRUNE", 3)
+
+
 def prune_across_plans(spark, d):
     p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id")
     return selection.prune_smallest(p, _RUN, 30, 2, F.col("ord") == 1).select(*_RUN, "question_id", "ord", "marks")
@@ -217,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         option_enumeration_all, option_enumeration_prune, option_enumeration_skip, best_option_for_budget, topic_coverage_scoring, greedy_fill, greedy_summary, full_selection, selection_all, selection_prune, selection_skip, selection_keywords, selection_fill, selection_matches, selection_coverage, selection_pins, selection_checks,
-        prune_to_target, prune_across_plans, missing_topics, label_superset, atomic_groups, paginate, oversize_groups, question_pages, question_sequence, composite_offsets, part_bounds, page_points,
+        prune_to_target, prune_plan_skip, prune_plan_tail, prune_across_plans, missing_topics, label_superset, atomic_groups, paginate, oversize_groups, question_pages, question_sequence, composite_offsets, part_bounds, page_points,
     )
 }
 
@@ -295,6 +303,9 @@ SELECT topic, question_id, marks, round(score, 6) AS score FROM s QUALIFY row_nu
  CAST(sum(marks) - 50 AS BIGINT) AS difference, CAST(abs(sum(marks) - 50) AS BIGINT) AS deviation, abs(sum(marks) - 50) <= 2 AS within
 FROM picked JOIN parts p USING (question_id) JOIN (SELECT question_id, topic FROM questions) q USING (question_id) GROUP BY 1, 2""",
     "prune_to_target": _P + "SELECT question_id, ord, marks FROM parts QUALIFY sum(marks) OVER (PARTITION BY question_id ORDER BY ord) <= 10 OR ord = 1",
+    "prune_plan_skip": _P + """, s AS (SELECT question_id, ord, marks, sum(marks) OVER (PARTITION BY question_id ORDER BY marks DESC, ord DESC ROWS UNBOUNDED PRECEDING) AS left_, row_number() OVER (PARTITION BY question_id ORDER BY marks DESC, ord DESC) AS n FROM parts)
+SELECT question_id, ord, marks FROM s WHERE left_ <= 7 OR n <= 2""",
+    "prune_plan_tail": _P + "SELECT question_id, ord, marks FROM parts QUALIFY sum(marks) OVER (PARTITION BY question_id ORDER BY ord) <= 9 OR ord <= 3",
     "missing_topics": _P + "SELECT DISTINCT topic FROM parts WHERE topic IS NOT NULL EXCEPT SELECT topic FROM parts WHERE topic IS NOT NULL AND question_id < 4",
     "label_superset": _SUBSETS + """, pins AS (SELECT question_id, CAST(sum(CAST(1 AS BIGINT) << (ord - 1)) AS BIGINT) AS pins FROM parts WHERE ord IN (2, 3, 9) GROUP BY 1),
 r AS (SELECT question_id, mask, marks, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN mask & pins = pins THEN 0 ELSE 1 END,
