@@ -43,6 +43,36 @@ def test_topic_model_on_held_out_texts(spark):
     assert [(r.topic, r.confidence) for r in topic_model.predicted_topics(blank, model, patterns).collect()] == [(None, 0.0), (None, 0.0)]
 
 
+def test_duels_tell_topics_apart_that_differ_in_pairs_of_words(spark):
+    """Two topics with the same words: both or none of two in one, exactly one in the other; no weight of single words tells."""
+    rng = random.Random(7)
+    common = "the of a question explain state value give two and".split()
+    rows = []
+    for k in range(1500):
+        topic = rng.choice(["01. Loops", "02. Data", "03. Nets"])
+        words = [rng.choice(common) for _ in range(8)]
+        if topic == "03. Nets":
+            words += ["router"] * 2
+        else:
+            first = rng.random() < 0.5
+            words += ["while"] * first + ["byte"] * (first if topic == "01. Loops" else not first)
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), topic))
+    df = spark.createDataFrame(rows, "id int, text string, topic string").cache()
+    patterns = ["while", "byte", "router"]
+    fit, held = df.filter("id < 1000"), df.filter("id >= 1000").withColumnRenamed("topic", "wanted")
+    model = topic_model.fit_topics(fit, patterns)
+    duels = topic_model.fit_duels(fit, model, patterns)
+    assert list(duels.models) == [("01. Loops", "02. Data")]
+    base = topic_model.predicted_topics(held, model, patterns).collect()
+    got = topic_model.decided_topics(held, model, duels, patterns).collect()
+    right = lambda found: sum(r.topic == r.wanted for r in found) / len(found)
+    assert len(got) == len(base) and right(base) < 0.8 and right(got) > 0.97
+    none = topic_model.decided_topics(held, model, topic_model.Duels({}), patterns).collect()
+    assert {(r.id, r.topic) for r in none} == {(r.id, r.topic) for r in base}
+    df.unpersist()
+
+
 def test_gap_sessions_of_a_stream(spark, tmp_path):
     from quillmark.streaming import ingest
 
