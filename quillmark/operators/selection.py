@@ -67,7 +67,7 @@ def options(parts: DataFrame, mode: str, key: str = "question_id") -> DataFrame:
 def _leaves(parts: DataFrame, key: str) -> DataFrame:
     """(key, leaf): the leaves of each question in order; questions of over 62 leaves, which a mask can't hold, fail."""
     listed = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "marks"))).alias("leaf"))
-    return listed.withColumn("leaf", F.when(F.size("leaf") <= 62, F.col("leaf")).otherwise(F.raise_error(F.lit("a question has over 62 leaves"))))
+    return listed.withColumn("leaf", F.when(F.size("leaf") <= 62, F.col("leaf")).otherwise(F.raise_error(F.lit("a question has over 62 leaves; use operators.wide"))))
 
 
 def best_of_leaves(parts: DataFrame, most: int, key: str = "question_id") -> DataFrame:

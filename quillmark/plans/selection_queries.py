@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import geometry as geo
-from quillmark.operators import layout, ordered, pagination, selection
+from quillmark.operators import layout, ordered, pagination, selection, wide
 from quillmark.operators import selection_pass as sp
-from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions
+from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions, table
 
 _RUN = ["exam_code", "year"]
 
@@ -33,6 +33,20 @@ def best_option_for_budget(spark, d):
     return selection.best_of_leaves(_all(spark, d), 7)
 
 
+def _wide(spark, d):
+    """Suppliers as questions of hundreds of leaves."""
+    li = table(spark, d, "lineitem")
+    return li.select(F.col("l_suppkey").alias("question_id"), F.struct("l_orderkey", "l_linenumber").alias("ord"), (1 + F.col("l_quantity").cast("int") % 6).alias("marks"), (F.col("l_linestatus") == "O").alias("is_valid"))
+
+
+def wide_prefix_options(spark, d):
+    return wide.prefixes(_wide(spark, d)).groupBy("question_id").agg(F.max("n_parts").alias("n_parts"), F.max("marks").alias("marks"), F.sum("marks").alias("all_marks"))
+
+
+def wide_best_options(spark, d):
+    return wide.best_options(_wide(spark, d), 40).select("question_id", "marks", "n_parts")
+
+
 def topic_coverage_scoring(spark, d):
     full = selection.options(parts(spark, d), "ALL")
     scored = selection.topic_scores(full, 9.0, 42, F.lit(True)).join(questions(spark, d).select("question_id", "topic"), "question_id")
@@ -224,7 +238,7 @@ def page_points(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        option_enumeration_all, option_enumeration_prune, option_enumeration_skip, best_option_for_budget, topic_coverage_scoring, greedy_fill, greedy_summary, full_selection, selection_all, selection_prune, selection_skip, selection_keywords, selection_fill, selection_matches, selection_coverage, selection_pins, selection_checks,
+        option_enumeration_all, option_enumeration_prune, option_enumeration_skip, best_option_for_budget, wide_prefix_options, wide_best_options, topic_coverage_scoring, greedy_fill, greedy_summary, full_selection, selection_all, selection_prune, selection_skip, selection_keywords, selection_fill, selection_matches, selection_coverage, selection_pins, selection_checks,
         prune_to_target, prune_plan_skip, prune_plan_tail, prune_across_plans, missing_topics, label_superset, atomic_groups, paginate, oversize_groups, question_pages, question_sequence, composite_offsets, part_bounds, page_points,
     )
 }
@@ -295,6 +309,11 @@ pins AS (SELECT exam_code, year, a AS question_id FROM ends UNION SELECT exam_co
     "option_enumeration_prune": _VALID + "SELECT question_id, mask, marks, n_parts FROM prefix",
     "option_enumeration_skip": _SUBSETS + "SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY marks DESC, n_parts DESC, mask) AS INTEGER) AS place FROM opts",
     "best_option_for_budget": _SUBSETS + ", r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY marks DESC, n_parts DESC, mask) AS place FROM opts WHERE marks <= 7) SELECT question_id, mask, marks FROM r WHERE place = 1",
+    "wide_prefix_options": """WITH s AS (SELECT l_suppkey AS question_id, 1 + CAST(trunc(l_quantity) AS INTEGER) % 6 AS m, l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O'),
+p AS (SELECT question_id, sum(m) OVER (PARTITION BY question_id ORDER BY l_orderkey, l_linenumber, m ROWS UNBOUNDED PRECEDING) AS r FROM s) SELECT question_id, CAST(count(*) AS INTEGER) AS n_parts, CAST(max(r) AS BIGINT) AS marks, CAST(sum(r) AS BIGINT) AS all_marks FROM p GROUP BY 1""",
+    "wide_best_options": """WITH s AS (SELECT l_suppkey AS question_id, 1 + CAST(trunc(l_quantity) AS INTEGER) % 6 AS m FROM lineitem WHERE l_linestatus = 'O'),
+p AS (SELECT question_id, sum(m) OVER (PARTITION BY question_id ORDER BY m ROWS UNBOUNDED PRECEDING) AS r, sum(m) OVER (PARTITION BY question_id) AS t FROM s)
+SELECT question_id, CAST(least(40, any_value(t)) AS BIGINT) AS marks, CAST(count(*) FILTER (WHERE r <= 40) AS INTEGER) AS n_parts FROM p GROUP BY 1""",
     "topic_coverage_scoring": _VALID + """, f AS (SELECT question_id, CAST(sum(marks) AS INTEGER) AS marks FROM valid GROUP BY 1),
 s AS (SELECT topic, question_id, marks, greatest(0, 10 - abs(marks - 9.0)) + 5 + CAST(('0x' || substr(md5('42:' || question_id), 1, 8)) AS BIGINT) / 4294967296.0 * 5 AS score FROM f JOIN questions USING (question_id))
 SELECT topic, question_id, marks, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, question_id) = 1""",
