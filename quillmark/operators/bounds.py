@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.geometry import contains, is_above, overlaps
 from quillmark.operators.cells import by_cells
+from quillmark.operators.detection import right_edges
 from quillmark.operators.levels import built_marks, climbed_topics  # noqa: F401
 
 
@@ -49,6 +50,42 @@ def detected_bounds(parts: DataFrame, marks: DataFrame, key: str, height: int, p
     return out.withColumn("issue", F.when(F.col("bottom") == height, "No mark box detected")).drop("__low", "mark_bottom")
 
 
+def inline_bounds(labels: DataFrame, marks: DataFrame, roots: DataFrame, key: str, height: int, near: int = 10) -> DataFrame:
+    """(key, ord, kind, y, bottom, inline, issue): ``detected_bounds``, with letters that their first roman or the root stands in line with.
+
+    labels: key, kind (letter, roman), y, ord; marks as there; roots: key, root_top.  Less than
+    ``near`` apart is in line.  A letter with romans ends where the first one begins, or with it
+    if they are in line; it is in line itself if that leaves it no height, or if it is so
+    with the root.  A roman is in line if it is so with its letter.
+    """
+    by_key = Window.partitionBy(key).orderBy("y", F.when(F.col("kind") == "letter", 0).otherwise(1), "ord").rowsBetween(Window.unboundedPreceding, 0)
+    above = labels.select(key, "ord", F.last(F.when(F.col("kind") == "letter", F.struct(F.col("ord").alias("o"), F.col("y").alias("y"))), True).over(by_key).alias("__l"))
+    found = detected_bounds(label_extents(labels, key, F.lit(height)).select(key, "ord", "kind", "y", "y_end"), marks, key, height).drop("issue")
+    marked = first_marks(found.select(key, "ord", "y", "y_end"), marks, key).select(key, "ord", "mark_bottom")
+    rows = found.join(above, [key, "ord"]).join(marked, [key, "ord"]).join(roots.select(key, "root_top"), key, "left")
+    close = lambda a, b: F.coalesce(F.abs(a - b) < near, F.lit(False))
+    own_end = F.coalesce(F.least("mark_bottom", F.when(F.col("mark_bottom").isNotNull(), F.col("y_end"))), F.col("y_end"))
+    first = rows.filter("kind = 'roman' and __l is not null").groupBy(key, F.col("__l.o").alias("ord")).agg(F.min_by(F.struct(F.col("y").alias("y"), own_end.alias("end")), F.struct("y", "ord")).alias("__r"))
+    rows = rows.join(first.withColumn("kind", F.lit("letter")), [key, "ord", "kind"], "left")
+    bottom = F.when(F.col("__r").isNull(), F.col("bottom")).when(close(F.col("__r.y"), F.col("y")), F.col("__r.end")).otherwise(F.col("__r.y"))
+    rows = rows.withColumn("bottom", bottom)
+    flat = F.col("__r").isNotNull() & close(F.col("bottom"), F.col("y"))
+    inline = F.when(F.col("kind") == "letter", flat | close(F.col("y"), F.col("root_top"))).otherwise(close(F.col("y"), F.col("__l.y")))
+    return rows.select(key, "ord", "kind", "y", "bottom", inline.alias("inline"), F.when(F.col("bottom") == height, "No mark box detected").alias("issue"))
+
+
+def placed_bounds(parts: DataFrame, marks: DataFrame, key: str, width: int, padding: int = 5) -> DataFrame:
+    """``final_bounds`` with ``right``: the first mark's edge near the part, but no further than the rightmost mark's; that one's where the part has none, and the width without any.
+
+    parts: key, ord, y, bottom, label_left; marks: key, y, edge, mark_ord.
+    """
+    content = marks.groupBy(key).agg((F.max("edge") + padding).alias("__content"))
+    edges = right_edges(parts.select(key, "ord", F.col("y").alias("top"), "bottom"), marks, key, (1 << 31) - 1, padding)
+    limit = F.coalesce("__content", F.lit(width))
+    rows = final_bounds(parts, padding).join(edges, [key, "ord"], "left").join(content, key, "left")
+    return rows.withColumn("right", F.least(F.coalesce("right", limit), limit)).drop("__content")
+
+
 def final_bounds(parts: DataFrame, padding: int = 5) -> DataFrame:
     """Left 5 and top 6 before the label, not below 0; at least one high."""
     left, top = F.greatest(F.lit(0), F.col("label_left") - padding), F.greatest(F.lit(0), F.col("y") - padding - 1)

@@ -102,15 +102,15 @@ def entries(exam: Exam, s: Settings) -> DataFrame:
     return exam.slices.select(*s.run, F.lpad(F.col("pos").cast("string"), 4, "0").alias("folder"), place.alias("place"), F.concat("label", F.lit(".json")).alias("file"), content.alias("content"))
 
 
-def free_folder(spark: SparkSession, base: str, name: str) -> str:
-    """``base/name``, with (1), (2) and so on behind it if there is such a folder."""
+def free_folder(spark: SparkSession, base: str, name: str, mark: str = "({})") -> str:
+    """``base/name``, with (1), (2) and so on behind it, written as ``mark``, if there is such a folder."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     there = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))
     path, k = f"{base.rstrip('/')}/{name}", 0
-    while there(path if not k else f"{path}({k})"):
+    while there(path + mark.format(k) if k else path):
         k += 1
-    return path if not k else f"{path}({k})"
+    return path + mark.format(k) if k else path
 
 
 def write_exam(exam: Exam, s: Settings, base: str, name: str) -> str:

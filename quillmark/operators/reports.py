@@ -120,6 +120,12 @@ def uncategorised(rows: DataFrame) -> DataFrame:
     return out.withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 3)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "reason")))
 
 
+def uncategorised_listing(rows: DataFrame) -> DataFrame:
+    """(reason, place, question_id, n, labels): the parts of each reason by question, questions with most parts first; labels sorted and comma-joined."""
+    per = rows.groupBy("reason", "question_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("label")), ", ").alias("labels"))
+    return per.withColumn("place", F.row_number().over(Window.partitionBy("reason").orderBy(F.desc("n"), "question_id")))
+
+
 def gap_issues(labels: DataFrame, key: str) -> DataFrame:
     """(key, label, message): an issue for every letter that is missing between two that are there; nothing is made invalid.
 

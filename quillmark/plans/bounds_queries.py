@@ -43,6 +43,18 @@ def final_bounds(spark, d):
     return bd.final_bounds(p.join(left, ["question_id", "ord"])).select("question_id", "ord", "left", "top", "bottom")
 
 
+def inline_bounds(spark, d):
+    roots = parts(spark, d).groupBy("question_id").agg((F.min("y") - F.col("question_id") % 20).alias("root_top"))
+    return bd.inline_bounds(_labels(spark, d), _marks(spark, d), roots, "question_id", 1000)
+
+
+def placed_bounds(spark, d):
+    p = parts(spark, d)
+    own = p.select("question_id", "ord", "y", (F.col("y") + 20).alias("bottom"), (F.col("price").cast("int") % 50).alias("label_left"))
+    marks = p.filter("ord % 2 = 0").select("question_id", (F.col("y") + 5).alias("y"), (F.col("price").cast("int") % 600).alias("edge"), F.col("ord").alias("mark_ord"))
+    return bd.placed_bounds(own, marks, "question_id", 700).select("question_id", "ord", "left", "top", "right", "bottom")
+
+
 def value_clusters(spark, d):
     rows = parts(spark, d).select("question_id", "ord", (F.col("price").cast("int") % 300).alias("v"))
     return bd.value_clusters(rows, "question_id", "v", 20).select("question_id", "ord", "cluster")
@@ -103,7 +115,7 @@ def context_slices(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        label_extents, part_first_marks, detected_bounds, final_bounds, value_clusters, mark_edges, question_extents, region_relations, tree_problems, built_marks, climbed_topics,
+        label_extents, part_first_marks, detected_bounds, final_bounds, inline_bounds, placed_bounds, value_clusters, mark_edges, question_extents, region_relations, tree_problems, built_marks, climbed_topics,
         root_topics, paginate_spaced, context_slices,
     )
 }
@@ -131,6 +143,15 @@ SQL = {
     "part_first_marks": _EXT + "SELECT question_id, ord, mark_bottom FROM fm",
     "detected_bounds": _EXT + "SELECT question_id, ord, bottom, CASE WHEN bottom = 1000 THEN 'No mark box detected' END AS issue FROM det",
     "final_bounds": _EXT + "SELECT question_id, ord, CAST(greatest(0, trunc(price)::BIGINT % 50 - 5) AS INTEGER) AS \"left\", greatest(0, y - 6) AS top, greatest(bottom, greatest(0, y - 6) + 1) AS bottom FROM det",
+    "inline_bounds": _EXT + """, fr AS (SELECT r.question_id, r.g, r.y AS ry, coalesce(least(f.mark_bottom, r.y_end), r.y_end) AS rb FROM (SELECT *, row_number() OVER (PARTITION BY question_id, g ORDER BY y, ord) AS n FROM rom) r JOIN fm f ON f.question_id = r.question_id AND f.ord = r.ord WHERE n = 1),
+rt AS (SELECT question_id, min(y) - question_id % 20 AS root_top FROM parts GROUP BY question_id),
+x AS (SELECT e.question_id, e.ord, e.kind, e.y, e.g, ry, CASE WHEN ry IS NULL THEN det.bottom WHEN abs(ry - e.y) < 10 THEN rb ELSE ry END AS bottom FROM ext e JOIN det ON det.question_id = e.question_id AND det.ord = e.ord LEFT JOIN fr ON e.kind = 'letter' AND fr.question_id = e.question_id AND fr.g = e.g)
+SELECT x.question_id, x.ord, x.kind, x.y, x.bottom, CASE WHEN x.kind = 'letter' THEN (ry IS NOT NULL AND abs(x.bottom - x.y) < 10) OR abs(x.y - root_top) < 10 ELSE abs(x.y - l.y) < 10 END AS inline, CASE WHEN x.bottom = 1000 THEN 'No mark box detected' END AS issue
+FROM x JOIN rt USING (question_id) LEFT JOIN let l ON x.kind = 'roman' AND l.question_id = x.question_id AND l.g = x.g""",
+    "placed_bounds": f"""WITH {PARTS_SQL}, m AS (SELECT question_id, ord AS mo, y + 5 AS my, CAST(trunc(price)::BIGINT % 600 AS INTEGER) AS e FROM parts WHERE ord % 2 = 0), c AS (SELECT question_id, max(e) + 5 AS c FROM m GROUP BY 1),
+h AS (SELECT p.question_id, p.ord, arg_min(e, mo) AS e FROM parts p JOIN m ON m.question_id = p.question_id AND my >= y AND my <= y + 70 GROUP BY 1, 2)
+SELECT p.question_id, p.ord, CAST(greatest(0, trunc(price)::BIGINT % 50 - 5) AS INTEGER) AS "left", greatest(0, y - 6) AS top, CAST(least(coalesce(h.e + 5, c, 700), coalesce(c, 700)) AS INTEGER) AS "right", greatest(y + 20, greatest(0, y - 6) + 1) AS bottom
+FROM parts p LEFT JOIN c USING (question_id) LEFT JOIN h ON h.question_id = p.question_id AND h.ord = p.ord""",
     "value_clusters": f"""WITH {PARTS_SQL}, v AS (SELECT question_id, ord, trunc(price)::BIGINT % 300 AS v FROM parts), f AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY question_id ORDER BY v) > 20 THEN 1 ELSE 0 END AS f FROM (SELECT DISTINCT question_id, v FROM v)),
 c AS (SELECT question_id, v, CAST(sum(f) OVER (PARTITION BY question_id ORDER BY v) AS BIGINT) AS cluster FROM f) SELECT question_id, ord, cluster FROM v JOIN c USING (question_id, v)""",
     "mark_edges": f"WITH {PARTS_SQL}, m AS (SELECT question_id, y % 40 AS y, CAST(trunc(price)::BIGINT % 400 AS INTEGER) AS r FROM parts), e AS (SELECT *, max(r) OVER (PARTITION BY question_id) AS edge FROM m) SELECT DISTINCT question_id, y, edge FROM e WHERE edge - r <= 100",

@@ -115,6 +115,11 @@ def uncategorised_reasons(spark, d):
     return rp.uncategorised(p)
 
 
+def uncategorised_listing(spark, d):
+    p = parts(spark, d).filter("topic is null").select("question_id", "label", F.when(F.col("marks") < 3, "low score").when(F.col("marks") < 5, "no match").otherwise("close call").alias("reason"))
+    return rp.uncategorised_listing(p)
+
+
 def letter_gap_issues(spark, d):
     p = parts(spark, d).select("question_id", F.substring(F.lit("abcdefghijklmno"), (F.col("y") % 15 + 1).cast("int"), F.lit(1)).alias("letter"))
     return rp.gap_issues(p, "question_id")
@@ -238,7 +243,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         year_picker, paper_picker, facet_sub_topics, checked_topics, keyword_preview, keyword_label_union, misclassified_parts, context_lookup, pre_order, plan_topic_marks,
-        covered_topics, issue_documents, timing_merge_phases, timing_merge_slowest, variant_runs, uncategorised_reasons, letter_gap_issues, highlighted_snippets, versioned_records, token_texts, archive_read_back, classifier_entry,
+        covered_topics, issue_documents, timing_merge_phases, timing_merge_slowest, variant_runs, uncategorised_reasons, uncategorised_listing, letter_gap_issues, highlighted_snippets, versioned_records, token_texts, archive_read_back, classifier_entry,
         manifest_checks, catalogue_records, region_documents, archive_entries, build_documents, cleaned_texts, loaded_questions_filtered, question_checks, keyword_results, crop_boxes, trimmed_boxes,
     )
 }
@@ -272,6 +277,8 @@ SELECT question_id, label, CAST(row_number() OVER (PARTITION BY question_id ORDE
 SELECT variant, round(avg(a), 6) AS accuracy_mean, min(a) AS accuracy_least, max(a) AS accuracy_most, round(avg(t), 6) AS runtime_mean, min(t) AS runtime_least, max(t) AS runtime_most, count(a) AS n FROM r GROUP BY 1""",
     "uncategorised_reasons": _B + """, k AS (SELECT CASE WHEN marks < 3 THEN 'low score' WHEN marks < 5 THEN 'no match' ELSE 'close call' END AS reason, question_id, count(*) AS k FROM parts WHERE topic IS NULL GROUP BY 1, 2),
 r AS (SELECT reason, CAST(sum(k) AS BIGINT) AS n, count(*) AS questions, max(k) AS most FROM k GROUP BY 1) SELECT *, round(n * 100.0::DOUBLE / sum(n) OVER (), 3) AS share, CAST(row_number() OVER (ORDER BY n DESC, reason) AS INTEGER) AS place FROM r""",
+    "uncategorised_listing": _B + """, k AS (SELECT CASE WHEN marks < 3 THEN 'low score' WHEN marks < 5 THEN 'no match' ELSE 'close call' END AS reason, question_id, count(*) AS n, string_agg(label, ', ' ORDER BY label) AS labels FROM parts WHERE topic IS NULL GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY reason ORDER BY n DESC, question_id) AS INTEGER) AS place FROM k""",
     "letter_gap_issues": _B + """, i AS (SELECT DISTINCT question_id, 97 + y % 15 AS i FROM parts), n AS (SELECT *, lead(i) OVER (PARTITION BY question_id ORDER BY i) AS n FROM i),
 m AS (SELECT question_id, chr(CAST(unnest(range(CAST(i + 1 AS BIGINT), CAST(n AS BIGINT))) AS INTEGER)) AS label FROM n WHERE n > i + 1) SELECT question_id, label, 'Missing letter (' || label || ')' AS message FROM m""",
     "classifier_entry": _B + " SELECT question_id, ord, CASE WHEN marks = 1 THEN '00. Unknown' WHEN marks = 2 THEN 'model' ELSE coalesce(topic, '00. Unknown') END AS topic FROM parts",

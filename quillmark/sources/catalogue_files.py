@@ -20,11 +20,18 @@ QUESTION_VERSION, REGIONS_VERSION = 9, 3
 REQUIRED = ["question_id", "exam_code", "year", "paper", "variant", "question_number", "total_marks", "part_count", "topic"]
 
 
-def read_catalogue(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_catalogue(spark: SparkSession, path: str, strict: bool = False, absent: str = "fail") -> DataFrame:
     """Valid records with a relative path; undecodable ones fail if ``strict`` and are skipped if not.
 
-    A missing is_valid counts as true.
+    A missing is_valid counts as true.  A catalogue that is not there fails, or has no records
+    if ``absent`` is "none".
     """
+    if absent not in ("fail", "none"):
+        raise ValueError("absent is one of fail, none")
+    if absent == "none":
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+            return spark.createDataFrame([], QUESTION)
     reader = spark.read.schema(QUESTION + ", _bad string")
     rows = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.filter("_bad is null and relative_path is not null and coalesce(is_valid, true)").drop("_bad")
@@ -97,6 +104,23 @@ def write_questions(questions: DataFrame, parts: DataFrame, path: str) -> None:
     questions.join(listed, "question_id", "left").write.mode("overwrite").partitionBy("exam_code").json(path)
 
 
+def write_question_folders(questions: DataFrame, regions: DataFrame, path: str, images: DataFrame | None = None) -> None:
+    """``topic/question_id/`` with metadata.json, regions.json and, where there is one, the image: all of them or none.
+
+    questions: question_id, topic and what else the records have; regions: question_id, json;
+    images: question_id, file, content binary.  Signs that part folders become '_'.
+    """
+    from quillmark.sources.archives import write_files
+
+    clean = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("unknown")), r"[/\\\\]", "_")
+    folder = questions.select("question_id", F.concat(clean("topic"), F.lit("/"), clean("question_id"), F.lit("/")).alias("at"))
+    record = F.to_json(F.struct(*questions.columns))
+    out = questions.select("question_id", F.lit("metadata.json").alias("file"), F.encode(record, "UTF-8").alias("content")).unionByName(regions.select("question_id", F.lit("regions.json").alias("file"), F.encode("json", "UTF-8").alias("content")))
+    if images is not None:
+        out = out.unionByName(images.select("question_id", "file", "content"))
+    write_files(out.join(folder, "question_id").select(F.concat("at", "file").alias("name"), "content"), path)
+
+
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
     """One JSON document in one file."""
     import json

@@ -55,6 +55,7 @@ def test_a_build_from_files_to_files(spark, tmp_path):
         assert own[0] == "README.txt" and f"Total marks: {document['total_marks']}" in z.read("README.txt").decode()
         assert [json.loads(z.read(n))["label"] for n in own[1:]] == [x.label for x in slices]
     assert exam.write_exam(got, s, base, "build") == f"{base}/build(1)" and exam.free_folder(spark, base, "build") == f"{base}/build(2)"
+    assert exam.free_folder(spark, base, "build", " ({})") == f"{base}/build (1)" and exam.free_folder(spark, base, "else") == f"{base}/else"
     with pytest.raises(exam.BuildError):
         exam.exam_from_files(spark, c, r, exam.Settings(s.request, years=("1999",)), base, "none")
     with pytest.raises(exam.BuildError):
@@ -85,3 +86,19 @@ def test_plans_are_pruned_as_by_a_loop(spark, mode, least):
             left.remove(min(left, key=lambda x: x[1]) if mode == "SKIP" else left[-1])
         want |= {(q, k, m) for k, m in left}
     assert {tuple(r) for r in selection.prune_plan(df, 8, mode, least).collect()} == want
+
+
+def test_question_folders_and_absent_catalogues(spark, tmp_path):
+    from quillmark.sources import catalogue_files as cf
+
+    q = spark.createDataFrame([("a", "01. Loops", 3), ("b", "x/y", 1)], "question_id string, topic string, marks int")
+    regions = spark.createDataFrame([("a", '{"r":1}')], "question_id string, json string")
+    images = spark.createDataFrame([("b", "composite.png", b"png")], "question_id string, file string, content binary")
+    cf.write_question_folders(q, regions, str(tmp_path / "q"), images)
+    files = {str(p.relative_to(tmp_path / "q")): p.read_bytes() for p in (tmp_path / "q").rglob("*") if p.is_file()}
+    assert set(files) == {"01. Loops/a/metadata.json", "01. Loops/a/regions.json", "x_y/b/metadata.json", "x_y/b/composite.png"}
+    assert json.loads(files["x_y/b/metadata.json"]) == {"question_id": "b", "topic": "x/y", "marks": 1} and files["01. Loops/a/regions.json"] == b'{"r":1}'
+    gone = str(tmp_path / "none.jsonl")
+    assert cf.read_catalogue(spark, gone, absent="none").count() == 0
+    with pytest.raises(Exception):
+        cf.read_catalogue(spark, gone).count()
