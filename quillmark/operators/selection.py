@@ -123,6 +123,8 @@ def topic_scores(opts: DataFrame, budget: float, seed: int, full: Column) -> Dat
     return opts.withColumn("score", F.greatest(F.lit(0.0), 10 - F.abs(F.col("marks") - budget)) + F.when(full, 5.0).otherwise(0.0) + jitter(seed, "question_id") * 5)
 
 
+#: Candidates of a slice at most: slices grow from one to the next, as the more of them a run needs the less they hold that fits.
+LARGEST = 1 << 16
 #: Places of the seeded order: the first 32 bits of its hash.
 PLACES = 1 << 32
 
@@ -150,7 +152,7 @@ def slices(candidates: DataFrame, state: DataFrame, run: list[str], fits: Column
 def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key: str = "question_id", first: int = 2048) -> DataFrame:
     """First fit in seeded order: a question is taken while under the target if it keeps within target + tolerance.
 
-    totals: run columns, key, marks.  Candidates are folded by slices of about ``first`` that still
+    totals: run columns, key, marks.  Candidates are folded by slices of about ``first`` and then more that still
     fit, the lowest places of each run first.  The first candidate of a slice is taken, so a run
     ends after about as many slices as it takes questions at most, mostly after one.
     """
@@ -159,9 +161,10 @@ def greedy_fill(totals: DataFrame, run: list[str], config: SelectionConfig, key:
     own = kept(totals.select(*run, F.col(key), F.col("marks").cast("int").alias("marks"), place(config.seed, key).alias("__place")).filter(F.col("marks").between(1, config.target + config.tolerance)))
     state = own.select(*run).distinct().withColumns({"sum": F.lit(0), "n": F.lit(0), "low": F.lit(0).cast("long")})
     fits = F.col("marks") <= config.target + config.tolerance - F.col("sum")
-    out, done = None, []
+    out, done, size = None, [], first
     while True:
-        part, bounds = slices(own, state, run, fits, first)
+        part, bounds = slices(own, state, run, fits, size)
+        size = min(4 * size, LARGEST)
         listed = part.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("__place", seeded_order(config.seed, key).alias("o"), F.col(key).alias("q"), F.col("marks").alias("m")))).alias("c"))
         fold = F.aggregate(
             "c",

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators.detection import ancestors
 from quillmark.operators.facets import effective_topic
-from quillmark.operators.selection import PLACES, SelectionConfig, place, slices
+from quillmark.operators.selection import LARGEST, PLACES, SelectionConfig, place, slices
 from quillmark.operators.storage import kept, release
 
 Option = tuple[int, int, int]  # marks, leaves, mask
@@ -255,9 +255,10 @@ def _first_fit(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, se
         return pa.Table.from_batches([_rows(out, run, found.schema)])
 
     fits = F.col("__least") <= most - F.col("total")
-    out, done = picks.limit(0), [own]
+    out, done, size = picks.limit(0), [own], first
     while not state.isEmpty():
-        part, bounds = slices(own, state, run, fits, first)
+        part, bounds = slices(own, state, run, fits, size)
+        size = min(4 * size, LARGEST)
         new = kept(part.select(*run, "question_id", "leaf", "total", "n").groupBy(*run).applyInArrow(fit, f"{_kinds(source, run)}, {_PICK}"))
         out = out.unionByName(new)
         added = new.groupBy(*run).agg(F.sum("marks").alias("__m"), F.count("*").alias("__k"))
