@@ -4,7 +4,12 @@ Vectors are rotated at random, so d of D columns hold close to d / D of an inner
 a variance that the vectors' lengths give.  A query probes the lists whose centres are nearest
 to it.  They are scanned in blocks of columns, best list first; after a block, a candidate is
 abandoned when a test at ``z`` standard deviations rejects that its whole inner product
-reaches the query's k-th best score so far, which every list raises for the next.  Survivors are scored exactly on the original vectors.
+reaches the query's k-th best score so far, which every list raises for the next.  What is
+tested is the candidate's difference from the mean of its list, as one rotation errs alike for
+all that vectors have in common.  Survivors are scored exactly on the original vectors.
+
+Queries need not be like most rows: one whose nearest vectors in the sample mostly lie beyond the
+lists that rows in general need probes as many as hold these.
 
 Nothing outside the probed lists is looked at.  Lists are grouped into cells of about equal size; a task scans one block of a cell's
 candidates for one block of queries, so neither a large list nor a frequent one is one task's.
@@ -83,7 +88,7 @@ def probes_for(centres: np.ndarray, x: np.ndarray, k: int, target: float, asked:
     return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
 
 
-def fit_index(rows: DataFrame, k: int, sample: int = 16_384, per_list: int = 50, per_cell: int = 8192, target: float = 0.89, seed: int = 11) -> ListIndex | None:
+def fit_index(rows: DataFrame, k: int, sample: int = 16_384, per_list: int = 50, per_cell: int = 8192, target: float = 0.95, seed: int = 11) -> ListIndex | None:
     """Centres from one half of at most ``sample`` vectors chosen by hash, the number of probes from the other half.
 
     There is a list for every ``per_list`` vectors, but at most one for every 16 of the half
@@ -133,17 +138,29 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -score[some]))[:k]]
 
 
+def _by_id(score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Scores with a column for each id, the best of those that repeat it."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+    return score if len(first) == len(ids) else np.maximum.reduceat(score[:, order], first, axis=1)
+
+
 class Best:
-    """The k best candidates so far of each query; ties to smaller ids."""
+    """The k best candidates so far of each query; ties to smaller ids.  Of places that repeat an id (``repeats``) the best counts."""
 
-    def __init__(self, least: np.ndarray, k: int):
-        self.k, self.bound = k, least.copy()
+    def __init__(self, least: np.ndarray, k: int, repeats: bool = False):
+        self.k, self.bound, self.repeats = k, least.copy(), repeats
         self.query, self.place, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def add(self, query: np.ndarray, place: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         if not len(query):
             return
         query, place, score = np.concatenate([self.query, query]), np.concatenate([self.place, place]), np.concatenate([self.score, score])
+        if self.repeats:
+            order = np.lexsort((-score, ids[place], query))
+            query, place, score = query[order], place[order], score[order]
+            first = np.concatenate([[True], (np.diff(query) != 0) | (np.diff(ids[place]) != 0)])
+            query, place, score = query[first], place[first], score[first]
         order = np.lexsort((ids[place], -score, query))
         query, place, score = query[order], place[order], score[order]
         first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
@@ -161,14 +178,18 @@ def scan(q_ids, q, least, probed, x_ids, x, x_list, rotation, k: int, block: int
     one with the bound that the turns before left.  ``work`` gets (multiplications done, those
     of whole scans).
     """
-    rq, rx = q @ rotation, x @ rotation
     dim = q.shape[1]
     cuts = [*range(0, dim, block), dim]
-    size_q, size_x = np.sqrt((q**2).sum(axis=1)), np.sqrt((x**2).sum(axis=1))
     order = np.argsort(x_list, kind="stable")
-    names, begin = np.unique(x_list[order], return_index=True)
-    members = {int(n): order[a:b] for n, a, b in zip(names, begin, np.append(begin[1:], len(order)))}
-    best = Best(least, k)
+    names, begin, sizes = np.unique(x_list[order], return_index=True, return_counts=True)
+    members = {int(n): order[a : a + m] for n, a, m in zip(names, begin, sizes)}
+    means = np.add.reduceat(x[order], begin, axis=0) / sizes[:, None] if len(order) else np.zeros((0, dim))
+    rest = x - means[np.searchsorted(names, x_list)]
+    at_mean = q @ means.T  # inner products with the means, which are taken as they are
+    column = {int(n): i for i, n in enumerate(names)}
+    rq, rx = q @ rotation, rest @ rotation
+    size_q, size_x = np.sqrt((q**2).sum(axis=1)), np.sqrt((rest**2).sum(axis=1))
+    best = Best(least, k, len(np.unique(x_ids)) < len(x_ids))
     done = whole = 0
     for turn in range(max(map(len, probed), default=0)):
         asks: dict[int, list[int]] = {}
@@ -185,12 +206,14 @@ def scan(q_ids, q, least, probed, x_ids, x, x_list, rotation, k: int, block: int
                 part = cuts[b] / dim
                 spread = z * np.sqrt(part * (1 - part) / dim)
                 if b == 1:
-                    bound = best.bound[who][:, None]
-                    i, j = np.nonzero(seen + spread * np.outer(size_q[who], size_x[what]) >= bound * part - 1e-9 * np.abs(bound))
+                    mean = at_mean[who, column[name]]
+                    bound, slack = (best.bound[who] - mean)[:, None], 1e-9 * (np.abs(best.bound[who]) + np.abs(mean))[:, None]
+                    i, j = np.nonzero(seen + spread * np.outer(size_q[who], size_x[what]) >= bound * part - slack)
                     seen, i, j = seen[i, j], who[i], what[j]
                 else:
-                    bound = best.bound[i]
-                    keep = seen + spread * size_q[i] * size_x[j] >= bound * part - 1e-9 * np.abs(bound)
+                    mean = at_mean[i, column[name]]
+                    bound, slack = best.bound[i] - mean, 1e-9 * (np.abs(best.bound[i]) + np.abs(mean))
+                    keep = seen + spread * size_q[i] * size_x[j] >= bound * part - slack
                     seen, i, j = seen[keep], i[keep], j[keep]
                 if b + 1 < len(cuts) and len(i):
                     seen = seen + np.einsum("nd,nd->n", rq[i, cuts[b] : cuts[b + 1]], rx[j, cuts[b] : cuts[b + 1]])
@@ -243,20 +266,28 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
                 b = whole.slice(low, 256)
                 ids = b.column(0).to_numpy()
                 q = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, at.dim)
-                lists = _order(at.centres, q)[:, : at.probes].astype(np.int32)
-                probed = np.zeros((len(q), len(at.centres)), bool)
-                np.put_along_axis(probed, lists, True, axis=1)
-                score = np.where(probed[:, at.sample_list], q @ at.sample.T, -np.inf)
+                order = _order(at.centres, q).astype(np.int32)
+                score = q @ at.sample.T
                 score[ids[:, None] == at.sample_ids[None, :]] = -np.inf
-                least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] > k else np.full(len(q), -np.inf)
+                turn = np.argsort(order, axis=1)  # turn[i, list]
+                held = min(k, score.shape[1])
+                closest = np.argpartition(-score, held - 1, axis=1)[:, :held]
+                needed = np.take_along_axis(turn, at.sample_list[closest], axis=1)
+                needed = np.sort(np.where(np.isfinite(np.take_along_axis(score, closest, axis=1)), needed, 0), axis=1)
+                unlike = needed[:, -1 - held // 4] >= at.probes
+                probes = np.where(unlike, needed[:, -1] + 1, at.probes)
+                score[turn[:, at.sample_list] >= probes[:, None]] = -np.inf
+                single = _by_id(score, at.sample_ids)
+                least = np.partition(single, single.shape[1] - k, axis=1)[:, single.shape[1] - k] if single.shape[1] > k else np.full(len(q), -np.inf)
                 near, cells = [], []
                 for i in range(len(q)):
                     some = np.flatnonzero((score[i] > -np.inf) & (score[i] >= least[i] - 1e-9))
                     exact = exact_scores(np.broadcast_to(q[i], (len(some), at.dim)), at.sample[some])
                     best = _top(exact, at.sample_ids[some], k)
                     near.append([{"vec_id": int(at.sample_ids[some[j]]), "score": float(exact[j])} for j in best])
-                    home = at.cell[lists[i]]
-                    cells.append([{"cell": int(c), "lists": lists[i][home == c].tobytes()} for c in np.unique(home)])
+                    lists = order[i, : probes[i]]
+                    home = at.cell[lists]
+                    cells.append([{"cell": int(c), "lists": lists[home == c].tobytes()} for c in np.unique(home)])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(least), pa.array(cells, _CELLS), pa.array(near, _NEAR)], names=["query_id", "q", "least", "cells", "near"])
 
     placed = written(rows.mapInArrow(place, "vec_id long, list int, cell int, x binary"), "lists")

@@ -250,3 +250,45 @@ def test_record_ids(spark):
     ids = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345]
     rows = spark.createDataFrame([(i,) for i in ids], "i long")
     assert [page_of(r[0]) for r in rows.select(_record_id(rows.i)).collect()] == ids
+
+
+def test_queries_unlike_the_other_rows(spark):
+    """Rows in tight clusters, queries anywhere: a number of probes that serves rows serves no query."""
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((60, 32))[rng.integers(0, 60, 6000)] + 0.2 * rng.standard_normal((6000, 32))
+    x[::50] = rng.standard_normal((120, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in nearest(df, 50, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x[::50] @ x.T
+    s[np.arange(120), np.arange(0, 6000, 50)] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    assert sum(len(got.get(50 * i, set()) & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * 20 * 120
+
+
+def test_candidates_that_repeat_an_id_do_not_crowd_out_others(spark):
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((300, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x) for _ in range(4)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in nearest(df, 50, 20, z=9.0, target=1.0).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(got[q]) == len(set(got[q])) == 20 for q in range(0, 300, 50))
+
+
+def test_tests_hold_for_vectors_with_much_in_common():
+    """A rotation errs alike for what all vectors share: it is not part of what is tested."""
+    rng = np.random.default_rng(16)
+    hits = 0
+    for _ in range(20):
+        x = rng.standard_normal((400, 64)) * 0.1 + 3 * rng.standard_normal(64)
+        rotation, _ = np.linalg.qr(rng.standard_normal((64, 64)))
+        ids = np.arange(400)
+        full = x[:20] @ x.T
+        full[np.arange(20), np.arange(20)] = -np.inf
+        least = np.sort(full, axis=1)[:, -10]
+        i, j, _ = scan(ids[:20], x[:20], least, [[0]] * 20, ids, x, np.zeros(400, int), rotation, 10, 16, 2.5)
+        want = np.argsort(-full, axis=1)[:, :10]
+        hits += sum(len(set(j[i == n].tolist()) & set(want[n].tolist())) for n in range(20))
+    assert hits >= 0.97 * 20 * 200
