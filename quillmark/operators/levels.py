@@ -17,14 +17,25 @@ from quillmark.operators.storage import kept
 _FIELDS = "label string, kind string, marks int, bounds struct<top:bigint,bottom:bigint>, topic string, children array<string>"
 
 
+def _level(df: DataFrame) -> DataFrame:
+    """A level as a table that is never sent to all tasks: its files are small for their rows, so Spark would pass millions of rows through the driver."""
+    return kept(df).hint("merge")
+
+
 def levels(nodes: DataFrame) -> list[DataFrame]:
-    """The nodes of each depth, roots first."""
-    nodes = kept(nodes)
-    out, now = [], nodes.filter("parent is null")
+    """The nodes of each depth, roots first; a node whose parent's label is repeated is in the first level that has it.
+
+    What has its level is not looked at again, and the last level needs no join to be known as such.
+    """
+    nodes = _level(nodes)
+    out, now, rest = [], nodes.filter("parent is null"), nodes.filter("parent is not null")
     while not now.isEmpty():
         out.append(now)
-        above = now.select("question_id", F.col("label").alias("parent")).distinct()
-        now = kept(nodes.join(above, ["question_id", "parent"]).select(nodes.columns))
+        if rest.isEmpty():
+            break
+        above = now.select("question_id", F.col("label").alias("parent")).distinct().withColumn("__in", F.lit(True))
+        step = _level(rest.join(above, ["question_id", "parent"], "left").select(*nodes.columns, F.col("__in").isNotNull().alias("__in")))
+        now, rest = step.filter("__in").drop("__in"), step.filter("not __in").drop("__in")
     return out
 
 
@@ -40,7 +51,7 @@ def fold(nodes: DataFrame, below: Callable[[DataFrame], DataFrame], own: Callabl
             level = level.withColumns({name: F.lit(None).cast(kind) for name, kind in empty.items()})
         else:
             level = level.join(below(done), ["question_id", "label"], "left")
-        done = kept(own(level))
+        done = _level(own(level))
         out = done if out is None else out.unionByName(done)
     return out if out is not None else own(nodes.withColumns({name: F.lit(None).cast(kind) for name, kind in empty.items()})).limit(0)
 
@@ -83,13 +94,13 @@ def first_not_inline(nodes: DataFrame) -> DataFrame:
     nodes: question_id, label, parent, inline, top.  A child in line that has no children gives
     its own top.  Roots without children are left out.
     """
-    first = kept(nodes.filter("parent is not null").groupBy("question_id", "parent").agg(F.min_by(F.struct("label", "inline", "top"), F.struct("top", "label")).alias("x")))
-    now = kept(nodes.filter("parent is null").select("question_id", F.col("label").alias("parent")).join(first, ["question_id", "parent"]).select("question_id", "x.*"))
+    first = _level(nodes.filter("parent is not null").groupBy("question_id", "parent").agg(F.min_by(F.struct("label", "inline", "top"), F.struct("top", "label")).alias("x")))
+    now = _level(nodes.filter("parent is null").select("question_id", F.col("label").alias("parent")).join(first, ["question_id", "parent"]).select("question_id", "x.*"))
     done = now.filter("not inline").select("question_id", "top")
     now = now.filter("inline")
     while not now.isEmpty():
         step = now.withColumnRenamed("label", "parent").join(first, ["question_id", "parent"], "left")
-        step = kept(step.select("question_id", F.col("top").alias("__top"), "x"))
+        step = _level(step.select("question_id", F.col("top").alias("__top"), "x"))
         done = done.unionByName(step.filter("x is null").select("question_id", F.col("__top").alias("top"))).unionByName(step.filter("x is not null and not x.inline").select("question_id", "x.top"))
         now = step.filter("x.inline").select("question_id", "x.*")
     return done

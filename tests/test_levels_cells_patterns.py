@@ -178,3 +178,14 @@ def test_patterns_that_do_not_compile(spark):
     assert set(got) == {"(a(b)", "a)", "a{2,1}", "[a"} and all(got.values())
     with pytest.raises(ValueError):
         patterns.pattern_rejects(spark, spark.createDataFrame([(p,) for p in own], "pattern string"), most=3)
+
+
+def test_levels_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """Files of levels are small for their rows: sent to all tasks, millions of rows pass through the driver."""
+    from quillmark.operators import levels as lv
+
+    nodes = spark.range(1, 200).selectExpr("1L question_id", "'n' || id label", "case when id > 1 then 'n' || (id div 2) end parent", "'node' kind", "cast(id % 5 as int) marks", "id top", "id + 1 bottom", "cast(null as string) topic", "id right")
+    plans, keep = [], lv.kept
+    monkeypatch.setattr(lv, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    assert lv.built_marks(nodes).count() == lv.decoded(lv.encoded(nodes)).count() == 199
+    assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
