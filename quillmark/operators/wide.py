@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 62
@@ -25,6 +25,14 @@ def words_of(mask: int) -> list[int]:
     return out
 
 
+def _words(places: list[int]) -> list[int]:
+    """The words of a mask that holds these leaves."""
+    out = [0] * (max(places) // BITS + 1) if places else []
+    for p in places:
+        out[p // BITS] |= 1 << p % BITS
+    return out
+
+
 def mask_of(words: list[int]) -> int:
     return sum(w << BITS * k for k, w in enumerate(words))
 
@@ -50,20 +58,22 @@ def best_within(marks: list[int], most: int) -> int:
     return -some[max(some)][1] if some else 0
 
 
+def _batch(b: pa.RecordBatch, at: int, key: str, words: list[list[int]], marks: list[int], parts: list[int]) -> pa.RecordBatch:
+    keys = b.column(0).take(pa.array([at] * len(words), pa.int64()))
+    return pa.RecordBatch.from_arrays([keys, pa.array(words, pa.list_(pa.int64())), pa.array(marks, pa.int64()), pa.array(parts, pa.int32())], names=[key, "words", "marks", "n_parts"])
+
+
 def _each(rows: DataFrame, key: str, make: Callable[[list[int], int], list[int]]) -> DataFrame:
-    """(key, words, marks, n_parts) of the masks that ``make`` gives for (marks of the leaves, pins)."""
+    """(key, words, marks, n_parts) of the masks that ``make`` gives for (marks of the leaves, pins), a question at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            keys, words, marks, parts = [], [], [], []
-            for k, leaf, pins in zip(*(c.to_pylist() for c in b.columns)):
-                own = [x["marks"] for x in leaf]
-                for mask in make(own, mask_of(pins or [])):
-                    keys.append(k)
-                    words.append(words_of(mask))
-                    marks.append(sum(m for i, m in enumerate(own) if mask >> i & 1))
-                    parts.append(mask.bit_count())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(words, pa.list_(pa.int64())), pa.array(marks, pa.int64()), pa.array(parts, pa.int32())], names=[key, "words", "marks", "n_parts"])
+            for at in range(b.num_rows):
+                own, pins = b.column(1)[at].values.field("marks").to_pylist(), b.column(2)[at].as_py()
+                masks = make(own, mask_of(pins or []))
+                marks = [sum(m for i, m in enumerate(own) if mask >> i & 1) for mask in masks]
+                if masks:
+                    yield _batch(b, at, key, [words_of(mask) for mask in masks], marks, [mask.bit_count() for mask in masks])
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, words array<long>, marks long, n_parts int")
 
@@ -78,12 +88,39 @@ def prefixes(parts: DataFrame, key: str = "question_id") -> DataFrame:
 
     parts: key, ord, marks, is_valid.
     """
-    return _each(_leaves(parts, key), key, lambda own, _: [(1 << n) - 1 for n in range(1, len(own) + 1)])
+    in_order = Window.partitionBy(key).orderBy("ord", "marks").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.filter("is_valid").select(key, F.sum(F.col("marks").cast("long")).over(in_order).alias("marks"), F.count("*").over(in_order).cast("int").alias("n_parts"))
+    whole = F.array_repeat(F.lit(_FULL), F.floor(F.col("n_parts") / BITS).cast("int"))
+    rest = F.col("n_parts") % BITS
+    last = F.when(rest > 0, F.array(F.call_function("shiftleft", F.lit(1).cast("long"), rest) - 1)).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(key, F.concat(whole, last).alias("words"), "marks", "n_parts")
 
 
 def best_options(parts: DataFrame, most: int, key: str = "question_id") -> DataFrame:
-    """The best subset of each question's valid leaves with at most ``most`` marks; questions without one are left out.  Marks must not be negative."""
-    return _each(_leaves(parts, key), key, lambda own, _: [mask] if (mask := best_within(own, most)) else [])
+    """The best subset of each question's valid leaves with at most ``most`` marks; questions without one are left out.  Marks must not be negative.
+
+    Of leaves with equal marks the best subset holds the first ones, and never more of them than
+    ``most`` has room for; those without marks it holds all.  So a question brings together
+    about ``most`` times the logarithm of ``most`` leaves, however many it has.
+    """
+    own = parts.filter("is_valid").select(key, F.col("marks").cast("long").alias("marks"), "ord")
+    placed = own.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("ord", "marks")) - 1)
+    turn = F.row_number().over(Window.partitionBy(key, "marks").orderBy("at"))
+    some = placed.filter(F.col("marks") <= most).withColumn("__turn", turn).filter((F.col("marks") == 0) | (F.col("__turn") * F.col("marks") <= most))
+    listed = some.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("marks") > 0, F.struct("at", "marks")))).alias("leaf"), F.collect_list(F.when(F.col("marks") == 0, F.col("at"))).alias("free"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for k in range(b.num_rows):
+                leaf, free = b.column(1)[k].values, b.column(2)[k].values.to_numpy()
+                at, marks = leaf.field("at").to_pylist(), leaf.field("marks").to_pylist()
+                mask = best_within(marks, most)
+                chosen = [i for i in range(len(at)) if mask >> i & 1]
+                words = _words([*(at[i] for i in chosen), *free.tolist()])
+                if words:
+                    yield _batch(b, k, key, [words], [sum(marks[i] for i in chosen)], [len(chosen) + len(free)])
+
+    return listed.mapInArrow(run, f"`{key}` {parts.schema[key].dataType.simpleString()}, words array<long>, marks long, n_parts int")
 
 
 def covering_options(parts: DataFrame, pinned: DataFrame, key: str = "question_id") -> DataFrame:

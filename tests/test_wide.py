@@ -62,3 +62,14 @@ def test_narrow_masks_still_fail_beyond_their_bits(spark):
     df = spark.createDataFrame([(1, k, 1, True) for k in range(63)], "question_id int, ord int, marks int, is_valid boolean")
     with pytest.raises(Exception, match="wide"):
         selection.options(df, "PRUNE").collect()
+
+
+def test_prefixes_and_best_options_of_very_wide_questions(spark):
+    """Prefixes are windows and not Python lists; the best option brings few of the leaves together."""
+    df = spark.range(20000).selectExpr("1 question_id", "id ord", "cast(id * 7 % 6 + 1 as int) marks", "true is_valid")
+    plan = wide.prefixes(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "MapInArrow" not in plan
+    own = [r.marks for r in df.orderBy("ord").collect()]
+    best = wide.best_options(df, 40).collect()[0]
+    assert wide.mask_of(best.words) == wide.best_within(own, 40) and (best.marks, best.n_parts) == (40, 40)
+    assert "Window" in wide.best_options(df, 40)._jdf.queryExecution().executedPlan().toString()
