@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.numbering import numbered
 from quillmark.operators.search import seeded_order
 from quillmark.operators.storage import kept, release
 
@@ -218,21 +219,39 @@ def prune_smallest(parts: DataFrame, run: list[str], target: int, tolerance: int
     """Leaves that stay when the globally smallest unprotected ones go while a run is over target + tolerance.
 
     A leaf goes only if what remains is no further from the target than before and its plan
-    keeps a leaf.  As all leaves that may go do so smallest first until the first one that
-    must not, running sums over each run say which.
+    keeps a leaf.  All leaves that may go do so smallest first until the first one that must not.
+    Among leaves of m marks what is left falls by m each time, so sums and counts of a run's
+    leaves by marks say how many of each go; only those with the marks at which it ends are
+    put in order, over all tasks.  Marks are whole numbers; leaves without any stay.
     """
     plan = [*run, "question_id"]
-    order = [F.col("marks").cast("int"), F.col("question_id"), F.col("ord")]
+    marks = F.col("marks").cast("long")
     # of a plan without a protected leaf, the last in order stays
-    held = F.max(F.coalesce(protected, F.lit(False))).over(Window.partitionBy(*plan))
-    last = F.row_number().over(Window.partitionBy(*plan).orderBy(*[c.desc() for c in order])) == 1
-    known = parts.select(*plan, "ord", "marks", (~F.coalesce(protected, F.lit(False)) & (held | ~last)).alias("__may"), F.sum("marks").over(Window.partitionBy(*run)).alias("__total"))
-    w = Window.partitionBy(*run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rest = known.filter("__may").withColumn("__rest", F.col("__total") - F.sum("marks").over(w))
-    before = F.col("__rest") + F.col("marks")
-    goes = (before > target + tolerance) & (F.abs(F.col("__rest") - target) <= F.abs(before - target))
-    gone = rest.withColumn("__gone", F.min(goes).over(w)).filter("__gone").select(*plan, "ord")
-    return parts.join(gone, [*plan, "ord"], "left_anti")
+    by_plan = Window.partitionBy(*plan)
+    held = F.max(F.coalesce(protected, F.lit(False))).over(by_plan)
+    last = F.row_number().over(by_plan.orderBy(F.col("marks").cast("int").desc(), F.desc("question_id"), F.desc("ord"))) == 1
+    rows = kept(parts.withColumn("__may", ~F.coalesce(protected, F.lit(False)) & (held | ~last) & F.col("marks").isNotNull()))
+    # a row for each run and number of marks: what is left before any of these goes, and how many may
+    by_marks = rows.groupBy(*run, marks.alias("__m")).agg(F.sum(marks).alias("__s"), F.count_if("__may").alias("__n"))
+    before = Window.partitionBy(*run).orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    steps = by_marks.withColumn("__total", F.sum("__s").over(Window.partitionBy(*run))).filter("__n > 0")
+    steps = steps.withColumn("__left", F.col("__total") - F.coalesce(F.sum(F.col("__m") * F.col("__n")).over(before), F.lit(0)))
+    # a leaf goes while what is left is over target + tolerance and at least half its marks over the target
+    over = F.greatest(F.lit(target + tolerance + 1), F.ceil(F.lit(target) + F.col("__m") / 2).cast("long"))
+    goes = F.when((F.col("__m") < 0) | (F.col("__left") < over), 0).when(F.col("__m") == 0, F.col("__n")).otherwise(F.least("__n", F.floor((F.col("__left") - over) / F.greatest("__m", F.lit(1))) + 1))
+    steps = steps.withColumn("__go", goes.cast("long")).withColumn("__end", F.min(F.when(F.col("__go") < F.col("__n"), F.col("__m"))).over(Window.partitionBy(*run)))
+    ends = kept(steps.groupBy(*run).agg(F.max("__m").alias("__most"), F.min("__end").alias("__end"), F.max(F.when(F.col("__m") == F.col("__end"), F.col("__go"))).alias("__go")))
+    # null runs are runs as well
+    other = lambda df: F.broadcast(df.withColumnsRenamed({r: f"__{r}" for r in run}))
+    same = [F.col(r).eqNullSafe(F.col(f"__{r}")) for r in run]
+    own = rows.join(other(ends), same, "left").select(*rows.columns, "__most", "__end", "__go")
+    whole = F.col("__may") & (F.col("__end").isNull() & F.col("__most").isNotNull() | (marks < F.col("__end")))
+    at_end = F.col("__may") & (marks == F.col("__end")) & (F.col("__go") > 0)
+    sure = own.filter(~F.coalesce(whole, F.lit(False)) & ~F.coalesce(at_end, F.lit(False))).select(parts.columns)
+    ordered = numbered(own.filter(at_end), [F.col(c) for c in (*plan, "ord")], "__place")
+    firsts = ordered.groupBy(*run).agg(F.min("__place").alias("__first"))
+    rest = ordered.join(other(firsts), same).filter(F.col("__place") - F.col("__first") >= F.col("__go"))
+    return sure.unionByName(rest.select(parts.columns))
 
 
 def missing_topics(wanted: DataFrame, covered: DataFrame) -> DataFrame:

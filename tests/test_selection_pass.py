@@ -192,3 +192,16 @@ def test_greedy_fill_by_slices(spark):
     for c in (selection.SelectionConfig(50, 2, 42), selection.SelectionConfig(7, 0, 1), selection.SelectionConfig(10_000, 2, 3), selection.SelectionConfig(90, 5, 4, max_questions=3)):
         whole = {tuple(r) for r in selection.greedy_fill(totals, RUN, c).collect()}
         assert whole == {tuple(r) for r in selection.greedy_fill(totals, RUN, c, first=2).collect()} and whole
+
+
+def test_pruning_orders_only_leaves_of_the_marks_it_ends_at(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillmark.operators import selection
+
+    df = spark.range(600).selectExpr("id % 2 run", "id div 6 question_id", "id % 6 + 1 ord", "cast(id div 2 % 6 + 1 as int) marks")
+    seen, number = [], selection.numbered
+    monkeypatch.setattr(selection, "numbered", lambda rows, order, name: seen.append(rows.count()) or number(rows, order, name))
+    # 300 leaves of 1,050 marks a run: those of 1 and 2 go, and some of 3
+    left = selection.prune_smallest(df, ["run"], 850, 2, F.lit(False)).groupBy("run").agg(F.sum("marks").alias("s"), F.min("marks").alias("m")).collect()
+    assert seen == [100] and all(abs(r.s - 850) <= 2 and r.m == 3 for r in left) and len(left) == 2
