@@ -9,6 +9,7 @@ from quillmark.functions.geometry import contains, is_above, overlaps
 from quillmark.operators.cells import by_cells
 from quillmark.operators.detection import right_edges
 from quillmark.operators.levels import built_marks, climbed_topics  # noqa: F401
+from quillmark.operators.storage import kept
 
 
 def label_extents(labels: DataFrame, key: str, height: Column) -> DataFrame:
@@ -38,16 +39,17 @@ def first_marks(parts: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     return hit.unionByName(parts, allowMissingColumns=True).groupBy(*parts.columns).agg(F.min_by("__b", "__m").alias("mark_bottom"))
 
 
-def detected_bounds(parts: DataFrame, marks: DataFrame, key: str, height: int, padding: int = 5) -> DataFrame:
+def detected_bounds(parts: DataFrame, marks: DataFrame, key: str, height: int, padding: int = 5, marked: bool = False) -> DataFrame:
     """Adds ``bottom`` and ``issue``: a part ends at its mark, but not beyond its extent; the last one without a mark a little below the lowest mark.
 
-    parts: key, ord, y, y_end.
+    parts: key, ord, y, y_end.  With ``marked`` the mark's own bottom, ``mark_bottom``, is kept.
     """
+    parts = kept(parts)
     lowest = marks.groupBy(key).agg(F.max("bottom").alias("__low"))
     own = first_marks(parts, marks, key).join(lowest, key, "left")
     last = F.when((F.col("y_end") == height) & F.col("__low").isNotNull(), F.least(F.lit(height), F.col("__low") + padding)).otherwise(F.col("y_end"))
     out = own.withColumn("bottom", F.coalesce(F.least("mark_bottom", F.when(F.col("mark_bottom").isNotNull(), F.col("y_end"))), last))
-    return out.withColumn("issue", F.when(F.col("bottom") == height, "No mark box detected")).drop("__low", "mark_bottom")
+    return out.withColumn("issue", F.when(F.col("bottom") == height, "No mark box detected")).drop("__low", *([] if marked else ["mark_bottom"]))
 
 
 def inline_bounds(labels: DataFrame, marks: DataFrame, roots: DataFrame, key: str, height: int, near: int = 10) -> DataFrame:
@@ -60,9 +62,8 @@ def inline_bounds(labels: DataFrame, marks: DataFrame, roots: DataFrame, key: st
     """
     by_key = Window.partitionBy(key).orderBy("y", F.when(F.col("kind") == "letter", 0).otherwise(1), "ord").rowsBetween(Window.unboundedPreceding, 0)
     above = labels.select(key, "ord", F.last(F.when(F.col("kind") == "letter", F.struct(F.col("ord").alias("o"), F.col("y").alias("y"))), True).over(by_key).alias("__l"))
-    found = detected_bounds(label_extents(labels, key, F.lit(height)).select(key, "ord", "kind", "y", "y_end"), marks, key, height).drop("issue")
-    marked = first_marks(found.select(key, "ord", "y", "y_end"), marks, key).select(key, "ord", "mark_bottom")
-    rows = found.join(above, [key, "ord"]).join(marked, [key, "ord"]).join(roots.select(key, "root_top"), key, "left")
+    found = detected_bounds(label_extents(labels, key, F.lit(height)).select(key, "ord", "kind", "y", "y_end"), marks, key, height, marked=True).drop("issue")
+    rows = found.join(above, [key, "ord"]).join(roots.select(key, "root_top"), key, "left")
     close = lambda a, b: F.coalesce(F.abs(a - b) < near, F.lit(False))
     own_end = F.coalesce(F.least("mark_bottom", F.when(F.col("mark_bottom").isNotNull(), F.col("y_end"))), F.col("y_end"))
     first = rows.filter("kind = 'roman' and __l is not null").groupBy(key, F.col("__l.o").alias("ord")).agg(F.min_by(F.struct(F.col("y").alias("y"), own_end.alias("end")), F.struct("y", "ord")).alias("__r"))

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from quillmark.operators import bounds as bd
 from quillmark.operators import pagination
 from quillmark.operators.facets import is_unknown
+from quillmark.operators.storage import kept
 from quillmark.plans.tree_queries import _N, _nodes
 from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions
 
 _RUN = ["exam_code", "year"]
 
 
-def _labels(spark, d):
-    return parts(spark, d).select("question_id", "ord", F.when((F.col("ord") % 3 == 1), "letter").otherwise("roman").alias("kind"), "y")
+def _labels(spark, d, p=None):
+    return (p or parts(spark, d)).select("question_id", "ord", F.when((F.col("ord") % 3 == 1), "letter").otherwise("roman").alias("kind"), "y")
 
 
 def label_extents(spark, d):
@@ -25,8 +26,8 @@ def _extents(spark, d):
     return bd.label_extents(_labels(spark, d), "question_id", F.lit(1000)).select("question_id", "ord", "y", "y_end")
 
 
-def _marks(spark, d):
-    return parts(spark, d).filter("marks <> 3").select("question_id", (100 - F.col("ord")).alias("mark_ord"), (F.col("y") + F.col("price").cast("int") % 60).alias("my"), (F.col("y") + F.col("price").cast("int") % 60 + 15).alias("bottom"))
+def _marks(spark, d, p=None):
+    return (p or parts(spark, d)).filter("marks <> 3").select("question_id", (100 - F.col("ord")).alias("mark_ord"), (F.col("y") + F.col("price").cast("int") % 60).alias("my"), (F.col("y") + F.col("price").cast("int") % 60 + 15).alias("bottom"))
 
 
 def part_first_marks(spark, d):
@@ -44,8 +45,9 @@ def final_bounds(spark, d):
 
 
 def inline_bounds(spark, d):
-    roots = parts(spark, d).groupBy("question_id").agg((F.min("y") - F.col("question_id") % 20).alias("root_top"))
-    return bd.inline_bounds(_labels(spark, d), _marks(spark, d), roots, "question_id", 1000)
+    p = kept(parts(spark, d).select("question_id", "ord", "y", "marks", "price"))
+    roots = p.groupBy("question_id").agg((F.min("y") - F.col("question_id") % 20).alias("root_top"))
+    return bd.inline_bounds(_labels(spark, d, p), _marks(spark, d, p), roots, "question_id", 1000)
 
 
 def placed_bounds(spark, d):
