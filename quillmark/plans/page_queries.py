@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import detection_rules as dr
 from quillmark.operators import facets
+from quillmark.operators.storage import kept
 from quillmark.plans.facet_queries import PAPERS, YEARS
 from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions, table
 
@@ -68,7 +69,7 @@ def page_shifts(spark, d):
 
 
 def text_between(spark, d):
-    p = parts(spark, d)
+    p = kept(parts(spark, d).select("question_id", "ord", "y", "name"))
     spans = p.select("question_id", F.col("y").alias("y0"), (F.col("y") + 12).alias("y1"), F.col("name").alias("text"), "ord")
     return dr.text_between(spans, p.select("question_id", F.col("ord").alias("region"), (F.col("y") - 20).alias("top"), (F.col("y") + 20).alias("bottom")), "question_id")
 
