@@ -36,7 +36,7 @@ def label_ancestors(spark, d):
 
 def _nodes(spark, d):
     p = _deep(spark, d)
-    return p.select("question_id", "label").union(p.select("question_id", "deep")).distinct()
+    return p.select("question_id", F.explode(F.array("label", "deep")).alias("label")).distinct()
 
 
 def leaf_labels(spark, d):
