@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import geometry as geo
 from quillmark.operators import layout, ordered, pagination, selection, wide
 from quillmark.operators import selection_pass as sp
+from quillmark.operators.storage import kept
 from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions, table
 
 _RUN = ["exam_code", "year"]
@@ -79,36 +80,37 @@ _TOPICS = ("1-URGENT", "PROMO", "ECONOMY")
 
 def _sources(spark, d):
     """(questions, parts, pinned questions, part pins, keyword matches): of each run its first question and a part of its last are pinned."""
-    q, p = questions(spark, d), parts(spark, d)
+    # builds read both many times; reading the tables anew takes a sort of all leaves each time
+    q, p = kept(questions(spark, d)), kept(parts(spark, d))
     ends = q.join(p.filter("ord = 2").select("question_id", F.col("label").alias("second")), "question_id").groupBy(*_RUN).agg(F.min("question_id").alias("question_id"), F.max_by(F.struct("question_id", "second"), "question_id").alias("last"))
     return q, p, ends.select("question_id"), ends.select("last.question_id", F.col("last.second").alias("label")), p.filter(F.contains("name", F.lit("77"))).select("question_id", "label")
 
 
-def _built(spark, d, request, pins=True):
-    q, p, pinned, part_pins, matched = _sources(spark, d)
+def _built(spark, d, request, pins=True, sources=None):
+    q, p, pinned, part_pins, matched = sources or _sources(spark, d)
     if not pins:
         pinned, part_pins, matched = pinned.limit(0), part_pins.limit(0), matched.limit(0)
     return sp.build(q, p, _RUN, request, pinned, part_pins, matched)
 
 
-def selection_all(spark, d):
+def selection_all(spark, d, sources=None):
     """Whole questions, topics covered and the rest filled."""
-    return _built(spark, d, sp.Request(50, 2, 42, "ALL", topics=_TOPICS), False).select(*_RUN, "question_id", "k", "marks", "origin")
+    return _built(spark, d, sp.Request(50, 2, 42, "ALL", topics=_TOPICS), False, sources).select(*_RUN, "question_id", "k", "marks", "origin")
 
 
-def selection_prune(spark, d):
+def selection_prune(spark, d, sources=None):
     """Prefixes up to the last leaf of a topic; the smallest last leaves go."""
-    return _built(spark, d, sp.Request(30, 0, 7, "PRUNE", topics=_TOPICS)).select(*_RUN, "question_id", "k", "marks", "origin")
+    return _built(spark, d, sp.Request(30, 0, 7, "PRUNE", topics=_TOPICS), sources=sources).select(*_RUN, "question_id", "k", "marks", "origin")
 
 
-def selection_skip(spark, d):
+def selection_skip(spark, d, sources=None):
     """Any leaves of the topics, at most six questions."""
-    return _built(spark, d, sp.Request(35, 1, 1, "SKIP", topics=_TOPICS, max_questions=6), False).select(*_RUN, "question_id", "k", "marks", "origin")
+    return _built(spark, d, sp.Request(35, 1, 1, "SKIP", topics=_TOPICS, max_questions=6), False, sources).select(*_RUN, "question_id", "k", "marks", "origin")
 
 
-def selection_keywords(spark, d):
+def selection_keywords(spark, d, sources=None):
     """Pins and keyword matches alone."""
-    return _built(spark, d, sp.Request(40, 2, 12345, "SKIP", keyword_mode=True)).select(*_RUN, "question_id", "k", "marks", "origin")
+    return _built(spark, d, sp.Request(40, 2, 12345, "SKIP", keyword_mode=True), sources=sources).select(*_RUN, "question_id", "k", "marks", "origin")
 
 
 def full_selection(spark, d):
@@ -117,9 +119,9 @@ def full_selection(spark, d):
     return sp.warnings(_built(spark, d, c), _RUN, c)
 
 
-def selection_fill(spark, d):
+def selection_fill(spark, d, sources=None):
     """First fit alone: whole questions of valid leaves, no topics asked for."""
-    return _built(spark, d, sp.Request(50, 2, 42, "ALL"), False).select(*_RUN, "question_id", "k", "marks", "origin")
+    return _built(spark, d, sp.Request(50, 2, 42, "ALL"), False, sources).select(*_RUN, "question_id", "k", "marks", "origin")
 
 
 def selection_matches(spark, d):
@@ -142,10 +144,11 @@ def selection_pins(spark, d):
 def selection_checks(spark, d):
     """What holds of every run of the five builds: leaves once, of this run, valid where nothing is pinned; totals within the target where first fit alone chose."""
     builds = {"all": selection_all, "prune": selection_prune, "skip": selection_skip, "keywords": selection_keywords, "fill": selection_fill}
-    p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id").select(*_RUN, "question_id", (F.col("ord") - 1).alias("k"), F.col("marks").alias("__m"), "is_valid")
+    sources = _sources(spark, d)
+    p = sources[1].join(sources[0].select("question_id", *_RUN), "question_id").select(*_RUN, "question_id", (F.col("ord") - 1).alias("k"), F.col("marks").alias("__m"), "is_valid")
     out = None
     for name, build in builds.items():
-        got = build(spark, d).join(p, [*_RUN, "question_id", "k"], "left")
+        got = build(spark, d, sources).join(p, [*_RUN, "question_id", "k"], "left")
         one = got.groupBy(*_RUN).agg(F.count("*").alias("n"), F.countDistinct("question_id", "k").alias("once"), F.count_if(F.col("__m").eqNullSafe(F.col("marks")) & F.col("is_valid")).alias("own"), F.sum("marks").alias("total"))
         low = one.select(F.lit(name).alias("build"), (F.col("n") == F.col("once")).alias("once"), (F.col("n") == F.col("own")).alias("own"), ((F.col("total") <= 52) | F.lit(name != "fill")).alias("within"))
         out = low if out is None else out.unionByName(low)
@@ -196,8 +199,8 @@ def atomic_groups(spark, d):
     return _groups(spark, d).select(*_RUN, "ord", "grp")
 
 
-def paginate(spark, d):
-    g = _groups(spark, d).groupBy(*_RUN, "grp").agg(F.sum("height").alias("height"))
+def paginate(spark, d, groups=None):
+    g = (groups or _groups(spark, d)).groupBy(*_RUN, "grp").agg(F.sum("height").alias("height"))
     return layout.paginate(g, _RUN, 900, 20)
 
 
@@ -208,8 +211,8 @@ def oversize_groups(spark, d):
 
 
 def question_pages(spark, d):
-    g = _groups(spark, d)
-    placed = paginate(spark, d).join(g.select(*_RUN, "grp", "question_id").distinct(), [*_RUN, "grp"])
+    g = kept(_groups(spark, d).select(*_RUN, "grp", "question_id", "height"))
+    placed = paginate(spark, d, g).join(g.select(*_RUN, "grp", "question_id").distinct(), [*_RUN, "grp"])
     return layout.question_pages(placed, _RUN)
 
 
