@@ -127,6 +127,7 @@ def tree_problems(nodes: DataFrame) -> DataFrame:
 
     nodes: question_id, label, parent, marks, top, bottom.
     """
+    nodes = kept(nodes).hint("merge")
     twice = nodes.groupBy("question_id", "label").count().filter("count > 1").select("question_id", "label", F.lit("repeated").alias("problem"))
     below = nodes.filter("marks < 0").select("question_id", "label", F.lit("negative marks"))
     up = nodes.select("question_id", F.col("label").alias("parent"), F.col("top").alias("__t"), F.col("bottom").alias("__b")).distinct()
