@@ -8,14 +8,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.numbering import before, ranged, with_earlier
 from quillmark.operators.pagination import paginate  # noqa: F401
+from quillmark.operators.storage import kept
 
 
-def atomic_groups(assets: DataFrame, run: list[str], sticky: Column, question: str = "question_id") -> DataFrame:
-    """Numbers groups that must not be parted: a sticky asset (header, context) goes with the next of its question."""
-    w = Window.partitionBy(*run).orderBy("ord")
-    joined = F.coalesce(F.lag(sticky).over(w), F.lit(False)) & (F.col(question) == F.lag(question).over(w))
-    return assets.withColumn("__new", F.when(joined, 0).otherwise(1)).withColumn("grp", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def atomic_groups(assets: DataFrame, run: list[str], sticky: Column, question: str = "question_id", order: tuple[str, ...] = ("ord",), number: str | None = None) -> DataFrame:
+    """Numbers groups that must not be parted: a sticky asset (header, context) goes with the next of its question.
+
+    ``number`` names a column for each asset's place in its run.  Windows go over ranges of a run:
+    a range's first asset is held against the last of the range before.
+    """
+    at = ranged(assets.withColumn("__sticky", sticky), run, [*order])
+    last = F.struct("__sticky", F.col(question).alias("question"))
+    ends = at.groupBy(*run, "__range").agg(F.max_by(last, F.struct(*order)).alias("__last"))
+    at = with_earlier(at, ends, run, {"__earlier": F.lag("__last").over(Window.partitionBy(*run).orderBy("__range"))})
+    w = Window.partitionBy("__range", *run).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = at.withColumn("__before", F.coalesce(F.lag(last).over(w), F.col("__earlier")))
+    joined = F.coalesce(F.col("__before.__sticky"), F.lit(False)) & (F.col(question) == F.col("__before.question"))
+    rows = rows.withColumn("__new", F.when(joined, 0).otherwise(1)).withColumns({"__grp": F.sum("__new").over(upto), "__place": F.count("*").over(upto)})
+    rows = kept(rows.drop("__sticky", "__earlier", "__before", "__new"))
+    sizes = rows.groupBy(*run, "__range").agg(F.max("__grp").alias("__groups"), F.count("*").alias("__assets"))
+    ahead = Window.partitionBy(*run).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_earlier(rows, sizes, run, {"__groups_ahead": F.sum("__groups").over(ahead), "__ahead": F.sum("__assets").over(ahead)})
+    out = rows.withColumn("grp", F.col("__grp") + F.coalesce("__groups_ahead", F.lit(0)))
+    if number:
+        out = out.withColumn(number, (F.col("__place") + F.coalesce("__ahead", F.lit(0))).cast("int"))
+    return out.drop("__range", "__grp", "__place", "__groups_ahead", "__ahead")
 
 
 def question_pages(placed: DataFrame, run: list[str], question: str = "question_id") -> DataFrame:
@@ -83,7 +103,8 @@ def resolved(number: list[int], pseudo: list[bool], real: list[bool]) -> list[in
         behind, wanted = best + 1, number[best] + 1
 
 
-def composite_offsets(segments: DataFrame, run: list[str], order: str, height: str) -> DataFrame:
-    """Where each stitched segment begins: the sum of the heights before it."""
-    w = Window.partitionBy(*run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("y_offset", F.coalesce(F.sum(height).over(w), F.lit(0)))
+def composite_offsets(segments: DataFrame, run: list[str], order: str | list[str], height: str, number: str | None = None) -> DataFrame:
+    """Where each stitched segment begins: the sum of the heights before it. ``number`` names a column for its place in the run."""
+    order = [order] if isinstance(order, str) else order
+    out = before(segments, run, order, {"y_offset": F.col(height), **({number: F.lit(1)} if number else {})})
+    return out.withColumn(number, (F.col(number) + 1).cast("int")) if number else out

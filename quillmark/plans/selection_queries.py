@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import geometry as geo
 from quillmark.operators import layout, ordered, pagination, selection, wide
 from quillmark.operators import selection_pass as sp
+from quillmark.operators.numbering import before
 from quillmark.operators.storage import kept
 from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions, table
 
@@ -185,18 +186,21 @@ def label_superset(spark, d):
     return selection.covering_leaves(_all(spark, d), _pins(spark, d))
 
 
+_ORDER = ("question_id", "part")
+
+
 def _assets(spark, d):
+    """Leaves as assets; a run has them in order of question and part."""
     p = parts(spark, d).join(questions(spark, d).select("question_id", *_RUN), "question_id")
-    rows = p.select(*_RUN, "question_id", F.col("ord").alias("part"), (40 + F.col("y") % 300).cast("int").alias("height"))
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*_RUN).orderBy("question_id", "part")))
+    return p.select(*_RUN, "question_id", F.col("ord").alias("part"), (40 + F.col("y") % 300).cast("int").alias("height"))
 
 
-def _groups(spark, d):
-    return layout.atomic_groups(_assets(spark, d), _RUN, (F.col("part") == 1) | (F.col("height") % 5 == 0))
+def _groups(spark, d, number=None):
+    return layout.atomic_groups(_assets(spark, d), _RUN, (F.col("part") == 1) | (F.col("height") % 5 == 0), order=_ORDER, number=number)
 
 
 def atomic_groups(spark, d):
-    return _groups(spark, d).select(*_RUN, "ord", "grp")
+    return _groups(spark, d, "ord").select(*_RUN, "ord", "grp")
 
 
 def paginate(spark, d, groups=None):
@@ -211,7 +215,7 @@ def oversize_groups(spark, d):
 
 
 def question_pages(spark, d):
-    g = kept(_groups(spark, d).select(*_RUN, "grp", "question_id", "height"))
+    g = _groups(spark, d).select(*_RUN, "grp", "question_id", "height")
     placed = paginate(spark, d, g).join(g.select(*_RUN, "grp", "question_id").distinct(), [*_RUN, "grp"])
     return layout.question_pages(placed, _RUN)
 
@@ -222,7 +226,7 @@ def question_sequence(spark, d):
 
 
 def composite_offsets(spark, d):
-    return layout.composite_offsets(_assets(spark, d), _RUN, "ord", "height").select(*_RUN, "ord", F.col("y_offset").cast("long").alias("y_offset"))
+    return layout.composite_offsets(_assets(spark, d), _RUN, [*_ORDER], "height", "ord").select(*_RUN, "ord", F.col("y_offset").cast("long").alias("y_offset"))
 
 
 def part_bounds(spark, d):
@@ -235,7 +239,8 @@ def part_bounds(spark, d):
 
 
 def page_points(spark, d):
-    return _assets(spark, d).select(*_RUN, "ord", F.round(geo.px_to_pt(F.col("height"), 200), 6).alias("height_pt"), F.round(geo.y_flip(841.89, F.col("ord"), F.col("height"), 200), 6).alias("y_pt"))
+    placed = before(_assets(spark, d), _RUN, [*_ORDER], {"ord": F.lit(1)}).withColumn("ord", (F.col("ord") + 1).cast("int"))
+    return placed.select(*_RUN, "ord", F.round(geo.px_to_pt(F.col("height"), 200), 6).alias("height_pt"), F.round(geo.y_flip(841.89, F.col("ord"), F.col("height"), 200), 6).alias("y_pt"))
 
 
 QUERIES = {

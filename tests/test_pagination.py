@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillmark.operators import pagination
+from quillmark.operators import layout, pagination
 
 
 def loop(rows, page_height):
@@ -57,3 +59,34 @@ def test_oversize_groups_are_told(spark):
     df = spark.createDataFrame([("a", 1, 90), ("a", 2, 101), ("b", 1, 300)], "run string, grp int, height int")
     got = {tuple(r) for r in pagination.oversize(df, ["run"], 100).collect()}
     assert got == {("a", 2, 101, 1, "group 2 is 1 higher than a page"), ("b", 1, 300, 200, "group 1 is 200 higher than a page")}
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """Small tables take several tasks, as large ones do."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, was)
+
+
+def test_groups_and_offsets_of_a_run_go_through_many_tasks(spark, many_tasks):
+    """Against a plain loop; questions in turns, one of null, runs of null, and no task with more than half of the long run."""
+    rng = random.Random(3)
+    own = {"long": 6000, "short": 5, None: 300, "one": 1}
+    rows = [(r, k * 3, None if rng.random() < 0.02 else k // 7 if rng.random() < 0.8 else -1, rng.randint(1, 90), rng.choice([True, False, True, None])) for r, n in own.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "run string, ord int, question_id int, height int, sticky boolean").repartition(3)
+    want, offsets, last, grp, n, y = {}, {}, None, 0, 0, 0
+    for run, k, q, h, sticky in rows:
+        grp, n, y = (grp, n, y) if last and last[0] == run else (0, 0, 0)
+        grp += not (last and last[0] == run and last[2] and q is not None and last[1] == q)
+        n += 1
+        want[run, k], offsets[run, k] = (grp, n), (y, n)
+        y, last = y + h, (run, q, sticky)
+    got = layout.atomic_groups(df, ["run"], F.col("sticky"), number="n").withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.run, r.ord): (r.grp, r.n) for r in got} == want and len(got) == len(rows)
+    below = layout.composite_offsets(df, ["run"], "ord", "height", "n").withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.run, r.ord): (r.y_offset, r.n) for r in below} == offsets and len(below) == len(rows)
+    for out in (got, below):
+        assert max(Counter(r.task for r in out if r.run == "long").values()) <= 3000
