@@ -23,7 +23,7 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataF
     return at.withColumn("__part", part).join(offsets, "__part").withColumn(name, place).drop("__part", "__at", "__before")
 
 
-def ranged(rows: DataFrame, run: list[str], order: list[str]) -> DataFrame:
+def ranged(rows: DataFrame, run: list[str], order: list[str | Column]) -> DataFrame:
     """The rows, written in ranges of (run, order) that ``__range`` numbers; a long run takes many ranges. Equal rows share one."""
     return kept(rows.repartitionByRange(*run, *order).withColumn("__range", F.spark_partition_id()))
 
@@ -42,7 +42,7 @@ def with_earlier(rows: DataFrame, ends: DataFrame, run: list[str], earlier: dict
     return rows.join(F.broadcast(later), at, "left").drop("__at", *same.values())
 
 
-def before(rows: DataFrame, run: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+def before(rows: DataFrame, run: list[str], order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
     """Adds sums over the rows that stand before each in its run, 0 for the first.
 
     Windows go over ranges of a run; what earlier ranges sum up to is a row a range.  Ties go by chance.

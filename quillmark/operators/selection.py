@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.numbering import numbered
+from quillmark.operators.numbering import before, numbered
 from quillmark.operators.search import seeded_order
 from quillmark.operators.storage import kept, release
 
@@ -54,13 +54,24 @@ def options(parts: DataFrame, mode: str, key: str = "question_id") -> DataFrame:
     leaves = _leaves(parts.filter("is_valid"), key)
     n = F.size("leaf")
     if mode == "SKIP":
-        high = F.sequence(F.lit(0).cast("long"), _bit(F.greatest(n - LOW_BITS, F.lit(0))) - 1)
-        low = F.sequence(F.lit(0).cast("long"), _bit(F.least(n, F.lit(LOW_BITS))) - 1)
-        rows = leaves.select(key, "leaf", F.explode(high).alias("__high")).select(key, "leaf", "__high", F.explode(low).alias("__low"))
-        rows = rows.select(key, "leaf", (F.col("__high") * (1 << LOW_BITS) + F.col("__low")).alias("mask")).filter("mask > 0")
-    else:
-        masks = {"ALL": F.array(_bit(n) - 1), "PRUNE": F.transform(F.sequence(F.lit(1), n), lambda k: _bit(k) - 1)}[mode]
-        rows = leaves.select(key, "leaf", F.explode(masks).alias("mask"))
+        return _subsets(leaves, key)
+    masks = {"ALL": F.array(_bit(n) - 1), "PRUNE": F.transform(F.sequence(F.lit(1), n), lambda k: _bit(k) - 1)}[mode]
+    return _with_marks(leaves.select(key, "leaf", F.explode(masks).alias("mask")), key)
+
+
+def _subsets(leaves: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """Every non-empty subset of ``_leaves``; blocks of them spread over ``tasks`` where given."""
+    n = F.size("leaf")
+    high = F.sequence(F.lit(0).cast("long"), _bit(F.greatest(n - LOW_BITS, F.lit(0))) - 1)
+    low = F.sequence(F.lit(0).cast("long"), _bit(F.least(n, F.lit(LOW_BITS))) - 1)
+    rows = leaves.select(key, "leaf", F.explode(high).alias("__high"))
+    if tasks:
+        rows = rows.repartition(tasks, key, "__high")
+    rows = rows.select(key, "leaf", "__high", F.explode(low).alias("__low"))
+    return _with_marks(rows.select(key, "leaf", (F.col("__high") * (1 << LOW_BITS) + F.col("__low")).alias("mask")).filter("mask > 0"), key)
+
+
+def _with_marks(rows: DataFrame, key: str) -> DataFrame:
     chosen = F.filter("leaf", lambda x, i: F.getbit(F.col("mask"), i) == 1)
     return rows.select(key, "mask", F.aggregate(chosen, F.lit(0), lambda a, x: a + x["marks"]).alias("marks"), F.size(chosen).alias("n_parts"))
 
@@ -109,6 +120,34 @@ def ranked_options(opts: DataFrame, key: str = "question_id") -> DataFrame:
     return opts.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("marks"), F.desc("n_parts"), "mask")))
 
 
+def ranked_subsets(parts: DataFrame, key: str = "question_id") -> DataFrame:
+    """``ranked_options`` of all subsets of a question's valid leaves (SKIP), without sorting the listed rows.
+
+    A subset of up to 16 leaves is one number whose order is the rank: marks, leaves, mask.  A question's
+    are listed by doubling and sorted as an array, so a task holds one question's.  Subsets of more leaves, or
+    with unknown marks, are listed by many tasks and ranked by ranges of their order.
+    """
+    leaves = kept(_leaves(parts.filter("is_valid"), key))
+    one = (F.size("leaf") <= LOW_BITS) & ~F.exists("leaf", lambda x: x["marks"].isNull())
+    none = LOW_BITS << LOW_BITS  # no leaf yet: no marks, as many leaves to come as there may be, no bit
+    steps = F.transform("leaf", lambda x, i: F.coalesce(x["marks"].cast("long"), F.lit(0)) * -(1 << LOW_BITS + 5) - (1 << LOW_BITS) + _bit(i))
+    listed = F.aggregate(steps, F.array(F.lit(none).cast("long")), lambda a, x: F.concat(a, F.transform(a, lambda s: s + x)))
+    rows = leaves.filter(one).select(key, F.posexplode(F.sort_array(F.slice(listed, 2, 1 << LOW_BITS))).alias("__pos", "__s"))
+    out = rows.select(
+        key,
+        F.col("__s").bitwiseAND((1 << LOW_BITS) - 1).alias("mask"),
+        (-F.shiftright("__s", LOW_BITS + 5)).cast("int").alias("marks"),
+        (LOW_BITS - F.shiftright("__s", LOW_BITS).bitwiseAND(31)).cast("int").alias("n_parts"),
+        (F.col("__pos") + 1).alias("place"),
+    )
+    rest = leaves.filter(~one)
+    if rest.isEmpty():
+        return out
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = before(_subsets(rest, key, tasks), [key], [F.desc("marks"), F.desc("n_parts"), F.col("mask")], {"place": F.lit(1)})
+    return out.unionByName(large.withColumn("place", (F.col("place") + 1).cast("int")))
+
+
 def best_within(opts: DataFrame, most: int, key: str = "question_id") -> DataFrame:
     """Per question the best option of at most ``most`` marks."""
     return opts.filter(F.col("marks") <= most).groupBy(key).agg(F.max_by("mask", F.struct("marks", "n_parts", -F.col("mask"))).alias("mask"), F.max("marks").alias("marks"))

@@ -28,7 +28,7 @@ def option_enumeration_prune(spark, d):
 
 
 def option_enumeration_skip(spark, d):
-    return selection.ranked_options(selection.options(_all(spark, d), "SKIP"))
+    return selection.ranked_subsets(_all(spark, d))
 
 
 def best_option_for_budget(spark, d):

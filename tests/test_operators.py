@@ -193,6 +193,21 @@ def test_options_of_many_leaves(spark):
     assert pair(selection.covering_leaves(parts, pins)) == pair(selection.covering_option(opts, pins))
 
 
+def test_ranks_of_all_subsets(spark):
+    """Negative, no and unknown marks, many leaves; no sort of listed subsets of up to 16 leaves."""
+    rng = random.Random(2)
+    marks = {1: [rng.randint(0, 4) for _ in range(17)], 2: [3], 3: [9, None, 8, None], 4: [rng.randint(-9, 9) for _ in range(16)], 5: [0, 0, 0], 6: [2**31 - 1, -(2**31), 0], 7: [None], None: [1, 2]}
+    parts = spark.createDataFrame([(q, k + 1, m, True) for q, row in marks.items() for k, m in enumerate(row)] + [(8, 1, 1, False), (2, 2, 5, False)], "question_id long, ord int, marks int, is_valid boolean")
+    ranked = selection.ranked_subsets(parts)
+    old = selection.ranked_options(selection.options(parts, "SKIP"))
+    assert [(f.name, f.dataType) for f in ranked.schema] == [(f.name, f.dataType) for f in old.schema]
+    got = [tuple(r) for r in ranked.collect()]
+    assert len(got) == len(set(got)) == sum(2 ** len(row) - 1 for row in marks.values())
+    assert set(got) == {tuple(r) for r in old.collect()}
+    few = selection.ranked_subsets(parts.filter("question_id in (2, 4, 5)"))
+    assert "Window" not in few._jdf.queryExecution().executedPlan().toString()
+
+
 def sequence_by_the_rule(c):
     """The rule as a plain scan over (number, pseudo, real)."""
     out, used, done, want = [], set(), set(), 1
