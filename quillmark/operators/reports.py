@@ -72,10 +72,15 @@ def contexts_of(nodes: DataFrame) -> DataFrame:
 
     nodes: question_id, label, path array of labels from the root to the parent, has_context.
     """
-    up = nodes.select("question_id", "label", F.posexplode("path").alias("at", "__a"))
-    held = nodes.filter("has_context").select("question_id", F.col("label").alias("__a"))
-    found = up.join(held, ["question_id", "__a"]).groupBy("question_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "__a"))), lambda x: x["__a"]).alias("contexts"))
-    return nodes.select("question_id", "label").join(found, ["question_id", "label"], "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+    kind = nodes.schema["label"].dataType.simpleString()
+    own = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.col("label").alias("a")))
+    up = F.transform("path", lambda a, i: F.struct(i.alias("at"), a.alias("a")))
+    # a node stands with its own label and with each ancestor's: no join, all windows are within questions
+    rows = nodes.select("question_id", "label", "has_context", F.explode(F.concat(own, F.coalesce(up, F.array().cast(f"array<struct<at:int,a:{kind}>>")))).alias("x")).select("question_id", "label", "has_context", "x.*")
+    held = F.count_if(F.col("at").isNull() & F.col("has_context") & F.col("a").isNotNull() & F.col("question_id").isNotNull()).over(Window.partitionBy("question_id", "a"))
+    rows = rows.withColumn("__n", held.cast("int"))
+    found = F.collect_list(F.when(F.col("at").isNotNull() & (F.col("__n") > 0) & F.col("label").isNotNull(), F.array_repeat(F.struct("at", "a"), F.col("__n")))).over(Window.partitionBy("question_id", "label"))
+    return rows.withColumn("__f", found).filter("at is null").select("question_id", "label", F.transform(F.array_sort(F.flatten("__f")), lambda x: x["a"]).alias("contexts"))
 
 
 def pre_order(nodes: DataFrame) -> DataFrame:

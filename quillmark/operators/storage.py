@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,12 +46,18 @@ def _clear() -> None:
 def kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an intermediate result: computed once, written, and read again.
 
-    The table is deleted by ``release``, or when the interpreter ends.
+    The table is deleted by ``release``, or when the interpreter ends.  Its own shuffles are deleted as
+    soon as it is written; Spark would keep them until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillmark/kept-{uuid.uuid4().hex[:12]}"
     _OWN.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.quillmark_path = path
     return out

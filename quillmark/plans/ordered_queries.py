@@ -12,8 +12,12 @@ _ROMANS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "x
 
 
 def _deep(spark, d):
+    return _with_deep(parts(spark, d))
+
+
+def _with_deep(p):
     roman = F.element_at(F.array(*map(F.lit, _ROMANS)), (F.col("y") % 12 + 1).cast("int"))
-    return parts(spark, d).withColumn("deep", F.when(F.col("ord") % 3 != 1, F.concat("label", F.lit("("), roman, F.lit(")"))).otherwise(F.col("label")))
+    return p.withColumn("deep", F.when(F.col("ord") % 3 != 1, F.concat("label", F.lit("("), roman, F.lit(")"))).otherwise(F.col("label")))
 
 
 def label_parse_parent_join(spark, d):
