@@ -46,7 +46,8 @@ def detected_bounds(parts: DataFrame, marks: DataFrame, key: str, height: int, p
     """
     parts = kept(parts)
     lowest = marks.groupBy(key).agg(F.max("bottom").alias("__low"))
-    own = first_marks(parts, marks, key).join(lowest, key, "left")
+    # each step's shuffles are gone before the next begins
+    own = kept(first_marks(parts, marks, key)).join(lowest, key, "left")
     last = F.when((F.col("y_end") == height) & F.col("__low").isNotNull(), F.least(F.lit(height), F.col("__low") + padding)).otherwise(F.col("y_end"))
     out = own.withColumn("bottom", F.coalesce(F.least("mark_bottom", F.when(F.col("mark_bottom").isNotNull(), F.col("y_end"))), last))
     return out.withColumn("issue", F.when(F.col("bottom") == height, "No mark box detected")).drop("__low", *([] if marked else ["mark_bottom"]))
@@ -62,9 +63,11 @@ def inline_bounds(labels: DataFrame, marks: DataFrame, roots: DataFrame, key: st
     """
     by_key = Window.partitionBy(key).orderBy("y", F.when(F.col("kind") == "letter", 0).otherwise(1), "ord").rowsBetween(Window.unboundedPreceding, 0)
     above = labels.select(key, "ord", F.last(F.when(F.col("kind") == "letter", F.struct(F.col("ord").alias("o"), F.col("y").alias("y"))), True).over(by_key).alias("__l"))
+    above = kept(above)
     found = detected_bounds(label_extents(labels, key, F.lit(height)).select(key, "ord", "kind", "y", "y_end"), marks, key, height, marked=True).drop("issue")
-    rows = found.join(above, [key, "ord"]).join(roots.select(key, "root_top"), key, "left")
+    rows = kept(found).join(above, [key, "ord"]).join(roots.select(key, "root_top"), key, "left")
     close = lambda a, b: F.coalesce(F.abs(a - b) < near, F.lit(False))
+    rows = kept(rows)
     own_end = F.coalesce(F.least("mark_bottom", F.when(F.col("mark_bottom").isNotNull(), F.col("y_end"))), F.col("y_end"))
     first = rows.filter("kind = 'roman' and __l is not null").groupBy(key, F.col("__l.o").alias("ord")).agg(F.min_by(F.struct(F.col("y").alias("y"), own_end.alias("end")), F.struct("y", "ord")).alias("__r"))
     rows = rows.join(first.withColumn("kind", F.lit("letter")), [key, "ord", "kind"], "left")
@@ -127,15 +130,21 @@ def tree_problems(nodes: DataFrame) -> DataFrame:
 
     nodes: question_id, label, parent, marks, top, bottom.
     """
-    nodes = kept(nodes).hint("merge")
-    twice = nodes.groupBy("question_id", "label").count().filter("count > 1").select("question_id", "label", F.lit("repeated").alias("problem"))
-    below = nodes.filter("marks < 0").select("question_id", "label", F.lit("negative marks"))
-    up = nodes.select("question_id", F.col("label").alias("parent"), F.col("top").alias("__t"), F.col("bottom").alias("__b")).distinct()
-    outside = nodes.join(up, ["question_id", "parent"]).filter((F.col("top") < F.col("__t")) | (F.col("bottom") > F.col("__b"))).select("question_id", "label", F.lit("outside its parent"))
     # ranges overlap an earlier sibling if one of those that begin before ends after the start
     before = F.max("bottom").over(Window.partitionBy("question_id", "parent").orderBy("top", "label").rowsBetween(Window.unboundedPreceding, -1))
-    crossed = nodes.filter("parent is not null").withColumn("__x", before).filter(F.col("__x") > F.col("top")).select("question_id", "label", F.lit("overlaps"))
-    return twice.union(below).union(outside).union(crossed)
+    rows = nodes.withColumn("__x", before).withColumn("__self", F.explode(F.array(F.lit(True), F.lit(False))))
+    # a node stands with those of its label and once more with those of its parent's: no join, all windows are within questions
+    rows = rows.withColumn("__key", F.when(F.col("__self"), F.col("label")).otherwise(F.col("parent"))).filter("__self or __key is not null")
+    family = Window.partitionBy("question_id", "__key")
+    rows = rows.withColumns({"__n": F.count_if("__self").over(family), "__r": F.row_number().over(family.orderBy(F.desc("__self"))), "__up": F.collect_set(F.when(F.col("__self"), F.struct("top", "bottom"))).over(family)})
+    own = F.array(
+        F.when((F.col("__n") > 1) & (F.col("__r") == 1), "repeated"),
+        F.when(F.col("marks") < 0, "negative marks"),
+        F.when(F.col("parent").isNotNull() & (F.col("__x") > F.col("top")), "overlaps"),
+    )
+    # once for each of the parent's bounds that it is outside of
+    outside = F.transform(F.filter("__up", lambda u: (F.col("top") < u["top"]) | (F.col("bottom") > u["bottom"])), lambda u: F.lit("outside its parent"))
+    return rows.select("question_id", "label", F.explode(F.array_compact(F.when(F.col("__self"), own).otherwise(outside))).alias("problem"))
 
 
 def context_slices(leaves: DataFrame, contexts: DataFrame, run: list[str]) -> DataFrame:

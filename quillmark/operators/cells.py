@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators.storage import kept
+
 
 def by_cells(left: DataFrame, right: DataFrame, key: str, low: str, high: str, low_: str, high_: str) -> DataFrame:
     """Pairs of rows whose closed ranges [low, high] and [low_, high_] meet, each once, with the columns of both sides.
@@ -26,7 +28,9 @@ def by_cells(left: DataFrame, right: DataFrame, key: str, low: str, high: str, l
         cell = lambda c: F.floor(F.col(c).cast("double") / F.col("__w"))
         return df.filter(F.col(b) >= F.col(a)).join(width, key).withColumn(first, cell(a)).withColumn("__cell", F.explode(F.sequence(F.col(first), cell(b)))).drop("__w")
 
-    both = celled(left, low, high, "__first").join(celled(right, low_, high_, "__first_"), [key, "__cell"])
+    # each side's shuffles are gone before the sides meet
+    width = kept(width)
+    both = kept(celled(left, low, high, "__first")).join(kept(celled(right, low_, high_, "__first_")), [key, "__cell"])
     meet = (F.col(low_) <= F.col(high)) & (F.col(low) <= F.col(high_))
     return both.filter((F.col("__cell") == F.greatest("__first", "__first_")) & meet).drop("__cell", "__first", "__first_")
 

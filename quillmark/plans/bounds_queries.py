@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from quillmark.operators import bounds as bd
 from quillmark.operators import pagination
 from quillmark.operators.facets import is_unknown
-from quillmark.operators.storage import kept
 from quillmark.plans.tree_queries import _N, _nodes
-from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions
+from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, kept_parts, parts, questions
 
 _RUN = ["exam_code", "year"]
 
@@ -45,7 +44,7 @@ def final_bounds(spark, d):
 
 
 def inline_bounds(spark, d):
-    p = kept(parts(spark, d).select("question_id", "ord", "y", "marks", "price"))
+    p = kept_parts(spark, d, "question_id", "ord", "y", "marks", "price")
     roots = p.groupBy("question_id").agg((F.min("y") - F.col("question_id") % 20).alias("root_top"))
     return bd.inline_bounds(_labels(spark, d, p), _marks(spark, d, p), roots, "question_id", 1000)
 
