@@ -12,14 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.storage import kept
+from quillmark.operators.storage import kept, release
 
 _FIELDS = "label string, kind string, marks int, bounds struct<top:bigint,bottom:bigint>, topic string, children array<string>"
 
 
 def _level(df: DataFrame) -> DataFrame:
     """A level as a table that is never sent to all tasks: its files are small for their rows, so Spark would pass millions of rows through the driver."""
-    return kept(df).hint("merge")
+    table = kept(df)
+    out = table.hint("merge")
+    out.quillmark_path = table.quillmark_path
+    return out
 
 
 def levels(nodes: DataFrame) -> list[DataFrame]:
@@ -28,31 +31,38 @@ def levels(nodes: DataFrame) -> list[DataFrame]:
     What has its level is not looked at again, and the last level needs no join to be known as such.
     """
     nodes = _level(nodes)
+    path = nodes.quillmark_path
     out, now, rest = [], nodes.filter("parent is null"), nodes.filter("parent is not null")
     while not now.isEmpty():
+        now.quillmark_path = path
         out.append(now)
         if rest.isEmpty():
             break
         above = now.select("question_id", F.col("label").alias("parent")).distinct().withColumn("__in", F.lit(True))
         step = _level(rest.join(above, ["question_id", "parent"], "left").select(*nodes.columns, F.col("__in").isNotNull().alias("__in")))
-        now, rest = step.filter("__in").drop("__in"), step.filter("not __in").drop("__in")
+        path, now, rest = step.quillmark_path, step.filter("__in").drop("__in"), step.filter("not __in").drop("__in")
     return out
 
 
-def fold(nodes: DataFrame, below: Callable[[DataFrame], DataFrame], own: Callable[[DataFrame], DataFrame], empty: dict[str, str]) -> DataFrame:
-    """All nodes after a fold from the deepest level up.
+def fold(nodes: DataFrame, below: Callable[[DataFrame], DataFrame], own: Callable[[DataFrame], DataFrame], empty: dict[str, str], roots: bool = False) -> DataFrame:
+    """All nodes after a fold from the deepest level up; with ``roots`` those alone, and no other level stays on disk.
 
     ``below`` sums up a folded level by parent, as (question_id, label, more ...); ``own`` folds a
     level that has these columns, which are null (types in ``empty``) where there are no children.
     """
     done, out = None, None
     for level in reversed(levels(nodes)):
+        source = level
         if done is None:
             level = level.withColumns({name: F.lit(None).cast(kind) for name, kind in empty.items()})
         else:
             level = level.join(below(done), ["question_id", "label"], "left")
-        done = _level(own(level))
-        out = done if out is None else out.unionByName(done)
+        deeper, done = done, _level(own(level))
+        # what a level was read from is folded by now
+        release(source)
+        if roots and deeper is not None:
+            release(deeper)
+        out = done if out is None or roots else out.unionByName(done)
     return out if out is not None else own(nodes.withColumns({name: F.lit(None).cast(kind) for name, kind in empty.items()})).limit(0)
 
 
@@ -122,7 +132,7 @@ def encoded(nodes: DataFrame) -> DataFrame:
         with_children = F.concat(F.expr("substring(__n, 1, length(__n) - 1)"), F.lit(',"children":['), F.col("__c"), F.lit("]}"))
         return df.withColumn("__n", node).select("question_id", "label", "parent", "top", F.when(F.col("__c").isNull(), F.col("__n")).otherwise(with_children).alias("tree"))
 
-    return fold(nodes, below, own, {"__c": "string"}).filter("parent is null").select("question_id", "tree")
+    return fold(nodes, below, own, {"__c": "string"}, roots=True).filter("parent is null").select("question_id", "tree")
 
 
 def decoded(trees: DataFrame) -> DataFrame:
