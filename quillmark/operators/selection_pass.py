@@ -144,17 +144,28 @@ def pruned(picks: list[dict], target: int, tolerance: int, mode: str) -> set[tup
     return gone
 
 
+def _flag(df: DataFrame, name: str) -> DataFrame:
+    return df.select("question_id").distinct().withColumn(name, F.lit(True))
+
+
+def _labels(df: DataFrame, name: str) -> DataFrame:
+    return df.groupBy("question_id").agg(F.collect_set("label").alias(name))
+
+
+def _below(listed: str) -> F.Column:
+    """Whether a leaf is one of the listed labels or below one."""
+    return F.coalesce(F.arrays_overlap(ancestors(F.col("label")), listed), F.lit(False))
+
+
 def _pool(questions: DataFrame, parts: DataFrame, run: list[str], c: Request, pinned: DataFrame, part_pins: DataFrame, matched: DataFrame) -> DataFrame:
     """(run, question_id, leaf, whole, hit, q_topic): questions that the request may use with their leaves in order.
 
     A leaf has marks, topic, usable, pinned; ``whole``: the question itself is pinned; ``hit``: it matches keywords.
     """
-    paths = parts.select("question_id", "label", F.explode(ancestors(F.col("label"))).alias("__path"))
-    flag = lambda df, name: df.select("question_id").distinct().withColumn(name, F.lit(True))
-    below = lambda df, name: paths.join(df.select("question_id", F.col("label").alias("__path")).distinct(), ["question_id", "__path"], "left_semi").select("question_id", "label").distinct().withColumn(name, F.lit(True))
-    q = questions.select("question_id", *run, F.col("topic").alias("__q")).join(flag(pinned, "__whole"), "question_id", "left").join(flag(matched, "__hit"), "question_id", "left")
-    p = parts.join(below(part_pins, "__pin"), ["question_id", "label"], "left").join(below(matched, "__match"), ["question_id", "label"], "left")
-    rows = p.join(q, "question_id").withColumn("topic_", effective_topic(F.col("topic"), F.col("__q")))
+    # a question's pins and matches come to its leaves as lists: all joins, windows and groups are by question
+    q = questions.select("question_id", *run, F.col("topic").alias("__q")).join(_flag(pinned, "__whole"), "question_id", "left")
+    q = q.join(_labels(part_pins, "__pins"), "question_id", "left").join(_labels(matched, "__matches").withColumn("__hit", F.lit(True)), "question_id", "left")
+    rows = parts.join(q, "question_id").withColumns({"topic_": effective_topic(F.col("topic"), F.col("__q")), "__pin": _below("__pins"), "__match": _below("__matches")}).drop("__pins", "__matches")
     no = lambda name: F.coalesce(F.col(name), F.lit(False))
     by_question = Window.partitionBy("question_id")
     fits = F.col("topic_").isin(*c.topics) if c.topics else F.lit(True)
@@ -269,6 +280,15 @@ def _first_fit(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, se
     return out
 
 
+def _whole_score(seed: int, marks: F.Column, remaining: F.Column, open_topics: F.Column) -> F.Column:
+    """What ``coverage_option`` gives a question's ``topic`` for all its leaves, should it take them; null where these are no option."""
+    digits = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("question_id").cast("string"), (F.call_function("shiftleft", F.lit(1).cast("long"), F.size("leaf")) - 1).cast("string")))
+    luck = F.conv(F.substring(digits, 1, 8), 16, 10).cast("double") / 2**32
+    close = F.greatest(F.lit(0.0), F.lit(10.0) - F.abs(marks - remaining / open_topics))
+    whole = F.forall("leaf", lambda x: x["usable"]) & F.exists("leaf", lambda x: x["topic"] == F.col("topic"))
+    return F.when(whole, close + 5 + 5 * luck)
+
+
 def _cover(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, seed: int) -> DataFrame:
     """Picks that give each requested topic that is not covered yet its best option, topics of few questions first.
 
@@ -305,6 +325,13 @@ def _cover(pool: DataFrame, picks: DataFrame, run: list[str], c: Request, seed:
         turn = topics.filter(F.col("place") == k).join(state, run, "left").select(*run, "topic", "total", "covered")
         # a row for each run: what is sent is no more than there are runs
         open_ = mine.join(turn, run).filter(F.array_contains("__t", F.col("topic"))).join(now.select("question_id"), "question_id", "left_anti")
+        # what is not all leaves scores 15 at most, all leaves what SQL says: others than the best of these need no options
+        remaining = F.lit(c.target) - F.coalesce("total", F.lit(0))
+        open_count = F.greatest(F.lit(1), F.lit(wanted) - F.size(F.array_intersect(names, F.coalesce("covered", F.array().cast("array<string>")))))
+        marks = F.aggregate("leaf", F.lit(0), lambda a, x: a + x["marks"])
+        open_ = open_.withColumn("__most", _whole_score(seed, marks, remaining, open_count))
+        least = open_.filter(marks.between(1, F.greatest(F.lit(1), remaining))).groupBy(*run).agg(F.max("__most").alias("__least"))
+        open_ = open_.join(least, run, "left").filter(F.col("__least").isNull() | (F.greatest("__most", F.lit(15.0)) >= F.col("__least") - 1e-6))
         scored = open_.select(*run, "question_id", "leaf", "topic", "total", "covered").mapInArrow(best, f"{_kinds(pool, run)}, {_PICK}, score double")
         top = scored.groupBy(*run).agg(F.max_by(F.struct("question_id", "mask", "marks", "origin", "topics"), F.struct("score", -F.col("question_id"))).alias("x")).select(*run, "x.*")
         top = kept(top)
@@ -370,11 +397,10 @@ def warnings(leaves: DataFrame, run: list[str], c: Request) -> DataFrame:
 
 def pool_leaves(questions: DataFrame, parts: DataFrame, pinned: DataFrame, part_pins: DataFrame) -> DataFrame:
     """(question_id, k, ord, marks, topic, pinned, whole) of all leaves; k is the place in the question from 0."""
-    paths = parts.select("question_id", "label", F.explode(ancestors(F.col("label"))).alias("__path"))
-    pin = paths.join(part_pins.select("question_id", F.col("label").alias("__path")).distinct(), ["question_id", "__path"], "left_semi").select("question_id", "label").distinct().withColumn("__pin", F.lit(True))
-    rows = parts.join(pin, ["question_id", "label"], "left").join(questions.select("question_id", F.col("topic").alias("__q")), "question_id").join(pinned.select("question_id").distinct().withColumn("__whole", F.lit(True)), "question_id", "left")
+    q = questions.select("question_id", F.col("topic").alias("__q")).join(_flag(pinned, "__whole"), "question_id", "left").join(_labels(part_pins, "__pins"), "question_id", "left")
+    rows = parts.join(q, "question_id").withColumn("__pin", _below("__pins"))
     k = (F.row_number().over(Window.partitionBy("question_id").orderBy("ord")) - 1).alias("k")
-    return rows.select("question_id", k, "ord", F.col("marks").cast("int").alias("marks"), effective_topic(F.col("topic"), F.col("__q")).alias("topic"), F.coalesce("__pin", F.lit(False)).alias("pinned"), F.coalesce("__whole", F.lit(False)).alias("whole"))
+    return rows.select("question_id", k, "ord", F.col("marks").cast("int").alias("marks"), effective_topic(F.col("topic"), F.col("__q")).alias("topic"), F.col("__pin").alias("pinned"), F.coalesce("__whole", F.lit(False)).alias("whole"))
 
 
 def build(questions: DataFrame, parts: DataFrame, run: list[str], c: Request, pinned: DataFrame, part_pins: DataFrame, matched: DataFrame, attempts: int = 5) -> DataFrame:
@@ -383,11 +409,13 @@ def build(questions: DataFrame, parts: DataFrame, run: list[str], c: Request, pi
     Where topics must be covered, runs that miss one after a pass are selected again with the
     next seed, up to ``attempts`` times in all; the last attempt stands.
     """
-    every = kept(pool_leaves(questions, parts, pinned, part_pins))
     pool, done = kept(_pool(questions, parts, run, c, pinned, part_pins, matched)), None
     todo = pool
     for attempt in range(attempts):
-        found = kept(prune_pass(picks_of(todo, run, c, attempt), every, run, c))
+        picks = kept(picks_of(todo, run, c, attempt))
+        # the leaves of what was picked, not of all questions
+        own = [df.join(picks.select("question_id").distinct(), "question_id", "left_semi") for df in (questions, parts)]
+        found = kept(prune_pass(picks, pool_leaves(*own, pinned, part_pins), run, c))
         if not (c.force_topics and c.topics) or attempt + 1 == attempts:
             return found if done is None else done.unionByName(found)
         missing = found.groupBy(*run).agg(F.collect_set("topic").alias("t")).filter(F.size(F.array_except(F.array(*map(F.lit, c.topics)), "t")) > 0).select(*run)

@@ -10,7 +10,7 @@ from quillmark.operators import layout, ordered, pagination, selection, wide
 from quillmark.operators import selection_pass as sp
 from quillmark.operators.numbering import before
 from quillmark.operators.storage import kept
-from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, parts, questions, table
+from quillmark.sources.corpus import EVENTS_SQL, PARTS_SQL, QUESTIONS_SQL, events, kept_parts, parts, questions, table
 
 _RUN = ["exam_code", "year"]
 
@@ -82,7 +82,7 @@ _TOPICS = ("1-URGENT", "PROMO", "ECONOMY")
 def _sources(spark, d):
     """(questions, parts, pinned questions, part pins, keyword matches): of each run its first question and a part of its last are pinned."""
     # builds read both many times; reading the tables anew takes a sort of all leaves each time
-    q, p = kept(questions(spark, d)), kept(parts(spark, d))
+    q, p = kept(questions(spark, d)), kept_parts(spark, d, "question_id", "ord", "label", "marks", "topic", "is_valid", "name")
     ends = q.join(p.filter("ord = 2").select("question_id", F.col("label").alias("second")), "question_id").groupBy(*_RUN).agg(F.min("question_id").alias("question_id"), F.max_by(F.struct("question_id", "second"), "question_id").alias("last"))
     return q, p, ends.select("question_id"), ends.select("last.question_id", F.col("last.second").alias("label")), p.filter(F.contains("name", F.lit("77"))).select("question_id", "label")
 
